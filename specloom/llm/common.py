@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: words, scratch tables and global order.
+"""What the operators of this subpackage share.
 
 Words are runs of anything but ASCII white space, `WORD`. `bytes.split()` of the UTF-8 form cuts at
 the same places, which is what the Python stages use.
@@ -6,12 +6,11 @@ the same places, which is what the Python stages use.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from specloom.functions.scratch import Scratch, block_offsets, ranged
+
+__all__ = ["WORD", "Scratch", "block_offsets", "n_words", "ranged"]
 
 #: The word of every contract, as a Java and RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,58 +19,3 @@ WORD = r"[^\x20\x09-\x0D]+"
 def n_words(text) -> F.Column:
     """Words of a text column; null has none."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not getattr(spark, "_specloom_dir", None):
-        spark._specloom_dir = tempfile.mkdtemp(prefix="specloom-")
-    return spark._specloom_dir
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage; they survive the loss of any executor.
-
-    `keep` writes and reads back. `drop` deletes a table that no later step reads and lets Spark's
-    cleaner release the shuffle files of finished stages.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/specloom/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        if release:
-            self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
-
-
-def ranged(scratch: Scratch, df: DataFrame, name: str, *order) -> DataFrame:
-    """df cut into blocks along `order` and kept, with the number of its block in `_pid`.
-
-    Blocks are Spark's range partitions, so that a global running total needs one total a block and
-    never a window over all rows. A last, random key spreads rows that are equal in `order`.
-    """
-    cut = df.withColumn("_salt", F.rand(7)).repartitionByRange(*order, F.col("_salt")).drop("_salt")
-    return scratch.keep(cut.withColumn("_pid", F.spark_partition_id()), name)
-
-
-def block_offsets(blocks: DataFrame, *sums) -> DataFrame:
-    """One row a block: `_pid` and, for each (name, column), the sum over all earlier blocks.
-
-    There are as many rows as blocks, so the window over all of them stays small.
-    """
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    totals = blocks.groupBy("_pid").agg(*[F.sum(c).alias(n) for n, c in sums])
-    return totals.select("_pid", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n, _ in sums])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specloom.llm import mixing, quality, secrets, sharding
+from specloom.llm import minhash, mixing, quality, secrets, sharding
 
 
 def read(spark, sf_dir, table):
@@ -13,6 +13,10 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_shard_by_bytes(spark, sf_dir):
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"))
 
@@ -25,6 +29,19 @@ def op7_quality_rules(spark, sf_dir):
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_shard_by_bytes, op5_secret_scan, op7_quality_rules)}
-
-SQL = {}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_shard_by_bytes, op5_secret_scan, op7_quality_rules)}
+
+SQL = {
+    "op2_near_duplicates": r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.y) AS component_id, d.doc_id = min(r.y) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n.n""",
+}
