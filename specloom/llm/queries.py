@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specloom.llm import minhash, mixing, quality, secrets, sharding
+from specloom.llm import html, minhash, mixing, packing, quality, secrets, sharding
 
 
 def read(spark, sf_dir, table):
@@ -29,7 +29,15 @@ def op7_quality_rules(spark, sf_dir):
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_shard_by_bytes, op5_secret_scan, op7_quality_rules)}
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op9_main_text(spark, sf_dir):
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_shard_by_bytes, op5_secret_scan, op7_quality_rules, op8_best_fit_packing, op9_main_text)}
 
 SQL = {
     "op2_near_duplicates": r"""
