@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specloom.llm import html, minhash, mixing, packing, quality, secrets, sharding
+from specloom.llm import fingerprints, html, minhash, mixing, packing, quality, secrets, sharding
 
 
 def read(spark, sf_dir, table):
@@ -37,7 +37,11 @@ def op9_main_text(spark, sf_dir):
     return html.extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_shard_by_bytes, op5_secret_scan, op7_quality_rules, op8_best_fit_packing, op9_main_text)}
+def op6_weighted_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_shard_by_bytes, op5_secret_scan, op7_quality_rules, op6_weighted_fingerprints, op8_best_fit_packing, op9_main_text)}
 
 SQL = {
     "op2_near_duplicates": r"""
