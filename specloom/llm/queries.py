@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specloom.llm import fingerprints, html, minhash, mixing, packing, quality, secrets, sharding
+from specloom.llm import fingerprints, fmindex, html, minhash, mixing, packing, quality, secrets, sharding, suffixes
 
 
 def read(spark, sf_dir, table):
@@ -41,7 +41,21 @@ def op6_weighted_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_shard_by_bytes, op5_secret_scan, op7_quality_rules, op6_weighted_fingerprints, op8_best_fit_packing, op9_main_text)}
+def op4_fm_index_dedup(spark, sf_dir):
+    return fmindex.dedup_words(read(spark, sf_dir, "documents"))
+
+
+def op10_suffix_array_dedup(spark, sf_dir):
+    return suffixes.dedup_bytes(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_near_duplicates, op3_shard_by_bytes, op4_fm_index_dedup, op5_secret_scan,
+        op6_weighted_fingerprints, op7_quality_rules, op8_best_fit_packing, op9_main_text, op10_suffix_array_dedup,
+    )
+}
 
 SQL = {
     "op2_near_duplicates": r"""
@@ -56,4 +70,25 @@ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.y) AS component_id, d.doc_id = min(r.y) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op4_fm_index_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p:p+12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM w)),
+f AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s),
+x AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM g JOIN f USING (s) WHERE m < doc_id),
+r AS (SELECT doc_id, count(*) AS c FROM x GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS i FROM w)
+      ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op10_suffix_array_dedup": r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM b)),
+f AS (SELECT md5(s) AS s, min(doc_id) AS m FROM g GROUP BY 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM g JOIN f ON md5(g.s) = f.s WHERE m < doc_id),
+r AS (SELECT doc_id, count(*) AS c, sum(CASE WHEN i = q + 1 THEN 0 ELSE 1 END) AS n
+      FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -9) AS q FROM x) GROUP BY doc_id),
+k AS (SELECT doc_id, unhex(string_agg(substr(h, 2 * i + 1, 2), '' ORDER BY i)) AS t
+      FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM b) ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(c, 0) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(coalesce(t, ''::BLOB)) AS kept_sha256
+FROM b LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }

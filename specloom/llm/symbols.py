@@ -90,13 +90,24 @@ def words_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def window_hash(symbols: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k symbols from each position on; the last k-1 positions mean nothing."""
-    cur, length = symbols, 1
-    while length < k:
-        step = min(length, k - length)
-        nxt = np.zeros_like(cur)
-        nxt[: len(cur) - step] = cur[: len(cur) - step] * MUL + mix(cur[step:])
+    n = len(symbols)
+    out = np.zeros(n, np.uint64)
+    if n >= k:
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(symbols * powers(MUL, n), out=sums[1:])
+        out[: n - k + 1] = mix((sums[k:] - sums[:-k]) * powers(INV, n)[: n - k + 1] + U(k))
+    return out
+
+
+def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
+    """Least of the w values from each position on; the last w-1 positions mean nothing."""
+    cur, length = values, 1
+    while length < w:
+        step = min(length, w - length)
+        nxt = cur.copy()
+        np.minimum(cur[: len(cur) - step], cur[step:], out=nxt[: len(cur) - step])
         cur, length = nxt, length + step
-    return mix(cur + U(k))
+    return cur
 
 
 def starts_of_windows(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
