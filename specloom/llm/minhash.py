@@ -135,14 +135,43 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("pivot", "node", "_x", "_y").mapInPandas(run, "pivot long, node long")
 
 
+def rare_prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (pivot, node) of different roots among `nodes` (node, n, root) that may be like enough: none that is gets lost.
+
+    Of two sets that are, each has a shingle of the other among its rarest n - ceil(share * n) + 1, in one order of all
+    shingles. Rarest first, so what a set alone has uses up its prefix and makes no pair.
+    """
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            flat = [np.frombuffer(x, np.int64) for x in frame["shingles"]]
+            yield pd.DataFrame({"node": np.repeat(frame["node"].to_numpy(), [len(x) for x in flat]), "shingle": np.concatenate(flat)})
+
+    rows = sets.join(nodes.select("node"), "node", "left_semi").mapInPandas(spread, "node long, shingle long")
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_df"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("_df", "shingle"))
+    prefix = rows.join(common, "shingle").withColumn("_r", rank).join(nodes, "node").filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    prefix = prefix.filter("_df > 1").select("shingle", "node", "n", "root")
+    # a shingle of one root alone makes no pair
+    mixed = prefix.groupBy("shingle").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("shingle")
+    prefix = prefix.join(mixed, "shingle")
+    other = prefix.select("shingle", F.col("node").alias("pivot"), F.col("n").alias("_n"), F.col("root").alias("_root"))
+    pairs = prefix.join(other, "shingle").filter((F.col("pivot") < F.col("node")) & (F.col("root") != F.col("_root")) & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")))
+    return pairs.select("pivot", "node").distinct()
+
+
+#: Rounds of one pivot a bucket before what is left is searched by rare shingles.
+PIVOT_ROUNDS = 3
+
+
 def near_duplicates(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # noqa: B008
     """One row a document: n_shingles, component_id and kept.
 
-    Equal sets are one node from the start. Nodes that share a band are a bucket; in each round every
-    bucket that holds more than one component so far tests its first nodes, the pivots, against its
-    other nodes, on full sets, and lets them go. So a bucket ends when it is one component or has tested every pair
-    between components: no link that a band suggests is lost, and a group of near copies costs about
-    one pair a member. Each later round takes four times as many pivots.
+    Equal sets are one node from the start. Nodes that share a band are a bucket. In each of a few rounds, every
+    bucket that holds more than one component so far tests one node, the pivot, against its nodes of other components, on
+    full sets: a group of near copies costs about one pair a member. A bucket that is one component is done. All
+    nodes of the others are then searched for links across components by their rarest shingles, which is exact, so no link that
+    a band suggests is lost, and no group makes all its pairs.
 
     Null and empty texts have no shingles, are linked with nothing and kept. A document without doc_id
     can be linked but names no component; alone, its component_id is null and it is kept. Rows with one doc_id and several texts
@@ -154,32 +183,31 @@ def near_duplicates(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # no
     nodes = scratch.keep(nodes, "nodes", release=True)
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a != _b").select("bucket")
-    open_ = scratch.keep(buckets.join(shared, "bucket"), "open-0", release=True)
+    open_ = scratch.keep(buckets.join(shared, "bucket"), "open", release=True)
     roots = scratch.keep(open_.select("node").distinct().withColumn("root", F.col("node")), "roots-0")
     wanted = nodes.join(roots, "node", "left_semi").select(F.col("rep").alias("_rep"))
     # a set of which no document has an id is found by its text alone; such sets are few
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     sets = scratch.keep(full_sets(texts, how).join(roots, "node", "left_semi").dropDuplicates(["node"]), "sets", release=True)
-    turn, pivots = 0, 1
-    while True:
-        turn += 1
+    for turn in range(PIVOT_ROUNDS + 1):
         now = open_.join(roots, "node")
         split = now.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("bucket")
         now = scratch.keep(now.join(split, "bucket"), f"now-{turn}")
         if now.isEmpty():
             break
-        first = Window.partitionBy("bucket").orderBy("node")
-        heads = now.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= pivots).select("bucket", F.col("node").alias("pivot"), F.col("n").alias("_n"), F.col("root").alias("_root"))
-        tried = now.join(heads, "bucket").filter((F.col("node") > F.col("pivot")) & (F.col("root") != F.col("_root")) & (100 * F.least("n", "_n") >= how.percent * F.greatest("n", "_n")))
-        links = scratch.keep(confirmed(tried.select("pivot", "node").distinct(), sets, how.percent), f"links-{turn}", release=True)
-        gone = heads.select("bucket", F.col("pivot").alias("node"))
-        left = now.select("bucket", "node", "n").join(gone, ["bucket", "node"], "left_anti")
-        open_ = scratch.keep(left, f"open-{turn}")
-        named = roots.withColumnsRenamed({"node": "pivot", "root": "_a"})
+        if turn < PIVOT_ROUNDS:
+            # one order of all nodes a round, so that a pair meets in most of the buckets that it shares
+            place = F.xxhash64("node", F.lit(turn))
+            heads = now.groupBy("bucket").agg(F.min_by("node", place).alias("pivot"), F.min_by("n", place).alias("_n"), F.min_by("root", place).alias("_root"))
+            tried = now.join(heads, "bucket").filter((F.col("root") != F.col("_root")) & (100 * F.least("n", "_n") >= how.percent * F.greatest("n", "_n"))).select("pivot", "node").distinct()
+        else:
+            tried = rare_prefix_pairs(now.select("node", "n", "root").distinct(), sets, how.percent)
+        links = scratch.keep(confirmed(tried, sets, how.percent), f"links-{turn}", release=True)
+        named = roots.select(F.col("node").alias("pivot"), F.col("root").alias("_a"))
         edges = links.join(named, "pivot").join(roots.withColumnRenamed("root", "_b"), "node").select("_a", "_b")
         moved = components(edges, "_a", "_b", "minhash-graph").select(F.col("node").alias("root"), F.col("root").alias("_new"))
-        roots = scratch.keep(roots.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root")), f"roots-{turn}", release=True)
-        pivots *= 4
+        roots = scratch.keep(roots.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root")), f"roots-{turn + 1}", release=True)
+        open_ = now.select("bucket", "node", "n")
     named = nodes.select("node", "rep").join(roots, "node")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
     linked = roots.join(lowest, "root").select("node", "component")
