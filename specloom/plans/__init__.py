@@ -1 +1,3 @@
+"""Queries over the driver's tables."""
 
+from specloom.plans import spectra_queries  # noqa: F401

@@ -1,5 +1,35 @@
 """Registered queries and their DuckDB SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
 FLAGSHIP = "ion_image"
+DIGITS = 6
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) under its name, with the SQL for the same rows if SQL can say it."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(col: str | Column, digits: int = DIGITS) -> Column:
+    """Rounded, as sums of floating point differ in their last digits; no negative zero."""
+    return F.round(F.col(col) if isinstance(col, str) else col, digits) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """All double columns rounded."""
+    return df.select(*[r(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
