@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,21 +14,6 @@ BLOCK = 256
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def gamma_quantiles(n: int = 4096) -> list[float]:
-    """Middle values of n equally likely parts of the gamma distribution with shape 2: 1 - (1 + x) exp(-x) = p."""
-    out, x = [], 0.0
-    for i in range(n):
-        p = (i + 0.5) / n
-        x = max(x, math.sqrt(2 * p) if x == 0 else x)
-        for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x -= step
-            if abs(step) < 1e-14 * x:
-                break
-        out.append(x)
-    return out
-
-
 def terms(text: Column) -> tuple[Column, Column, Column]:
     """Steps from a text to its weighted terms: sorted word hashes `_a`, starts of runs `_s`, (term, n) pairs.
 
@@ -57,14 +40,13 @@ def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMP
     hashes, starts, pairs = terms(F.col(text))
     rows = texts.select(*keys, hashes.alias("_a")).withColumn("_s", starts).select(*keys, F.explode(pairs).alias("_t"))
     rows = rows.select(*keys, F.col("_t.term").alias("_x"), F.ln(F.col("_t.n").cast("double")).alias("_w"))
-    table = F.expr(f"cast(split('{','.join(map(repr, gamma_quantiles()))}', ',') as array<double>)")
 
     def sample(k: int) -> Column:
         h, g = F.xxhash64("_x", F.lit(k)), F.xxhash64("_x", F.lit(-1 - k))
         u = lambda x, at, bits: (F.shiftrightunsigned(x, at).bitwiseAND((1 << bits) - 1).cast("double") + 0.5) / float(1 << bits)
-        r = F.get(table, h.bitwiseAND(4095).cast("int"))
-        b = u(h, 12, 32)
-        ln_c = F.ln(-F.ln(u(g, 0, 32) * u(g, 32, 32)))
+        r = -F.ln(u(h, 0, 32) * u(h, 32, 32))  # the product of two uniforms makes a gamma variate of shape 2
+        b = u(g, 44, 20)
+        ln_c = F.ln(-F.ln(u(g, 0, 22) * u(g, 22, 22)))
         return ln_c - r * (F.floor(F.col("_w") / r + b).cast("double") - b) - r
 
     least = rows.groupBy(*keys).agg(*[F.min(sample(k)).alias(f"_{k}") for k in range(samples)])
