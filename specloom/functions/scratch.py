@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,27 +23,32 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive the loss of any executor.
 
-    `keep` writes and reads back. `drop` deletes a table that no later step reads and lets Spark's
-    cleaner release the shuffle files of finished stages.
+    `keep` writes and reads back. With `release`, the next `keep` first lets Spark's cleaner delete the shuffle files of
+    stages that nothing refers to any more. `drop` deletes a table that no later step reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/specloom/{name}-{uuid.uuid4().hex}"
+        self.due = False
 
     def keep(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
         path = f"{self.base}/{name}"
+        if self.due:
+            self.release()
         df.write.option("compression", "zstd").parquet(path)
-        if release:
-            self.spark.sparkContext._jvm.System.gc()
+        self.due = release
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        gc.collect()  # Python's handles keep their plans, and plans their shuffles
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
 
 
 def ranged(scratch: Scratch, df: DataFrame, name: str, *order) -> DataFrame:
