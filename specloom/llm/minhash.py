@@ -169,8 +169,8 @@ def near_duplicates(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # no
 
     Equal sets are one node from the start. Nodes that share a band are a bucket. In each of a few rounds, every
     bucket that holds more than one component so far tests one node, the pivot, against its nodes of other components, on
-    full sets: a group of near copies costs about one pair a member. A bucket that is one component is done. All
-    nodes of the others are then searched for links across components by their rarest shingles, which is exact, so no link that
+    full sets, and goes: a group of near copies costs about one pair a member, and a bucket is done once it is one component or
+    one node. All nodes of the others are then searched for links across components by their rarest shingles, which is exact, so no link that
     a band suggests is lost, and no group makes all its pairs.
 
     Null and empty texts have no shingles, are linked with nothing and kept. A document without doc_id
@@ -190,6 +190,7 @@ def near_duplicates(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # no
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     sets = scratch.keep(full_sets(texts, how).join(roots, "node", "left_semi").dropDuplicates(["node"]), "sets", release=True)
     for turn in range(PIVOT_ROUNDS + 1):
+        # nodes that are left, with their components of now
         now = open_.join(roots, "node")
         split = now.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("bucket")
         now = scratch.keep(now.join(split, "bucket"), f"now-{turn}")
@@ -207,7 +208,8 @@ def near_duplicates(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # no
         edges = links.join(named, "pivot").join(roots.withColumnRenamed("root", "_b"), "node").select("_a", "_b")
         moved = components(edges, "_a", "_b", "minhash-graph").select(F.col("node").alias("root"), F.col("root").alias("_new"))
         roots = scratch.keep(roots.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root")), f"roots-{turn + 1}", release=True)
-        open_ = now.select("bucket", "node", "n")
+        if turn < PIVOT_ROUNDS:  # a pivot has met its whole bucket
+            open_ = scratch.keep(now.select("bucket", "node", "n").join(heads.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), f"open-{turn}")
     named = nodes.select("node", "rep").join(roots, "node")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
     linked = roots.join(lowest, "root").select("node", "component")
