@@ -4,16 +4,16 @@ A window is `length` consecutive symbols (words or bytes) of one document. Every
 hash of the `gram` symbol runs inside it, so equal windows have equal keys, and neighbours mostly share
 theirs: a run is a maximal row of neighbouring windows of one key, and its context the symbols under it.
 
-1. Keys that occur in one document alone can't be shared and go (one partial aggregation of the runs).
-2. The contexts of the runs that stay are cut out of the texts. Equal contexts become one, owned by the least
+1. Keys that occur in one document alone can't be shared and go (one shuffle of the runs, combined within batches).
+2. The contexts of the runs that stay are hashed in the texts. Equal contexts become one, owned by the least
    doc_id; all its other documents lose the whole run. So copies meet in a map-side combine, never in a group.
-3. Contexts of one key differ somewhere. Keys are dealt to shards of bounded size, and each shard indexes its
+3. Contexts of one key differ somewhere, and are cut out of their owners' texts. Keys are dealt to shards of bounded size, and each shard indexes its
    contexts to find the windows that an earlier owner has too. The index is the operator's own method.
    A key of more contexts than `hot` is not put in a shard: its windows are grouped whole, one row each, with
    partial aggregation, which no frequent key can overload.
 4. The covered symbols go from the texts.
 
-Texts move twice, compressed. Every step is a hash aggregation or an equi-join that adaptive execution can split.
+Texts move three times; shuffle files go as soon as their step is written. Every step is a hash aggregation or an equi-join that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from specloom.llm.common import Scratch
-from specloom.llm.symbols import CHUNK_BYTES, U, offsets, sliding_min, starts_of_windows, window_hash
+from specloom.llm.symbols import CHUNK_BYTES, INV, MUL, mix, offsets, powers, sliding_min, starts_of_windows, window_hash
 
 
 @dataclass(frozen=True)
@@ -70,40 +70,52 @@ def parts(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[slice]:
             yield slice(int(a), int(b))
 
 
-def keys(docs: DataFrame, p: Passages, distinct: bool) -> DataFrame:
-    """(key, low, high): documents of each key, combined within a part of a batch; or (key, doc_id, start, n): the runs."""
+#: Places that the runs of a key known to be shared are dealt to.
+SALTS = 4096
+
+
+def shared_runs(docs: DataFrame, p: Passages) -> DataFrame:
+    """(doc_id, start, key) of the runs whose key comes in two documents or more.
+
+    A key that two documents of one batch have is known to be shared: its runs need no partner any more, so they travel
+    under salts of their own, and one row speaks for them to the other batches. So a key never sends more than one row a
+    batch to one place, however frequent it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [x or b"" for x in batch.column("text").to_pylist()]
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            found = []
             for part in parts(np.fromiter(map(len, raw), np.int64, len(raw))):
-                doc, start, n, key = runs_of(*p.symbols(raw[part]), p)
-                if not len(doc):
-                    continue
-                own = ids[part][doc]
-                if distinct:
-                    order = np.argsort(key, kind="stable")
-                    key, own = key[order], own[order]
-                    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(np.minimum.reduceat(own, first)), pa.array(np.maximum.reduceat(own, first))], ["key", "low", "high"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "doc_id", "start", "n"])
-
-    schema = "key long, low long, high long" if distinct else "key long, doc_id long, start int, n int"
-    return docs.select("doc_id", F.encode("text", "utf-8").alias("text")).mapInArrow(run, schema)
-
-
-def squeezed(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text) and the text, compressed for the way."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "h": frame["h"].array, "text": [pack.compress(x or b"") for x in frame["text"]]})
-
+                doc, start, _, key = runs_of(*p.symbols(raw[part]), p)
+                found.append((key, ids[part][doc], start.astype(np.int32)))
+            key, own, start = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+            if not len(key):
+                continue
+            order = np.argsort(key, kind="stable")
+            key, own, start = key[order], own[order], start[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            low, high = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
+            many = np.repeat(low < high, np.diff(np.append(first, len(key))))
+            speaks = first[low < high]
+            salt = np.where(many, 1 + np.arange(len(key)) % SALTS, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(own), pa.array(start), pa.nulls(len(key), pa.int64())], names)
+            # the row that speaks for them has no start, the least document and the greatest
+            n = len(speaks)
+            yield pa.RecordBatch.from_arrays([pa.array(key[speaks]), pa.array(np.zeros(n, np.int32)), pa.array(low[low < high]), pa.array(np.full(n, -1, np.int32)), pa.array(high[low < high])], names)
+
+    names = ["key", "salt", "doc_id", "start", "high"]
+    found = docs.select("doc_id", F.encode("text", "utf-8").alias("text")).mapInArrow(run, "key long, salt int, doc_id long, start int, high long")
+    key = Window.partitionBy("key", "salt")
+    found = found.withColumn("_a", F.min("doc_id").over(key)).withColumn("_b", F.max(F.coalesce("high", "doc_id")).over(key))
+    return found.filter("start >= 0 and (salt > 0 or _a < _b)").select("doc_id", "start", "key")
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text) and the text's bytes."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.encode(text, "utf-8").alias("text")).mapInPandas(run, "doc_id long, h long, text binary")
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.encode(text, "utf-8").alias("text"))
 
 
 def lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -116,51 +128,64 @@ def lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]
 
 
 def contexts(texts: DataFrame, found: DataFrame, p: Passages) -> DataFrame:
-    """The contexts of the runs `found` in each text: doc_id, h, start, n, key, id, units.
+    """The contexts of the runs `found` in each text, by their hash: doc_id, h, start, n, key, id.
 
     A list of runs belongs to a doc_id; a text under it takes those that it has itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             ids, hs = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)
-            raw = [unpack.decompress(x) for x in batch.column("text").to_pylist()]
-            at, (starts, ns, wanted) = lists(batch.column("runs"), "start", "n", "key")
+            raw = batch.column("text").to_pylist()
+            at, (starts, wanted) = lists(batch.column("runs"), "start", "key")
             for part in parts(np.fromiter(map(len, raw), np.int64, len(raw))):
                 symbols, counts = p.symbols(raw[part])
                 doc, start, n, key = runs_of(symbols, counts, p)
-                order = np.lexsort((start, doc))
-                doc, start, n, key = doc[order], start[order], n[order], key[order]
+                if not len(doc):
+                    continue
                 base = offsets(counts)
-                # the runs asked for, by place: their number is unique within a document
-                asked = np.concatenate([base[i] + np.asarray(starts[at[j] : at[j + 1]], np.int64) for i, j in enumerate(range(part.start, part.stop))]) if part.stop > part.start else np.zeros(0, np.int64)
-                asked_key = np.concatenate([np.asarray(wanted[at[j] : at[j + 1]], np.int64) for j in range(part.start, part.stop)])
-                own = base[doc] + start
-                to = np.minimum(np.searchsorted(own, asked), max(len(own) - 1, 0))
-                good = (own[to] == asked) & (key[to] == asked_key) if len(own) else np.zeros(0, bool)
-                pick = np.unique(to[good]) if len(own) else np.zeros(0, np.int64)
+                own = base[doc] + start  # ascending: a run's number in this part
+                span = slice(at[part.start], at[part.stop])
+                asked = np.asarray(starts[span], np.int64) + np.repeat(base[:-1], np.diff(at[part.start : part.stop + 1]))
+                to = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+                pick = np.unique(to[(own[to] == asked) & (key[to] == np.asarray(wanted[span], np.int64))])
                 if not len(pick):
                     continue
-                doc, start, n, key = doc[pick], start[pick], n[pick], key[pick]
-                units = p.units(symbols, raw[part])
-                size = n + p.length - 1
-                a = base[doc] + start
-                ident = prefix_hash(symbols, a, size)
-                cut = [units[x : x + y].tobytes() for x, y in zip(a.tolist(), size.tolist(), strict=True)]
+                ident = prefix_hash(symbols, own[pick], n[pick] + p.length - 1)
+                doc = doc[pick]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[part][doc]), pa.array(hs[part][doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(ident.view(np.int64)), pa.array(cut, pa.binary())],
-                    ["doc_id", "h", "start", "n", "key", "id", "units"],
+                    [pa.array(ids[part][doc]), pa.array(hs[part][doc]), pa.array(start[pick].astype(np.int32)), pa.array(n[pick].astype(np.int32)), pa.array(key[pick]), pa.array(ident.view(np.int64))],
+                    ["doc_id", "h", "start", "n", "key", "id"],
                 )
 
-    lines = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key")).alias("runs"))
-    return texts.join(lines, "doc_id").mapInArrow(run, "doc_id long, h long, start int, n int, key long, id long, units binary")
+    lines = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "key")).alias("runs"))
+    return texts.join(lines, "doc_id").mapInArrow(run, "doc_id long, h long, start int, n int, key long, id long")
+
+
+def cut_out(texts: DataFrame, wanted: DataFrame, p: Passages) -> DataFrame:
+    """The symbols of the contexts `wanted` (doc_id, h, start, n, key, id): id, key, owner, units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            raw = batch.column("text").to_pylist()
+            at, (starts, ns, keys, idents) = lists(batch.column("runs"), "start", "n", "key", "id")
+            for part in parts(np.fromiter(map(len, raw), np.int64, len(raw))):
+                symbols, counts = p.symbols(raw[part])
+                units = p.units(symbols, raw[part])
+                span = slice(at[part.start], at[part.stop])
+                each = np.diff(at[part.start : part.stop + 1])
+                a = np.asarray(starts[span], np.int64) + np.repeat(offsets(counts)[:-1], each)
+                b = a + np.asarray(ns[span], np.int64) + p.length - 1
+                cut = [units[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(idents[span]), pa.array(keys[span]), pa.array(np.repeat(ids[part], each)), pa.array(cut, pa.binary())], ["id", "key", "owner", "units"])
+
+    lines = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "key", "id")).alias("runs"))
+    return texts.join(lines, ["doc_id", "h"]).mapInArrow(run, "id long, key long, owner long, units binary")
 
 
 def prefix_hash(symbols: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of symbols[a : a + size] for arrays of starts and sizes."""
-    from specloom.llm.symbols import INV, MUL, mix, powers
-
     sums = np.zeros(len(symbols) + 1, np.uint64)
     np.cumsum(symbols * powers(MUL, len(symbols)), out=sums[1:])
     return mix((sums[a + size] - sums[a]) * powers(INV, len(symbols) + 1)[a] + size.astype(np.uint64))
@@ -216,21 +241,23 @@ def without_repeats(docs: DataFrame, p: Passages, finish: Callable, schema: str,
     scratch = Scratch(spark, name)
     thin = docs.select("doc_id", "text")
     known = thin.filter("doc_id is not null and text is not null")
-    shared = keys(known, p, True).groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("key")
-    shared = scratch.keep(shared, "keys", release=True)
-    found = scratch.keep(keys(known, p, False).join(shared, "key"), "runs", release=True)
-    cut = scratch.keep(contexts(squeezed(known), found, p), "contexts", release=True)
-    scratch.drop("keys", "runs")
+    found = scratch.keep(shared_runs(known, p), "runs", release=True)
+    cut = scratch.keep(contexts(texts_of(known), found, p), "contexts", release=True)
+    scratch.drop("runs")
 
-    distinct = cut.groupBy("id").agg(F.min("doc_id").alias("owner"), F.first("key").alias("key"), F.first("units").alias("units"))
+    # of rows of the owner that hold a context, the first in the text's order stands for it
+    first = F.struct("doc_id", "h", "start", "n", "key")
+    distinct = cut.groupBy("id").agg(F.min(first).alias("_f")).select("id", "_f.*").withColumnRenamed("doc_id", "owner")
     distinct = scratch.keep(distinct, "distinct", release=True)
-    sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("units")).alias("b")).filter("m > 1")
-    sizes = scratch.keep(sizes, "groups")
-    total = sizes.filter(F.col("m") <= p.hot).agg(F.sum("b")).first()[0] or 0
-    cool = distinct.join(sizes.filter(F.col("m") <= p.hot).select("key"), "key")
-    hot = distinct.join(sizes.filter(F.col("m") > p.hot).select("key"), "key")
-    marks = shared_windows(cool, p, int(total // (p.shard_units * np.dtype(p.unit).itemsize) + 1)).unionByName(hot_windows(hot, p))
-    marks = scratch.keep(marks, "marks", release=True)
+    groups = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") + p.length - 1).alias("b")).filter("m > 1")
+    groups = scratch.keep(groups, "groups")
+    total = groups.filter(F.col("m") <= p.hot).agg(F.sum("b")).first()[0] or 0
+    differing = distinct.join(groups.select("key", "m"), "key").withColumnRenamed("owner", "doc_id")
+    cool = cut_out(texts_of(known), differing.filter(F.col("m") <= p.hot), p)
+    hot = cut_out(texts_of(known), differing.filter(F.col("m") > p.hot), p)
+    marks = scratch.keep(shared_windows(cool, p, int(total // p.shard_units + 1)), "marks", release=True)
+    if not groups.filter(F.col("m") > p.hot).isEmpty():
+        marks = marks.unionByName(scratch.keep(hot_windows(hot, p), "hot", release=True))
 
     owners = distinct.select("id", "owner").join(marks, "id", "left")
     # a document that doesn't own a context loses all its windows; the owner those that the mask names
@@ -239,12 +266,11 @@ def without_repeats(docs: DataFrame, p: Passages, finish: Callable, schema: str,
     lost = lost.select("doc_id", "h", "start", "n", F.when(F.col("doc_id") == F.col("owner"), F.col("mask")).alias("mask"))
     lost = lost.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", F.coalesce("mask", F.lit(b"")).alias("mask"))).alias("lost"))
     lost = scratch.keep(lost, "lost", release=True)
-    scratch.drop("contexts", "distinct", "groups", "marks")
+    scratch.drop("contexts", "distinct", "groups", "marks", "hot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            raw = [unpack.decompress(x) for x in batch.column("text").to_pylist()]
+            raw = batch.column("text").to_pylist()
             at, (starts, ns, masks) = lists(batch.column("lost"), "start", "n", "mask")
             for part in parts(np.fromiter(map(len, raw), np.int64, len(raw))):
                 symbols, counts = p.symbols(raw[part])
@@ -265,4 +291,4 @@ def without_repeats(docs: DataFrame, p: Passages, finish: Callable, schema: str,
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
-    return squeezed(thin).join(lost, ["doc_id", "h"], "left").select("doc_id", "text", "lost").mapInArrow(run, schema)
+    return texts_of(thin).join(lost, ["doc_id", "h"], "left").select("doc_id", "text", "lost").mapInArrow(run, schema)
