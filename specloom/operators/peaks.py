@@ -238,9 +238,12 @@ def isotope_clusters(lists: DataFrame, size: int, distance: float = 1.00235, tol
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame["interval_id"].to_numpy()
         found = clusters(frame["x_mean"].to_numpy(), size, distance, tol)
-        return pd.DataFrame({"list_id": frame["list_id"].iloc[0], "interval_ids": [ids[g].tolist() for g in found]})
+        rows = [(frame["list_id"].iloc[0], i, j, int(ids[m])) for i, g in enumerate(found) for j, m in enumerate(g)]
+        return pd.DataFrame(rows, columns=["list_id", "cluster", "place", "interval_id"])
 
-    return per_list(lists, run, "list_id string, interval_ids array<long>")
+    flat = per_list(lists, run, "list_id string, cluster int, place int, interval_id long")
+    members = F.array_sort(F.collect_list(F.struct("place", "interval_id")))
+    return flat.groupBy("list_id", "cluster").agg(F.transform(members, lambda m: m["interval_id"]).alias("interval_ids")).drop("cluster")
 
 
 def monoisotopic(lists: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6, 7, 8, 9, 10), min_cor: float = 0.95, tol: float = 1e-4, distance: float = 1.00235) -> DataFrame:
