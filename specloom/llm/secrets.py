@@ -19,6 +19,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Runs that the models judge, and the characters they know: codes 43 to 122, "+" to "z".
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST_RUN, FIRST, CODES = 20, 43, 80
+#: Pairs that count as seen beforehand for each first character: even ones of random strings, the usual ones of identifiers.
+EVEN, USUAL = 128, 8
 #: A run is a secret if the log-likelihood ratio is over this much a character pair.
 THRESHOLD = 0.5
 
@@ -80,8 +82,8 @@ def train(docs: DataFrame, sample: int = 2000) -> list[float]:
 
     The labelled samples come from `sample` documents, those of least hash of doc_id: values of the base
     spans are random strings, unless they are made of letters alone; words and underscore names of 8 characters on that
-    hold none are ordinary. Adding one to each count makes an unseen pair of random
-    strings as likely as any other, which is what random means; of an empty table both models are even.
+    hold none are ordinary. Unseen pairs of random strings are as likely as any other, which is what random means;
+    those of identifiers are as likely as their second character. Of an empty table both models are even.
     """
     ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     texts = docs.join(ids, "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
@@ -90,12 +92,15 @@ def train(docs: DataFrame, sample: int = 2000) -> list[float]:
     plain = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_-]{4,}"), F.lit(0))).alias("word"))
     a, b = pair_counts(random.filter("length(word) > 1")), pair_counts(plain)
     alphabet = [i - FIRST for i in range(FIRST, FIRST + CODES) if chr(i).isalnum() or chr(i) in "+/_=-"]
+    n = len(alphabet)
+    ends = {y: sum(b.get(x * CODES + y, 0) for x in alphabet) for y in alphabet}
+    all_ends = sum(ends.values())
     out = [0.0] * (CODES * CODES)
     for x in alphabet:
-        # the larger start for random strings keeps a small sample from speaking for all of them
-        na, nb = sum(a.get(x * CODES + y, 0) for y in alphabet) + 2 * len(alphabet), sum(b.get(x * CODES + y, 0) for y in alphabet) + 0.5 * len(alphabet)
+        na, nb = (sum(c.get(x * CODES + y, 0) for y in alphabet) for c in (a, b))
         for y in alphabet:
-            out[x * CODES + y] = math.log((a.get(x * CODES + y, 0) + 2) / na) - math.log((b.get(x * CODES + y, 0) + 0.5) / nb)
+            usual = (ends[y] + 0.5) / (all_ends + 0.5 * n)
+            out[x * CODES + y] = math.log((a.get(x * CODES + y, 0) + EVEN / n) / (na + EVEN)) - math.log((b.get(x * CODES + y, 0) + USUAL * usual) / (nb + USUAL))
     return out
 
 
