@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,35 +29,38 @@ def terms(text: Column) -> tuple[Column, Column, Column]:
     return hashes, starts, pairs
 
 
-def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """keys and `sig`, an array of doubles; texts without words have no row.
+def sample(k: int) -> Column:
+    """Least-candidate value of sample k for term `_x` of log weight `_w`."""
+    h, g = F.xxhash64("_x", F.lit(k)), F.xxhash64("_x", F.lit(-1 - k))
+    part = lambda x, at, bits: F.shiftrightunsigned(x, at).bitwiseAND((1 << bits) - 1).cast("double") + 0.5
+    # minus the logarithm of the product of two uniforms is a gamma variate of shape 2
+    r = 64 * math.log(2) - F.ln(part(h, 0, 32) * part(h, 32, 32))
+    ln_c = F.ln(44 * math.log(2) - F.ln(part(g, 0, 22) * part(g, 22, 22)))
+    b = part(g, 44, 20) * 2.0**-20
+    return ln_c - r * (F.floor(F.col("_w") / r + b).cast("double") - b) - r
+
+
+def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """keys, the `carried` numbers, and `sig`, an array of integers, null for texts without words.
 
     Terms are words, their weights how often they come. For term x of weight S and sample k with r and c
     gamma-distributed and b uniform, all fixed by (x, k): t = floor(ln S / r + b), and the sample is the
     pair (x, t) of least ln c - r (t - b) - r. That least value stands for the pair, as it is a function of
-    both and of k. Two texts agree in a sample with a chance of their generalised Jaccard likeness.
+    both and of k; of it, 32 bits are kept. Two texts agree in a sample with a chance of their generalised Jaccard likeness.
 
     Terms are counted within the row and their minima combined before the one shuffle, of one row a text.
     """
     hashes, starts, pairs = terms(F.col(text))
-    rows = texts.select(*keys, hashes.alias("_a")).withColumn("_s", starts).select(*keys, F.explode(pairs).alias("_t"))
-    rows = rows.select(*keys, F.col("_t.term").alias("_x"), F.ln(F.col("_t.n").cast("double")).alias("_w"))
-
-    def sample(k: int) -> Column:
-        h, g = F.xxhash64("_x", F.lit(k)), F.xxhash64("_x", F.lit(-1 - k))
-        u = lambda x, at, bits: (F.shiftrightunsigned(x, at).bitwiseAND((1 << bits) - 1).cast("double") + 0.5) / float(1 << bits)
-        r = -F.ln(u(h, 0, 32) * u(h, 32, 32))  # the product of two uniforms makes a gamma variate of shape 2
-        b = u(g, 44, 20)
-        ln_c = F.ln(-F.ln(u(g, 0, 22) * u(g, 22, 22)))
-        return ln_c - r * (F.floor(F.col("_w") / r + b).cast("double") - b) - r
-
-    least = rows.groupBy(*keys).agg(*[F.min(sample(k)).alias(f"_{k}") for k in range(samples)])
-    return least.select(*keys, F.array(*[f"_{k}" for k in range(samples)]).alias("sig"))
+    rows = texts.select(*keys, *carried, hashes.alias("_a")).withColumn("_s", starts).select(*keys, *carried, F.explode_outer(pairs).alias("_t"))
+    rows = rows.select(*keys, *carried, F.col("_t.term").alias("_x"), F.ln(F.col("_t.n").cast("double")).alias("_w"))
+    least = rows.groupBy(*keys).agg(*[F.min(sample(k)).alias(f"_{k}") for k in range(samples)], *[F.max(c).alias(c) for c in carried])
+    sig = F.transform(F.array(*[f"_{k}" for k in range(samples)]), lambda v: F.hash(v))
+    return least.select(*keys, *carried, F.when(F.col("_0").isNotNull(), sig).alias("sig"))
 
 
 def hexed(sig: str) -> Column:
     """Fingerprint as text: 8 hex digits a sample, empty without words."""
-    return F.coalesce(F.array_join(F.transform(sig, lambda v: F.lpad(F.hex(F.xxhash64(v).bitwiseAND(0xFFFFFFFF)), 8, "0")), ""), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(sig, lambda v: F.lpad(F.hex(v.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""), F.lit(""))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -91,26 +96,31 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     fresh = base.withColumn("_seen", (F.lag("ord").over(line) == F.col("ord")) & (F.lag("h").over(line) == F.col("h"))).filter(~F.coalesce("_seen", F.lit(False))).drop("_seen")
     lines = fresh.withColumns({"n_text": F.lead("text").over(line), "n_nul": F.lead("nul").over(line), "n_ord": F.lead("ord").over(line), "n_h": F.lead("h").over(line), "_first": F.row_number().over(line) == 1})
     # the order of the blocks: few enough for their own range partitions, a window within each, and one row a partition
-    firsts = scratch.keep(lines.filter("_first").select("nul", "block", "ord", "h", "text"), "firsts")
-    following = next_block(scratch, firsts.select("nul", "block"))
+    following = next_block(scratch, base.select("nul", "block").distinct())
     ends = lines.filter("n_ord is null").drop("n_text", "n_nul", "n_ord", "n_h").join(following, ["nul", "block"])
-    heads = firsts.select(F.col("nul").alias("n_nul"), F.col("block").alias("n_block"), F.col("ord").alias("n_ord"), F.col("h").alias("n_h"), F.col("text").alias("n_text"))
+    heads = lines.filter("_first").select(F.col("nul").alias("n_nul"), F.col("block").alias("n_block"), F.col("ord").alias("n_ord"), F.col("h").alias("n_h"), F.col("text").alias("n_text"))
     ends = ends.join(heads, ["n_nul", "n_block"])
     cols = ["nul", "ord", "h", "text", "n_nul", "n_ord", "n_h", "n_text"]
     both = lines.filter("n_ord is not null").select(cols).unionByName(ends.select(cols))
     half = F.expr("cast(length(text) div 2 as int)")
     edited = F.concat(F.expr("left(text, cast(length(text) - length(text) div 2 as int))"), F.left("n_text", half))
-    both = both.select("nul", "ord", "h", "n_nul", "n_ord", "n_h", F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), edited.alias("body"))).alias("_v"))
-    pairs = both.select("nul", "ord", "h", "n_nul", "n_ord", "n_h", F.length(F.col("_v")[0]["body"]).cast("long").alias("n_chars"), F.sha2(F.col("_v")[1]["body"], 256).alias("edited_sha256"))
-    sigs = scratch.keep(signatures(both.select("nul", "ord", "h", F.explode("_v").alias("_e")).select("nul", "ord", "h", F.col("_e.which").alias("which"), F.col("_e.body").alias("body")), ["nul", "ord", "h", "which"], "body", samples), "sigs", release=True)
-    key = ["nul", "ord", "h"]
-    plain = sigs.filter("which = 0").drop("which")
-    out = pairs.join(plain, key, "left").join(sigs.filter("which = 1").select(*key, F.col("sig").alias("sig_e")), key, "left")
-    out = out.join(plain.select(*[F.col(c).alias(f"n_{c}") for c in key], F.col("sig").alias("sig_n")), [f"n_{c}" for c in key], "left")
+    key, facts = ["nul", "ord", "h"], ["n_nul", "n_ord", "n_h", "n_chars", "_d0", "_d1", "_d2", "_d3"]
+    both = both.withColumn("edited", edited).withColumn("_d", F.sha2("edited", 256))
+    # everything a document has goes along as numbers with its one text, so that texts are shuffled once
+    both = both.select(
+        *key, F.col("n_nul").cast("int").alias("n_nul"), "n_ord", "n_h", F.length("text").cast("long").alias("n_chars"), *[F.conv(F.substring("_d", 16 * i + 1, 16), 16, -10).cast("long").alias(f"_d{i}") for i in range(4)],
+        F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("_v"),
+    ).select(*key, *facts, F.col("_v.which").alias("which"), F.col("_v.body").alias("body"))
+    sigs = scratch.keep(signatures(both, [*key, "which"], "body", samples, tuple(facts)), "sigs", release=True)
+    scratch.release()
+    plain = sigs.filter("which = 0").select(*key, *facts, "sig").withColumn("n_nul", F.col("n_nul") == 1)
+    out = plain.join(sigs.filter("which = 1").select(*key, F.col("sig").alias("sig_e")), key)
+    out = out.join(plain.select(*[F.col(c).alias(f"n_{c}") for c in key], F.col("sig").alias("sig_n")), [f"n_{c}" for c in key])
     copies = base.groupBy(*key).count()
     out = out.join(copies, key).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+    digest = F.lower(F.concat(*[F.lpad(F.hex(f"_d{i}"), 16, "0") for i in range(4)]))
     return out.select(
-        F.when(~F.col("nul"), F.col("ord")).alias("doc_id"), "n_chars", "edited_sha256", hexed("sig").alias("fingerprint"), hexed("sig_e").alias("edited_fingerprint"),
+        F.when(~F.col("nul"), F.col("ord")).alias("doc_id"), "n_chars", digest.alias("edited_sha256"), hexed("sig").alias("fingerprint"), hexed("sig_e").alias("edited_fingerprint"),
         likeness("sig", "sig_e").alias("near_edited"), likeness("sig", "sig_n").alias("near_next"),
     )
 
