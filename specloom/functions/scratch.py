@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Spark's setting to delete the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
@@ -23,27 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive the loss of any executor.
 
-    `keep` writes and reads back. With `release`, the next `keep` first lets Spark's cleaner delete the shuffle files of
-    stages that nothing refers to any more. `drop` deletes a table that no later step reads.
+    `keep` writes and reads back; the write's own shuffle files go as soon as it is done. `drop` deletes a table that no
+    later step reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/specloom/{name}-{uuid.uuid4().hex}"
-        self.due = False
 
-    def keep(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        if self.due:
-            self.release()
-        df.write.option("compression", "zstd").parquet(path)
-        self.due = release
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        gc.collect()  # Python's handles keep their plans, and plans their shuffles
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:

@@ -36,20 +36,20 @@ def params(node, groups: dict) -> dict[str, str]:
 
 def parse_index(name: str, text: bytes) -> tuple[list[tuple], dict]:
     root = ET.fromstring(text)
-    groups = {g.get("id"): {p.get("accession"): p.get("value", "") for p in g.findall("{*}cvParam")} for g in root.iter("{*}referenceableParamGroup")}
+    groups = {g.get("id"): {p.get("accession"): p.get("value", "") for p in g.findall("{*}cvParam")} for g in root.findall(".//{*}referenceableParamGroup")}
     meta: dict[str, str] = {}
-    for n in (*root.iter("{*}fileContent"), *root.iter("{*}scanSettings")):
+    for n in (*root.findall(".//{*}fileContent"), *root.findall(".//{*}scanSettings")):
         meta |= params(n, groups)
     kinds = set(meta) | {a for g in groups.values() for a in g}
     rows = []
-    for i, s in enumerate(root.iter("{*}spectrum")):
+    for i, s in enumerate(root.findall(".//{*}spectrum")):
         own = params(s, groups)
         kinds |= set(own)
         at = {}
-        for scan in s.iter("{*}scan"):
+        for scan in s.findall(".//{*}scan"):
             at |= params(scan, groups)
         cut = {}
-        for a in s.iter("{*}binaryDataArray"):
+        for a in s.findall(".//{*}binaryDataArray"):
             p = params(a, groups)
             number = next((NUMBERS[t] for t in NUMBERS if t in p), None)
             if number is None:
