@@ -111,8 +111,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         *key, F.col("n_nul").cast("int").alias("n_nul"), "n_ord", "n_h", F.length("text").cast("long").alias("n_chars"), *[F.conv(F.substring("_d", 16 * i + 1, 16), 16, -10).cast("long").alias(f"_d{i}") for i in range(4)],
         F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("_v"),
     ).select(*key, *facts, F.col("_v.which").alias("which"), F.col("_v.body").alias("body"))
-    sigs = scratch.keep(signatures(both, [*key, "which"], "body", samples, tuple(facts)), "sigs", release=True)
-    scratch.release()
+    sigs = scratch.keep(signatures(both, [*key, "which"], "body", samples, tuple(facts)), "sigs")
     plain = sigs.filter("which = 0").select(*key, *facts, "sig").withColumn("n_nul", F.col("n_nul") == 1)
     out = plain.join(sigs.filter("which = 1").select(*key, F.col("sig").alias("sig_e")), key)
     out = out.join(plain.select(*[F.col(c).alias(f"n_{c}") for c in key], F.col("sig").alias("sig_n")), [f"n_{c}" for c in key])

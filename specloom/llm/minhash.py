@@ -180,15 +180,15 @@ def near_duplicates(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # no
     scratch = Scratch(docs.sparkSession, "minhash")
     sign = scratch.keep(signed(docs, how), "signed")
     nodes = sign.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = scratch.keep(nodes, "nodes", release=True)
+    nodes = scratch.keep(nodes, "nodes")
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a != _b").select("bucket")
-    open_ = scratch.keep(buckets.join(shared, "bucket"), "open", release=True)
+    open_ = scratch.keep(buckets.join(shared, "bucket"), "open")
     roots = scratch.keep(open_.select("node").distinct().withColumn("root", F.col("node")), "roots-0")
     wanted = nodes.join(roots, "node", "left_semi").select(F.col("rep").alias("_rep"))
     # a set of which no document has an id is found by its text alone; such sets are few
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    sets = scratch.keep(full_sets(texts, how).join(roots, "node", "left_semi").dropDuplicates(["node"]), "sets", release=True)
+    sets = scratch.keep(full_sets(texts, how).join(roots, "node", "left_semi").dropDuplicates(["node"]), "sets")
     for turn in range(PIVOT_ROUNDS + 1):
         # nodes that are left, with their components of now
         now = open_.join(roots, "node")
@@ -203,11 +203,11 @@ def near_duplicates(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # no
             tried = now.join(heads, "bucket").filter((F.col("root") != F.col("_root")) & (100 * F.least("n", "_n") >= how.percent * F.greatest("n", "_n"))).select("pivot", "node").distinct()
         else:
             tried = rare_prefix_pairs(now.select("node", "n", "root").distinct(), sets, how.percent)
-        links = scratch.keep(confirmed(tried, sets, how.percent), f"links-{turn}", release=True)
+        links = scratch.keep(confirmed(tried, sets, how.percent), f"links-{turn}")
         named = roots.select(F.col("node").alias("pivot"), F.col("root").alias("_a"))
         edges = links.join(named, "pivot").join(roots.withColumnRenamed("root", "_b"), "node").select("_a", "_b")
         moved = components(edges, "_a", "_b", "minhash-graph").select(F.col("node").alias("root"), F.col("root").alias("_new"))
-        roots = scratch.keep(roots.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root")), f"roots-{turn + 1}", release=True)
+        roots = scratch.keep(roots.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root")), f"roots-{turn + 1}")
         if turn < PIVOT_ROUNDS:  # a pivot has met its whole bucket
             open_ = scratch.keep(now.select("bucket", "node", "n").join(heads.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), f"open-{turn}")
     named = nodes.select("node", "rep").join(roots, "node")

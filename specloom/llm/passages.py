@@ -241,23 +241,23 @@ def without_repeats(docs: DataFrame, p: Passages, finish: Callable, schema: str,
     scratch = Scratch(spark, name)
     thin = docs.select("doc_id", "text")
     known = thin.filter("doc_id is not null and text is not null")
-    found = scratch.keep(shared_runs(known, p), "runs", release=True)
-    cut = scratch.keep(contexts(texts_of(known), found, p), "contexts", release=True)
+    found = scratch.keep(shared_runs(known, p), "runs")
+    cut = scratch.keep(contexts(texts_of(known), found, p), "contexts")
     scratch.drop("runs")
 
     # of rows of the owner that hold a context, the first in the text's order stands for it
     first = F.struct("doc_id", "h", "start", "n", "key")
     distinct = cut.groupBy("id").agg(F.min(first).alias("_f")).select("id", "_f.*").withColumnRenamed("doc_id", "owner")
-    distinct = scratch.keep(distinct, "distinct", release=True)
+    distinct = scratch.keep(distinct, "distinct")
     groups = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") + p.length - 1).alias("b")).filter("m > 1")
     groups = scratch.keep(groups, "groups")
     total = groups.filter(F.col("m") <= p.hot).agg(F.sum("b")).first()[0] or 0
     differing = distinct.join(groups.select("key", "m"), "key").withColumnRenamed("owner", "doc_id")
     cool = cut_out(texts_of(known), differing.filter(F.col("m") <= p.hot), p)
     hot = cut_out(texts_of(known), differing.filter(F.col("m") > p.hot), p)
-    marks = scratch.keep(shared_windows(cool, p, int(total // p.shard_units + 1)), "marks", release=True)
+    marks = scratch.keep(shared_windows(cool, p, int(total // p.shard_units + 1)), "marks")
     if not groups.filter(F.col("m") > p.hot).isEmpty():
-        marks = marks.unionByName(scratch.keep(hot_windows(hot, p), "hot", release=True))
+        marks = marks.unionByName(scratch.keep(hot_windows(hot, p), "hot"))
 
     owners = distinct.select("id", "owner").join(marks, "id", "left")
     # a document that doesn't own a context loses all its windows; the owner those that the mask names
@@ -265,7 +265,7 @@ def without_repeats(docs: DataFrame, p: Passages, finish: Callable, schema: str,
     lost = lost.filter((F.col("doc_id") > F.col("owner")) | F.col("mask").isNotNull())
     lost = lost.select("doc_id", "h", "start", "n", F.when(F.col("doc_id") == F.col("owner"), F.col("mask")).alias("mask"))
     lost = lost.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", F.coalesce("mask", F.lit(b"")).alias("mask"))).alias("lost"))
-    lost = scratch.keep(lost, "lost", release=True)
+    lost = scratch.keep(lost, "lost")
     scratch.drop("contexts", "distinct", "groups", "marks", "hot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
