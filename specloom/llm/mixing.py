@@ -83,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64,
     total = cells.agg(F.sum("_words")).first()[0] or 0
     block = max(1, min(block_words, total // 65536))
     sources = targets(cells.groupBy("_null", "_source").agg(F.sum("_words").alias("source_size")), total, weights)
-    quota = sainte_lague(sources, [], "target", F.lit(round(total / block)), "_blocks", "_rank")
+    quota = sainte_lague(sources, [], "target", F.lit((2 * total + block) // (2 * block)), "_blocks", "_rank")
     quota = sainte_lague(cells.join(quota, ["_null", "_source"]), ["_null", "_source"], "_words", F.col("_blocks"), "_quota", "_shard")
     quota = quota.select("_null", "_source", "_shard", "_words", "source_size", "target", F.least(F.col("_quota") * block, F.col("_words") * REPEATS).alias("_take"))
 

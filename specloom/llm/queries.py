@@ -58,6 +58,26 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_mix_sources": r"""
+WITH d AS (SELECT doc_id, source, coalesce(source, '') AS s, source IS NULL AS nul, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix|' || doc_id) AS md FROM documents),
+e AS (SELECT *, CAST('0x' || substr(md, 1, 4) AS INTEGER) % 64 AS shard FROM d),
+cells AS (SELECT nul, s, shard, sum(size)::BIGINT AS words FROM e GROUP BY ALL),
+t AS (SELECT sum(words)::BIGINT AS total, greatest(1, least(1024, sum(words)::BIGINT // 65536)) AS block FROM cells),
+w AS (SELECT nul, s, sum(words)::BIGINT AS size, row_number() OVER (ORDER BY nul, s) AS rank FROM cells GROUP BY nul, s),
+v AS (SELECT *, (1 + (rank - 1) % 3)::DOUBLE AS w, size * 3.0::DOUBLE AS cap FROM w),
+l AS (SELECT v.*, (total::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v, t),
+f AS (SELECT level FROM l WHERE cap >= w * level ORDER BY cap / w, rank LIMIT 1),
+g AS (SELECT nul, s, size, rank, coalesce(least(cap, w * (SELECT level FROM f)), cap) AS target FROM l),
+q AS (SELECT nul, s, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS place FROM (SELECT *, unnest(range(0, (2 * total + block) // (2 * block) + 1)) AS k FROM g, t)),
+b AS (SELECT nul, s, count(*) AS blocks FROM q, t WHERE place <= (2 * total + block) // (2 * block) GROUP BY ALL),
+c AS (SELECT nul, s, shard, blocks, row_number() OVER (PARTITION BY nul, s ORDER BY words / (2 * k + 1) DESC, shard, k) AS place
+  FROM (SELECT *, unnest(range(0, blocks + 1)) AS k FROM cells JOIN b USING (nul, s) WHERE words > 0)),
+u AS (SELECT nul, s, shard, count(*) AS quota FROM c WHERE place <= blocks GROUP BY ALL),
+k AS (SELECT nul, s, shard, words, least(coalesce(quota, 0) * block, words * 3) AS take FROM cells LEFT JOIN u USING (nul, s, shard), t),
+n AS (SELECT *, sum(size) OVER (PARTITION BY nul, s, shard ORDER BY md, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM e)
+SELECT n.doc_id, n.size, g.size AS source_size, g.target,
+  CAST(CASE WHEN words > 0 THEN take // words * n.size + greatest(0, least(upto, take % words) - (upto - n.size)) ELSE 0 END AS BIGINT) AS taken, n.source, n.shard
+FROM n JOIN k USING (nul, s, shard) JOIN g USING (nul, s)""",
     "op2_near_duplicates": r"""
 WITH RECURSIVE
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
