@@ -139,7 +139,8 @@ def rare_prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     """Pairs (pivot, node) of different roots among `nodes` (node, n, root) that may be like enough: none that is gets lost.
 
     Of two sets that are, each has a shingle of the other among its rarest n - ceil(share * n) + 1, in one order of all
-    shingles. Rarest first, so what a set alone has uses up its prefix and makes no pair.
+    shingles. Rarest first, so what a set alone has uses up its prefix and makes no pair. The places of the shared shingle
+    bound what the two can share, which rules out most of the rest.
     """
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,12 +152,14 @@ def rare_prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_df"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("_df", "shingle"))
     prefix = rows.join(common, "shingle").withColumn("_r", rank).join(nodes, "node").filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    prefix = prefix.filter("_df > 1").select("shingle", "node", "n", "root")
+    prefix = prefix.filter("_df > 1").select("shingle", "node", "n", "root", "_r")
     # a shingle of one root alone makes no pair
     mixed = prefix.groupBy("shingle").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("shingle")
     prefix = prefix.join(mixed, "shingle")
-    other = prefix.select("shingle", F.col("node").alias("pivot"), F.col("n").alias("_n"), F.col("root").alias("_root"))
-    pairs = prefix.join(other, "shingle").filter((F.col("pivot") < F.col("node")) & (F.col("root") != F.col("_root")) & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")))
+    other = prefix.select("shingle", F.col("node").alias("pivot"), F.col("n").alias("_n"), F.col("root").alias("_root"), F.col("_r").alias("_q"))
+    # at their first common shingle, two sets can share no more than it and what follows in either
+    enough = (100 + percent) * (1 + F.least(F.col("n") - F.col("_r"), F.col("_n") - F.col("_q"))) >= percent * (F.col("n") + F.col("_n"))
+    pairs = prefix.join(other, "shingle").filter(enough & (F.col("pivot") < F.col("node")) & (F.col("root") != F.col("_root")) & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")))
     return pairs.select("pivot", "node").distinct()
 
 
