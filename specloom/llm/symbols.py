@@ -43,8 +43,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) by doubling."""
+    """base**0 ... base**(n-1); a task keeps those of a usual part of a batch."""
+    if n > 4 * CHUNK_BYTES:
+        return powers_to(base, n)
+    kept = _powers.get(int(base))
+    if kept is None or len(kept) < n:
+        kept = _powers[int(base)] = powers_to(base, max(n, CHUNK_BYTES))
+    return kept[:n]
+
+
+def powers_to(base: np.uint64, n: int) -> np.ndarray:
+    """The same by doubling."""
     out = np.ones(max(n, 1), np.uint64)
     done = 1
     while done < n:
