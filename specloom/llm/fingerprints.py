@@ -92,9 +92,12 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     wide = 2**62 // max(1, n_null // BLOCK)
     base = base.withColumn("block", F.when(F.col("nul"), F.floor(F.col("ord") / F.lit(float(wide)))).otherwise(F.expr(f"floor(ord / {float(width)})")).cast("long"))
 
+    # never false; said here once, as joins would say it for some of the branches below, which then could not share one exchange
+    base = base.filter("nul is not null and block is not null and ord is not null and h is not null")
+
     line = Window.partitionBy("nul", "block").orderBy(F.desc("ord"), "h")
     fresh = base.withColumn("_seen", (F.lag("ord").over(line) == F.col("ord")) & (F.lag("h").over(line) == F.col("h"))).filter(~F.coalesce("_seen", F.lit(False))).drop("_seen")
-    lines = fresh.withColumns({"n_text": F.lead("text").over(line), "n_nul": F.lead("nul").over(line), "n_ord": F.lead("ord").over(line), "n_h": F.lead("h").over(line), "_first": F.row_number().over(line) == 1})
+    lines = fresh.withColumns({"n_text": F.lead("text").over(line), "n_nul": F.lead("nul").over(line), "n_ord": F.lead("ord").over(line), "n_h": F.lead("h").over(line), "_first": F.lag("ord").over(line).isNull()})
     # the order of the blocks: few enough for their own range partitions, a window within each, and one row a partition
     following = next_block(scratch, base.select("nul", "block").distinct())
     ends = lines.filter("n_ord is null").drop("n_text", "n_nul", "n_ord", "n_h").join(following, ["nul", "block"])
