@@ -211,9 +211,9 @@ def slices(spark, sf_dir):
 
 @query(f"""WITH p AS (SELECT l_suppkey % 4 AS z, l_extendedprice / 10 AS mz, l_quantity AS intensity FROM lineitem),
 o AS (SELECT z, floor(mz) AS b, avg(mz) AS mz, sum(intensity) AS sum, avg(intensity) AS mean, max(intensity) AS max FROM p GROUP BY 1, 2), e AS (SELECT min(mz) AS lo, max(mz) AS hi FROM o)
-SELECT CAST({BIN.format(n=300, v="mz")} AS BIGINT) AS bin, round(avg(mz), 8) AS mz, round(avg(sum), 8) AS sum, round(avg(mean), 8) AS mean, max(max) AS max, count(*) AS hits FROM o, e GROUP BY 1""")
+SELECT CAST({BIN.format(n=300, v="mz")} AS BIGINT) AS bin, round(avg(mz), 9) AS mz, round(avg(sum), 9) AS sum, round(avg(mean), 9) AS mean, max(max) AS max, count(*) AS hits FROM o, e GROUP BY 1""")
 def overview_stack(spark, sf_dir):
-    return rounded(images.overview_stack(slices(spark, sf_dir), 300), 8)
+    return rounded(images.overview_stack(slices(spark, sf_dir), 300), 9)
 
 
 @query(f"""WITH {CUBE}, t AS (SELECT spectrum_id, pos, label, pow(10, -intensity / 1000) * 100 AS t FROM pts), n AS (SELECT spectrum_id, sqrt(sum(t * t)) AS n FROM t GROUP BY 1)
