@@ -10,6 +10,8 @@ from specloom.llm.common import Scratch, n_words
 
 #: Most times that the mix repeats a document.
 REPEATS = 3
+#: Blocks at least in the least target of a source, unless blocks are single words.
+FINE = 1024
 
 
 def targets(sizes: DataFrame, total: int, weights: tuple[int, ...] = (1, 2, 3), repeats: int = REPEATS) -> DataFrame:
@@ -62,10 +64,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64,
     """What a mix of all sources takes from each document.
 
     Sizes are words. Every source gets a whole number of equal blocks by Sainte-Lague on its target, and
-    hands them on to its `shards` hash shards by the same rule on their sizes. A shard lines its documents
-    up by seeded hash and takes its quota as whole rounds over all of them plus one run of blocks from
-    the seeded start: no document is taken more than three times its size. Blocks have `block_words`
-    words, fewer in a corpus of under 65536 blocks, so that rounding stays far below any target.
+    hands them on to its `shards` hash shards by the same rule on their sizes. What would take a shard
+    above three times its words goes, word by word and by the same rule, to the source's shards with room.
+    A shard lines its documents up by seeded hash and takes its quota as whole rounds over all of them
+    plus one run of blocks from the seeded start: no document is taken more than three times its size.
+    Blocks have `block_words` words, fewer in a corpus of under 65536 blocks and fewer where a source's
+    target is under `FINE` blocks, so that rounding stays far below any target.
     A hot source is spread over all shards; the only windows over everything are over sources.
 
     Null and empty texts have size 0 and take 0. A null source is one source of its own, the last. Rows
@@ -81,11 +85,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64,
     thin = scratch.keep(thin.withColumn("_shard", (F.conv(F.substring("_at", 1, 4), 16, 10).cast("int") % shards)), "sizes")
     cells = scratch.keep(thin.groupBy("_null", "_source", "_shard").agg(F.sum("size").alias("_words")), "cells")
     total = cells.agg(F.sum("_words")).first()[0] or 0
-    block = max(1, min(block_words, total // 65536))
-    sources = targets(cells.groupBy("_null", "_source").agg(F.sum("_words").alias("source_size")), total, weights)
+    sources = scratch.keep(targets(cells.groupBy("_null", "_source").agg(F.sum("_words").alias("source_size")), total, weights), "sources")
+    least = sources.filter("target > 0").agg(F.min("target")).first()[0] or 0
+    block = max(1, min(block_words, total // 65536, int(least // FINE)))
     quota = sainte_lague(sources, [], "target", F.lit((2 * total + block) // (2 * block)), "_blocks", "_rank")
     quota = sainte_lague(cells.join(quota, ["_null", "_source"]), ["_null", "_source"], "_words", F.col("_blocks"), "_quota", "_shard")
-    quota = quota.select("_null", "_source", "_shard", "_words", "source_size", "target", F.least(F.col("_quota") * block, F.col("_words") * REPEATS).alias("_take"))
+    # no more seats than words of room: so no shard gets more of them than it has room
+    own = Window.partitionBy("_null", "_source")
+    quota = quota.withColumn("_part", F.least(F.col("_quota") * block, F.col("_words") * REPEATS)).withColumn("_room", F.col("_words") * REPEATS - F.col("_part"))
+    quota = scratch.keep(quota.withColumn("_cut", F.least(F.sum(F.col("_quota") * block - F.col("_part")).over(own), F.sum("_room").over(own))), "quotas")
+    quota = sainte_lague(quota, ["_null", "_source"], "_room", F.col("_cut"), "_more", "_shard")
+    quota = quota.select("_null", "_source", "_shard", "_words", "source_size", "target", (F.col("_part") + F.col("_more")).alias("_take"))
 
     cell = Window.partitionBy("_null", "_source", "_shard")
     line = cell.orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)

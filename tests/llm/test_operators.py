@@ -58,6 +58,22 @@ def test_mix(docs, rows):
     assert again == Counter((r["doc_id"], r["size"], r["taken"]) for r in out)
 
 
+@pytest.mark.parametrize("n, size, near", [(10, 100, 2), (10, 1000, 16)])
+def test_mix_of_a_tail_source(spark, n, size, near):
+    small = [("tail", size)] * n + ([("tiny", 5)] if size == 100 else [])
+    big = [("big", 100_000)] * 44  # blocks of 67 words, if it were alone
+    docs = spark.createDataFrame([(i, "a " * k, s) for i, (s, k) in enumerate(big + small)], "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in collected(mixing.mix(docs)):
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert target["tail"] == 3 * n * size
+    for s in target:
+        assert abs(taken[s] - target[s]) <= near
+    assert Counter(r["source"] for r in collected(mixing.mixed(docs)))["tail"] >= 3 * n - 1
+
+
 def test_mixed_keeps_columns(docs, rows):
     out = mixing.mixed(docs)
     assert out.schema == docs.schema
