@@ -16,17 +16,28 @@ from pyspark.sql import functions as F
 
 #: Fixed values of HTML: elements without content, elements whose content is not markup, elements that are part of a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|template|noscript|svg|math|iframe|object|canvas|head"
+RAW = "script|style"
+#: Elements whose text is not shown, those that a head can hold, those that end a drawing or a formula, and where these don't.
+HIDDEN = frozenset("template noscript svg math iframe object canvas head".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HOLDS_MARKUP = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CLOSES_ITSELF = frozenset("p li dt dd option tr td th".split())
 
+ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+EMPTY = r"(?:\"[^\"]*\"|'[^']*'|=\s*+[^\s\"'>]++|[^>\"'=/]|=|/(?!>))*+/>"  # ends in a slash that is no part of a value
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>|<[!?][^>]*>|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?!{EMPTY}){ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<title>title)\b{ATTRS}>[^<]*+(?:<(?!/?(?:title|head|body)\b)[^<]*+)*+</title\s*>"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{ATTRS})>|</?[a-zA-Z][^>]*>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+UNQUOTED = re.compile(r"=\s*[^\s\"']*\Z")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -42,12 +53,24 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: runs of text between the ends of block elements, white space as one space."""
+    """Leaf blocks in page order: runs of text between the ends of block elements, white space as one space.
+
+    Text of hidden elements goes. One that is left open ends with what it stands in; a head ends at the
+    first text or tag that can't stand in it, a drawing or formula at the first tag that breaks out.
+    """
     stack: list[tuple[str, tuple[str, ...]]] = []
+    hidden: list[int] = []  # places of hidden elements on the stack
     out: list[Block] = []
     parts: list[str] = []
     linked = links = 0
 
+    def cut(at: int) -> None:
+        nonlocal links
+        links -= sum(t == "a" for t, _ in stack[at:])
+        del stack[at:]
+        while hidden and hidden[-1] >= at:
+            hidden.pop()
+
     def flush() -> None:
         nonlocal linked
         if parts:
@@ -61,16 +84,50 @@ def blocks(page: str) -> list[Block]:
 
     for m in TOKEN.finditer(page):
         if (text := m["text"]) is not None:
+            if hidden and stack[-1][0] == "head" and text.strip():
+                cut(hidden[-1])
+            if hidden:
+                continue
             parts.append(text)
             if links:
                 linked += len(text)
             continue
-        if m["raw"]:
-            parts.append(" ")
+        if m["raw"] or m["title"]:
+            if not hidden:
+                parts.append(" ")
             continue
         if not (tag := m["tag"]):
             continue
         tag = tag.lower()
+        opens = not m["end"] and tag not in VOID and not (m["attrs"].endswith("/") and not UNQUOTED.search(m["attrs"]))
+        if hidden:
+            if m["end"]:
+                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                if at is None:
+                    continue
+                cut(max(at, hidden[0]))
+                if at >= len(stack):
+                    continue
+            else:
+                within = stack[hidden[-1]][0]
+                if tag == "body" and stack[hidden[0]][0] == "head":
+                    cut(hidden[0])
+                elif (within == "head" and tag not in IN_HEAD) or (
+                    within in ("svg", "math") and tag in BREAKS_OUT and not any(t in HOLDS_MARKUP for t, _ in stack[hidden[-1] :])
+                ):
+                    cut(hidden[-1])
+                if hidden:
+                    if opens:
+                        if tag in HIDDEN and not (tag == "head" and within == "head"):
+                            hidden.append(len(stack))
+                        stack.append((tag, ()))
+                    continue
+        if tag in HIDDEN and not m["end"]:
+            parts.append(" ")
+            if opens and not (tag == "head" and any(t == "body" for t, _ in stack)):
+                hidden.append(len(stack))
+                stack.append((tag, ()))
+            continue
         if tag == "br":
             parts.append("\n")
         elif tag not in INLINE:
@@ -78,9 +135,8 @@ def blocks(page: str) -> list[Block]:
         if m["end"]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if at is not None:
-                links -= sum(t == "a" for t, _ in stack[at:])
-                del stack[at:]
-        elif tag not in VOID and not m["attrs"].endswith("/"):
+                cut(at)
+        elif opens:
             if tag in CLOSES_ITSELF or tag not in INLINE:
                 # inline elements that were left open end with their block; so does a p or li that the next one closes
                 while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or (stack[-1][0] == tag and tag in CLOSES_ITSELF)):

@@ -373,6 +373,27 @@ def test_main_text(spark):
     assert html.extract(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<html><head><title>T</title><meta charset=x><body><article><p>Kept words</p></article>", ["Kept words"]),
+        ("<head><title>T <b></title><link rel=x><article><p>Kept words</article>", ["Kept words"]),
+        ("<head><noscript><img src=x></noscript><title>T</title>Kept<br>words", ["Kept words"]),
+        ("<div><svg class='i'/><p>Kept</p></div><svg><text>no</text></svg><p>after", ["Kept", "after"]),
+        ("<p>a <math/> b <svg><path d='x'/><text>no</text></svg> c</p>", ["a b c"]),
+        ("<div><svg><path d=x><p>in it</p></div><p>after", ["in it", "after"]),
+        ("<div><canvas>no</div><p>after", ["after"]),
+        ("<svg><foreignObject><p>no</p></foreignObject></svg>yes", ["yes"]),
+        ("<object><param name=x><object>no</object>no</object>yes", ["yes"]),
+        ("<p>a<noscript><div>no</div></noscript>b<template><p>no</template>c", ["a b c"]),
+        ("<script src='x'/><p>yes", ["yes"]),
+        ("<script src=/a/>no</script>yes<script>no<p>no", ["yes"]),
+    ],
+)
+def test_text_around_hidden_elements(page, texts):
+    assert [b.text for b in html.blocks(page)] == texts
+
+
 def test_field_on_held_out_pages():
     rng = random.Random(4)
     sentences = [" ".join(rng.choice("in the of and so many words were here said by a man who went on".split()) for _ in range(rng.randrange(4, 20))).capitalize() + "." for _ in range(300)]
