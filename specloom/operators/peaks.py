@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from specloom.functions import kernels
-from specloom.functions.scratch import Scratch, block_offsets
+from specloom.functions.scratch import Scratch, ranged
 
 PEAKS = "dataset_id string, spectrum_id long, x int, y int, z int, mz double, intensity double"
 
@@ -94,43 +94,97 @@ def gap_tree(gaps: np.ndarray) -> tuple[int, list[int], list[int]]:
     return stack[0], left, right
 
 
+def sure_cuts(x: np.ndarray, width: float) -> np.ndarray:
+    """For each gap of the sorted values, whether the range that it is the widest gap of, the first of equal ones, is wider than `width`."""
+    gaps, n = np.diff(x).tolist(), len(x)
+    first, last, stack = [0] * (n - 1), [n - 1] * (n - 1), []
+    for i, g in enumerate(gaps):
+        while stack and gaps[stack[-1]] < g:
+            last[stack.pop()] = i
+        first[i] = stack[-1] + 1 if stack else 0
+        stack.append(i)
+    return x[last] - x[first] > width
+
+
+def chunk_starts(peaks: DataFrame, width: float, scratch: Scratch) -> DataFrame:
+    """Each mz of the peaks once, with the first mz of its chunk.
+
+    The cuts are those at the widest gap of any range over `width`. Whether a gap is one shows within
+    `width` of it, so tiles of the axis find them, each with twice that of its neighbours' values.
+    """
+    values = peaks.select("mz").distinct()
+    if not width > 0:
+        return values.withColumn("chunk", F.col("mz"))
+    span = 16 * width
+    reach = [F.floor((F.col("mz") + d * width) / span) for d in (-2.01, 0, 2.01)]
+    tiles = values.withColumn("own", reach[1]).withColumn("tile", F.explode(F.array_distinct(F.array(*reach))))
+
+    def cuts(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("mz")
+        x = frame["mz"].to_numpy()
+        # what lies further to the left is over `width` away
+        new = np.concatenate(([True], sure_cuts(x, width)))
+        own = (frame["own"] == frame["tile"]).to_numpy()
+        return pd.DataFrame({"mz": x[own], "new": new[own]})
+
+    marked = ranged(scratch, tiles.groupBy("tile").applyInPandas(cuts, "mz double, new boolean"), "starts", "mz")
+    start = F.max(F.when(F.col("new"), F.col("mz")))
+    before = start.over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    ends = marked.groupBy("_pid").agg(start.alias("mz"), F.lit(True).alias("new")).select("_pid", before.alias("_before"))  # one row a partition
+    run = start.over(Window.partitionBy("_pid").orderBy("mz").rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("_run", run).join(F.broadcast(ends), "_pid").select("mz", F.coalesce("_run", "_before").alias("chunk"))
+
+
 def group_bins(peaks: DataFrame, tol: float, stands: Callable = strict, source: str = "source", gap: float | None = None) -> DataFrame:
     """Bins of peaks (mz, y, source) over all spectra: accumulators and source list, exact for any partitioning.
 
-    A group that stands has no gap over 2 tol max(mz), so peaks are cut there first: into chunks along the mz order, by
-    range partitions whose ends are handed on, and each chunk is split by itself. The full range is cut once
+    A group that stands is at most 2 tol max(mz) wide, so all wider ranges are cut first, however dense the
+    axis: into chunks of at most that width, and each chunk is split by itself. The full range is cut once
     even if it would stand, which matters only if there is one chunk. Peaks need mz above 0. Ties go by
-    source and intensity. A chunk is one dense stretch of the axis; it is the unit of memory.
+    source and intensity. The peaks of all spectra within that width are one chunk; it is the unit of memory.
     """
     scratch = Scratch(peaks.sparkSession, "bins")
-    good = peaks.filter("mz > 0").select("mz", "y", F.col(source).cast("long").alias("source"))
-    cut = good.repartitionByRange("mz").withColumn("_pid", F.spark_partition_id())
-    cut = scratch.keep(cut, "sorted")
-    top = cut.agg(F.max("mz")).first()[0]
+    good = scratch.keep(peaks.filter("mz > 0").select("mz", "y", F.col(source).cast("long").alias("source")), "peaks")
+    top = good.agg(F.max("mz")).first()[0]
     if top is None:
         return peaks.sparkSession.createDataFrame([], BINS)
     gap = 2 * tol * top if gap is None else gap
-    ends = cut.groupBy("_pid").agg(F.min("mz").alias("_first"), F.max("mz").alias("_last"))
-    ends = ends.withColumn("_before", F.lag("_last").over(Window.orderBy("_pid"))).select("_pid", "_before")  # one row a partition
-    line = Window.partitionBy("_pid").orderBy("mz", "source", "y")
-    prev = F.coalesce(F.lag("mz").over(line), F.col("_before"))
-    marked = cut.join(F.broadcast(ends), "_pid").withColumn("_new", F.when(F.col("mz") - prev > gap, 1).otherwise(0))
-    marked = scratch.keep(marked, "marked")
-    offsets = block_offsets(marked, ("_off", F.col("_new")))
-    run = F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    chunks = marked.withColumn("_run", run).join(F.broadcast(offsets), "_pid").withColumn("chunk", F.col("_run") + F.col("_off")).select("chunk", "mz", "y", "source")
-    alone = (offsets.agg(F.max("_off")).first()[0] + (marked.agg(F.sum("_new")).first()[0] or 0)) == 0
-
-    def bins(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["mz", "source", "y"], kind="stable")
-        x, y, s = frame["mz"].to_numpy(), frame["y"].to_numpy(), frame["source"].to_numpy()
+    # a little wider than any group, so that rounding can't matter
+    starts = scratch.keep(chunk_starts(good, gap * (1 + 1e-6), scratch), "chunks")
+    ends = starts.agg(F.min("chunk"), F.max("chunk")).first()
+    alone = ends[0] == ends[1]
+    chunks = good.join(starts, "mz").select("chunk", "mz", "y", "source")
+
+    def bins(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> list[tuple]:
         rows = []
         for a, b in split(x, s, tol, stands, not alone):
             u, v = x[a:b], y[a:b]
             rows.append((u.mean(), u.sum(), u.min(), u.max(), b - a, v.sum(), v.min(), max(0.0, v.max()), s[a:b].tolist()))
-        return pd.DataFrame(rows, columns=["x_mean", "x_sum", "x_min", "x_max", "n", "y_sum", "y_min", "y_max", "sources"])
+        return rows
 
-    return chunks.groupBy("chunk").applyInPandas(bins, BINS)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in BINS.split(", ")]
+        held: list[list[np.ndarray]] = []  # the chunk that the next frame may go on with
+        close = lambda: bins(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        at = None
+        for frame in frames:
+            key = frame["chunk"].to_numpy()
+            columns = [frame[c].to_numpy() for c in ("mz", "y", "source")]
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            rows = []
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if held and key[a] != at:
+                    rows += close()
+                    held.clear()
+                at = key[a]
+                held.append([c[a:b] for c in columns])
+            yield pd.DataFrame(rows, columns=names)
+        if held:
+            yield pd.DataFrame(close(), columns=names)
+
+    return chunks.repartition("chunk").sortWithinPartitions("chunk", "mz", "source", "y").mapInPandas(run, BINS)
 
 
 BINS = "x_mean double, x_sum double, x_min double, x_max double, n long, y_sum double, y_min double, y_max double, sources array<long>"

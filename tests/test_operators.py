@@ -4,10 +4,34 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from specloom.functions.scratch import Scratch
 from specloom.operators import geometry, images, joins, multivariate, peaks, spatial
 from specloom.operators.graph import components
 
 
+def test_chunks_of_a_dense_axis_stay_narrow(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = np.unique(np.concatenate([np.round(rng.uniform(100, 110, 3000), 3), 400 + 0.01 * np.arange(300)]))
+    df = spark.createDataFrame([(float(v),) for v in x], "mz double").repartition(5)
+    width = 0.0805
+    got = {r["mz"]: r["chunk"] for r in peaks.chunk_starts(df, width, Scratch(spark, "test")).collect()}
+    assert sorted(got) == x.tolist()
+
+    def cut(a, b):  # at the widest gap, the first of equal ones, until no range is wider
+        todo, out = [(a, b)], []
+        while todo:
+            a, b = todo.pop()
+            if x[b - 1] - x[a] <= width:
+                out.append((a, b))
+            else:
+                c = a + int(np.diff(x[a:b]).argmax()) + 1
+                todo += [(a, c), (c, b)]
+        return out
+
+    assert got == {v: x[a] for a, b in cut(0, len(x)) for v in x[a:b].tolist()}
+    assert max(v - c for v, c in got.items()) <= width
+
+
 def test_group_bins_does_not_depend_on_partitions(spark):
     rng = np.random.default_rng(1)
     rows = [(float(m), float(i), int(i % 7)) for i, m in enumerate(np.round(rng.uniform(100, 110, 300), 3))]
