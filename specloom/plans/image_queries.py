@@ -325,7 +325,7 @@ def stacked_slices(spark, sf_dir):
     return geometry.stack_slices([df.filter("spectrum_id % 2 = 0"), df.filter("spectrum_id % 2 = 1")])
 
 
-def matrix(spark, sf_dir, n=8):
+def matrix(spark, sf_dir, n=64):
     df = cube(spark, sf_dir)
     return df.select("dataset_id", "spectrum_id", "x", "y", "z", *[F.get("ints", F.lit(i)).alias(f"f{i}") for i in range(n)])
 
@@ -336,12 +336,12 @@ def columns_sql(expr):
 
 @query(columns_sql("({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())"))
 def minmax_columns(spark, sf_dir):
-    return rounded(multivariate.minmax_columns(matrix(spark, sf_dir)).drop("dataset_id", "x", "y", "z"))
+    return rounded(multivariate.minmax_columns(matrix(spark, sf_dir, 8)).drop("dataset_id", "x", "y", "z"))
 
 
 @query(columns_sql("({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()"))
 def standardized_columns(spark, sf_dir):
-    return rounded(multivariate.standardize_columns(matrix(spark, sf_dir)).drop("dataset_id", "x", "y", "z"))
+    return rounded(multivariate.standardize_columns(matrix(spark, sf_dir, 8)).drop("dataset_id", "x", "y", "z"))
 
 
 @query()
@@ -366,4 +366,4 @@ def pca_scores(spark, sf_dir):
 
 @query(f"WITH {CUBE} SELECT spectrum_id, " + ", ".join(f"round((ints[{i}] - min(ints[{i}]) OVER ()) / (max(ints[{i}]) OVER () - min(ints[{i}]) OVER ()) * 255, 6) AS {c}" for i, c in ((1, "r"), (2, "g"), (3, "b"))) + " FROM cube")
 def embedding_colours(spark, sf_dir):
-    return rounded(multivariate.embed_to_rgb(matrix(spark, sf_dir), ("f0", "f1", "f2")).drop("dataset_id", "x", "y", "z"))
+    return rounded(multivariate.embed_to_rgb(matrix(spark, sf_dir, 8), ("f0", "f1", "f2")).drop("dataset_id", "x", "y", "z"))

@@ -133,3 +133,17 @@ def test_ion_image_edges(spark):
     assert value(2.0, 1.0) == [5.0, 0.0]
     assert value(9.0, 1.0) == [0.0, 0.0]
     assert value(2.0, 1.0, centroid_norm="internal") == [0.0, 0.0]
+
+
+def test_clustering_and_projection_see_all_samples(spark):
+    from specloom.plans import image_queries
+
+    df = image_queries.matrix(spark, "/root/testdata/sf0.001")
+    names = multivariate.features(df)
+    assert names == [f"f{i}" for i in range(64)]
+    rows = df.orderBy("spectrum_id").collect()
+    v = np.array([[r[c] for c in names] for r in rows])
+    u, _, _ = np.linalg.svd(v - v.mean(axis=1, keepdims=True), full_matrices=False)
+    got = {r["spectrum_id"]: r for r in image_queries.pca_scores(spark, "/root/testdata/sf0.001").collect()}
+    scores = np.array([[got[r["spectrum_id"]][f"pc{i}"] for i in (1, 2, 3)] for r in rows])
+    assert np.allclose(np.abs(scores), np.abs(u[:, :3]), atol=2e-6)
