@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,8 +12,10 @@ from pyspark.sql.window import Window
 from specloom.llm.common import Scratch
 
 SAMPLES = 64
-#: Documents a block of neighbours holds at most.
-BLOCK = 256
+#: Samples that are drawn at a time.
+LANE = 4
+#: Documents that a block of neighbours holds on average, and ids that it spans at most.
+BLOCK, SPAN = 64, 65536
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -29,33 +32,78 @@ def terms(text: Column) -> tuple[Column, Column, Column]:
     return hashes, starts, pairs
 
 
-def sample(k: int) -> Column:
-    """Least-candidate value of sample k for term `_x` of log weight `_w`."""
-    h, g = F.xxhash64("_x", F.lit(k)), F.xxhash64("_x", F.lit(-1 - k))
-    part = lambda x, at, bits: F.shiftrightunsigned(x, at).bitwiseAND((1 << bits) - 1).cast("double") + 0.5
-    # minus the logarithm of the product of two uniforms is a gamma variate of shape 2
-    r = 64 * math.log(2) - F.ln(part(h, 0, 32) * part(h, 32, 32))
-    ln_c = F.ln(44 * math.log(2) - F.ln(part(g, 0, 22) * part(g, 22, 22)))
-    b = part(g, 44, 20) * 2.0**-20
-    return ln_c - r * (F.floor(F.col("_w") / r + b).cast("double") - b) - r
+def gamma_fit(least: float = 2.0**-25, degree: int = 6) -> list[float]:
+    """Coefficients of the quantile of a gamma variate of shape 2, as a polynomial in w = sqrt(1 - (1 - u) ** (1/16)) without constant.
+
+    It is fitted to the distribution function 1 - (1 + x) exp(-x), whose upper tail is smooth in w, and whose lower end is too.
+    """
+    knots = 0.5 - 0.5 * np.cos(np.pi * (np.arange(2000) + 0.5) / 2000)
+    w = np.maximum(knots * math.sqrt(1 - least ** (1 / 16)), 1e-4)
+    tail = (1 - w * w) ** 16
+    low, high = np.zeros_like(w), np.full_like(w, 64.0)
+    for _ in range(90):
+        mid = (low + high) / 2
+        under = (1 + mid) * np.exp(-mid) > tail
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return np.polynomial.Polynomial.fit(w, low / w, degree).convert().coef.tolist()
+
+
+GAMMA = gamma_fit()
+
+
+def part(h: str, at: int, bits: int) -> Column:
+    """Some bits of a hash as a number between 0 and 1."""
+    return (F.shiftrightunsigned(h, at).bitwiseAND((1 << bits) - 1).cast("double") + 0.5) * 2.0**-bits
+
+
+def root(u: Column) -> Column:
+    """w of `gamma_fit` for 1 - u; roots are a fraction of a logarithm's cost."""
+    return F.sqrt(1 - F.sqrt(F.sqrt(F.sqrt(F.sqrt(u)))))
+
+
+def gamma(w: str) -> Column:
+    out = F.lit(GAMMA[-1])
+    for c in reversed(GAMMA[:-1]):
+        out = out * F.col(w) + c
+    return out * F.col(w)
+
+
+def draws(rows: DataFrame, keep: list[str], lane: int) -> DataFrame:
+    """`keep`, `_w`, and for the samples of a lane the hash `_h` of (term, sample), `_r`, gamma of shape 2, and the root of c's quantile `_c`.
+
+    Columns of their own, as an expression that is used twice is computed twice. Few samples at a time, as Java
+    leaves longer methods to the interpreter.
+    """
+    each = range(lane)
+    rows = rows.select(*keep, "_w", *[F.xxhash64("_x", F.col("lane") * lane + i).alias(f"_h{i}") for i in each])
+    rows = rows.select(*keep, "_w", *[f"_h{i}" for i in each], *[root(part(f"_h{i}", 0, 24)).alias(f"_q{i}") for i in each], *[root(part(f"_h{i}", 24, 24)).alias(f"_c{i}") for i in each])
+    return rows.select(*keep, "_w", *[f"_h{i}" for i in each], *[f"_c{i}" for i in each], *[gamma(f"_q{i}").alias(f"_r{i}") for i in each])
+
+
+def least_candidate(i: int) -> Column:
+    """ln c - r (t - b) - r."""
+    r, b = F.col(f"_r{i}"), part(f"_h{i}", 48, 16)
+    return F.ln(gamma(f"_c{i}")) - r * (F.floor(F.col("_w") / r + b).cast("double") - b + 1)
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES, carried: tuple[str, ...] = ()) -> DataFrame:
-    """keys, the `carried` numbers, and `sig`, an array of integers, null for texts without words.
+    """keys, lane, the `carried` numbers, and `sig`, an array of the lane's integers, null for texts without words.
 
     Terms are words, their weights how often they come. For term x of weight S and sample k with r and c
     gamma-distributed and b uniform, all fixed by (x, k): t = floor(ln S / r + b), and the sample is the
     pair (x, t) of least ln c - r (t - b) - r. That least value stands for the pair, as it is a function of
     both and of k; of it, 32 bits are kept. Two texts agree in a sample with a chance of their generalised Jaccard likeness.
 
-    Terms are counted within the row and their minima combined before the one shuffle, of one row a text.
+    Terms are counted within the row and their minima combined before the one shuffle, of one row a text and lane of samples.
     """
+    lane = math.gcd(samples, LANE)
     hashes, starts, pairs = terms(F.col(text))
     rows = texts.select(*keys, *carried, hashes.alias("_a")).withColumn("_s", starts).select(*keys, *carried, F.explode_outer(pairs).alias("_t"))
-    rows = rows.select(*keys, *carried, F.col("_t.term").alias("_x"), F.ln(F.col("_t.n").cast("double")).alias("_w"))
-    least = rows.groupBy(*keys).agg(*[F.min(sample(k)).alias(f"_{k}") for k in range(samples)], *[F.max(c).alias(c) for c in carried])
-    sig = F.transform(F.array(*[f"_{k}" for k in range(samples)]), lambda v: F.hash(v))
-    return least.select(*keys, *carried, F.when(F.col("_0").isNotNull(), sig).alias("sig"))
+    rows = rows.select(*keys, *carried, F.col("_t.term").alias("_x"), F.ln(F.col("_t.n").cast("double")).alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(samples // lane - 1))).alias("lane"))
+    drawn = draws(rows, [*keys, *carried, "lane"], lane)
+    least = drawn.groupBy(*keys, "lane").agg(*[F.min(least_candidate(i)).alias(f"_{i}") for i in range(lane)], *[F.max(F.when(F.col("lane") == 0, F.col(c))).alias(c) for c in carried])
+    sig = F.transform(F.array(*[f"_{i}" for i in range(lane)]), lambda v: F.hash(v))
+    return least.select(*keys, "lane", *carried, F.when(F.col("_0").isNotNull(), sig).alias("sig"))
 
 
 def hexed(sig: str) -> Column:
@@ -74,7 +122,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     The edited text is the text with its last half replaced by the start of the next document's. Next is by
     descending doc_id; documents without doc_id come last, by hash of text; the first follows the last.
-    Neighbours meet in blocks of at most BLOCK ids, dealt out by one shuffle of the texts; only the ends
+    Neighbours meet in blocks of about BLOCK documents and SPAN ids at most, dealt out by one shuffle of the texts; only the ends
     of blocks look up the next block's first text. So no step orders all texts in one task.
 
     Null texts count as empty. Rows that are equal in doc_id and text are one document in the order, and
@@ -87,8 +135,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
     base = base.withColumn("nul", F.col("doc_id").isNull()).withColumn("ord", F.coalesce("doc_id", "h"))
     low, high, n, n_null = base.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count(F.when(F.col("nul"), 1))).first()
-    # ids are distinct whole numbers, so a block as wide as this has no more of them than it should
-    width = max(1, min(BLOCK, ((high or 0) - (low or 0) + 1) * BLOCK // max(n, 1) if n else 1)) if n else 1
+    # ids are distinct whole numbers, so that a block has no more of them than it spans, however they lie
+    width = max(1, min(SPAN, ((high or 0) - (low or 0) + 1) * BLOCK // n)) if n else 1
     wide = 2**62 // max(1, n_null // BLOCK)
     base = base.withColumn("block", F.when(F.col("nul"), F.floor(F.col("ord") / F.lit(float(wide)))).otherwise(F.expr(f"floor(ord / {float(width)})")).cast("long"))
 
@@ -114,10 +162,14 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         *key, F.col("n_nul").cast("int").alias("n_nul"), "n_ord", "n_h", F.length("text").cast("long").alias("n_chars"), *[F.conv(F.substring("_d", 16 * i + 1, 16), 16, -10).cast("long").alias(f"_d{i}") for i in range(4)],
         F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("_v"),
     ).select(*key, *facts, F.col("_v.which").alias("which"), F.col("_v.body").alias("body"))
-    sigs = scratch.keep(signatures(both, [*key, "which"], "body", samples, tuple(facts)), "sigs")
-    plain = sigs.filter("which = 0").select(*key, *facts, "sig").withColumn("n_nul", F.col("n_nul") == 1)
-    out = plain.join(sigs.filter("which = 1").select(*key, F.col("sig").alias("sig_e")), key)
-    out = out.join(plain.select(*[F.col(c).alias(f"n_{c}") for c in key], F.col("sig").alias("sig_n")), [f"n_{c}" for c in key])
+    sigs = signatures(both, [*key, "which"], "body", samples, tuple(facts))
+    lanes = F.sort_array(F.collect_list(F.struct("which", "lane", "sig")))
+    whole = lambda which: F.flatten(F.transform(F.filter("_lanes", lambda x: x["which"] == which), lambda x: x["sig"]))
+    sigs = sigs.groupBy(*key).agg(lanes.alias("_lanes"), *[F.max(F.when(F.col("which") == 0, F.col(c))).alias(c) for c in facts])
+    # a text without words has null lanes, which flatten to null
+    sigs = scratch.keep(sigs.select(*key, *facts, whole(0).alias("sig"), whole(1).alias("sig_e")), "sigs")
+    out = sigs.withColumn("n_nul", F.col("n_nul") == 1)
+    out = out.join(out.select(*[F.col(c).alias(f"n_{c}") for c in key], F.col("sig").alias("sig_n")), [f"n_{c}" for c in key])
     copies = base.groupBy(*key).count()
     out = out.join(copies, key).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
     digest = F.lower(F.concat(*[F.lpad(F.hex(f"_d{i}"), 16, "0") for i in range(4)]))
