@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -28,37 +29,73 @@ class Bits:
         return self.before[word] + np.bitwise_count(self.words[word] & low)
 
 
-class WaveletTree:
-    """Rank of any symbol of a text, one bit string a level, top bit first (levels laid out as a matrix)."""
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length and canonical code of each symbol: frequent symbols have short codes."""
+    heap = [(int(c), i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    parent = np.zeros(2 * len(counts), np.int64)
+    fresh = len(counts)
+    while len(heap) > 1:
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[x] = parent[y] = fresh
+        heapq.heappush(heap, (a + b, fresh))
+        fresh += 1
+    depth = np.zeros(fresh, np.int64)
+    for i in range(fresh - 2, -1, -1):
+        depth[i] = depth[parent[i]] + 1
+    lengths = np.maximum(depth[: len(counts)], 1)
+    code, codes, before = 0, np.zeros(len(counts), np.int64), 0
+    for i in np.argsort(lengths, kind="stable").tolist():
+        code <<= int(lengths[i]) - before
+        before = int(lengths[i])
+        codes[i] = code
+        code += 1
+    return lengths, codes
+
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.levels, self.zeros = [], []
-        for level in range(depth - 1, -1, -1):
-            bits = (text >> level) & 1
-            self.levels.append((level, Bits(bits.astype(np.uint8))))
-            self.zeros.append(int((bits == 0).sum()))
-            text = np.concatenate((text[bits == 0], text[bits == 1]))
+class WaveletTree:
+    """Rank of any symbol of a text. The tree has the shape of the symbols' Huffman code, so its bits are the text's entropy
+    (and one bit a symbol at most); a level holds the bits of its nodes one after another."""
+
+    def __init__(self, text: np.ndarray, counts: np.ndarray):
+        self.lengths, codes = huffman(counts)
+        self.levels: list[tuple[Bits, np.ndarray, np.ndarray, np.ndarray]] = []
+        prefix = np.zeros(len(text), np.int64)
+        for level in range(int(self.lengths.max())):
+            # a node's symbols keep the text's order
+            keep = self.lengths[text] > level
+            text = text[keep]
+            prefix = codes[text] >> (self.lengths[text] - level)
+            order = np.argsort(prefix, kind="stable")
+            text, prefix = text[order], prefix[order]
+            bits = Bits(((codes[text] >> (self.lengths[text] - 1 - level)) & 1).astype(np.uint8))
+            # of each symbol that goes deeper: where its node starts, the ones before that, and its own bit
+            deep = np.maximum(self.lengths - level, 0)
+            start = np.searchsorted(prefix, codes >> deep).astype(np.int64)
+            own = ((codes >> np.maximum(deep - 1, 0)) & 1).astype(bool)
+            self.levels.append((bits, start, bits.ones(start), own))
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each symbol comes among the first i."""
-        start = np.zeros_like(i)
-        for (level, bits), zeros in zip(self.levels, self.zeros, strict=True):
-            one = ((symbol >> level) & 1).astype(bool)
-            ones_i, ones_s = bits.ones(i), bits.ones(start)
-            i = np.where(one, zeros + ones_i, i - ones_i)
-            start = np.where(one, zeros + ones_s, start - ones_s)
-        return i - start
+        i = i.copy()
+        live = np.arange(len(i))
+        for level, (bits, start, before, own) in enumerate(self.levels):
+            live = live[self.lengths[symbol[live]] > level]
+            s = symbol[live]
+            ones = bits.ones(start[s] + i[live]) - before[s]
+            i[live] = np.where(own[s], ones, i[live] - ones)
+        return i
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes by their first `depth` symbols or more, by doubling. Deeper ties don't matter to patterns of that length."""
     rank, length = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while length < depth:
         nxt = np.zeros(len(rank), np.int64)
         nxt[: len(rank) - length] = rank[length:] + 1
-        pair = rank * (int(rank.max()) + 3) + nxt if rank.max() < 2**31 else np.unique(np.stack((rank, nxt)), axis=1, return_inverse=True)[1]
-        order = np.argsort(pair, kind="stable")
+        pair = rank * (len(rank) + 3) + nxt
+        order = np.argsort(pair)
         sorted_ = pair[order]
         rank = np.empty_like(rank)
         rank[order] = np.cumsum(np.append(0, sorted_[1:] != sorted_[:-1]))
@@ -67,55 +104,53 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FmIndex:
-    """Backward search over texts that are joined by a separator, and the least owner in any range of suffixes."""
-
-    def __init__(self, texts: list[np.ndarray], owners: np.ndarray, depth: int):
-        self.alphabet, flat = np.unique(np.concatenate(texts), return_inverse=True)
-        flat = flat.astype(np.int64) + 1
-        sizes = np.array([len(t) for t in texts])
-        self.text = np.zeros(sizes.sum() + len(texts), np.int64)
-        self.starts = offsets(sizes + 1)[:-1]
-        self.text[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), sizes)] = flat
-        order = suffix_order(self.text, depth)
-        sigma = len(self.alphabet) + 1
-        self.below = np.concatenate(([0], np.cumsum(np.bincount(self.text, minlength=sigma))))
-        self.tree = WaveletTree(self.text[order - 1], max(1, int(sigma - 1).bit_length()))
-        least = np.repeat(owners, sizes + 1)[order]
-        self.least = [least]
-        while (step := 1 << (len(self.least) - 1)) * 2 <= len(least):
-            self.least.append(np.minimum(self.least[-1][:-step], self.least[-1][step:]))
+    """Backward search over texts that are joined by a separator, and the owner of each suffix in order."""
+
+    def __init__(self, text: np.ndarray, owners: np.ndarray, depth: int):
+        order = suffix_order(text, depth)
+        counts = np.bincount(text)
+        self.below = np.concatenate(([0], np.cumsum(counts)))
+        self.tree = WaveletTree(text[order - 1], counts)
+        self.owners = owners[order]
 
     def first_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Least owner among suffixes low to high, high excluded; no range may be empty."""
-        level = np.frexp((high - low).astype(float))[1] - 1
-        out = np.empty(len(low), np.int64)
-        for k in np.unique(level):
-            at = level == k
-            out[at] = np.minimum(self.least[k][low[at]], self.least[k][high[at] - (1 << int(k))])
-        return out
-
-    def matching_statistics(self, ends: np.ndarray, owners: np.ndarray, length: int) -> np.ndarray:
-        """For each position, how far back from it, `length` at most, the text matches that of an earlier owner."""
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.text), np.int64)
+        """Least owner among suffixes low to high, high excluded. Ranges are equal or apart, so all together are no longer than the text."""
+        at, back = np.unique(low, return_index=True, return_inverse=True)[1:]
+        cuts = np.stack((low[at], high[at]), axis=1).ravel()
+        return np.minimum.reduceat(np.append(self.owners, np.iinfo(np.int64).max), cuts)[::2][back]
+
+    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each position how far back from it, `length` at most, the text matches the index elsewhere than at itself, and the
+        suffixes that begin with that match."""
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(text), np.int64)
         out, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
         for step in range(length):
-            symbol = self.text[ends[live] - step]
-            low = self.below[symbol] + self.tree.rank(symbol, low)
-            high = self.below[symbol] + self.tree.rank(symbol, high)
-            good = self.first_owner(low, high) < owners[live]
-            live, low, high = live[good], low[good], high[good]
+            symbol = text[ends[live] - step]
+            both = self.tree.rank(np.concatenate((symbol, symbol)), np.concatenate((low[live], high[live])))
+            a, b = self.below[symbol] + both[: len(live)], self.below[symbol] + both[len(live) :]
+            again = b - a > 1  # what comes once is the text itself
+            live, a, b = live[again], a[again], b[again]
+            low[live], high[live] = a, b
             out[live] += 1
-        return out
-
-
-def search(texts: list[np.ndarray], owners: np.ndarray, length: int) -> list[np.ndarray]:
-    """Masks of the windows that an earlier owner's text in this shard has too: each text is streamed against the index."""
-    index = FmIndex(texts, owners, length)
-    n = np.array([len(t) - length + 1 for t in texts])
-    which = np.repeat(np.arange(len(texts)), n)
-    ends = np.arange(n.sum()) - np.repeat(offsets(n)[:-1], n) + index.starts[which] + length - 1
-    found = index.matching_statistics(ends, owners[which], length) >= length
-    return np.split(found, np.cumsum(n)[:-1])
+        return out, low, high
+
+
+def search(units: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int) -> np.ndarray:
+    """The least owner of each window of the texts of a shard, which stand one after another in `units`: each text is streamed
+    against the index, and intervals of matches of `length` are reported with the least owner; other windows are their own text's alone."""
+    flat = np.unique(units, return_inverse=True)[1] + 1
+    text = np.zeros(len(units) + len(sizes), np.int64)
+    text[np.arange(len(units)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
+    index = FmIndex(text, np.repeat(owners, sizes + 1), length)
+    n = sizes - length + 1
+    which = np.repeat(np.arange(len(sizes)), n)
+    ends = np.arange(n.sum()) - np.repeat(offsets(n)[:-1], n) + offsets(sizes + 1)[:-1][which] + length - 1
+    matched, low, high = index.matching_statistics(text, ends, length)
+    out = owners[which]
+    full = np.flatnonzero(matched >= length)
+    if len(full):
+        out[full] = index.first_owner(low[full], high[full])
+    return out
 
 
 WORDS = Passages(length=13, gram=5, symbols=words_of, units=lambda symbols, raw: symbols, unit=np.uint64, search=search)

@@ -2,18 +2,18 @@
 
 A window is `length` consecutive symbols (words or bytes) of one document. Every window has a key, the least
 hash of the `gram` symbol runs inside it, so equal windows have equal keys, and neighbours mostly share
-theirs: a run is a maximal row of neighbouring windows of one key, and its context the symbols under it.
-
-1. Keys that occur in one document alone can't be shared and go (one shuffle of the runs, combined within batches).
-2. The contexts of the runs that stay are hashed in the texts. Equal contexts become one, owned by the least
-   doc_id; all its other documents lose the whole run. So copies meet in a map-side combine, never in a group.
-3. Contexts of one key differ somewhere, and are cut out of their owners' texts. Keys are dealt to shards of bounded size, and each shard indexes its
-   contexts to find the windows that an earlier owner has too. The index is the operator's own method.
-   A key of more contexts than `hot` is not put in a shard: its windows are grouped whole, one row each, with
-   partial aggregation, which no frequent key can overload.
-4. The covered symbols go from the texts.
-
-Texts move three times; shuffle files go as soon as their step is written. Every step is a hash aggregation or an equi-join that adaptive execution can split.
+theirs: a run is a row of neighbouring windows of one key, and its context the symbols under it.
+
+1. Keys that occur in one document alone can't be shared and go; this loses no window. Keys travel in blocks, one row for
+   thousands of them, and a batch sends a key that two of its documents have once, however frequent it is.
+2. The contexts of the runs that stay are cut out of the texts. Equal contexts become one, owned by the least doc_id.
+3. All distinct contexts are dealt to shards of bounded size by key. Each shard finds, by the operator's own method, the
+   least owner of every window. Contexts of a key that is larger than a shard are dealt window by window.
+4. A document loses the windows whose least owner comes before it. Nothing is removed that the method has not found.
+
+Contexts are told apart by two 64-bit hashes, of the context and of its key run. Texts move twice; shuffle files go as
+soon as their step is written. Every step is a grouping of bounded size, a hash aggregation or an equi-join that adaptive
+execution can split.
 """
 
 from __future__ import annotations
@@ -22,11 +22,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from specloom.llm.common import Scratch
 from specloom.llm.symbols import CHUNK_BYTES, INV, MUL, mix, offsets, powers, sliding_min, starts_of_windows, window_hash
@@ -35,8 +34,8 @@ from specloom.llm.symbols import CHUNK_BYTES, INV, MUL, mix, offsets, powers, sl
 @dataclass(frozen=True)
 class Passages:
     """length, gram: of windows and of the runs whose hashes make keys. symbols: texts to 64-bit symbols and their
-    counts. units: a text to the array whose slices are contexts. search: contexts (as arrays), their owners to a mask of shared
-    windows for each. width: bytes of a unit."""
+    counts. units: symbols and texts to the array whose slices are contexts. search: the units of contexts, joined, their sizes and
+    owners to the least owner of each window. shard_bytes: of contexts in a shard."""
 
     length: int
     gram: int
@@ -44,8 +43,13 @@ class Passages:
     units: Callable
     unit: type
     search: Callable
-    shard_units: int = 1 << 18
-    hot: int = 2048
+    shard_bytes: int = 1 << 20
+
+
+#: Windows of a run at most; a longer one, as of one symbol over and over, is cut.
+LONGEST_RUN = 64
+#: Keys that a task gathers before it sends them, bytes of text for a block of keys, and for the documents that meet their keys.
+GATHERED, SLICE_BYTES, BUCKET_BYTES = 1 << 21, 1 << 24, 1 << 22
 
 
 def runs_of(symbols: np.ndarray, counts: np.ndarray, p: Passages) -> tuple[np.ndarray, ...]:
@@ -53,13 +57,18 @@ def runs_of(symbols: np.ndarray, counts: np.ndarray, p: Passages) -> tuple[np.nd
     at, doc = starts_of_windows(counts, p.length)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
-    key = sliding_min(window_hash(symbols, p.gram), p.length - p.gram + 1)[at].view(np.int64)
+        return none, none, none, none.astype(np.uint64)
+    key = sliding_min(window_hash(symbols, p.gram), p.length - p.gram + 1)[at]
     new = np.ones(len(at), bool)
     new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(at)))
+    if n.max() > LONGEST_RUN:
+        new |= (np.arange(len(at)) - np.repeat(first, n)) % LONGEST_RUN == 0
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(at)))
     doc = doc[first]
-    return doc, at[first] - offsets(counts)[doc], np.diff(np.append(first, len(at))), key[first]
+    return doc, at[first] - offsets(counts)[doc], n, mix(key[first])  # least hashes are small numbers: mixed, they spread evenly
 
 
 def parts(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[slice]:
@@ -70,46 +79,92 @@ def parts(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[slice]:
             yield slice(int(a), int(b))
 
 
-#: Places that the runs of a key known to be shared are dealt to.
-SALTS = 4096
+def sizes_of(raw: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, raw), np.int64, len(raw))
 
 
-def shared_runs(docs: DataFrame, p: Passages) -> DataFrame:
-    """(doc_id, start, key) of the runs whose key comes in two documents or more.
+def bucket_of(doc: Column, buckets: int) -> Column:
+    return F.pmod(doc.bitwiseXOR(F.shiftrightunsigned(doc, 32)), F.lit(buckets)).cast("int")
+
+
+def owned(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One number for a key in a document."""
+    return key ^ mix(doc.astype(np.uint64))
+
+
+BLOCKS = pa.schema([("kind", pa.int32()), ("place", pa.int32()), ("key", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
+
+
+def to_buckets(key: np.ndarray, doc: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Blocks of shared keys for the buckets of their documents."""
+    place = ((doc ^ (doc.astype(np.uint64) >> np.uint64(32)).astype(np.int64)) % buckets).astype(np.int32)
+    own = owned(key, doc)
+    order = np.lexsort((own, place))
+    place, own = place[order], own[order]
+    cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+    blocks = [np.unique(own[a:b]).tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True)]
+    none = pa.nulls(len(cuts), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(cuts), np.int32)), pa.array(place[cuts]), pa.array(blocks, pa.binary()), none, none], schema=BLOCKS)
 
-    A key that two documents of one batch have is known to be shared: its runs need no partner any more, so they travel
-    under salts of their own, and one row speaks for them to the other batches. So a key never sends more than one row a
-    batch to one place, however frequent it is.
-    """
+
+def key_blocks(docs: DataFrame, p: Passages, slices: int, buckets: int) -> DataFrame:
+    """Blocks of keys by slice (kind 0: key, least and greatest document of what a task gathered), and by bucket those known to be shared (kind 1)."""
+
+    def send(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(key)
+        key, doc = key[order], doc[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+        many = np.repeat(low < high, np.diff(np.append(first, len(key))))
+        cuts = np.searchsorted(key[first], (np.arange(1, slices, dtype=np.float64) * (2.0**64 / slices)).astype(np.uint64))
+        at = [(i, a, b) for i, (a, b) in enumerate(zip(np.append(0, cuts), np.append(cuts, len(first)), strict=True)) if b > a]
+        one = key[first]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.zeros(len(at), np.int32)), pa.array(np.array([i for i, _, _ in at], np.int32)), *[pa.array([x[a:b].tobytes() for _, a, b in at], pa.binary()) for x in (one, low, high)]], schema=BLOCKS
+        )
+        if many.any():
+            yield to_buckets(key[many], doc[many], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = [], 0
         for batch in batches:
-            raw = [x or b"" for x in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            found = []
-            for part in parts(np.fromiter(map(len, raw), np.int64, len(raw))):
-                doc, start, _, key = runs_of(*p.symbols(raw[part]), p)
-                found.append((key, ids[part][doc], start.astype(np.int32)))
-            key, own, start = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-            if not len(key):
-                continue
-            order = np.argsort(key, kind="stable")
-            key, own, start = key[order], own[order], start[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            low, high = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
-            many = np.repeat(low < high, np.diff(np.append(first, len(key))))
-            speaks = first[low < high]
-            salt = np.where(many, 1 + np.arange(len(key)) % SALTS, 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(own), pa.array(start), pa.nulls(len(key), pa.int64())], names)
-            # the row that speaks for them has no start, the least document and the greatest
-            n = len(speaks)
-            yield pa.RecordBatch.from_arrays([pa.array(key[speaks]), pa.array(np.zeros(n, np.int32)), pa.array(low[low < high]), pa.array(np.full(n, -1, np.int32)), pa.array(high[low < high])], names)
-
-    names = ["key", "salt", "doc_id", "start", "high"]
-    found = docs.select("doc_id", F.encode("text", "utf-8").alias("text")).mapInArrow(run, "key long, salt int, doc_id long, start int, high long")
-    key = Window.partitionBy("key", "salt")
-    found = found.withColumn("_a", F.min("doc_id").over(key)).withColumn("_b", F.max(F.coalesce("high", "doc_id")).over(key))
-    return found.filter("start >= 0 and (salt > 0 or _a < _b)").select("doc_id", "start", "key")
+            text, ids = batch.column("text"), batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for part in parts(lengths(text)):
+                doc, _, _, key = runs_of(*p.symbols(text.slice(part.start, part.stop - part.start).to_pylist()), p)
+                if len(key):
+                    found.append((key, ids[part][doc]))
+                    rows += len(key)
+                if rows > GATHERED:
+                    yield from send(found)
+                    found, rows = [], 0
+        if found:
+            yield from send(found)
+
+    return docs.select("doc_id", F.encode("text", "utf-8").alias("text")).mapInArrow(run, "kind int, place int, key binary, low binary, high binary")
+
+
+def lengths(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def shared_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Blocks by bucket of the keys that two documents have which no task met together."""
+
+    def flat(table: pa.Table, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+    def find(table: pa.Table) -> pa.Table:
+        key, low, high = flat(table, "key", np.uint64), flat(table, "low", np.int64), flat(table, "high", np.int64)
+        order = np.argsort(key)
+        key, low, high = key[order], low[order], high[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        shared = np.minimum.reduceat(low, first) < np.maximum.reduceat(high, first)
+        # those that a task knew to be shared are with their buckets already
+        wanted = np.repeat(shared, np.diff(np.append(first, len(key)))) & (low == high)
+        return pa.Table.from_batches([to_buckets(key[wanted], low[wanted], buckets)], schema=BLOCKS)
+
+    return blocks.filter("kind = 0").groupBy("place").applyInArrow(find, "kind int, place int, key binary, low binary, high binary")
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -118,70 +173,44 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("h"), F.encode(text, "utf-8").alias("text"))
 
 
-def lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Offsets and flat fields of a column of lists of structs; a null list is empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten()
-    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return offsets(n), [flat.field(f).to_numpy(zero_copy_only=False) if flat.field(f).null_count == 0 and not pa.types.is_binary(flat.field(f).type) else flat.field(f).to_pylist() for f in fields]
+CONTEXTS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("units", pa.binary())])
 
 
-def contexts(texts: DataFrame, found: DataFrame, p: Passages) -> DataFrame:
-    """The contexts of the runs `found` in each text, by their hash: doc_id, h, start, n, key, id.
+def contexts(texts: DataFrame, blocks: DataFrame, p: Passages, buckets: int) -> DataFrame:
+    """The runs of shared keys in each text, with the hash of their contexts: doc_id, h, start, n, key, id, units.
 
-    A list of runs belongs to a doc_id; a text under it takes those that it has itself.
+    Of equal contexts in one part of a bucket, that of the least document has the units, the others null.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hs = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)
-            raw = batch.column("text").to_pylist()
-            at, (starts, wanted) = lists(batch.column("runs"), "start", "key")
-            for part in parts(np.fromiter(map(len, raw), np.int64, len(raw))):
-                symbols, counts = p.symbols(raw[part])
-                doc, start, n, key = runs_of(symbols, counts, p)
-                if not len(doc):
-                    continue
-                base = offsets(counts)
-                own = base[doc] + start  # ascending: a run's number in this part
-                span = slice(at[part.start], at[part.stop])
-                asked = np.asarray(starts[span], np.int64) + np.repeat(base[:-1], np.diff(at[part.start : part.stop + 1]))
-                to = np.minimum(np.searchsorted(own, asked), len(own) - 1)
-                pick = np.unique(to[(own[to] == asked) & (key[to] == np.asarray(wanted[span], np.int64))])
-                if not len(pick):
-                    continue
-                ident = prefix_hash(symbols, own[pick], n[pick] + p.length - 1)
-                doc = doc[pick]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[part][doc]), pa.array(hs[part][doc]), pa.array(start[pick].astype(np.int32)), pa.array(n[pick].astype(np.int32)), pa.array(key[pick]), pa.array(ident.view(np.int64))],
-                    ["doc_id", "h", "start", "n", "key", "id"],
-                )
-
-    lines = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "key")).alias("runs"))
-    return texts.join(lines, "doc_id").mapInArrow(run, "doc_id long, h long, start int, n int, key long, id long")
-
-
-def cut_out(texts: DataFrame, wanted: DataFrame, p: Passages) -> DataFrame:
-    """The symbols of the contexts `wanted` (doc_id, h, start, n, key, id): id, key, owner, units."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            raw = batch.column("text").to_pylist()
-            at, (starts, ns, keys, idents) = lists(batch.column("runs"), "start", "n", "key", "id")
-            for part in parts(np.fromiter(map(len, raw), np.int64, len(raw))):
-                symbols, counts = p.symbols(raw[part])
-                units = p.units(symbols, raw[part])
-                span = slice(at[part.start], at[part.stop])
-                each = np.diff(at[part.start : part.stop + 1])
-                a = np.asarray(starts[span], np.int64) + np.repeat(offsets(counts)[:-1], each)
-                b = a + np.asarray(ns[span], np.int64) + p.length - 1
-                cut = [units[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(idents[span]), pa.array(keys[span]), pa.array(np.repeat(ids[part], each)), pa.array(cut, pa.binary())], ["id", "key", "owner", "units"])
-
-    lines = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "key", "id")).alias("runs"))
-    return texts.join(lines, ["doc_id", "h"]).mapInArrow(run, "id long, key long, owner long, units binary")
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = np.unique(np.frombuffer(b"".join(right.column("key").to_pylist()), np.uint64))
+        left = left.combine_chunks().sort_by("doc_id")
+        ids, hs = left.column("doc_id").to_numpy(), left.column("h").to_numpy()
+        text = left.column("text").combine_chunks()
+        out = []
+        for part in parts(lengths(text)) if len(known) else ():
+            raw = text.slice(part.start, part.stop - part.start).to_pylist()
+            symbols, counts = p.symbols(raw)
+            doc, start, n, key = runs_of(symbols, counts, p)
+            own = owned(key, ids[part][doc])
+            pick = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
+            if not len(pick):
+                continue
+            doc, start, n, key = doc[pick], start[pick], n[pick], key[pick]
+            a = offsets(counts)[doc] + start
+            size = n + p.length - 1
+            ident = prefix_hash(symbols, a, size)
+            order = np.lexsort((ident, key))  # stable, and documents ascend
+            speaks = np.zeros(len(doc), bool)
+            speaks[order] = np.append(True, (key[order][1:] != key[order][:-1]) | (ident[order][1:] != ident[order][:-1]))
+            width, units = np.dtype(p.unit).itemsize, p.units(symbols, raw).tobytes()
+            cuts = [units[x:y] if s else None for x, y, s in zip((a * width).tolist(), ((a + size) * width).tolist(), speaks.tolist(), strict=True)]
+            columns = [ids[part][doc], hs[part][doc], start.astype(np.int32), n.astype(np.int32), key.view(np.int64), ident.view(np.int64)]
+            out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(cuts, pa.binary())], schema=CONTEXTS))
+        return pa.Table.from_batches(out, schema=CONTEXTS)
+
+    texts = texts.withColumn("place", bucket_of(F.col("doc_id"), buckets))
+    return texts.groupBy("place").cogroup(blocks.select("place", "key").groupBy("place")).applyInArrow(cut, "doc_id long, h long, start int, n int, key long, id long, units binary")
 
 
 def prefix_hash(symbols: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -191,45 +220,95 @@ def prefix_hash(symbols: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndar
     return mix((sums[a + size] - sums[a]) * powers(INV, len(symbols) + 1)[a] + size.astype(np.uint64))
 
 
-def shared_windows(distinct: DataFrame, p: Passages, shards: int) -> DataFrame:
-    """(id, mask): for each distinct context, which of its windows an earlier owner has; contexts without any are left out."""
+MARKS = "key long, id long, at array<int>, owner array<long>, low long"
+MARKED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("at", pa.list_(pa.int32())), ("owner", pa.list_(pa.int64())), ("low", pa.int64())])
+
 
-    def find(frame: pd.DataFrame) -> pd.DataFrame:
-        units = [np.frombuffer(x, p.unit) for x in frame["units"]]
-        masks = p.search(units, frame["owner"].to_numpy(np.int64), p.length)
-        some = [bool(m.any()) for m in masks]
-        return pd.DataFrame({"id": frame["id"][some], "mask": [np.packbits(m).tobytes() for m, s in zip(masks, some, strict=True) if s]})
+def least_owners(distinct: DataFrame, p: Passages, shards: int) -> DataFrame:
+    """For each distinct context the least owner of its windows: from window at[i] on it is owner[i]; low is the least of all."""
 
-    return distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(find, "id long, mask binary")
+    def find(table: pa.Table) -> pa.Table:
+        raw = table.column("units").to_pylist()
+        flat = np.frombuffer(b"".join(raw), p.unit)
+        sizes = sizes_of(raw) // np.dtype(p.unit).itemsize
+        least = p.search(flat, sizes, table.column("owner").to_numpy(), p.length)
+        base = offsets(sizes - p.length + 1)
+        new = np.append(True, least[1:] != least[:-1])
+        new[base[:-1]] = True
+        cut = np.flatnonzero(new)
+        which = np.searchsorted(base, cut, side="right") - 1
+        ends = pa.array(np.searchsorted(cut, base).astype(np.int32))
+        at = pa.ListArray.from_arrays(ends, pa.array((cut - base[which]).astype(np.int32)))
+        owner = pa.ListArray.from_arrays(ends, pa.array(least[cut]))
+        low = pa.array(np.minimum.reduceat(least, base[:-1]))
+        return pa.Table.from_arrays([table.column("key"), table.column("id"), at, owner, low], schema=MARKED)
 
+    dealt = distinct.select(F.pmod(F.xxhash64("key", "part"), F.lit(shards)).alias("shard"), "key", "id", "owner", "units")
+    return dealt.groupBy("shard").applyInArrow(find, MARKS)
 
-def hot_windows(distinct: DataFrame, p: Passages) -> DataFrame:
-    """The same for contexts of hot keys, window by window."""
+
+def window_rows(distinct: DataFrame, p: Passages) -> DataFrame:
+    """The windows of contexts, each as a context: key, id (of the window), owner, units, part, of the context `of` at i."""
     width = np.dtype(p.unit).itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ident, owner, units in zip(batch.column("id").to_pylist(), batch.column("owner").to_pylist(), batch.column("units").to_pylist(), strict=True):
-                n = len(units) // width - p.length + 1
+            raw = batch.column("units").to_pylist()
+            for part in parts(sizes_of(raw), CHUNK_BYTES // 16):
+                units = b"".join(raw[part])
+                sizes = sizes_of(raw[part]) // width
+                at, which = starts_of_windows(sizes, p.length)
+                i = at - offsets(sizes)[which]
+                symbols = mix(np.frombuffer(units, p.unit).astype(np.uint64) + np.uint64(1))
+                each = batch.slice(part.start, part.stop - part.start)
+                key, of, owner = (each.column(c).to_numpy(zero_copy_only=False)[which] for c in ("key", "id", "owner"))
+                cuts = [units[x : x + p.length * width] for x in (at * width).tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ident] * n, pa.int64()), pa.array([owner] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([units[i * width : (i + p.length) * width] for i in range(n)], pa.binary())],
-                    ["id", "owner", "i", "window"],
+                    [pa.array(key), pa.array(window_hash(symbols, p.length)[at].view(np.int64)), pa.array(owner), pa.array(cuts, pa.binary()), pa.array(of), pa.array(i.astype(np.int32))],
+                    ["key", "id", "owner", "units", "of", "i"],
                 )
 
-    def pack(i: list[int]) -> bytes:
-        m = np.zeros(max(i) + 1, bool)
-        m[i] = True
-        return np.packbits(m).tobytes()
-
-    rows = distinct.select("id", "owner", "units").mapInArrow(cut, "id long, owner long, i int, window binary").select("id", "owner", "i", F.sha2("window", 256).alias("w"))
-    least = rows.groupBy("w").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low < high").select("w", "low")
-    marked = rows.join(least, "w").filter("low < owner").groupBy("id").agg(F.collect_list("i").alias("i"))
-
-    def masks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "mask": [pack(list(i)) for i in frame["i"]]})
-
-    return marked.mapInPandas(masks, "id long, mask binary")
+    return distinct.select("key", "id", "owner", "units").mapInArrow(cut, "key long, id long, owner long, units binary, of long, i int")
+
+
+def marks_of(scratch: Scratch, distinct: DataFrame, p: Passages) -> DataFrame:
+    """`least_owners` of all distinct contexts, with keys that don't fit a shard dealt window by window."""
+    groups = distinct.groupBy("key").agg(F.sum(F.octet_length("units")).alias("b"))
+    large = scratch.keep(groups.filter(F.col("b") > p.shard_bytes).select("key"), "large")
+    total = distinct.agg(F.sum(F.octet_length("units"))).first()[0] or 0
+    shards = int(total // p.shard_bytes + 1)
+    small = distinct.join(large, "key", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    marks = scratch.keep(least_owners(small, p, shards), "marks")
+    if large.isEmpty():
+        return marks
+    rows = scratch.keep(window_rows(distinct.join(large, "key", "left_semi"), p), "windows")
+    windows = rows.groupBy("key", "id").agg(F.min("owner").alias("owner"), F.first("units").alias("units"))
+    found = least_owners(windows.withColumn("part", F.col("id")), p, shards).select("key", "id", F.element_at("owner", 1).alias("own"))
+    line = F.array_sort(F.collect_list(F.struct("i", "own")))
+    found = rows.select("key", "id", "of", "i").join(found, ["key", "id"]).groupBy("key", "of").agg(line.alias("line"))
+    found = found.select("key", F.col("of").alias("id"), F.col("line.i").alias("at"), F.col("line.own").alias("owner"), F.array_min("line.own").alias("low"))
+    return marks.unionByName(scratch.keep(found, "large-marks"))
+
+
+def lost_symbols(lost: pa.Array, doc: np.ndarray, base: np.ndarray, total: int, length: int) -> np.ndarray:
+    """Mask of the symbols under windows whose least owner comes before their document."""
+    steps = np.zeros(total + 1, np.int64)
+    runs = lost.flatten()
+    if len(runs):
+        of = np.repeat(np.arange(len(doc)), lost.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        start, n = (runs.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "n"))
+        each = runs.field("at").value_lengths().to_numpy(zero_copy_only=False)
+        at = runs.field("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = runs.field("owner").flatten().to_numpy(zero_copy_only=False)
+        run = np.repeat(np.arange(len(runs)), each)
+        end = np.append(at[1:], 0)
+        last = np.cumsum(each) - 1
+        end[last] = n
+        gone = owner < doc[of[run]]
+        a = (base[of[run]] + start[run] + at)[gone]
+        b = (base[of[run]] + start[run] + end)[gone] + length - 1
+        steps += np.bincount(a, minlength=total + 1) - np.bincount(b, minlength=total + 1)
+    return np.cumsum(steps[:-1]) > 0
 
 
 def without_repeats(docs: DataFrame, p: Passages, finish: Callable, schema: str, name: str) -> DataFrame:
@@ -237,58 +316,34 @@ def without_repeats(docs: DataFrame, p: Passages, finish: Callable, schema: str,
 
     finish(raw, symbols, counts, mask) gives a frame of one row a text, in order; doc_id comes first in the result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, name)
+    scratch = Scratch(docs.sparkSession, name)
     thin = docs.select("doc_id", "text")
     known = thin.filter("doc_id is not null and text is not null")
-    found = scratch.keep(shared_runs(known, p), "runs")
-    cut = scratch.keep(contexts(texts_of(known), found, p), "contexts")
-    scratch.drop("runs")
-
-    # of rows of the owner that hold a context, the first in the text's order stands for it
-    first = F.struct("doc_id", "h", "start", "n", "key")
-    distinct = cut.groupBy("id").agg(F.min(first).alias("_f")).select("id", "_f.*").withColumnRenamed("doc_id", "owner")
-    distinct = scratch.keep(distinct, "distinct")
-    groups = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") + p.length - 1).alias("b")).filter("m > 1")
-    groups = scratch.keep(groups, "groups")
-    total = groups.filter(F.col("m") <= p.hot).agg(F.sum("b")).first()[0] or 0
-    differing = distinct.join(groups.select("key", "m"), "key").withColumnRenamed("owner", "doc_id")
-    cool = cut_out(texts_of(known), differing.filter(F.col("m") <= p.hot), p)
-    hot = cut_out(texts_of(known), differing.filter(F.col("m") > p.hot), p)
-    marks = scratch.keep(shared_windows(cool, p, int(total // p.shard_units + 1)), "marks")
-    if not groups.filter(F.col("m") > p.hot).isEmpty():
-        marks = marks.unionByName(scratch.keep(hot_windows(hot, p), "hot"))
-
-    owners = distinct.select("id", "owner").join(marks, "id", "left")
-    # a document that doesn't own a context loses all its windows; the owner those that the mask names
-    lost = cut.select("doc_id", "h", "start", "n", "id").join(owners, "id")
-    lost = lost.filter((F.col("doc_id") > F.col("owner")) | F.col("mask").isNotNull())
-    lost = lost.select("doc_id", "h", "start", "n", F.when(F.col("doc_id") == F.col("owner"), F.col("mask")).alias("mask"))
-    lost = lost.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", F.coalesce("mask", F.lit(b"")).alias("mask"))).alias("lost"))
-    lost = scratch.keep(lost, "lost")
-    scratch.drop("contexts", "distinct", "groups", "marks", "hot")
+    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices, buckets = int(total // SLICE_BYTES + 1), int(total // BUCKET_BYTES) | 1
+    keys = scratch.keep(key_blocks(known, p, slices, buckets), "keys")
+    shared = keys.filter("kind = 1").unionByName(shared_blocks(keys, buckets))
+    cut = scratch.keep(contexts(texts_of(known), shared, p, buckets), "contexts")
+    scratch.drop("keys")
+    speaks = cut.filter("units is not null")
+    distinct = scratch.keep(speaks.groupBy("key", "id").agg(F.min("doc_id").alias("owner"), F.first("units").alias("units")), "distinct")
+    marks = marks_of(scratch, distinct, p)
+    scratch.drop("distinct", "large", "windows")
+    lost = cut.drop("units").join(marks, ["key", "id"]).filter("low < doc_id")
+    lost = scratch.keep(lost.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "at", "owner")).alias("lost")), "lost")
+    scratch.drop("contexts", "marks", "large-marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column("text").to_pylist()
-            at, (starts, ns, masks) = lists(batch.column("lost"), "start", "n", "mask")
-            for part in parts(np.fromiter(map(len, raw), np.int64, len(raw))):
-                symbols, counts = p.symbols(raw[part])
-                base = offsets(counts)
-                steps = np.zeros(len(symbols) + 1, np.int64)
-                for i, j in enumerate(range(part.start, part.stop)):
-                    for x in range(at[j], at[j + 1]):
-                        a, n = base[i] + starts[x], ns[x]
-                        if masks[x]:
-                            w = a + np.flatnonzero(np.unpackbits(np.frombuffer(masks[x], np.uint8))[:n])
-                            np.add.at(steps, w, 1)
-                            np.add.at(steps, w + p.length, -1)
-                        else:
-                            steps[a] += 1
-                            steps[a + n - 1 + p.length] -= 1
-                out = finish(raw[part], symbols, counts, np.cumsum(steps[:-1]) > 0)
-                out.insert(0, "doc_id", batch.column("doc_id").slice(part.start, part.stop - part.start).to_pandas(integer_object_nulls=True).array)
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+            text, lost = batch.column("text"), batch.column("lost")
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            for part in parts(lengths(text)):
+                n = part.stop - part.start
+                raw = text.slice(part.start, n).to_pylist()
+                symbols, counts = p.symbols(raw)
+                mask = lost_symbols(lost.slice(part.start, n), ids[part], offsets(counts), len(symbols), p.length)
+                out = finish(raw, symbols, counts, mask)
+                columns = [batch.column("doc_id").slice(part.start, n), *[pa.array(out[c]) for c in out.columns]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *out.columns])
 
     return texts_of(thin).join(lost, ["doc_id", "h"], "left").select("doc_id", "text", "lost").mapInArrow(run, schema)

@@ -19,11 +19,11 @@ def packed(high: np.ndarray, low: np.ndarray, size: int) -> np.ndarray:
     return np.unique(high, return_inverse=True)[1] * size + low
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """All suffixes of a text of positive numbers in order.
+def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+    """All suffixes of a text of positive numbers, in order of their first `depth` symbols at least.
 
     Positions 1 and 2 modulo 3 are the difference cover: their triples are sorted and named, and unless the
-    names tell all apart, the text of names is sorted by recursion. Any two suffixes then compare by
+    names tell all apart or reach `depth`, the text of names is sorted by recursion. Any two suffixes then compare by
     at most two symbols and the rank of covered ones, which sorts and merges the rest.
     """
     n = len(text)
@@ -34,26 +34,31 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate((one, two))
     triple = packed(packed(t[sample], t[sample + 1], size), t[sample + 2], size)
-    order = np.argsort(triple, kind="stable")
-    names = np.empty(len(sample), np.int64)
-    names[order] = np.cumsum(np.append(1, triple[order][1:] != triple[order][:-1]))
-    if names[order[-1]] < len(sample):
-        order = suffix_array(names)
+    order = np.argsort(triple)
+    if depth > 3:
+        ranked = triple[order]
+        steps = np.cumsum(np.append(1, ranked[1:] != ranked[:-1]))
+        if steps[-1] < len(sample):
+            names = np.empty(len(sample), np.int64)
+            names[order] = steps
+            order = suffix_array(names, -(-depth // 3))
     rank = np.zeros(n + 4, np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     covered = sample[order]
     covered = covered[covered < n]
     rest = np.arange(0, n, 3)
     m = len(sample) + 2
-    rest = rest[np.argsort(packed(t[rest], rank[rest + 1], m), kind="stable")]
+    rest = rest[np.argsort(packed(t[rest], rank[rest + 1], m))]
     # merge: how many covered suffixes of each kind lie before each of the rest
-    c1, c2 = covered[covered % 3 == 1], covered[covered % 3 == 2]
-    joint = np.concatenate((c1, rest))
-    key = packed(t[joint], rank[joint + 1], m)
-    before = np.searchsorted(key[: len(c1)], key[len(c1) :])
-    joint = np.concatenate((c2, rest))
-    key = packed(packed(t[joint], t[joint + 1], size), rank[joint + 2], m)
-    before = before + np.searchsorted(key[: len(c2)], key[len(c2) :])
+    before = np.zeros(len(rest), np.int64)
+    for kind, deep in ((1, 1), (2, 2)):
+        of = covered[covered % 3 == kind]
+        joint = np.concatenate((of, rest))
+        head = t[joint] if deep == 1 else packed(t[joint], t[joint + 1], size)
+        key = packed(head, rank[joint + deep], m)
+        # where order is only known to `depth`, keys may fall among those that are alike that far
+        before += np.searchsorted(np.maximum.accumulate(key[: len(of)]), key[len(of) :])
+    before = np.maximum.accumulate(before)
     out = np.empty(n, np.int64)
     places = np.arange(len(rest)) + before
     mask = np.ones(n, bool)
@@ -63,41 +68,39 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(texts: list[np.ndarray], owners: np.ndarray, length: int) -> list[np.ndarray]:
-    """Masks of the windows that an earlier owner's text in this shard has too.
+def search(units: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int) -> np.ndarray:
+    """The least owner of each window of the texts of a shard, which stand one after another in `units`.
 
-    In the order of suffixes, equal windows are neighbours: adjacent prefixes are compared symbol by symbol.
+    In the order of suffixes, equal windows are neighbours: adjacent prefixes are compared, eight bytes at a time.
     """
-    sizes = np.array([len(t) for t in texts])
     n = sizes - length + 1
-    text = np.ones(sizes.sum() + len(texts), np.int64)
-    text[np.arange(sizes.sum()) + np.repeat(np.arange(len(texts)), sizes)] = np.concatenate(texts).astype(np.int64) + 2
+    text = np.ones(len(units) + len(sizes), np.int64)
+    text[np.arange(len(units)) + np.repeat(np.arange(len(sizes)), sizes)] = units.astype(np.int64) + 2
     base = offsets(sizes + 1)[:-1]
-    which = np.repeat(np.arange(len(texts)), n)
-    starts = np.arange(n.sum()) - np.repeat(offsets(n)[:-1], n) + base[which]
+    which = np.repeat(np.arange(len(sizes)), n)
+    starts = np.arange(n.sum()) - np.repeat(offsets(n)[:-1], n)
     number = np.full(len(text), -1, np.int64)
-    number[starts] = np.arange(len(starts))
-    order = number[suffix_array(text)]
+    number[starts + base[which]] = np.arange(len(starts))
+    order = number[suffix_array(text, length + 2)]
     order = order[order >= 0]
-    a, b = starts[order[:-1]], starts[order[1:]]
-    live = np.arange(len(a))
-    for i in range(length):
-        live = live[text[a[live] + i] == text[b[live] + i]]
+    begins = (starts + offsets(sizes)[:-1][which])[order]  # of windows in `units`
+    eight = np.ndarray((max(0, len(units) - 7),), "<u8", np.ascontiguousarray(units), 0, (1,))  # eight bytes from each place on
+    live = np.arange(len(begins) - 1)
+    for i in [*range(0, length - 7, 8), length - 8]:
+        live = live[eight[begins[live] + i] == eight[begins[live + 1] + i]]
     new = np.ones(len(order), bool)
     new[live + 1] = False
-    group = np.cumsum(new) - 1
-    owner = owners[which][order]
-    least = np.minimum.reduceat(owner, np.flatnonzero(new))
-    found = np.zeros(len(starts), bool)
-    found[order] = least[group] < owner
-    return np.split(found, np.cumsum(n)[:-1])
+    least = np.minimum.reduceat(owners[which][order], np.flatnonzero(new))
+    out = np.empty(len(starts), np.int64)
+    out[order] = least[np.cumsum(new) - 1]
+    return out
 
 
 def bytes_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return BYTE[np.frombuffer(b"".join(raw), np.uint8)], np.fromiter(map(len, raw), np.int64, len(raw))
 
 
-BYTES = Passages(length=50, gram=20, symbols=bytes_of, units=lambda symbols, raw: np.frombuffer(b"".join(raw), np.uint8), unit=np.uint8, search=search, shard_units=1 << 20)
+BYTES = Passages(length=50, gram=20, symbols=bytes_of, units=lambda symbols, raw: np.frombuffer(b"".join(raw), np.uint8), unit=np.uint8, search=search)
 
 
 def kept_bytes(raw: list[bytes], symbols: np.ndarray, counts: np.ndarray, mask: np.ndarray) -> pd.DataFrame:

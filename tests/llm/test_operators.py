@@ -1,11 +1,13 @@
 """Each operator against a plain version of its contract, on small awkward tables."""
 
+import dataclasses
 import hashlib
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import zstandard
 
@@ -200,22 +202,60 @@ def test_fm_index_dedup(docs, rows):
     assert got == expected
 
 
-@pytest.mark.parametrize("hot", [2048, 0])
-def test_suffix_array_dedup(docs, rows, hot):
-    """hot=0 sends every key that differs down the window path."""
-    import dataclasses
-
-    short = [r for r in rows if not r[1] or len(r[1]) < 20000]
-    df = docs.filter("text is null or length(text) < 20000")
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 1])
+def test_suffix_array_dedup(docs, rows, shard_bytes):
+    """shard_bytes=1 deals every key window by window."""
     expected = Counter()
-    for r, m in zip(short, removed(short, lambda r: (r[1] or "").encode(), 50)):
+    for r, m in zip(rows, removed(rows, lambda r: (r[1] or "").encode(), 50)):
         b = (r[1] or "").encode()
         spans = sum(g and not p for g, p in zip(m, [False, *m]))
         expected[(r[0], len(b), sum(m), spans, sha(bytes(x for x, g in zip(b, m) if not g)))] += 1
-    got = collected(suffixes.dedup_bytes(df, dataclasses.replace(suffixes.BYTES, hot=hot)))
+    got = collected(suffixes.dedup_bytes(docs, dataclasses.replace(suffixes.BYTES, shard_bytes=shard_bytes)))
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == expected
 
 
+@pytest.mark.parametrize("dedup, how", [(fmindex.dedup_words, fmindex.WORDS), (suffixes.dedup_bytes, suffixes.BYTES)])
+def test_nothing_goes_without_the_search(docs, dedup, how):
+    """What is removed is what the index or the suffix order has found, copies of whole texts too."""
+
+    def nothing(units, sizes, owners, length):
+        return np.full((sizes - length + 1).sum(), np.iinfo(np.int64).max)
+
+    assert dedup(docs, dataclasses.replace(how, search=nothing)).filter("n_removed > 0").count() == 0
+
+
+@pytest.mark.parametrize("search, length, unit", [(suffixes.search, 50, np.uint8), (fmindex.search, 13, np.uint64)])
+@pytest.mark.parametrize("alphabet", [1, 2, 4, 200])
+def test_least_owners(search, length, unit, alphabet):
+    rng = np.random.default_rng(alphabet)
+    for _ in range(20):
+        base, texts = rng.integers(0, alphabet, 150), []
+        for _ in range(rng.integers(1, 8)):
+            a = rng.integers(0, 60)
+            texts.append(base[a : a + length + rng.integers(0, 30)].copy())
+            if rng.random() < 0.4:
+                texts[-1][rng.integers(0, length)] = rng.integers(0, alphabet)
+        owners, least = rng.integers(0, 5, len(texts)), {}
+        for t, o in zip(texts, owners):
+            for i in range(len(t) - length + 1):
+                w = tuple(t[i : i + length])
+                least[w] = min(least.get(w, 9), o)
+        got = search(np.concatenate(texts).astype(unit), np.array([len(t) for t in texts]), owners, length)
+        assert got.tolist() == [least[tuple(t[i : i + length])] for t in texts for i in range(len(t) - length + 1)]
+
+
+def test_suffix_array_orders_all_suffixes():
+    rng = np.random.default_rng(2)
+    for n in [1, 2, 3, 4, 5, 30, 200]:
+        for alphabet in (1, 2, 5):
+            text = rng.integers(1, alphabet + 1, n)
+            for depth in (3, 10, n):
+                order = suffixes.suffix_array(text, depth)
+                assert sorted(order.tolist()) == list(range(n))
+                heads = [text[i : i + depth].tolist() for i in order]
+                assert heads == sorted(heads)
+
+
 def base_spans(text):
     found = []
     pattern = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
