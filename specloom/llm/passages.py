@@ -102,7 +102,7 @@ def to_buckets(key: np.ndarray, doc: np.ndarray, buckets: int) -> pa.RecordBatch
     order = np.lexsort((own, place))
     place, own = place[order], own[order]
     cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
-    blocks = [np.unique(own[a:b]).tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True)]
+    blocks = [np.unique(own[a:b]).tobytes() for a, b in zip(cuts, np.append(cuts, len(own))[1:], strict=True)]
     none = pa.nulls(len(cuts), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(np.ones(len(cuts), np.int32)), pa.array(place[cuts]), pa.array(blocks, pa.binary()), none, none], schema=BLOCKS)
 
