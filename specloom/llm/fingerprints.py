@@ -68,14 +68,14 @@ def gamma(w: str) -> Column:
     return out * F.col(w)
 
 
-def draws(rows: DataFrame, keep: list[str], lane: int) -> DataFrame:
+def draws(rows: DataFrame, keep: list[str], lane: int, samples: int) -> DataFrame:
     """`keep`, `_w`, and for the samples of a lane the hash `_h` of (term, sample), `_r`, gamma of shape 2, and the root of c's quantile `_c`.
 
     Columns of their own, as an expression that is used twice is computed twice. Few samples at a time, as Java
     leaves longer methods to the interpreter.
     """
     each = range(lane)
-    rows = rows.select(*keep, "_w", *[F.xxhash64("_x", F.col("lane") * lane + i).alias(f"_h{i}") for i in each])
+    rows = rows.select(*keep, "_w", *[F.xxhash64("_x", F.col("lane") * lane % samples + i).alias(f"_h{i}") for i in each])
     rows = rows.select(*keep, "_w", *[f"_h{i}" for i in each], *[root(part(f"_h{i}", 0, 24)).alias(f"_q{i}") for i in each], *[root(part(f"_h{i}", 24, 24)).alias(f"_c{i}") for i in each])
     return rows.select(*keep, "_w", *[f"_h{i}" for i in each], *[f"_c{i}" for i in each], *[gamma(f"_q{i}").alias(f"_r{i}") for i in each])
 
@@ -86,24 +86,27 @@ def least_candidate(i: int) -> Column:
     return F.ln(gamma(f"_c{i}")) - r * (F.floor(F.col("_w") / r + b).cast("double") - b + 1)
 
 
-def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES, carried: tuple[str, ...] = ()) -> DataFrame:
-    """keys, lane, the `carried` numbers, and `sig`, an array of the lane's integers, null for texts without words.
+def signatures(texts: DataFrame, keys: list[str], bodies: list[str], samples: int = SAMPLES) -> DataFrame:
+    """keys and, for each text column of `bodies`, `sig_` with its name, an array of integers, null for texts without words.
 
     Terms are words, their weights how often they come. For term x of weight S and sample k with r and c
     gamma-distributed and b uniform, all fixed by (x, k): t = floor(ln S / r + b), and the sample is the
     pair (x, t) of least ln c - r (t - b) - r. That least value stands for the pair, as it is a function of
     both and of k; of it, 32 bits are kept. Two texts agree in a sample with a chance of their generalised Jaccard likeness.
 
-    Terms are counted within the row and their minima combined before the one shuffle, of one row a text and lane of samples.
+    Terms are counted within the row. Texts that are partitioned by some of the keys stay where they are.
     """
     lane = math.gcd(samples, LANE)
-    hashes, starts, pairs = terms(F.col(text))
-    rows = texts.select(*keys, *carried, hashes.alias("_a")).withColumn("_s", starts).select(*keys, *carried, F.explode_outer(pairs).alias("_t"))
-    rows = rows.select(*keys, *carried, F.col("_t.term").alias("_x"), F.ln(F.col("_t.n").cast("double")).alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(samples // lane - 1))).alias("lane"))
-    drawn = draws(rows, [*keys, *carried, "lane"], lane)
-    least = drawn.groupBy(*keys, "lane").agg(*[F.min(least_candidate(i)).alias(f"_{i}") for i in range(lane)], *[F.max(F.when(F.col("lane") == 0, F.col(c))).alias(c) for c in carried])
-    sig = F.transform(F.array(*[f"_{i}" for i in range(lane)]), lambda v: F.hash(v))
-    return least.select(*keys, "lane", *carried, F.when(F.col("_0").isNotNull(), sig).alias("sig"))
+    lanes = samples // lane
+    hashes, starts, pairs = terms(F.col("_v.body"))
+    rows = texts.select(*keys, F.explode(F.array(*[F.struct(F.lit(i * lanes).alias("first"), F.col(c).alias("body")) for i, c in enumerate(bodies)])).alias("_v"))
+    rows = rows.select(*keys, F.col("_v.first").alias("_f"), hashes.alias("_a")).withColumn("_s", starts).select(*keys, "_f", F.explode_outer(pairs).alias("_t"))
+    rows = rows.select(*keys, F.col("_t.term").alias("_x"), F.ln(F.col("_t.n").cast("double")).alias("_w"), F.explode(F.sequence(F.col("_f"), F.col("_f") + (lanes - 1))).alias("lane"))
+    least = draws(rows, [*keys, "lane"], lane, samples).groupBy(*keys, "lane").agg(*[F.min(least_candidate(i)).alias(f"_{i}") for i in range(lane)])
+    sig = F.when(F.col("_0").isNotNull(), F.transform(F.array(*[f"_{i}" for i in range(lane)]), lambda v: F.hash(v)))
+    whole = least.select(*keys, F.struct("lane", sig.alias("sig")).alias("_l")).groupBy(*keys).agg(F.sort_array(F.collect_list("_l")).alias("_lanes"))
+    # a text without words has null lanes, which flatten to null
+    return whole.select(*keys, *[F.flatten(F.transform(F.slice("_lanes", i * lanes + 1, lanes), lambda x: x["sig"])).alias(f"sig_{c}") for i, c in enumerate(bodies)])
 
 
 def hexed(sig: str) -> Column:
@@ -111,10 +114,15 @@ def hexed(sig: str) -> Column:
     return F.coalesce(F.array_join(F.transform(sig, lambda v: F.lpad(F.hex(v.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""), F.lit(""))
 
 
-def likeness(a: str, b: str) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     """Share of equal samples; two texts without words are alike, one without is like no other."""
-    same = F.aggregate(F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y")), F.lit(0), lambda acc, p: acc + F.when(p["x"] == p["y"], 1).otherwise(0))
-    return F.when(F.col(a).isNull() | F.col(b).isNull(), (F.col(a).isNull() & F.col(b).isNull()).cast("double")).otherwise(same / F.size(a))
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNull()).cast("double")).otherwise(same / F.size(a))
+
+
+def halved(text: str, following: str) -> Column:
+    """The text with its last half replaced by the start of the following one."""
+    return F.concat(F.expr(f"left({text}, cast(length({text}) - length({text}) div 2 as int))"), F.left(following, F.expr(f"cast(length({text}) div 2 as int)")))
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -122,15 +130,15 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     The edited text is the text with its last half replaced by the start of the next document's. Next is by
     descending doc_id; documents without doc_id come last, by hash of text; the first follows the last.
-    Neighbours meet in blocks of about BLOCK documents and SPAN ids at most, dealt out by one shuffle of the texts; only the ends
-    of blocks look up the next block's first text. So no step orders all texts in one task.
+    Neighbours meet in blocks of about BLOCK documents and SPAN ids at most. One shuffle of the texts deals the blocks out, and all
+    that follows is done where they are; another finds the first and last text of each block, and only these
+    look for their neighbours in other blocks. So no step orders all texts in one task.
 
     Null texts count as empty. Rows that are equal in doc_id and text are one document in the order, and
     each is returned. Of texts under one doc_id, the order is by hash. Only doc_id and text are read.
-    An empty table gives no rows; a document alone is its own next.
+    An empty table gives no rows; a document alone is its own next. Very long texts are one row each, as any other.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "cws")
+    scratch = Scratch(docs.sparkSession, "cws")
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
     base = base.withColumn("nul", F.col("doc_id").isNull()).withColumn("ord", F.coalesce("doc_id", "h"))
@@ -139,43 +147,36 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     width = max(1, min(SPAN, ((high or 0) - (low or 0) + 1) * BLOCK // n)) if n else 1
     wide = 2**62 // max(1, n_null // BLOCK)
     base = base.withColumn("block", F.when(F.col("nul"), F.floor(F.col("ord") / F.lit(float(wide)))).otherwise(F.expr(f"floor(ord / {float(width)})")).cast("long"))
-
-    # never false; said here once, as joins would say it for some of the branches below, which then could not share one exchange
-    base = base.filter("nul is not null and block is not null and ord is not null and h is not null")
-
-    line = Window.partitionBy("nul", "block").orderBy(F.desc("ord"), "h")
-    fresh = base.withColumn("_seen", (F.lag("ord").over(line) == F.col("ord")) & (F.lag("h").over(line) == F.col("h"))).filter(~F.coalesce("_seen", F.lit(False))).drop("_seen")
-    lines = fresh.withColumns({"n_text": F.lead("text").over(line), "n_nul": F.lead("nul").over(line), "n_ord": F.lead("ord").over(line), "n_h": F.lead("h").over(line), "_first": F.lag("ord").over(line).isNull()})
-    # the order of the blocks: few enough for their own range partitions, a window within each, and one row a partition
-    following = next_block(scratch, base.select("nul", "block").distinct())
-    ends = lines.filter("n_ord is null").drop("n_text", "n_nul", "n_ord", "n_h").join(following, ["nul", "block"])
-    heads = lines.filter("_first").select(F.col("nul").alias("n_nul"), F.col("block").alias("n_block"), F.col("ord").alias("n_ord"), F.col("h").alias("n_h"), F.col("text").alias("n_text"))
-    ends = ends.join(heads, ["n_nul", "n_block"])
-    cols = ["nul", "ord", "h", "text", "n_nul", "n_ord", "n_h", "n_text"]
-    both = lines.filter("n_ord is not null").select(cols).unionByName(ends.select(cols))
-    half = F.expr("cast(length(text) div 2 as int)")
-    edited = F.concat(F.expr("left(text, cast(length(text) - length(text) div 2 as int))"), F.left("n_text", half))
-    key, facts = ["nul", "ord", "h"], ["n_nul", "n_ord", "n_h", "n_chars", "_d0", "_d1", "_d2", "_d3"]
-    both = both.withColumn("edited", edited).withColumn("_d", F.sha2("edited", 256))
-    # everything a document has goes along as numbers with its one text, so that texts are shuffled once
-    both = both.select(
-        *key, F.col("n_nul").cast("int").alias("n_nul"), "n_ord", "n_h", F.length("text").cast("long").alias("n_chars"), *[F.conv(F.substring("_d", 16 * i + 1, 16), 16, -10).cast("long").alias(f"_d{i}") for i in range(4)],
-        F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("_v"),
-    ).select(*key, *facts, F.col("_v.which").alias("which"), F.col("_v.body").alias("body"))
-    sigs = signatures(both, [*key, "which"], "body", samples, tuple(facts))
-    lanes = F.sort_array(F.collect_list(F.struct("which", "lane", "sig")))
-    whole = lambda which: F.flatten(F.transform(F.filter("_lanes", lambda x: x["which"] == which), lambda x: x["sig"]))
-    sigs = sigs.groupBy(*key).agg(lanes.alias("_lanes"), *[F.max(F.when(F.col("which") == 0, F.col(c))).alias(c) for c in facts])
-    # a text without words has null lanes, which flatten to null
-    sigs = scratch.keep(sigs.select(*key, *facts, whole(0).alias("sig"), whole(1).alias("sig_e")), "sigs")
-    out = sigs.withColumn("n_nul", F.col("n_nul") == 1)
-    out = out.join(out.select(*[F.col(c).alias(f"n_{c}") for c in key], F.col("sig").alias("sig_n")), [f"n_{c}" for c in key])
-    copies = base.groupBy(*key).count()
-    out = out.join(copies, key).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
-    digest = F.lower(F.concat(*[F.lpad(F.hex(f"_d{i}"), 16, "0") for i in range(4)]))
+    block, key = ["nul", "block"], ["nul", "block", "ord", "h"]
+    line = Window.partitionBy(*block).orderBy(F.desc("ord"), "h")
+    own = Window.partitionBy(*key).orderBy(F.lit(0))
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fresh = base.select(*key, "text", F.count(F.lit(1)).over(whole).alias("copies"), F.row_number().over(own).alias("_seen")).filter("_seen = 1").drop("_seen")
+    lines = fresh.withColumns({"n_text": F.lead("text").over(line), "last": F.lead("ord").over(line).isNull(), "first": F.lag("ord").over(line).isNull()})
+
+    facts = lines.select(*key, "copies", "first", "last", F.length("text").cast("long").alias("n_chars"), F.when(~F.col("last"), F.sha2(halved("text", "n_text"), 256)).alias("edited_sha256"), F.when(F.col("first") | F.col("last"), F.col("text")).alias("text"))
+    facts = scratch.keep(facts, "facts")
+    # the edited text of the last of a block is not known here, and none the worse for it
+    edited = lines.select(*key, "text", F.when(~F.col("last"), halved("text", "n_text")).alias("edited"))
+    sigs = signatures(edited, key, ["text", "edited"], samples)
+    after = F.lead("sig_text").over(line)
+    sigs = sigs.select(*key, "sig_text", "sig_edited", F.lead("ord").over(line).isNull().alias("last"), likeness(F.col("sig_text"), after).alias("near_next"))
+    sigs = scratch.keep(sigs, "sigs")
+
+    ends = facts.filter("last").select(*key, "text", "copies", "n_chars").join(next_block(scratch, facts.filter("last").select(*block)), block)
+    heads = facts.filter("first").select(*[F.col(c).alias(f"n_{c}") for c in key], F.col("text").alias("n_text"))
+    ends = scratch.keep(ends.join(heads, ["n_nul", "n_block"]).withColumn("edited", halved("text", "n_text")), "ends")
+    after = sigs.select(*[F.col(c).alias(f"n_{c}") for c in key], F.col("sig_text").alias("sig_next"))
+    found = signatures(ends, key, ["edited"], samples).join(ends.drop("text", "n_text"), key)
+    found = found.withColumn("edited_sha256", F.sha2("edited", 256)).join(after, [f"n_{c}" for c in key]).join(sigs.select(*key, "sig_text"), key)
+    found = found.withColumn("near_next", likeness(F.col("sig_text"), F.col("sig_next")))
+
+    cols = [*key, "copies", "n_chars", "edited_sha256", "sig_text", "sig_edited", "near_next"]
+    out = sigs.filter("not last").drop("last").join(facts.drop("first", "last", "text"), key).select(*cols).unionByName(found.select(*cols))
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(
-        F.when(~F.col("nul"), F.col("ord")).alias("doc_id"), "n_chars", digest.alias("edited_sha256"), hexed("sig").alias("fingerprint"), hexed("sig_e").alias("edited_fingerprint"),
-        likeness("sig", "sig_e").alias("near_edited"), likeness("sig", "sig_n").alias("near_next"),
+        F.when(~F.col("nul"), F.col("ord")).alias("doc_id"), "n_chars", "edited_sha256", hexed("sig_text").alias("fingerprint"), hexed("sig_edited").alias("edited_fingerprint"),
+        likeness(F.col("sig_text"), F.col("sig_edited")).alias("near_edited"), "near_next",
     )
 
 
