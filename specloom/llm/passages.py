@@ -116,15 +116,18 @@ def key_blocks(docs: DataFrame, p: Passages, slices: int, buckets: int) -> DataF
         key, doc = key[order], doc[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-        many = np.repeat(low < high, np.diff(np.append(first, len(key))))
-        cuts = np.searchsorted(key[first], (np.arange(1, slices, dtype=np.float64) * (2.0**64 / slices)).astype(np.uint64))
-        at = [(i, a, b) for i, (a, b) in enumerate(zip(np.append(0, cuts), np.append(cuts, len(first)), strict=True)) if b > a]
-        one = key[first]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(at), np.int32)), pa.array(np.array([i for i, _, _ in at], np.int32)), *[pa.array([x[a:b].tobytes() for _, a, b in at], pa.binary()) for x in (one, low, high)]], schema=BLOCKS
-        )
+        many = low < high
+        for some in (~many, many):
+            one, least, greatest = key[first][some], low[some], high[some]
+            cuts = np.searchsorted(one, (np.arange(1, slices, dtype=np.float64) * (2.0**64 / slices)).astype(np.uint64))
+            at = [(i, a, b) for i, (a, b) in enumerate(zip(np.append(0, cuts), np.append(cuts, len(one)), strict=True)) if b > a]
+            columns = [pa.array([x[a:b].tobytes() for _, a, b in at], pa.binary()) for x in (one, least, greatest)]
+            if some is not many:  # of one document alone: low says it all
+                columns[2] = pa.nulls(len(at), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(np.array([i for i, _, _ in at], np.int32)), *columns], schema=BLOCKS)
         if many.any():
-            yield to_buckets(key[many], doc[many], buckets)
+            each = np.repeat(many, np.diff(np.append(first, len(key))))
+            yield to_buckets(key[each], doc[each], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = [], 0
@@ -155,6 +158,7 @@ def shared_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
         return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
     def find(table: pa.Table) -> pa.Table:
+        table = table.set_column(table.schema.get_field_index("high"), "high", pc.coalesce(table.column("high"), table.column("low")))
         key, low, high = flat(table, "key", np.uint64), flat(table, "low", np.int64), flat(table, "high", np.int64)
         order = np.argsort(key)
         key, low, high = key[order], low[order], high[order]
@@ -322,9 +326,10 @@ def without_repeats(docs: DataFrame, p: Passages, finish: Callable, schema: str,
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices, buckets = int(total // SLICE_BYTES + 1), int(total // BUCKET_BYTES) | 1
     keys = scratch.keep(key_blocks(known, p, slices, buckets), "keys")
-    shared = keys.filter("kind = 1").unionByName(shared_blocks(keys, buckets))
-    cut = scratch.keep(contexts(texts_of(known), shared, p, buckets), "contexts")
+    shared = scratch.keep(keys.filter("kind = 1").unionByName(shared_blocks(keys, buckets)).select("place", "key"), "shared")
     scratch.drop("keys")
+    cut = scratch.keep(contexts(texts_of(known), shared, p, buckets), "contexts")
+    scratch.drop("shared")
     speaks = cut.filter("units is not null")
     distinct = scratch.keep(speaks.groupBy("key", "id").agg(F.min("doc_id").alias("owner"), F.first("units").alias("units")), "distinct")
     marks = marks_of(scratch, distinct, p)

@@ -17,48 +17,70 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: Runs that the models judge, and the characters they know: codes 43 to 122, "+" to "z".
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
-LEAST_RUN, FIRST, CODES = 20, 43, 80
+RUN = r"[A-Za-z0-9+/_=-]{12,}"
+LEAST_RUN, FIRST, CODES = 12, 43, 80
 #: Pairs that count as seen beforehand for each first character: even ones of random strings, the usual ones of identifiers.
-EVEN, USUAL = 128, 8
-#: A run is a secret if the log-likelihood ratio is over this much a character pair.
-THRESHOLD = 0.5
+EVEN, USUAL = 16, 8
+#: A run is a secret if its log-likelihood ratio, summed over its character pairs, is over this much.
+THRESHOLD = 20.0
+#: Spans that are folded at a time: a fold copies what it has, so long ones are cut.
+FOLD = 256
 
+SPAN = "array<struct<start:bigint,end:bigint,rank:int,kind:string,value:string>>"
 
-def matches(text: Column, pattern: str, kind: str, least: int, group: int = 0, probe: str | None = None) -> Column:
-    """Array of (kind, rank, start, end, value) of the leftmost matches whose `group` has `least` characters.
 
-    Spark tells what matched but not where: the parts between matches tell that, as their lengths and
-    the matches' lengths alternate. probe: a cheaper pattern that any text with a good match has.
+def chunks(array: Column) -> Column:
+    return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(1), F.size(array), F.lit(FOLD)), lambda i: F.slice(array, i, F.lit(FOLD))))
+
+
+def located(text: Column, pattern: str, group: int) -> Column:
+    """Array of (gap, whole, value) of the leftmost matches: the text before each since the last, the match, its group.
+
+    Spark tells what matched but not where: the parts between matches tell that.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    found = F.aggregate(
-        F.arrays_zip(whole.alias("whole"), value.alias("value"), F.slice(gaps, F.lit(1), F.size(whole)).alias("gap")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,rank:int,kind:string,value:string>>").alias("out")),
-        lambda acc, m: F.struct(
-            (acc["at"] + F.length(m["gap"]) + F.length(m["whole"])).alias("at"),
-            F.when(
-                F.length(m["value"]) >= least,
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(m["gap"])).cast("long").alias("start"),
-                            (acc["at"] + F.length(m["gap"]) + F.length(m["whole"])).cast("long").alias("end"),
-                            F.lit(["assign", "access", "hex", "markov"].index(kind)).alias("rank"),
-                            F.lit(kind).alias("kind"),
-                            m["value"].alias("value"),
-                        )
+    return F.arrays_zip(whole.alias("whole"), value.alias("value"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"))
+
+
+def matches(text: Column, pattern: str, kind: str, least: int, group: int = 0, probe: str | None = None) -> Column:
+    """Array of (start, end, rank, kind, value) of the leftmost matches whose `group` has `least` characters.
+
+    Places are running sums of lengths, `FOLD` matches at a time. probe: a cheaper pattern that any text with a good match has.
+    """
+    rank = ["assign", "access", "hex", "markov"].index(kind)
+    length = lambda m: (F.length(m["gap"]) + F.length(m["whole"])).cast("long")
+    cut = chunks(located(text, pattern, group))
+    sums = F.transform(cut, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda at, m: at + length(m)))
+    begin = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+
+    def fold(part: Column) -> Column:
+        return F.aggregate(
+            part["c"],
+            F.struct(part["at"].alias("at"), F.array().cast(SPAN).alias("out")),
+            lambda acc, m: F.struct(
+                (acc["at"] + length(m)).alias("at"),
+                F.when(
+                    F.length(m["value"]) >= least,
+                    F.concat(
+                        acc["out"],
+                        F.array(F.struct((acc["at"] + F.length(m["gap"])).alias("start"), (acc["at"] + length(m)).alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["value"].alias("value"))),
                     ),
-                ),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,rank:int,kind:string,value:string>>")
-    return F.when(F.rlike(text, F.lit(probe or pattern)), found).otherwise(empty)
+                ).otherwise(acc["out"]).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    found = F.flatten(F.transform(F.arrays_zip(cut.alias("c"), F.slice(begin, F.lit(1), F.size(cut)).alias("at")), fold))
+    return F.coalesce(F.when(F.rlike(text, F.lit(probe or pattern)), found), F.array().cast(SPAN))
+
+
+def without_assigned(text: Column) -> Column:
+    """The text with blanks in place of the base spans of kind assign; all else keeps its place."""
+    found = located(text, ASSIGN, 2)
+    parts = F.transform(found, lambda m: F.concat(m["gap"], F.when(F.length(m["value"]) >= LEAST["assign"], F.repeat(F.lit(" "), F.length(m["whole"]))).otherwise(m["whole"])))
+    rest = F.element_at(F.split(text, ASSIGN, -1), -1)
+    return F.when(F.rlike(text, F.lit(ASSIGN)), F.concat(F.array_join(parts, ""), rest)).otherwise(text)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -81,15 +103,16 @@ def train(docs: DataFrame, sample: int = 2000) -> list[float]:
     """Log-likelihood ratio of each character pair, random strings over ordinary identifiers.
 
     The labelled samples come from `sample` documents, those of least hash of doc_id: values of the base
-    spans are random strings, unless they are made of letters alone; words and underscore names of 8 characters on that
-    hold none are ordinary. Unseen pairs of random strings are as likely as any other, which is what random means;
+    spans are random strings, unless they are made of letters alone; words and names with underscores and hyphens, of 4 characters on and
+    outside all base spans, are ordinary. Unseen pairs of random strings are as likely as any other, which is what random means;
     those of identifiers are as likely as their second character. Of an empty table both models are even.
     """
     ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     texts = docs.join(ids, "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
     values = F.concat(*base_spans(F.col("text")).values())
     random = texts.select(F.explode(F.transform(values, lambda v: v["value"])).alias("word")).filter(F.col("word").rlike("[0-9]"))
-    plain = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_-]{4,}"), F.lit(0))).alias("word"))
+    clean = F.regexp_replace(without_assigned(F.col("text")), r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", " ")
+    plain = texts.select(F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z_-]{4,}"), F.lit(0))).alias("word"))
     a, b = pair_counts(random.filter("length(word) > 1")), pair_counts(plain)
     alphabet = [i - FIRST for i in range(FIRST, FIRST + CODES) if chr(i).isalnum() or chr(i) in "+/_=-"]
     n = len(alphabet)
@@ -105,21 +128,21 @@ def train(docs: DataFrame, sample: int = 2000) -> list[float]:
 
 
 def score(word: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio a pair."""
+    """Log-likelihood ratio, summed over the pairs of neighbours."""
     table = F.expr(f"cast(split('{','.join(f'{x:.4f}' for x in model)}', ',') as array<double>)")
-    code = lambda i: F.ascii(F.substring(word, i, F.lit(1))) - FIRST
-    return F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, code(i) * CODES + code(i + 1))) / (F.length(word) - 1)
+    codes = F.transform(F.split(word, ""), lambda c: F.ascii(c) - FIRST)
+    first = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0.0).alias("sum"))
+    return F.aggregate(codes, first, lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.coalesce(F.get(table, acc["last"] * CODES + c), F.lit(0.0))).alias("sum")), lambda acc: acc["sum"])
 
 
 def with_spans(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """`_row`, the row itself, and `_base` and `_spans`, arrays of (start, end, rank, kind, value) by start, then kind."""
     text = F.coalesce(F.col("_row.text"), F.lit(""))
-    found = docs.select(F.struct(*docs.columns).alias("_row")).withColumns({f"_{k}": v for k, v in base_spans(text).items()} | {"_runs": matches(text, RUN, "markov", LEAST_RUN)})
+    found = docs.select(F.struct(*docs.columns).alias("_row"))
+    found = found.withColumns({f"_{k}": v for k, v in base_spans(text).items()} | {"_runs": matches(without_assigned(text), RUN, "markov", LEAST_RUN)})
     found = found.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    good = F.filter(
-        "_runs",
-        lambda r: r["value"].rlike("[0-9]") & (score(r["value"], model) > threshold) & ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
-    )
+    # the characters of access and hex spans are characters of runs, so that a run which touches one holds it
+    good = F.filter("_runs", lambda r: ~r["value"].rlike(r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}") & (score(r["value"], model) > threshold))
     return found.withColumn("_spans", F.when(F.size("_runs") > 0, F.array_sort(F.concat("_base", good))).otherwise(F.col("_base")))
 
 
@@ -130,9 +153,10 @@ def joined(spans: str) -> Column:
 def scan(docs: DataFrame, sample: int = 2000) -> DataFrame:
     """One row a document with its secrets' counts by base kind and the spans of all kinds.
 
-    Spans are those of whole matches, in code points, end exclusive. The models add runs of 20 or more
-    characters that hold a digit, look more like a random string than like an identifier, and touch no base span.
-    Null and empty texts have none. Repeated rows are scanned each. An empty table gives no rows.
+    Spans are those of whole matches, in code points, end exclusive. The models add runs of 12 characters and more
+    that are likelier as a random string than as an identifier, by the sum over all pairs, and touch no base span.
+    Null and empty texts have none. Very long texts and very many spans take time in proportion to a span's text and
+    to the spans. Repeated rows are scanned each. An empty table gives no rows.
     Rows keep their partitions; only doc_id and text are read.
     """
     thin = docs.select("doc_id", "text")
@@ -143,16 +167,31 @@ def scan(docs: DataFrame, sample: int = 2000) -> DataFrame:
 
 
 def redact(docs: DataFrame, sample: int = 2000, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by `mark` (spans that overlap by one) and n_chars set anew where it exists."""
+    """docs with every span replaced by `mark` (spans that overlap by one) and n_chars set anew where it exists.
+
+    Rows without spans, null and empty texts among them, stay as they are; repeated rows are each redacted. All columns are
+    handed on under their names, whatever these are. An empty table gives no rows.
+    """
     out = with_spans(docs, train(docs.select("doc_id", "text"), sample))
-    done = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("_row.text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("_row.text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))),
-    )
+    cut = chunks(F.col("_spans"))
+    # how far all spans before a chunk reach
+    ends = F.transform(cut, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
+    reach = F.aggregate(ends, F.array(F.lit(0).cast("long")), lambda out, e: F.concat(out, F.array(F.greatest(F.element_at(out, -1), e))))
+    piece = lambda at, n: F.substring(F.col("_row.text"), (at + 1).cast("int"), n.cast("int"))
+
+    def fold(part: Column) -> Column:
+        return F.aggregate(
+            part["c"],
+            F.struct(part["at"].alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda acc, s: F.struct(
+                F.greatest(acc["at"], s["end"]).alias("at"),
+                F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(piece(acc["at"], s["start"] - acc["at"]), F.lit(mark)))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    parts = F.flatten(F.transform(F.arrays_zip(cut.alias("c"), F.slice(reach, F.lit(1), F.size(cut)).alias("at")), fold))
+    done = F.concat(F.array_join(parts, ""), piece(F.element_at(reach, -1), F.lit(2147483647)))
     new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     out = out.withColumn("_text", F.when(F.size("_spans") > 0, done))
     return out.select(*[F.coalesce(new[c], F.col(f"_row.`{c}`")).alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])

@@ -19,8 +19,8 @@ def packed(high: np.ndarray, low: np.ndarray, size: int) -> np.ndarray:
     return np.unique(high, return_inverse=True)[1] * size + low
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes of a text of positive numbers, in order of their first `depth` symbols at least.
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """All suffixes of a text of positive numbers, or those where the mask `wanted` is set, in order of their first `depth` symbols at least.
 
     Positions 1 and 2 modulo 3 are the difference cover: their triples are sorted and named, and unless the
     names tell all apart or reach `depth`, the text of names is sorted by recursion. Any two suffixes then compare by
@@ -28,7 +28,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(text)
     if n < 4:
-        return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
+        return np.array(sorted((i for i in range(n) if wanted is None or wanted[i]), key=lambda i: text[i:].tolist()), np.int64)
     t = np.concatenate((text.astype(np.int64), [0, 0, 0, 0]))
     size = int(t.max()) + 1
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
@@ -47,6 +47,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     covered = sample[order]
     covered = covered[covered < n]
     rest = np.arange(0, n, 3)
+    if wanted is not None:  # the others have served as ranks
+        covered, rest = covered[wanted[covered]], rest[wanted[rest]]
     m = len(sample) + 2
     rest = rest[np.argsort(packed(t[rest], rank[rest + 1], m))]
     # merge: how many covered suffixes of each kind lie before each of the rest
@@ -59,9 +61,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         # where order is only known to `depth`, keys may fall among those that are alike that far
         before += np.searchsorted(np.maximum.accumulate(key[: len(of)]), key[len(of) :])
     before = np.maximum.accumulate(before)
-    out = np.empty(n, np.int64)
+    out = np.empty(len(covered) + len(rest), np.int64)
     places = np.arange(len(rest)) + before
-    mask = np.ones(n, bool)
+    mask = np.ones(len(out), bool)
     mask[places] = False
     out[places] = rest
     out[mask] = covered
@@ -81,8 +83,7 @@ def search(units: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int
     starts = np.arange(n.sum()) - np.repeat(offsets(n)[:-1], n)
     number = np.full(len(text), -1, np.int64)
     number[starts + base[which]] = np.arange(len(starts))
-    order = number[suffix_array(text, length + 2)]
-    order = order[order >= 0]
+    order = number[suffix_array(text, length + 2, number >= 0)]
     begins = (starts + offsets(sizes)[:-1][which])[order]  # of windows in `units`
     eight = np.ndarray((max(0, len(units) - 7),), "<u8", np.ascontiguousarray(units), 0, (1,))  # eight bytes from each place on
     live = np.arange(len(begins) - 1)
