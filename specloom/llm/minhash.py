@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -83,14 +83,14 @@ def set_ids(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, how: MinMax) -> DataFrame:
-    """doc_id, n_shingles, node (number of the set, null if empty) and its bands; no shuffle."""
+    """doc_id, h (hash of the text), n_shingles, node (number of the set, null if empty) and its bands; no shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in batches(frame):
                 hashes, counts = sets_of(part["text"].tolist(), how.words)
                 full = counts > 0
-                out = pd.DataFrame({"doc_id": part["doc_id"].array, "n_shingles": counts.astype(np.int64)})
+                out = pd.DataFrame({"doc_id": part["doc_id"].array, "h": part["h"].array, "n_shingles": counts.astype(np.int64)})
                 node, band = np.zeros(len(part), object), np.zeros(len(part), object)
                 node[:], band[:] = None, None
                 if full.any():
@@ -100,7 +100,12 @@ def signed(docs: DataFrame, how: MinMax) -> DataFrame:
                 out["node"], out["bands"] = pd.array(node, "Int64"), band
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, node long, bands array<long>")
+    return docs.select("doc_id", "text", text_hash().alias("h")).mapInPandas(run, "doc_id long, h long, n_shingles long, node long, bands array<long>")
+
+
+def text_hash() -> Column:
+    """What tells the texts under one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
 
 
 def full_sets(docs: DataFrame, how: MinMax) -> DataFrame:
@@ -168,7 +173,12 @@ PIVOT_ROUNDS = 3
 
 
 def near_duplicates(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # noqa: B008
-    """One row a document: n_shingles, component_id and kept.
+    """One row a document: n_shingles, component_id and kept; see `judged`."""
+    return judged(docs, how).drop("h", "root")
+
+
+def judged(docs: DataFrame, how: MinMax) -> DataFrame:
+    """One row a document: doc_id, h (hash of the text), n_shingles, component_id, kept, and root, a number of its component.
 
     Equal sets are one node from the start. Nodes that share a band are a bucket. In each of a few rounds, every
     bucket that holds more than one component so far tests one node, the pivot, against its nodes of other components, on
@@ -216,13 +226,23 @@ def near_duplicates(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # no
     named = nodes.select("node", "rep").join(roots, "node")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
     linked = roots.join(lowest, "root").select("node", "component")
-    ids = nodes.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    out = sign.select("doc_id", "n_shingles", "node").join(ids, "node", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    ids = nodes.select("node", "rep").join(linked, "node", "left").join(roots, "node", "left").select("node", F.coalesce("component", "rep").alias("component"), F.coalesce("root", "node").alias("root"))
+    out = sign.select("doc_id", "h", "n_shingles", "node").join(ids, "node", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", "h", "n_shingles", "component_id", kept.alias("kept"), "root")
 
 
 def deduplicated(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # noqa: B008
-    """The rows of docs whose document is the first of its component."""
-    gone = near_duplicates(docs, how).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    boxed = docs.select(F.struct(*docs.columns).alias("_row"))
-    return boxed.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti").select("_row.*")
+    """The rows of docs without near copies: of each component one row, that of the least doc_id.
+
+    Rows are judged one by one, not by doc_id: of the texts under one doc_id, of rows without doc_id, and of rows that repeat,
+    those of one component leave one row (by hash of text, then of the row, where doc_ids tie; null doc_ids come last). Rows without
+    shingles, null and empty texts among them, all stay. All columns are handed on under their names, whatever these are. Very
+    long texts are judged whole. An empty table gives no rows.
+    """
+    rows = judged(docs, how).select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n"), F.col("h").alias("_h"), "root")
+    first = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct("_n", "_d", "_h")).alias("_f")).select("_f.*", F.lit(True).alias("_one"))
+    stay = first.unionByName(rows.filter("root is null").select("_n", "_d", "_h", F.lit(False).alias("_one")).distinct())
+    boxed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n"), text_hash().alias("_h"))
+    place = F.row_number().over(Window.partitionBy("_n", "_d", "_h").orderBy(F.xxhash64("_row")))
+    return boxed.join(stay, ["_n", "_d", "_h"]).withColumn("_at", place).filter("not _one or _at = 1").select("_row.*")

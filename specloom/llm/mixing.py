@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,7 +60,12 @@ def sainte_lague(rows: DataFrame, keys: list[str], votes: str, seats, seats_name
     return ranked.groupBy(*kept, "_low").agg(won.alias("_won")).select(*kept, (F.col("_low") + F.col("_won")).cast("long").alias(seats_name))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64, block_words: int = 1024, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), **options) -> DataFrame:
+    """What a mix of all sources takes from each document; see `taken_of`."""
+    return taken_of(docs, weights, **options).drop("_d", "_n", "_h")
+
+
+def taken_of(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64, block_words: int = 1024, seed: str = "mix") -> DataFrame:
     """What a mix of all sources takes from each document.
 
     Sizes are words. Every source gets a whole number of equal blocks by Sainte-Lague on its target, and
@@ -80,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64,
     scratch = Scratch(spark, "mix")
     seeded = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
     thin = docs.select(
-        "doc_id", F.col("source").isNull().alias("_null"), F.coalesce(F.col("source"), F.lit("")).alias("_source"), n_words("text").alias("size"), seeded.alias("_at")
+        "doc_id", F.col("source").isNull().alias("_null"), F.coalesce(F.col("source"), F.lit("")).alias("_source"), n_words("text").alias("size"), seeded.alias("_at"), *row_key()
     )
     thin = scratch.keep(thin.withColumn("_shard", (F.conv(F.substring("_at", 1, 4), 16, 10).cast("int") % shards)), "sizes")
     cells = scratch.keep(thin.groupBy("_null", "_source", "_shard").agg(F.sum("size").alias("_words")), "cells")
@@ -107,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64,
         .join(quota, ["_null", "_source", "_shard"])
         .select(
             "doc_id", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"),
-            F.when(~F.col("_null"), F.col("_source")).alias("source"), F.col("_shard").alias("shard"),
+            F.when(~F.col("_null"), F.col("_source")).alias("source"), F.col("_shard").alias("shard"), "_d", "_n", "_h",
         )
     )
 
@@ -115,11 +120,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64,
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), **options) -> DataFrame:
     """docs as the mix takes them: a document comes once for each time that half of it or more is taken.
 
-    Documents of which the mix takes less than half go. doc_id tells documents apart here.
+    A shard takes whole rounds over its documents and one run of blocks, so that only a document at an end of that run is taken in part;
+    of all others the mix takes whole copies, and none of those that it leaves out. Documents without words come once.
+    doc_id and text tell documents apart here; of repeated rows each comes as often as the one that is taken most. Null sources
+    are a source, null and very long texts are as in `mix`. All columns are handed on under their names, whatever these are. An empty table gives no rows.
     """
-    taken = mix(docs, weights, **options)
-    copies = taken.groupBy("doc_id").agg(F.max(F.expr("if(size > 0, (2 * taken + size) div (2 * size), 1)")).cast("int").alias("_copies"))
-    boxed = docs.select(F.struct(*docs.columns).alias("_row"))
-    copies = copies.withColumnRenamed("doc_id", "_id").filter("_copies > 0")
-    out = boxed.join(copies, F.col("_row.doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    taken = taken_of(docs, weights, **options)
+    copies = taken.groupBy("_d", "_n", "_h").agg(F.max(F.expr("if(size > 0, (2 * taken + size) div (2 * size), 1)")).cast("int").alias("_copies")).filter("_copies > 0")
+    boxed = docs.select(F.struct(*docs.columns).alias("_row"), *row_key())
+    out = boxed.join(copies, ["_d", "_n", "_h"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select("_row.*")
+
+
+def row_key() -> list[Column]:
+    """Columns without nulls that tell documents apart: doc_id and text."""
+    return [F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n"), F.xxhash64("text").alias("_h")]
