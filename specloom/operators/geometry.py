@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 def crop_to_min_area(spectra: DataFrame) -> DataFrame:
     """Indices from 0 and the size of each dataset in nx, ny, nz."""
     ends = spectra.groupBy("dataset_id").agg(*[f(c).alias(f"_{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
-    out = spectra.join(F.broadcast(ends), "dataset_id")  # one row a dataset
+    out = spectra.join(ends, "dataset_id")
     moved = {c: F.col(c) - F.col(f"_lo{c}") for c in "xyz"} | {f"n{c}": F.col(f"_hi{c}") - F.col(f"_lo{c}") + 1 for c in "xyz"}
     return out.withColumns(moved).drop(*[f"_{n}{c}" for c in "xyz" for n in ("lo", "hi")])
 
@@ -98,7 +98,7 @@ def rescale(pixels: DataFrame, keys: list[str], low: float, high: float) -> Data
     v = F.col("value")
     clean = pixels.withColumn("value", F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v))
     ends = clean.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    out = clean.join(F.broadcast(ends), keys)  # one row an image
+    out = clean.join(ends, keys)
     span = F.col("_hi") - F.col("_lo")
     return out.withColumn("value", F.when(span > 0, low + (v - F.col("_lo")) / span * (high - low)).otherwise(low)).drop("_lo", "_hi")
 

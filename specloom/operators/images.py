@@ -170,7 +170,7 @@ def equidistant_bins(pts: DataFrame, bins: int, keys: list[str] | None = None) -
     """Bins of range / bins counted from 0, not from the least x: accumulators of each that is hit."""
     keys = keys or []
     ends = pts.groupBy(*keys).agg(((F.max("mz") - F.min("mz")) / bins).alias("_size"))
-    cut = pts.join(F.broadcast(ends), keys) if keys else pts.join(F.broadcast(ends), F.lit(True))  # one row a series
+    cut = pts.join(ends, keys) if keys else pts.join(F.broadcast(ends), F.lit(True))  # one row a series
     return (
         cut.withColumn("bin", F.floor(F.col("mz") / F.col("_size")).cast("long"))
         .groupBy(*keys, "bin")

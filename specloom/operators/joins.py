@@ -46,7 +46,7 @@ def annotate_features(intervals: DataFrame, records: DataFrame, within: float =
     order matters within a chunk only, so chunks run apart.
     """
     twice = intervals.groupBy("list_id").agg((F.count(F.lit(1)) > F.count_distinct("x_mean")).alias("_again")).filter("_again").select("list_id")
-    free = intervals.join(F.broadcast(twice), "list_id", "left_semi").filter("coalesce(description, '') = ''")  # one row a list
+    free = intervals.join(twice, "list_id", "left_semi").filter("coalesce(description, '') = ''")  # one row a list
     left = free.select("list_id", F.round("x_mean", 4).alias("v"), F.col("interval_id").alias("id"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("name"))
     lists = free.select("list_id").distinct()
     right = records.join(F.broadcast(lists), F.lit(True)).select("list_id", F.col("mz").alias("v"), F.col("record_id").alias("id"), F.lit(1).alias("side"), "name")  # every list meets every record once

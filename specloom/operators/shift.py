@@ -18,7 +18,7 @@ def shift_map(spectra: DataFrame, centre: float, tol: float, least: float = 0.3)
     mean = overview_shared_axis(spectra).filter(inside).groupBy("dataset_id").agg(top("mean").alias("_m"))
     own = points(spectra.select("dataset_id", "spectrum_id", "x", "y", "z", "mzs", "ints")).filter(inside).groupBy("dataset_id", "spectrum_id", "x", "y", "z").agg(top("intensity").alias("_o"))
     high = F.col("_o.y") > F.col("_m.y") * least
-    return own.join(F.broadcast(mean), "dataset_id").select(  # one row a dataset
+    return own.join(mean, "dataset_id").select(
         "dataset_id", "spectrum_id", "x", "y", "z",
         F.when(high, F.col("_o.pos") - F.col("_m.pos")).otherwise(0).alias("shift"),
         F.when(high, F.abs(F.col("_o.mz") - F.col("_m.mz"))).otherwise(0.0).alias("delta_mz"),
@@ -32,7 +32,7 @@ def overview_shifted(spectra: DataFrame, shift: DataFrame) -> DataFrame:
     axes = spectra.groupBy("dataset_id").agg(F.first("mzs").alias("_axis"), F.count(F.lit(1)).alias("_n"))
     moved = spectra.join(shift.select("dataset_id", "spectrum_id", "shift"), ["dataset_id", "spectrum_id"]).select("dataset_id", "shift", "mzs", "ints")
     sums = points(moved).groupBy("dataset_id", (F.col("pos") - F.col("shift")).alias("at")).agg(F.sum("intensity").alias("sum"), F.greatest(F.max("intensity"), F.lit(0.0)).alias("max"))
-    out = sums.join(F.broadcast(axes), "dataset_id").join(F.broadcast(ends), "dataset_id")  # one row a dataset
+    out = sums.join(axes, "dataset_id").join(ends, "dataset_id")
     n, axis, at = F.size("_axis"), F.col("_axis"), F.col("at")
     low, high = F.get(axis, F.lit(0)), F.element_at(axis, -1)
     mz = F.when(at < 0, low + at * (F.get(axis, F.lit(1)) - low)).when(at >= n, high + (at - n + 1) * (high - F.element_at(axis, -2))).otherwise(F.get(axis, F.greatest(F.lit(0), F.least(at, n - 1))))

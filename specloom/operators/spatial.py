@@ -22,9 +22,9 @@ def image_norm(pixels: DataFrame, kind: str, keys: tuple[str, ...] = ("dataset_i
     keys = list(keys)
     stats = masked_stats(pixels, keys)
     if kind == "robust":
-        distance = pixels.join(F.broadcast(stats.select(*keys, F.col("median").alias("_m"))), keys).filter("label > 0")
+        distance = pixels.join(stats.select(*keys, F.col("median").alias("_m")), keys).filter("label > 0")
         stats = stats.join(distance.groupBy(*keys).agg((F.median(F.abs(F.col("value") - F.col("_m"))) * 1.4826).alias("mad")), keys)
-    out = pixels.join(F.broadcast(stats), keys)  # one row an image
+    out = pixels.join(stats, keys)
     v, mean, std, lo, hi = (F.col(c) for c in ("value", "mean", "std", "min", "max"))
     nan = F.lit(float("nan"))
     span = hi - lo
@@ -53,7 +53,7 @@ def gathered(pixels: DataFrame, keys: list[str], axes: str, radius: int) -> Data
     for what is outside.
     """
     ends = pixels.groupBy(*keys).agg(*[F.max(c).alias(f"_n{c}") for c in "xyz"])
-    df = pixels.select(*keys, "x", "y", "z", "value").join(F.broadcast(ends), keys)  # one row an image
+    df = pixels.select(*keys, "x", "y", "z", "value").join(ends, keys)
     df = df.withColumn("_o", F.explode(offsets(radius, axes)))
     # the pixel at (x, y) is what (tx, ty) sees at offset d if clamp(t + d) = (x, y): t = x - d, or any t whose t + d is beyond the edge
     for c in "xyz":
@@ -107,11 +107,12 @@ def windowed(value: Column, low: Column, high: Column) -> Column:
 def composite(pixels: DataFrame, layers: DataFrame, mode: str = "max") -> DataFrame:
     """One colour a pixel from several images: layers holds feature_id, low, high, r, g, b.
 
-    Every image goes to [0, 1], then its window to [0, 1]. max: the first image of the largest value colours the pixel,
+    Every image goes to [0, 1], each of a dataset and feature by itself, then its window to [0, 1]. max: the first image of the largest value colours the pixel,
     and `winner` is its place; mean: the mean of the images' colours. Colours run to 255.
     """
-    ends = pixels.groupBy("feature_id").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    df = pixels.join(F.broadcast(ends), "feature_id").join(F.broadcast(layers.withColumn("_place", F.row_number().over(Window.orderBy("feature_id")))), "feature_id")  # one row an image
+    ends = pixels.groupBy("dataset_id", "feature_id").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    places = layers.withColumn("_place", F.row_number().over(Window.orderBy("feature_id")))  # one row a colour that the user gives
+    df = pixels.join(ends, ["dataset_id", "feature_id"]).join(places, "feature_id")
     unit = F.when(F.col("_hi") > F.col("_lo"), (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     df = df.withColumn("_v", windowed(unit, F.col("low"), F.col("high")))
     if mode == "max":
@@ -135,7 +136,7 @@ def mask_dilate(mask: DataFrame, radius: int, flat: bool = True) -> DataFrame:
     steps = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", s, strict=True)]) for s in ball(radius, flat)])
     on = mask.filter("label != 0").select(*PIXEL, F.explode(steps).alias("_s"))
     grown = on.select("dataset_id", *[(F.col(c) + F.col(f"_s.{c}")).alias(c) for c in "xyz"]).distinct()
-    return grown.join(F.broadcast(extents(mask)), "dataset_id").filter(" and ".join(f"{c} between 0 and _n{c}" for c in "xyz")).select(PIXEL)
+    return grown.join(extents(mask), "dataset_id").filter(" and ".join(f"{c} between 0 and _n{c}" for c in "xyz")).select(PIXEL)
 
 
 def mask_erode(mask: DataFrame, radius: int, flat: bool = True) -> DataFrame:
@@ -190,11 +191,11 @@ def pixel_number() -> Column:
     return (F.col("z").cast("long") * 1048576 + F.col("y")) * 1048576 + F.col("x")
 
 
-def connected_components(mask: DataFrame, full: bool = False, tile: int = 256, keep: int = 65535) -> DataFrame:
+def connected_components(mask: DataFrame, full: bool = False, tile: int = 256, keep: int | None = None) -> DataFrame:
     """Pixel, label and size of the components of each dataset's foreground; labels 1 to N by falling size, then first pixel.
 
     Tiles are labelled each by itself (their size bounds the memory), then the pairs of labels that touch across tile
-    edges are merged as a graph. Components after `keep` are dropped.
+    edges are merged as a graph. All components stay, unless `keep` says how many labels there may be (65535 fit 16 bits).
     """
     scratch = Scratch(mask.sparkSession, "components")
     tiles = scratch.keep(label_tiles(mask, full, tile), "tiles")
@@ -206,18 +207,20 @@ def connected_components(mask: DataFrame, full: bool = False, tile: int = 256, k
     touching = seen.join(edge.select(*PIXEL, F.col("node").alias("_b")), PIXEL).filter("_a != _b").select("dataset_id", "_a", "_b").distinct()
     ids = scratch.keep(tiles.select("dataset_id").distinct().withColumn("_d", F.row_number().over(Window.orderBy("dataset_id")).cast("long")), "datasets")
     wide = F.lit(1 << 50)
-    named = lambda df, *cols: df.join(F.broadcast(ids), "dataset_id").select("*", *[(F.col("_d") * wide + F.col(c)).alias(f"{c}_") for c in cols])
+    named = lambda df, *cols: df.join(ids, "dataset_id").select("*", *[(F.col("_d") * wide + F.col(c)).alias(f"{c}_") for c in cols])
     roots = components(named(touching, "_a", "_b"), "_a_", "_b_", "components-graph")
     merged = named(tiles, "node").join(roots.withColumnRenamed("node", "node_"), "node_", "left").withColumn("root", F.coalesce("root", "node_"))
     sizes = merged.groupBy("dataset_id", "root").agg(F.count(F.lit(1)).alias("size"), F.min("pixel").alias("_first"))
-    ranked = sizes.withColumn("label", F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.desc("size"), "_first"))).filter(F.col("label") <= keep)
+    ranked = sizes.withColumn("label", F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.desc("size"), "_first")))
+    if keep is not None:
+        ranked = ranked.filter(F.col("label") <= keep)
     return merged.join(ranked, ["dataset_id", "root"]).select(*PIXEL, F.col("label").cast("int").alias("label"), "size")
 
 
 def fill_holes(mask: DataFrame, tile: int = 256) -> DataFrame:
     """The full mask with background regions that don't reach the border turned to foreground; flat images use their 2-D border."""
     background = connected_components(mask.withColumn("label", (F.col("label") == 0).cast("int")), False, tile, 2**31 - 1)
-    ends = F.broadcast(extents(mask))
+    ends = extents(mask)
     border = "x in (0, _nx) or y in (0, _ny) or (_nz > 0 and z in (0, _nz))"
     outside = background.join(ends, "dataset_id").filter(border).select("dataset_id", "label").distinct()
     holes = background.join(outside, ["dataset_id", "label"], "left_anti").select(PIXEL)

@@ -316,11 +316,9 @@ def stacked(spark, sf_dir):
     return geometry.stack([df.filter("label < 5"), df.filter("label >= 5")], "x").select("spectrum_id", "x", "y")
 
 
-@query(f"WITH {CUBE} SELECT spectrum_id, x, y, CAST(spectrum_id % 2 AS INTEGER) AS z FROM cube WHERE x >= 23 AND y < (SELECT max(y) FROM cube) AND x < 25")
+@query(f"WITH {CUBE} SELECT spectrum_id, x, y, CAST(spectrum_id % 2 AS INTEGER) AS z FROM cube")
 def stacked_slices(spark, sf_dir):
-    df = cube(spark, sf_dir)
-    top = df.agg(F.max("y").alias("_t"))
-    df = df.join(F.broadcast(top), F.lit(True)).filter("x >= 23 and y < _t").select("spectrum_id", "x", "y")
+    df = cube(spark, sf_dir).select("spectrum_id", "x", "y")
     # both halves reach the last column and the last row
     return geometry.stack_slices([df.filter("spectrum_id % 2 = 0"), df.filter("spectrum_id % 2 = 1")])
 
@@ -331,17 +329,17 @@ def matrix(spark, sf_dir, n=64):
 
 
 def columns_sql(expr):
-    return f"WITH {CUBE} SELECT spectrum_id, " + ", ".join(f"round({expr.format(c=f'ints[{i + 1}]')}, 6) + 0.0 AS f{i}" for i in range(8)) + " FROM cube"
+    return f"WITH {CUBE} SELECT spectrum_id, " + ", ".join(f"round({expr.format(c=f'ints[{i + 1}]')}, 6) + 0.0 AS f{i}" for i in range(64)) + " FROM cube"
 
 
 @query(columns_sql("({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())"))
 def minmax_columns(spark, sf_dir):
-    return rounded(multivariate.minmax_columns(matrix(spark, sf_dir, 8)).drop("dataset_id", "x", "y", "z"))
+    return rounded(multivariate.minmax_columns(matrix(spark, sf_dir)).drop("dataset_id", "x", "y", "z"))
 
 
 @query(columns_sql("({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()"))
 def standardized_columns(spark, sf_dir):
-    return rounded(multivariate.standardize_columns(matrix(spark, sf_dir, 8)).drop("dataset_id", "x", "y", "z"))
+    return rounded(multivariate.standardize_columns(matrix(spark, sf_dir)).drop("dataset_id", "x", "y", "z"))
 
 
 @query()

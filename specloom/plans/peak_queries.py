@@ -167,13 +167,13 @@ def next_peaks(spark, sf_dir):
     return joins.step_peaks(lists, centres, 0.5)
 
 
-RANGES = "rg AS (SELECT min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem WHERE l_quantity > 45 GROUP BY l_suppkey)"
+RANGES = "rg AS (SELECT min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY l_suppkey)"
 
 
 @query(f"""WITH {RANGES} SELECT coalesce(max(CASE WHEN 60010.0 BETWEEN low AND high THEN 60010.0::DOUBLE END), min(low) FILTER (WHERE low > 60000)) AS forward,
   coalesce(max(CASE WHEN 59990.0 BETWEEN low AND high THEN 59990.0::DOUBLE END), max(high) FILTER (WHERE high < 60000)) AS backward FROM rg""")
 def neighbour_positions(spark, sf_dir):
-    df = read(spark, sf_dir, "lineitem").filter("l_quantity > 45").groupBy("l_suppkey").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+    df = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
     return joins.step_position(df, 60000.0, 10.0).withColumnRenamed("position", "forward").join(joins.step_position(df, 60000.0, 10.0, False).withColumnRenamed("position", "backward"), F.lit(True))  # one row each
 
 

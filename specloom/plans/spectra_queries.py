@@ -170,9 +170,9 @@ def ion_image_centroid(spark, sf_dir):
     return images.ion_image(centroid_spectra(spark, sf_dir), 300.0, 10.0, pooling="sum", centroid_norm="sum").select("x", "y", r("value").alias("value"))
 
 
-@query(f"""WITH {CUBE} SELECT spectrum_id, p_partkey AS interval_id, round(avg(intensity), 6) AS value FROM pts JOIN part ON mz BETWEEN p_retailprice / 2 - 0.6 AND p_retailprice / 2 + 0.6 GROUP BY ALL""")
+@query(f"""WITH {CUBE} SELECT spectrum_id, s_suppkey AS interval_id, round(avg(intensity), 6) AS value FROM pts JOIN supplier ON mz BETWEEN 400 + abs(s_acctbal) % 32 - 0.6 AND 400 + abs(s_acctbal) % 32 + 0.6 GROUP BY ALL""")
 def feature_matrix(spark, sf_dir):
-    wanted = targets(spark, sf_dir).withColumn("x_mean", F.col("x_mean") / 2)
+    wanted = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("interval_id"), (400 + F.abs("s_acctbal") % 32).alias("x_mean"))
     return images.feature_matrix(cube(spark, sf_dir), wanted, 0.6).select("spectrum_id", "interval_id", r("value").alias("value"))
 
 
