@@ -153,7 +153,7 @@ def search(units: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int
     return out
 
 
-WORDS = Passages(length=13, gram=5, symbols=words_of, units=lambda symbols, raw: symbols, unit=np.uint64, search=search)
+WORDS = Passages(length=13, gram=5, symbols=words_of, units=lambda symbols, raw: symbols, unit=np.uint64, search=search, part_bytes=1 << 17)
 
 
 def kept_words(raw: list[bytes], symbols: np.ndarray, counts: np.ndarray, mask: np.ndarray) -> pd.DataFrame:

@@ -6,6 +6,7 @@ import html as references
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,50 +47,79 @@ SIZE = 4096  # hashed features
 
 @dataclass
 class Block:
-    path: tuple[str, ...]  # tags and name parts of all ancestors, outermost first
+    path: frozenset[str]  # tags and name parts of all ancestors
     tag: str
     text: str
     linked: int  # characters inside links
 
 
+def tokens(page: str) -> Iterator[re.Match | dict]:
+    """Tags, comments, raw elements and text, in one pass: behind the last ">" no tag can end, so none is looked for there."""
+    end = page.rfind(">") + 1
+    m = None
+    for m in TOKEN.finditer(page, 0, end):
+        yield m
+    rest = page[end:].split("<!--")[0]
+    if m and ((m["raw"] and not re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I)) or (m[0].startswith("<!--") and not m[0].endswith("-->"))):
+        return  # what is open takes all the rest
+    if rest:
+        yield {"text": rest}
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: runs of text between the ends of block elements, white space as one space.
 
     Text of hidden elements goes. One that is left open ends with what it stands in; a head ends at the
     first text or tag that can't stand in it, a drawing or formula at the first tag that breaks out.
+    Takes time in proportion to the page, however deep or broken it is.
     """
     stack: list[tuple[str, tuple[str, ...]]] = []
+    above: Counter[str] = Counter()  # tags and names on the stack
     hidden: list[int] = []  # places of hidden elements on the stack
     out: list[Block] = []
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
+
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        stack.append((tag, names))
+        above.update((tag, *names))
+
+    def pop() -> None:
+        tag, names = stack.pop()
+        for x in (tag, *names):
+            if above[x] == 1:
+                del above[x]
+            else:
+                above[x] -= 1
 
     def cut(at: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[at:])
-        del stack[at:]
+        while len(stack) > at:
+            pop()
         while hidden and hidden[-1] >= at:
             hidden.pop()
 
+    def place(tag: str) -> int | None:
+        """The innermost open element of this tag."""
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if tag in above else None
+
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                path = tuple(x for tag, names in stack for x in (tag, *names))
                 tag = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-                out.append(Block(path, tag, text, min(linked, len(text))))
+                out.append(Block(frozenset(above), tag, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         if (text := m["text"]) is not None:
             if hidden and stack[-1][0] == "head" and text.strip():
                 cut(hidden[-1])
             if hidden:
                 continue
             parts.append(text)
-            if links:
+            if "a" in above:
                 linked += len(text)
             continue
         if m["raw"] or m["title"]:
@@ -102,7 +132,7 @@ def blocks(page: str) -> list[Block]:
         opens = not m["end"] and tag not in VOID and not (m["attrs"].endswith("/") and not UNQUOTED.search(m["attrs"]))
         if hidden:
             if m["end"]:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                at = place(tag)
                 if at is None:
                     continue
                 cut(max(at, hidden[0]))
@@ -120,30 +150,29 @@ def blocks(page: str) -> list[Block]:
                     if opens:
                         if tag in HIDDEN and not (tag == "head" and within == "head"):
                             hidden.append(len(stack))
-                        stack.append((tag, ()))
+                        push(tag, ())
                     continue
         if tag in HIDDEN and not m["end"]:
             parts.append(" ")
-            if opens and not (tag == "head" and any(t == "body" for t, _ in stack)):
+            if opens and not (tag == "head" and "body" in above):
                 hidden.append(len(stack))
-                stack.append((tag, ()))
+                push(tag, ())
             continue
         if tag == "br":
             parts.append("\n")
         elif tag not in INLINE:
             flush()
         if m["end"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            at = place(tag)
             if at is not None:
                 cut(at)
         elif opens:
             if tag in CLOSES_ITSELF or tag not in INLINE:
                 # inline elements that were left open end with their block; so does a p or li that the next one closes
                 while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or (stack[-1][0] == tag and tag in CLOSES_ITSELF)):
-                    links -= stack.pop()[0] == "a"
+                    pop()
             names = tuple("." + x.lower() for a in NAMES.findall(m["attrs"]) for x in PART.findall("".join(a))) if m["attrs"] else ()
-            stack.append((tag, names))
-            links += tag == "a"
+            push(tag, names)
     flush()
     return out
 
@@ -152,14 +181,14 @@ def bucket(x: float, edges: tuple[float, ...]) -> int:
     return sum(x >= e for e in edges)
 
 
-def features(b: Block, drop: frozenset[str] = frozenset()) -> list[str]:
-    """Names of the features that hold: ancestors, their names, and what the text looks like."""
+def features(b: Block, count: int = 9, drop: frozenset[str] = frozenset()) -> list[str]:
+    """Names of the features that hold: ancestors, their names, what the text looks like, and how many blocks the page has."""
     words = b.text.split()
     n = len(words)
     ends = b.text[-1] in ".!?:;…\"”»)"
     dense = b.linked / len(b.text)
     shape = f"{bucket(n, (2, 4, 8, 16, 32, 64))}{'e' if ends else '-'}{bucket(dense, (0.01, 0.34, 0.67))}"
-    out = ["bias", f"t{shape}", f"n{shape[0]}", f"d{shape[2]}", f"e{ends}", f"u{bucket(sum(w[0].isupper() for w in words) / n, (0.2, 0.5, 0.8))}", f"c{bool(re.search('[©|»›]', b.text))}", f"g{bucket(sum(c.isdigit() for c in b.text) / len(b.text), (0.05, 0.2))}"]
+    out = ["bias", f"p{bucket(count, (2, 3, 5, 9))}", f"t{shape}", f"n{shape[0]}", f"d{shape[2]}", f"e{ends}", f"u{bucket(sum(w[0].isupper() for w in words) / n, (0.2, 0.5, 0.8))}", f"c{bool(re.search('[©|»›]', b.text))}", f"g{bucket(sum(c.isdigit() for c in b.text) / len(b.text), (0.05, 0.2))}"]
     for x in {*b.path, f"in-{b.tag}"}:
         if x not in drop:
             out.append("a" + x)
@@ -182,7 +211,7 @@ class Crf:
         best = [0.0, 0.0]
         back: list[tuple[int, int]] = []
         for i, b in enumerate(page):
-            own = (0.0, float(self.weight[hashed(features(b))].sum()))
+            own = (0.0, float(self.weight[hashed(features(b, len(page)))].sum()))
             if i:
                 step = [max((best[p] + self.pair[p, q], p) for p in (0, 1)) for q in (0, 1)]
                 back.append((step[0][1], step[1][1]))
@@ -264,7 +293,9 @@ def labelled_page(rng: random.Random, sentences: list[str]) -> list[tuple[Block,
         tag = rng.choice([own, "div", "div", "section" if kind == "comments" else "div"])
         names = "" if tag == own != "section" and rng.random() < 0.5 else f' {rng.choice(["class", "id"])}="{name}"'
         if kind == "menu":
-            inner = "<ul>" + "".join(f'<li><a href="#">{words(rng.randint(1, 2))}</a></li>' for _ in range(rng.randint(3, 9))) + "</ul>"
+            inner = "<ul>" + "".join(f'<li><a href="#">{words(rng.randint(1, 2))}</a></li>' for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 6, 7, 8, 9]))) + "</ul>"
+            if rng.random() < 0.3:
+                inner = " ".join(f'<a href="#">{words(rng.randint(1, 2))}</a>' for _ in range(rng.choice([1, 1, 2, 3, 5, 8])))
         elif kind == "footer":
             inner = f"&copy; {words(2)} {rng.randint(1999, 2030)} &middot; {prose(1)}"
         elif kind == "form":
@@ -277,8 +308,13 @@ def labelled_page(rng: random.Random, sentences: list[str]) -> list[tuple[Block,
             inner = f"<p>{prose(rng.randint(1, 2))}</p>" if rng.random() < 0.5 else prose(1)
         return f"<{tag}{names}>{inner}</{tag}>"
 
-    shape = [(f"<h1>{words(rng.randint(3, 9))}</h1>", 1)] if rng.random() < 0.9 else []
-    for _ in range(rng.randint(1, 14)):
+    bare = rng.random() < 0.25  # a short text, often alone on its page
+    shape = [(f"<h1>{words(rng.randint(1, 9))}</h1>", 1)] if rng.random() < (0.3 if bare else 0.9) else []
+    for _ in range(rng.randint(1, 3) if bare else 0):
+        tag = rng.choice(["p", "p", "p", "pre", "div", "li", "blockquote"])
+        inner = words(rng.randint(1, 6)) if rng.random() < 0.7 else prose(1)
+        shape.append((f"<{tag}>{inner}</{tag}>", 1))
+    for _ in range(0 if bare else rng.randint(1, 14)):
         kind = rng.random()
         inner = prose(rng.randint(1, 7)) if kind < 0.85 else words(rng.randint(1, 6))
         tag = "p" if kind < 0.9 else rng.choice(["h2", "li", "blockquote", "td", "div"])
@@ -292,8 +328,11 @@ def labelled_page(rng: random.Random, sentences: list[str]) -> list[tuple[Block,
         shape.insert(rng.choice([len(shape), len(shape), rng.randint(0, len(shape))]), (f"<p>{note} {rng.choice(['', f'{rng.uniform(0, 99):.1f}', str(rng.randint(1, 2030))])}.</p>", 1))
     wrap = rng.choice(["article", "main", "article", "div", "section"])
     wrap, close = (f"<{wrap}>" if wrap in ("article", "main") and rng.random() < 0.7 else f'<{wrap} class="{rng.choice(MAIN)}">'), f"</{wrap}>"
-    before = [(other(k), 0) for k in ("header", "menu", "notice", "advert", "side") if rng.random() < 0.5]
-    after = [(other(k), 0) for k in ("share", "comments", "side", "advert", "form", "notice", "footer") if rng.random() < 0.5]
+    if bare and rng.random() < 0.3:
+        wrap = close = ""
+    most = 0.5 if not bare else rng.choice([0, 0, 0.3])
+    before = [(other(k), 0) for k in ("header", "menu", "notice", "advert", "side") if rng.random() < most]
+    after = [(other(k), 0) for k in ("share", "comments", "side", "advert", "form", "notice", "footer") if rng.random() < most]
     rng.shuffle(before)
     inside = [x for x in after if rng.random() < 0.2]
     after = [x for x in after if x not in inside]
@@ -320,7 +359,7 @@ def train(sample: list[str], pages: int = 400, seed: int = 9) -> Crf:
     data = []
     for page in labelled:
         hidden = frozenset({x for b, _ in page for x in (*b.path, f"in-{b.tag}")}) if rng.random() < 0.2 else frozenset()
-        data.append(([hashed(features(b, hidden)) for b, _ in page], [y for _, y in page]))
+        data.append(([hashed(features(b, len(page), hidden)) for b, _ in page], [y for _, y in page]))
     return fit(data)
 
 

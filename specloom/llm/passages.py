@@ -35,7 +35,8 @@ from specloom.llm.symbols import CHUNK_BYTES, INV, MUL, mix, offsets, powers, sl
 class Passages:
     """length, gram: of windows and of the runs whose hashes make keys. symbols: texts to 64-bit symbols and their
     counts. units: symbols and texts to the array whose slices are contexts. search: the units of contexts, joined, their sizes and
-    owners to the least owner of each window. shard_bytes: of contexts in a shard."""
+    owners to the least owner of each window. part_bytes: of contexts in a shard on average, which is as much as fits a processor's
+    cache. shard_bytes: of contexts of one key that a shard may take."""
 
     length: int
     gram: int
@@ -44,6 +45,7 @@ class Passages:
     unit: type
     search: Callable
     shard_bytes: int = 1 << 20
+    part_bytes: int = 1 << 16
 
 
 #: Windows of a run at most; a longer one, as of one symbol over and over, is cut.
@@ -280,7 +282,7 @@ def marks_of(scratch: Scratch, distinct: DataFrame, p: Passages) -> DataFrame:
     groups = distinct.groupBy("key").agg(F.sum(F.octet_length("units")).alias("b"))
     large = scratch.keep(groups.filter(F.col("b") > p.shard_bytes).select("key"), "large")
     total = distinct.agg(F.sum(F.octet_length("units"))).first()[0] or 0
-    shards = int(total // p.shard_bytes + 1)
+    shards = int(total // p.part_bytes + 1)
     small = distinct.join(large, "key", "left_anti").withColumn("part", F.lit(0).cast("long"))
     marks = scratch.keep(least_owners(small, p, shards), "marks")
     if large.isEmpty():

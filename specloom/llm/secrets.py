@@ -19,84 +19,74 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Runs that the models judge, and the characters they know: codes 43 to 122, "+" to "z".
 RUN = r"[A-Za-z0-9+/_=-]{12,}"
 LEAST_RUN, FIRST, CODES = 12, 43, 80
-#: Pairs that count as seen beforehand for each first character: even ones of random strings, the usual ones of identifiers.
-EVEN, USUAL = 16, 8
-#: A run is a secret if its log-likelihood ratio, summed over its character pairs, is over this much.
-THRESHOLD = 20.0
+#: Pairs that count as seen beforehand for each first character: of random strings half even ones and half their usual ones, the usual ones of identifiers.
+EVEN, USUAL = 128, 8
+#: A run is a secret if its log-likelihood ratio, summed over its character pairs, is over this much; of runs that follow the model of
+#: identifiers, one in exp(threshold) does at most.
+THRESHOLD = 10.0
 #: Spans that are folded at a time: a fold copies what it has, so long ones are cut.
 FOLD = 256
 
 SPAN = "array<struct<start:bigint,end:bigint,rank:int,kind:string,value:string>>"
 
 
-def chunks(array: Column) -> Column:
-    return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(1), F.size(array), F.lit(FOLD)), lambda i: F.slice(array, i, F.lit(FOLD))))
+#: Name of the kind: pattern, group whose length counts. Runs of one class: the longer ones are the same whether or not the short ones match.
+BASE = {"assign": (ASSIGN, 2), "access": (r"AKIA[A-Z0-9]{16,}", 0), "hex": (r"[0-9a-f]{24,}", 0)}
+
 
+def chunks(array: str) -> Column:
+    return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(1), F.size(array), F.lit(FOLD)), lambda i: F.slice(array, i, F.lit(FOLD))))
 
-def located(text: Column, pattern: str, group: int) -> Column:
-    """Array of (gap, whole, value) of the leftmost matches: the text before each since the last, the match, its group.
 
-    Spark tells what matched but not where: the parts between matches tell that.
-    """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.arrays_zip(whole.alias("whole"), value.alias("value"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"))
+def running(array: str, step) -> Column:
+    """0 and what `step` makes of each number and the last result."""
+    return F.aggregate(array, F.array(F.lit(0).cast("long")), lambda out, n: F.concat(out, F.array(step(F.element_at(out, -1), n))))
 
 
-def matches(text: Column, pattern: str, kind: str, least: int, group: int = 0, probe: str | None = None) -> Column:
-    """Array of (start, end, rank, kind, value) of the leftmost matches whose `group` has `least` characters.
+def with_matches(rows: DataFrame, text: Column, kinds: dict[str, tuple[str, int]], least: dict[str, int]) -> DataFrame:
+    """Add for each kind `_<kind>`, the array of (start, end, rank, kind, value) of the leftmost matches whose group has `least`
+    characters, `_l_<kind>`, all matches as (whole, value, gap before), and `_b_<kind>`, the places where chunks of them begin and end.
 
-    Places are running sums of lengths, `FOLD` matches at a time. probe: a cheaper pattern that any text with a good match has.
+    Spark tells what matched but not where: the parts between matches tell that, as running sums of lengths, `FOLD` matches at a
+    time. Each step is a column of its own, as an expression within a lambda is computed for every element.
     """
-    rank = ["assign", "access", "hex", "markov"].index(kind)
     length = lambda m: (F.length(m["gap"]) + F.length(m["whole"])).cast("long")
-    cut = chunks(located(text, pattern, group))
-    sums = F.transform(cut, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda at, m: at + length(m)))
-    begin = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
 
-    def fold(part: Column) -> Column:
-        return F.aggregate(
+    def located(pattern: str, group: int) -> Column:
+        whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
+        gap = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+        return F.when(F.rlike(text, F.lit(pattern)), F.arrays_zip(whole.alias("whole"), value.alias("value"), gap.alias("gap")))
+
+    def fold(kind: str):
+        rank = ["assign", "access", "hex", "markov"].index(kind)
+        span = lambda acc, m: F.struct((acc["at"] + F.length(m["gap"])).alias("start"), (acc["at"] + length(m)).alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["value"].alias("value"))
+        return lambda part: F.aggregate(
             part["c"],
             F.struct(part["at"].alias("at"), F.array().cast(SPAN).alias("out")),
-            lambda acc, m: F.struct(
-                (acc["at"] + length(m)).alias("at"),
-                F.when(
-                    F.length(m["value"]) >= least,
-                    F.concat(
-                        acc["out"],
-                        F.array(F.struct((acc["at"] + F.length(m["gap"])).alias("start"), (acc["at"] + length(m)).alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["value"].alias("value"))),
-                    ),
-                ).otherwise(acc["out"]).alias("out"),
-            ),
+            lambda acc, m: F.struct((acc["at"] + length(m)).alias("at"), F.when(F.length(m["value"]) >= least[kind], F.concat(acc["out"], F.array(span(acc, m)))).otherwise(acc["out"]).alias("out")),
             lambda acc: acc["out"],
-        )
+        )
 
-    found = F.flatten(F.transform(F.arrays_zip(cut.alias("c"), F.slice(begin, F.lit(1), F.size(cut)).alias("at")), fold))
-    return F.coalesce(F.when(F.rlike(text, F.lit(probe or pattern)), found), F.array().cast(SPAN))
+    rows = rows.withColumns({f"_l_{k}": located(*v) for k, v in kinds.items()})
+    rows = rows.withColumns({f"_c_{k}": chunks(f"_l_{k}") for k in kinds})
+    rows = rows.withColumns({f"_s_{k}": F.transform(f"_c_{k}", lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda at, m: at + length(m))) for k in kinds})
+    rows = rows.withColumns({f"_b_{k}": running(f"_s_{k}", lambda at, n: at + n) for k in kinds})
+    found = {k: F.flatten(F.transform(F.arrays_zip(F.col(f"_c_{k}").alias("c"), F.slice(f"_b_{k}", F.lit(1), F.size(f"_c_{k}")).alias("at")), fold(k))) for k in kinds}
+    return rows.withColumns({f"_{k}": F.coalesce(v, F.array().cast(SPAN)) for k, v in found.items()}).drop(*[f"_{x}_{k}" for x in "cs" for k in kinds])
 
 
 def without_assigned(text: Column) -> Column:
-    """The text with blanks in place of the base spans of kind assign; all else keeps its place."""
-    found = located(text, ASSIGN, 2)
-    parts = F.transform(found, lambda m: F.concat(m["gap"], F.when(F.length(m["value"]) >= LEAST["assign"], F.repeat(F.lit(" "), F.length(m["whole"]))).otherwise(m["whole"])))
-    rest = F.element_at(F.split(text, ASSIGN, -1), -1)
-    return F.when(F.rlike(text, F.lit(ASSIGN)), F.concat(F.array_join(parts, ""), rest)).otherwise(text)
-
-
-def base_spans(text: Column) -> dict[str, Column]:
-    return {
-        "assign": matches(text, ASSIGN, "assign", LEAST["assign"], 2),
-        # runs of one class: the longer ones are the same whether or not the short ones match
-        "access": matches(text, r"AKIA[A-Z0-9]{16,}", "access", LEAST["access"]),
-        "hex": matches(text, r"[0-9a-f]{24,}", "hex", LEAST["hex"]),
-    }
+    """The text with blanks in place of the base spans of kind assign, all else at its place; beside `with_matches`."""
+    blank = lambda m: F.when(F.length(m["value"]) >= LEAST["assign"], F.repeat(F.lit(" "), F.length(m["whole"]))).otherwise(m["whole"])
+    parts = F.transform("_l_assign", lambda m: F.concat(m["gap"], blank(m)))
+    return F.coalesce(F.concat(F.array_join(parts, ""), F.substring(text, (F.element_at("_b_assign", -1) + 1).cast("int"), F.lit(2147483647))), text)
 
 
 def pair_counts(words: DataFrame) -> dict[int, int]:
-    """How often each pair of known characters occurs; 6400 numbers at most."""
-    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("pair"))
-    pairs = pairs.select((F.ascii("pair") - FIRST).alias("a"), (F.ascii(F.substring("pair", 2, 1)) - FIRST).alias("b")).filter(f"a between 0 and {CODES - 1} and b between 0 and {CODES - 1}")
-    return {r[0]: r[1] for r in pairs.groupBy((F.col("a") * CODES + F.col("b")).alias("k")).count().collect()}
+    """How often each pair of known characters occurs in words, each `n` times; 6400 numbers at most."""
+    pairs = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("pair"))
+    pairs = pairs.select("n", (F.ascii("pair") - FIRST).alias("a"), (F.ascii(F.substring("pair", 2, 1)) - FIRST).alias("b")).filter(f"a between 0 and {CODES - 1} and b between 0 and {CODES - 1}")
+    return {r[0]: r[1] for r in pairs.groupBy((F.col("a") * CODES + F.col("b")).alias("k")).agg(F.sum("n")).collect()}
 
 
 def train(docs: DataFrame, sample: int = 2000) -> list[float]:
@@ -104,26 +94,29 @@ def train(docs: DataFrame, sample: int = 2000) -> list[float]:
 
     The labelled samples come from `sample` documents, those of least hash of doc_id: values of the base
     spans are random strings, unless they are made of letters alone; words and names with underscores and hyphens, of 4 characters on and
-    outside all base spans, are ordinary. Unseen pairs of random strings are as likely as any other, which is what random means;
+    outside all base spans, are ordinary if two documents of the sample have them: a random string comes once. Pairs of random strings that are seldom seen are nearly as likely as any other, which is what random means;
     those of identifiers are as likely as their second character. Of an empty table both models are even.
     """
     ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     texts = docs.join(ids, "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
-    values = F.concat(*base_spans(F.col("text")).values())
-    random = texts.select(F.explode(F.transform(values, lambda v: v["value"])).alias("word")).filter(F.col("word").rlike("[0-9]"))
+    texts = with_matches(texts, F.col("text"), BASE, LEAST)
+    random = texts.select(F.explode(F.concat(*[f"_{k}" for k in BASE])).alias("v")).select(F.col("v.value").alias("word")).filter(F.col("word").rlike("[0-9]"))
     clean = F.regexp_replace(without_assigned(F.col("text")), r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", " ")
-    plain = texts.select(F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z_-]{4,}"), F.lit(0))).alias("word"))
-    a, b = pair_counts(random.filter("length(word) > 1")), pair_counts(plain)
+    plain = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(clean, F.lit(r"[A-Za-z_-]{4,}"), F.lit(0)))).alias("word"))
+    plain = plain.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    a, b = pair_counts(random.filter("length(word) > 1").withColumn("n", F.lit(1))), pair_counts(plain)
     alphabet = [i - FIRST for i in range(FIRST, FIRST + CODES) if chr(i).isalnum() or chr(i) in "+/_=-"]
     n = len(alphabet)
-    ends = {y: sum(b.get(x * CODES + y, 0) for x in alphabet) for y in alphabet}
-    all_ends = sum(ends.values())
+    usual = []
+    for seen in (a, b):
+        ends = {y: sum(seen.get(x * CODES + y, 0) for x in alphabet) for y in alphabet}
+        usual.append({y: (ends[y] + 0.5) / (sum(ends.values()) + 0.5 * n) for y in alphabet})
     out = [0.0] * (CODES * CODES)
     for x in alphabet:
         na, nb = (sum(c.get(x * CODES + y, 0) for y in alphabet) for c in (a, b))
         for y in alphabet:
-            usual = (ends[y] + 0.5) / (all_ends + 0.5 * n)
-            out[x * CODES + y] = math.log((a.get(x * CODES + y, 0) + EVEN / n) / (na + EVEN)) - math.log((b.get(x * CODES + y, 0) + USUAL * usual) / (nb + USUAL))
+            random_prior = (1 / n + usual[0][y]) / 2
+            out[x * CODES + y] = math.log((a.get(x * CODES + y, 0) + EVEN * random_prior) / (na + EVEN)) - math.log((b.get(x * CODES + y, 0) + USUAL * usual[1][y]) / (nb + USUAL))
     return out
 
 
@@ -138,12 +131,12 @@ def score(word: Column, model: list[float]) -> Column:
 def with_spans(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """`_row`, the row itself, and `_base` and `_spans`, arrays of (start, end, rank, kind, value) by start, then kind."""
     text = F.coalesce(F.col("_row.text"), F.lit(""))
-    found = docs.select(F.struct(*docs.columns).alias("_row"))
-    found = found.withColumns({f"_{k}": v for k, v in base_spans(text).items()} | {"_runs": matches(without_assigned(text), RUN, "markov", LEAST_RUN)})
+    found = with_matches(docs.select(F.struct(*docs.columns).alias("_row")), text, BASE, LEAST).withColumn("_masked", without_assigned(text))
+    found = with_matches(found, F.col("_masked"), {"markov": (RUN, 0)}, {"markov": LEAST_RUN})
     found = found.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     # the characters of access and hex spans are characters of runs, so that a run which touches one holds it
-    good = F.filter("_runs", lambda r: ~r["value"].rlike(r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}") & (score(r["value"], model) > threshold))
-    return found.withColumn("_spans", F.when(F.size("_runs") > 0, F.array_sort(F.concat("_base", good))).otherwise(F.col("_base")))
+    good = F.filter("_markov", lambda r: ~r["value"].rlike(r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}") & (score(r["value"], model) > threshold))
+    return found.withColumn("_spans", F.when(F.size("_markov") > 0, F.array_sort(F.concat("_base", good))).otherwise(F.col("_base")))
 
 
 def joined(spans: str) -> Column:
@@ -172,11 +165,6 @@ def redact(docs: DataFrame, sample: int = 2000, mark: str = "[SECRET]") -> DataF
     Rows without spans, null and empty texts among them, stay as they are; repeated rows are each redacted. All columns are
     handed on under their names, whatever these are. An empty table gives no rows.
     """
-    out = with_spans(docs, train(docs.select("doc_id", "text"), sample))
-    cut = chunks(F.col("_spans"))
-    # how far all spans before a chunk reach
-    ends = F.transform(cut, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
-    reach = F.aggregate(ends, F.array(F.lit(0).cast("long")), lambda out, e: F.concat(out, F.array(F.greatest(F.element_at(out, -1), e))))
     piece = lambda at, n: F.substring(F.col("_row.text"), (at + 1).cast("int"), n.cast("int"))
 
     def fold(part: Column) -> Column:
@@ -190,8 +178,11 @@ def redact(docs: DataFrame, sample: int = 2000, mark: str = "[SECRET]") -> DataF
             lambda acc: acc["out"],
         )
 
-    parts = F.flatten(F.transform(F.arrays_zip(cut.alias("c"), F.slice(reach, F.lit(1), F.size(cut)).alias("at")), fold))
-    done = F.concat(F.array_join(parts, ""), piece(F.element_at(reach, -1), F.lit(2147483647)))
+    out = with_spans(docs, train(docs.select("doc_id", "text"), sample)).withColumn("_cut", chunks("_spans"))
+    # how far all spans before a chunk reach
+    out = out.withColumn("_ends", F.transform("_cut", lambda c: F.array_max(F.transform(c, lambda s: s["end"])))).withColumn("_reach", running("_ends", F.greatest))
+    parts = F.flatten(F.transform(F.arrays_zip(F.col("_cut").alias("c"), F.slice("_reach", F.lit(1), F.size("_cut")).alias("at")), fold))
+    done = F.concat(F.array_join(parts, ""), piece(F.element_at("_reach", -1), F.lit(2147483647)))
     new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     out = out.withColumn("_text", F.when(F.size("_spans") > 0, done))
     return out.select(*[F.coalesce(new[c], F.col(f"_row.`{c}`")).alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])

@@ -19,6 +19,24 @@ def packed(high: np.ndarray, low: np.ndarray, size: int) -> np.ndarray:
     return np.unique(high, return_inverse=True)[1] * size + low
 
 
+def order_of(key: np.ndarray) -> np.ndarray:
+    """The order of numbers from 0 on; where there is room for the place beside the number, plain sorting gives it sooner."""
+    bits = max(1, len(key) - 1).bit_length()
+    if int(key.max(initial=0)).bit_length() + bits > 62:
+        return np.argsort(key)
+    return np.sort(key << bits | np.arange(len(key))) & ((1 << bits) - 1)
+
+
+def named(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, and their numbers from 1 on in that order, equal ones for equal keys."""
+    order = order_of(key)
+    ranked = key[order]
+    steps = np.ones(len(key), np.int64)
+    np.cumsum(ranked[1:] != ranked[:-1], out=steps[1:])
+    steps[1:] += 1
+    return order, steps
+
+
 def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """All suffixes of a text of positive numbers, or those where the mask `wanted` is set, in order of their first `depth` symbols at least.
 
@@ -33,11 +51,13 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     size = int(t.max()) + 1
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate((one, two))
-    triple = packed(packed(t[sample], t[sample + 1], size), t[sample + 2], size)
-    order = np.argsort(triple)
+    pair = packed(t[sample], t[sample + 1], size)
+    if size**3 * len(sample) > 2**60:  # names of pairs are shorter
+        order, steps = named(pair)
+        pair = np.empty_like(pair)
+        pair[order] = steps
+    order, steps = named(packed(pair, t[sample + 2], size))
     if depth > 3:
-        ranked = triple[order]
-        steps = np.cumsum(np.append(1, ranked[1:] != ranked[:-1]))
         if steps[-1] < len(sample):
             names = np.empty(len(sample), np.int64)
             names[order] = steps
@@ -50,7 +70,7 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     if wanted is not None:  # the others have served as ranks
         covered, rest = covered[wanted[covered]], rest[wanted[rest]]
     m = len(sample) + 2
-    rest = rest[np.argsort(packed(t[rest], rank[rest + 1], m))]
+    rest = rest[order_of(packed(t[rest], rank[rest + 1], m))]
     # merge: how many covered suffixes of each kind lie before each of the rest
     before = np.zeros(len(rest), np.int64)
     for kind, deep in ((1, 1), (2, 2)):

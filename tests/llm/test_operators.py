@@ -4,6 +4,8 @@ import dataclasses
 import hashlib
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter
 
@@ -457,3 +459,53 @@ def test_viterbi_finds_the_likeliest_labels():
     own = [model.weight[html.hashed(html.features(b))].sum() for b in page]
     best = max(itertools.product((0, 1), repeat=6), key=lambda y: sum(o * a for o, a in zip(own, y)) + sum(model.pair[a, b] for a, b in zip(y, y[1:])))
     assert model.decode(page) == [bool(x) for x in best]
+
+
+SHORT_PAGES = [
+    ("<article><p>A &lt;b&gt; c</p><pre>x  y</pre></article>", "A <b> c\n\nx y"),
+    ("<p>x<br>y</p>", "x y"),
+    ("<p>Hello</p>", "Hello"),
+    ("<nav><a href=/>Home</a></nav><article><h1>The title of it</h1><p>One &amp; two, three things were said.</p></article>", "The title of it\n\nOne & two, three things were said."),
+    ('<body><div id=menu><a href="#">Home</a></div><p>Short text here.</p></body>', "Short text here."),
+    ("<p>Said in full, and so it stands.<script>if (a < b) {", "Said in full, and so it stands."),
+    ("<p>Said in full, and so it stands.<!-- not > closed", "Said in full, and so it stands."),
+    ("<p>Said in full, and so it stands.</p><p>a < b", "Said in full, and so it stands.\n\na < b"),
+]
+
+
+def test_short_pages():
+    model = html.train([])
+    for page, text in SHORT_PAGES:
+        assert html.main_text(page, model) == text, page
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<div>", "<div>x", "<b>x", "</p>", '<script "', "<!--", "<svg>", '<p class="a"><a>', "<title>", "&amp;"])
+def test_broken_pages_take_linear_time(piece):
+    began = time.time()
+    html.blocks(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 20
+
+
+def test_models_add_spans(spark, tmp_path):
+    """Random strings that no base pattern finds, letters alone and short ones too; ordinary text gets none."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("the river runs under an old bridge and people walk along its quiet banks every morning with their friends".split()) for _ in range(n))
+    rows = [(i, f"{text(60)} token={''.join(rng.choices(string.ascii_letters + string.digits, k=24))} {text(60)}") for i in range(300)]
+    planted = {1000 + i: "".join(rng.choices(string.ascii_letters + (string.digits if i % 2 else ""), k=16 + i)) for i in range(20)}
+    rows += [(i, f"{text(30)} {v} {text(30)}") for i, v in planted.items()] + [(2000 + i, text(200)) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    out = {r["doc_id"]: r["spans"] for r in collected(secrets.scan(spark.read.parquet(f"{tmp_path}/docs")))}
+    texts = dict(rows)
+    found = {i: [texts[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in out[i].split(",") if x) if k == "markov"] for i in out}
+    assert sum(found[i] == [v] for i, v in planted.items()) >= 18
+    assert not any(found[i] for i in range(300)) and not any(found[2000 + i] for i in range(20))
+
+
+def test_many_secrets_take_linear_time(spark, tmp_path):
+    lines = ["deadbeef" * 3 + f"{i:06x}zz password=abcdefgh{i}" for i in range(4000)]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    began = time.time()
+    row = secrets.scan(df).first()
+    assert (row["n_hex"], row["n_assign"]) == (4000, 4000) and time.time() - began < 60
+    assert secrets.redact(df).filter("text like '%deadbeef%' or text like '%abcdefgh%'").count() == 0
