@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specloom.llm import fingerprints, fmindex, html, minhash, mixing, packing, quality, secrets, sharding, suffixes
+from specloom.llm import fingerprints, fmindex, html, minhash, mixing, packing, quality, secrets, sharding, spelling, suffixes, trie, warc
 
 
 def read(spark, sf_dir, table):
@@ -49,11 +49,28 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return suffixes.dedup_bytes(read(spark, sf_dir, "documents"))
 
 
+def op11_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of the bytes of the text @, bit by bit: code points over 127 are taken from their UTF-8 form.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(@))), lambda i: CAST('0x' || substr(hex(encode(@)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_near_duplicates, op3_shard_by_bytes, op4_fm_index_dedup, op5_secret_scan,
         op6_weighted_fingerprints, op7_quality_rules, op8_best_fit_packing, op9_main_text, op10_suffix_array_dedup,
+        op11_warc_round_trip, op12_prefix_trie, op13_spelling_variants,
     )
 }
 
@@ -111,4 +128,38 @@ k AS (SELECT doc_id, unhex(string_agg(substr(h, 2 * i + 1, 2), '' ORDER BY i)) A
       FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM b) ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(c, 0) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(coalesce(t, ''::BLOB)) AS kept_sha256
 FROM b LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op11_warc_round_trip": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY sha1(b)) AS m FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, 5 * i // 4 + 1, 2) AS INTEGER) >> CAST(3 - 5 * i % 4 AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN m > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m > page_id THEN m END AS refers_to
+FROM d""",
+    "op12_prefix_trie": r"""
+WITH o AS (SELECT conv_id AS c, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS x, turn,
+             md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS md FROM conversations WHERE conv_id IS NOT NULL),
+w AS (SELECT c, list(x ORDER BY turn NULLS FIRST, md) AS x FROM o GROUP BY c),
+h AS (SELECT c, x, c - c % 100 AS b, @CRC % 6 AS h FROM w),
+s AS (SELECT h.c, list_concat(coalesce(w.x, [])[1:h.h], h.x[h.h + 1:]) AS x FROM h LEFT JOIN w ON w.c = h.b),
+q AS (SELECT c, x AS full_, d, x[1:d] AS k, x[1:d - 1] AS p FROM (SELECT *, unnest(range(0, len(x) + 1)) AS d FROM s)),
+n AS (SELECT d, k, any_value(p) AS p, min(c) AS c, count(*) AS n, any_value(CASE WHEN d > 0 THEN length(k[-1].t) ELSE 0 END) AS chars,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(full_) = d), '')) AS ends FROM q GROUP BY d, k),
+m AS (SELECT d - 1 AS d, p AS k, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN m USING (d, k)),
+a AS (SELECT i AS d, k[1:i] AS k, sum((kids = 0)::INT) AS leaves, sum((n - 1) * chars) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM f) GROUP BY ALL)
+SELECT f.c AS conv_id, f.d AS depth, g.c AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN a USING (d, k) LEFT JOIN n g ON g.d = f.d - 1 AND g.k = f.p""".replace("@CRC", CRC32.replace("@", "c::VARCHAR")),
+    "op13_spelling_variants": r"""
+WITH r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{6,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT w, n, @CRC AS h FROM c),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM h),
+d AS (SELECT w, sum(n)::BIGINT AS n FROM e WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+x AS (SELECT w, n, i, substr(w, 1, i) AS p, substr(w, i + 2) AS s FROM (SELECT *, unnest(range(0, length(w))) AS i FROM d)),
+y AS (SELECT a.w, b.w AS v FROM x a JOIN x b USING (i, p, s) WHERE a.w <> b.w UNION SELECT x.w, d.w FROM x JOIN d ON d.w = x.p || x.s UNION SELECT d.w, x.w FROM x JOIN d ON d.w = x.p || x.s),
+z AS (SELECT y.w, count(*) AS near, max(n) AS most FROM y JOIN d ON d.w = y.v GROUP BY y.w),
+f AS (SELECT z.w, min(encode(v)) AS form FROM z JOIN y USING (w) JOIN d ON d.w = y.v WHERE d.n = most GROUP BY z.w),
+g AS (SELECT d.w, d.n, coalesce(near, 0) AS near, CASE WHEN most >= 5 * d.n THEN decode(form) END AS form, CASE WHEN most >= 5 * d.n THEN most END AS form_n FROM d LEFT JOIN z USING (w) LEFT JOIN f USING (w)),
+t(w, root) AS (SELECT w, w FROM g WHERE form IS NULL UNION ALL SELECT g.w, t.root FROM g JOIN t ON g.form = t.w)
+SELECT w AS word, form, root, n, near AS n_near, form_n FROM g JOIN t USING (w)""".replace("@CRC", CRC32.replace("@", "concat(doc_id, ':', w)")).replace("WITH r", "WITH RECURSIVE r"),
 }
