@@ -9,7 +9,7 @@ from specloom.functions.scratch import Scratch
 from specloom.operators import images, joins, peaks
 from specloom.plans.fixtures import CENTROIDS, CUBE, centroid_spectra, centroids, cube, lineitem_peaks, read, targets
 from specloom.plans.registry import query, r, rounded
-from specloom.sources import files
+from specloom.sources import files, imzml
 
 WINDOW = "OVER (PARTITION BY spectrum_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
 
@@ -232,3 +232,18 @@ def nrrd_headers(spark, sf_dir):
     read(spark, sf_dir, "part").select(k.alias("key"), text.alias("value")).write.partitionBy("key").text(path)
     out = files.nrrd_headers(spark, f"{path}/*")
     return out.select(F.try_element_at("keys", F.lit("part")).cast("long").alias("part"), r("mz").alias("mz"))
+
+
+@query(f"""WITH {CUBE}, {CENTROIDS}, a AS (SELECT 'continuous' AS mode, spectrum_id, x, y, mz, intensity, norm_infile FROM pts UNION ALL SELECT 'processed', spectrum_id, x, y, mz, intensity, 1.0 FROM peaks)
+SELECT mode, x, y, count(*) AS n, round(min(mz), 6) AS low, round(max(mz), 6) AS high, round(sum(intensity), 6) AS total, round(max_by(mz, (intensity, mz)), 6) AS top, norm_infile FROM a GROUP BY mode, spectrum_id, x, y, norm_infile""")
+def imzml_round_trip(spark, sf_dir):
+    """Profile spectra as continuous files and centroids as processed ones, written by the tasks and read back by ranges."""
+    base = Scratch(spark, "imzml").base
+    imzml.write_imzml(cube(spark, sf_dir), f"{base}/continuous", processed=False)
+    imzml.write_imzml(centroid_spectra(spark, sf_dir), f"{base}/processed", processed=True, kind="centroid")
+    spectra, facts = imzml.read_imzml(spark, f"{base}/*/*.imzML")
+    pairs = F.transform(F.arrays_zip("ints", "mzs"), lambda p: F.struct(p["ints"].alias("i"), p["mzs"].alias("m")))
+    return rounded(spectra.join(facts.select("dataset_id", "mode"), "dataset_id").select(
+        "mode", "x", "y", F.size("mzs").cast("long").alias("n"), F.array_min("mzs").alias("low"), F.array_max("mzs").alias("high"),
+        arrays.total(F.col("ints")).alias("total"), F.array_max(pairs)["m"].alias("top"), "norm_infile",
+    ))

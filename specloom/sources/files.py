@@ -1,9 +1,8 @@
-"""Readers and writers of spectral files. Files are read by Spark's own sources, so any store that Spark reads will do."""
+"""Readers and writers of spectral files. Files but imzML are read by Spark's own sources, so any store that Spark reads will do."""
 
 from __future__ import annotations
 
 import struct
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,99 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SPECTRA = "dataset_id string, spectrum_id long, x int, y int, z int, wz double, mzs array<double>, ints array<double>, norm_infile double"
-
-#: Names of the terms of the file format.
-TERMS = {
-    "mz": "MS:1000514", "intensity": "MS:1000515", "x": "IMS:1000050", "y": "IMS:1000051", "z": "IMS:1000052", "offset": "IMS:1000102", "length": "IMS:1000103",
-    "norm": "MS:1000285", "continuous": "IMS:1000030", "processed": "IMS:1000031", "profile": "MS:1000128", "centroid": "MS:1000127",
-    "size_x": "IMS:1000046", "size_y": "IMS:1000047",
-}
-NUMBERS = {"MS:1000521": "<f4", "MS:1000523": "<f8"}
-INDEX = "dataset_id string, spectrum_id long, x int, y int, z int, norm_infile double, mz_offset long, mz_length long, mz_type string, int_offset long, int_length long, int_type string"
-
-
-def params(node, groups: dict) -> dict[str, str]:
-    """Terms of a node and of the groups that it refers to."""
-    out = {}
-    for ref in node.findall("{*}referenceableParamGroupRef"):
-        out |= groups.get(ref.get("ref"), {})
-    for p in node.findall("{*}cvParam"):
-        out[p.get("accession")] = p.get("value", "")
-    return out
-
-
-def parse_index(name: str, text: bytes) -> tuple[list[tuple], dict]:
-    root = ET.fromstring(text)
-    groups = {g.get("id"): {p.get("accession"): p.get("value", "") for p in g.findall("{*}cvParam")} for g in root.findall(".//{*}referenceableParamGroup")}
-    meta: dict[str, str] = {}
-    for n in (*root.findall(".//{*}fileContent"), *root.findall(".//{*}scanSettings")):
-        meta |= params(n, groups)
-    kinds = set(meta) | {a for g in groups.values() for a in g}
-    rows = []
-    for i, s in enumerate(root.findall(".//{*}spectrum")):
-        own = params(s, groups)
-        kinds |= set(own)
-        at = {}
-        for scan in s.findall(".//{*}scan"):
-            at |= params(scan, groups)
-        cut = {}
-        for a in s.findall(".//{*}binaryDataArray"):
-            p = params(a, groups)
-            number = next((NUMBERS[t] for t in NUMBERS if t in p), None)
-            if number is None:
-                raise ValueError(f"{name}: only 32 and 64 bit floating point arrays can be read")
-            cut["mz" if TERMS["mz"] in p else "int"] = (int(p[TERMS["offset"]]), int(p[TERMS["length"]]), number)
-        rows.append((name, i, int(at[TERMS["x"]]) - 1, int(at[TERMS["y"]]) - 1, int(at.get(TERMS["z"]) or 1) - 1, float(own.get(TERMS["norm"]) or 1.0), *cut["mz"], *cut["int"]))
-    number = lambda k: float(meta[TERMS[k]]) if meta.get(TERMS[k]) else None
-    facts = {
-        "mode": next((k for k in ("continuous", "processed") if TERMS[k] in kinds), None),
-        "kind": next((k for k in ("profile", "centroid") if TERMS[k] in kinds), None),
-        "size_x": number("size_x"), "size_y": number("size_y"),
-    }
-    return rows, facts
-
-
-def read_imzml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Spectra and one row of metadata for each .imzML file that `path` matches.
-
-    The index of a file is parsed in one task (XML has one reader) and holds byte ranges only. Ranges are dealt
-    out by place in the .ibd file; tasks read it through Spark's file system as one binary row a file, split by ranges.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    name = F.regexp_replace("path", r"\.imz[mM][lL]$", "")
-
-    def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for n, content in zip(frame["name"], frame["content"], strict=True):
-                yield pd.DataFrame(parse_index(n, content)[0], columns=[c.split()[0] for c in INDEX.split(", ")])
-
-    def facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for n, content in zip(frame["name"], frame["content"], strict=True):
-                yield pd.DataFrame([{"dataset_id": n} | parse_index(n, content)[1]]).astype({"size_x": float, "size_y": float})
-
-    named = files.select(name.alias("name"), "content")
-    ranges = named.mapInPandas(index, INDEX)
-    meta = named.mapInPandas(facts, "dataset_id string, mode string, kind string, size_x double, size_y double")
-    folder = path.rsplit("/", 1)[0]
-    data = spark.read.format("binaryFile").option("pathGlobFilter", "*.{ibd,IBD}").load(folder).select(F.regexp_replace("path", r"\.(ibd|IBD)$", "").alias("dataset_id"), F.col("content").alias("_data"))
-    # cut each range in the JVM: the arrays alone go to Python, not the file
-    size = lambda c: F.when(F.col(f"{c}_type") == "<f4", 4).otherwise(8) * F.col(f"{c}_length")
-    piece = lambda c: F.substring(F.col("_data"), (F.col(f"{c}_offset") + 1).cast("int"), size(c).cast("int"))
-    cut = ranges.join(data, "dataset_id").select("dataset_id", "spectrum_id", "x", "y", "z", "norm_infile", "mz_type", "int_type", piece("mz").alias("_mz"), piece("int").alias("_int"))
-
-    def arrays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[["dataset_id", "spectrum_id", "x", "y", "z"]].copy()
-            out["wz"] = frame["z"].astype(float)
-            out["mzs"] = [np.frombuffer(b, t).astype(float) for b, t in zip(frame["_mz"], frame["mz_type"], strict=True)]
-            out["ints"] = [np.frombuffer(b, t).astype(float) for b, t in zip(frame["_int"], frame["int_type"], strict=True)]
-            out["norm_infile"] = frame["norm_infile"]
-            yield out
-
-    return cut.mapInPandas(arrays, SPECTRA), meta
-
+from specloom.sources.imzml import SPECTRA, TERMS, read_imzml, write_imzml  # noqa: F401  the pair of files has a module of its own
 
 #: Block numbers of an infrared container.
 GEOMETRY, TEXT, SPECTRUM = 5100, 5104, 5105
