@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Runs that the models judge, and the characters they know: codes 43 to 122, "+" to "z".
 RUN = r"[A-Za-z0-9+/_=-]{12,}"
 LEAST_RUN, FIRST, CODES = 12, 43, 80
-#: Pairs that count as seen beforehand for each first character: of random strings half even ones and half their usual ones, the usual ones of identifiers.
-EVEN, USUAL = 128, 8
+#: Pairs of classes that count as seen beforehand; shares of pairs, of second letters and of any letter in the likelihood of a letter.
+KINDS_SEEN, MIXED = 4, (0.6, 0.3, 0.1)
 #: A run is a secret if its log-likelihood ratio, summed over its character pairs, is over this much; of runs that follow the model of
 #: identifiers, one in exp(threshold) does at most.
 THRESHOLD = 10.0
@@ -89,35 +90,68 @@ def pair_counts(words: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in pairs.groupBy((F.col("a") * CODES + F.col("b")).alias("k")).agg(F.sum("n")).collect()}
 
 
+def kind_of(x: int, y: int) -> tuple[str, str]:
+    """Classes of two neighbours: letters (m in the other case than the one before), digits, marks."""
+    a, b = chr(x + FIRST), chr(y + FIRST)
+    one = lambda c: "l" if c.isalpha() else "d" if c.isdigit() else "s"
+    return one(a), "m" if a.isalpha() and b.isalpha() and a.isupper() != b.isupper() else one(b)
+
+
+def chain(seen: dict[int, int]) -> dict[int, float]:
+    """Log-likelihood of each pair of known characters: how classes follow each other, times how letters do, whatever their case.
+
+    A case by itself tells nothing, a change of it does; digits and marks are all alike. Letters are mixed from their pairs, the second
+    letter alone and an even share, so that a pair that was never seen costs little.
+    """
+    alphabet = [i for i in range(CODES) if chr(i + FIRST).isalnum() or chr(i + FIRST) in "+/_=-"]
+    fold = lambda x: chr(x + FIRST).lower()
+    kinds, pairs, ends = Counter(), Counter(), Counter()
+    for k, n in seen.items():
+        x, y = divmod(k, CODES)
+        if x in alphabet and y in alphabet:
+            kinds[kind_of(x, y)] += n
+            if chr(x + FIRST).isalpha() and chr(y + FIRST).isalpha():
+                pairs[fold(x), fold(y)] += n
+                ends[fold(y)] += n
+    starts, total = Counter(), sum(ends.values())
+    for (x, _), n in pairs.items():
+        starts[x] += n
+    after = lambda a: sum(kinds[a, b] for b in "lmds")
+    out = {}
+    for x in alphabet:
+        for y in alphabet:
+            a, b = kind_of(x, y)
+            p = math.log((kinds[a, b] + KINDS_SEEN / 4) / (after(a) + KINDS_SEEN))
+            if a == "l" and b in "lm":
+                u, v = fold(x), fold(y)
+                whole = pairs[u, v] / starts[u] if starts[u] else ends[v] / total if total else 1 / 26
+                p += math.log(MIXED[0] * whole + MIXED[1] * (ends[v] / total if total else 1 / 26) + MIXED[2] / 26)
+            out[x * CODES + y] = p
+    return out
+
+
 def train(docs: DataFrame, sample: int = 2000) -> list[float]:
     """Log-likelihood ratio of each character pair, random strings over ordinary identifiers.
 
     The labelled samples come from `sample` documents, those of least hash of doc_id: values of the base
-    spans are random strings, unless they are made of letters alone; words and names with underscores and hyphens, of 4 characters on and
-    outside all base spans, are ordinary if two documents of the sample have them: a random string comes once. Pairs of random strings that are seldom seen are nearly as likely as any other, which is what random means;
-    those of identifiers are as likely as their second character. Of an empty table both models are even.
+    spans are random strings, unless they are made of letters alone; numbers, and words and names with underscores and hyphens, of 4 characters on and
+    outside all base spans, are ordinary if two documents of the sample have them: a random string comes once. A quarter of the ordinary ones
+    is held out: where more than one in a thousand of its runs of 12 characters would pass the threshold, all ratios are scaled
+    down until no more do. Of an empty table both models are even.
     """
     ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     texts = docs.join(ids, "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
     texts = with_matches(texts, F.col("text"), BASE, LEAST)
     random = texts.select(F.explode(F.concat(*[f"_{k}" for k in BASE])).alias("v")).select(F.col("v.value").alias("word")).filter(F.col("word").rlike("[0-9]"))
     clean = F.regexp_replace(without_assigned(F.col("text")), r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", " ")
-    plain = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(clean, F.lit(r"[A-Za-z_-]{4,}"), F.lit(0)))).alias("word"))
-    plain = plain.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    a, b = pair_counts(random.filter("length(word) > 1").withColumn("n", F.lit(1))), pair_counts(plain)
-    alphabet = [i - FIRST for i in range(FIRST, FIRST + CODES) if chr(i).isalnum() or chr(i) in "+/_=-"]
-    n = len(alphabet)
-    usual = []
-    for seen in (a, b):
-        ends = {y: sum(seen.get(x * CODES + y, 0) for x in alphabet) for y in alphabet}
-        usual.append({y: (ends[y] + 0.5) / (sum(ends.values()) + 0.5 * n) for y in alphabet})
-    out = [0.0] * (CODES * CODES)
-    for x in alphabet:
-        na, nb = (sum(c.get(x * CODES + y, 0) for y in alphabet) for c in (a, b))
-        for y in alphabet:
-            random_prior = (1 / n + usual[0][y]) / 2
-            out[x * CODES + y] = math.log((a.get(x * CODES + y, 0) + EVEN * random_prior) / (na + EVEN)) - math.log((b.get(x * CODES + y, 0) + USUAL * usual[1][y]) / (nb + USUAL))
-    return out
+    plain = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(clean, F.lit(r"[A-Za-z_-]{4,}|[0-9]{4,}"), F.lit(0)))).alias("word"))
+    plain = plain.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or word rlike '^[0-9]'")
+    held = F.pmod(F.xxhash64("word"), F.lit(4)) == 0
+    a, b = (chain(pair_counts(w)) for w in (random.filter("length(word) > 1").withColumn("n", F.lit(1)), plain.filter(~held)))
+    out = [a[k] - b[k] if k in a else 0.0 for k in range(CODES * CODES)]
+    tail = plain.filter(held & (F.length("word") >= LEAST_RUN)).agg(F.percentile_approx(score(F.col("word"), out), 0.999, 10000)).first()[0]
+    scale = min(1.0, THRESHOLD / tail) if tail and tail > 0 else 1.0
+    return [x * scale for x in out]
 
 
 def score(word: Column, model: list[float]) -> Column:
@@ -143,6 +177,12 @@ def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def sealed(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """The columns, from a generator of one row: a later filter on them stays above it, where it would else be pushed down and write out
+    again, at each use, all that its columns are computed from."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def scan(docs: DataFrame, sample: int = 2000) -> DataFrame:
     """One row a document with its secrets' counts by base kind and the spans of all kinds.
 
@@ -154,9 +194,9 @@ def scan(docs: DataFrame, sample: int = 2000) -> DataFrame:
     """
     thin = docs.select("doc_id", "text")
     out = with_spans(thin, train(thin, sample))
-    return out.select(
-        "_row.doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in LEAST], F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_spans").alias("spans")
-    )
+    return sealed(out, [
+        F.col("_row.doc_id").alias("doc_id"), *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in LEAST], F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_spans").alias("spans")
+    ])
 
 
 def redact(docs: DataFrame, sample: int = 2000, mark: str = "[SECRET]") -> DataFrame:
@@ -185,4 +225,4 @@ def redact(docs: DataFrame, sample: int = 2000, mark: str = "[SECRET]") -> DataF
     done = F.concat(F.array_join(parts, ""), piece(F.element_at("_reach", -1), F.lit(2147483647)))
     new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     out = out.withColumn("_text", F.when(F.size("_spans") > 0, done))
-    return out.select(*[F.coalesce(new[c], F.col(f"_row.`{c}`")).alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])
+    return sealed(out, [F.coalesce(new[c], F.col(f"_row.`{c}`")).alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
