@@ -36,7 +36,7 @@ class Passages:
     """length, gram: of windows and of the runs whose hashes make keys. symbols: texts to 64-bit symbols and their
     counts. units: symbols and texts to the array whose slices are contexts. search: the units of contexts, joined, their sizes and
     owners to the least owner of each window. part_bytes: of contexts in a shard on average, which is as much as fits a processor's
-    cache. shard_bytes: of contexts of one key that a shard may take."""
+    cache. shard_bytes: of contexts of one key that a shard may take. fan_out: slices of the keys' range to which a task sends at once."""
 
     length: int
     gram: int
@@ -46,6 +46,7 @@ class Passages:
     search: Callable
     shard_bytes: int = 1 << 20
     part_bytes: int = 1 << 16
+    fan_out: int = 1024
 
 
 #: Windows of a run at most; a longer one, as of one symbol over and over, is cut.
@@ -109,6 +110,42 @@ def to_buckets(key: np.ndarray, doc: np.ndarray, buckets: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(np.ones(len(cuts), np.int32)), pa.array(place[cuts]), pa.array(blocks, pa.binary()), none, none], schema=BLOCKS)
 
 
+def to_slices(key: np.ndarray, low: np.ndarray, high: np.ndarray | None, slices: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of sorted keys by slice of their range, of which as many are walked as hold keys; without high, low says it all."""
+    place = (key >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+    at = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(at[1:], len(key))[: len(at)]
+    columns = [pa.nulls(len(at), pa.binary()) if x is None else pa.array([x[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary()) for x in (key, low, high)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(place[at].astype(np.int32)), *columns], schema=BLOCKS)
+
+
+def finer(blocks: DataFrame, slices: int) -> DataFrame:
+    """Blocks of kind 0, dealt to few wide slices, by narrow ones: each task gathers what came to a wide slice before it cuts again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            key, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key)
+            yield from to_slices(key[order], low[order], high[order], slices)
+            held.clear()
+
+        for batch in batches:
+            for key, low, high in zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high")), strict=True):
+                one = np.frombuffer(low, np.int64)
+                held.append((np.frombuffer(key, np.uint64), one, one if high is None else np.frombuffer(high, np.int64)))
+                rows += len(one)
+            if rows > GATHERED:
+                yield from send()
+                rows = 0
+        if held:
+            yield from send()
+
+    wide = blocks.filter("kind = 0").repartition("place").sortWithinPartitions("place")
+    return wide.mapInArrow(run, "kind int, place int, key binary, low binary, high binary").unionByName(blocks.filter("kind = 1"))
+
+
 def key_blocks(docs: DataFrame, p: Passages, slices: int, buckets: int) -> DataFrame:
     """Blocks of keys by slice (kind 0: key, least and greatest document of what a task gathered), and by bucket those known to be shared (kind 1)."""
 
@@ -119,14 +156,8 @@ def key_blocks(docs: DataFrame, p: Passages, slices: int, buckets: int) -> DataF
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
         many = low < high
-        for some in (~many, many):
-            one, least, greatest = key[first][some], low[some], high[some]
-            cuts = np.searchsorted(one, (np.arange(1, slices, dtype=np.float64) * (2.0**64 / slices)).astype(np.uint64))
-            at = [(i, a, b) for i, (a, b) in enumerate(zip(np.append(0, cuts), np.append(cuts, len(one)), strict=True)) if b > a]
-            columns = [pa.array([x[a:b].tobytes() for _, a, b in at], pa.binary()) for x in (one, least, greatest)]
-            if some is not many:  # of one document alone: low says it all
-                columns[2] = pa.nulls(len(at), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(np.array([i for i, _, _ in at], np.int32)), *columns], schema=BLOCKS)
+        yield from to_slices(key[first][~many], low[~many], None, slices)
+        yield from to_slices(key[first][many], low[many], high[many], slices)
         if many.any():
             each = np.repeat(many, np.diff(np.append(first, len(key))))
             yield to_buckets(key[each], doc[each], buckets)
@@ -179,13 +210,13 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("h"), F.encode(text, "utf-8").alias("text"))
 
 
-CONTEXTS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("units", pa.binary())])
+CONTEXTS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("top", pa.int64()), ("units", pa.binary())])
 
 
 def contexts(texts: DataFrame, blocks: DataFrame, p: Passages, buckets: int) -> DataFrame:
-    """The runs of shared keys in each text, with the hash of their contexts: doc_id, h, start, n, key, id, units.
+    """The runs of shared keys in each text, with the hash of their contexts: doc_id, h, start, n, key, id, top, units.
 
-    Of equal contexts in one part of a bucket, that of the least document has the units, the others null.
+    Of equal contexts in one part of a bucket, that of the least document has the units, and the greatest document as top; the others have null units.
     """
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -209,14 +240,17 @@ def contexts(texts: DataFrame, blocks: DataFrame, p: Passages, buckets: int) ->
             order = np.lexsort((ident, key))  # stable, and documents ascend
             speaks = np.zeros(len(doc), bool)
             speaks[order] = np.append(True, (key[order][1:] != key[order][:-1]) | (ident[order][1:] != ident[order][:-1]))
+            mine, top = ids[part][doc], np.zeros(len(doc), np.int64)
+            first = np.flatnonzero(speaks[order])
+            top[order[first]] = mine[order[np.append(first[1:], len(doc)) - 1]]
             width, units = np.dtype(p.unit).itemsize, p.units(symbols, raw).tobytes()
             cuts = [units[x:y] if s else None for x, y, s in zip((a * width).tolist(), ((a + size) * width).tolist(), speaks.tolist(), strict=True)]
-            columns = [ids[part][doc], hs[part][doc], start.astype(np.int32), n.astype(np.int32), key.view(np.int64), ident.view(np.int64)]
+            columns = [mine, hs[part][doc], start.astype(np.int32), n.astype(np.int32), key.view(np.int64), ident.view(np.int64), top]
             out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(cuts, pa.binary())], schema=CONTEXTS))
         return pa.Table.from_batches(out, schema=CONTEXTS)
 
     texts = texts.withColumn("place", bucket_of(F.col("doc_id"), buckets))
-    return texts.groupBy("place").cogroup(blocks.select("place", "key").groupBy("place")).applyInArrow(cut, "doc_id long, h long, start int, n int, key long, id long, units binary")
+    return texts.groupBy("place").cogroup(blocks.select("place", "key").groupBy("place")).applyInArrow(cut, "doc_id long, h long, start int, n int, key long, id long, top long, units binary")
 
 
 def prefix_hash(symbols: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -231,14 +265,24 @@ MARKED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("at", pa.list_(pa.
 
 
 def least_owners(distinct: DataFrame, p: Passages, shards: int) -> DataFrame:
-    """For each distinct context the least owner of its windows: from window at[i] on it is owner[i]; low is the least of all."""
+    """For each distinct context the least owner of its windows: from window at[i] on it is owner[i]; low is the least of all.
+
+    A context that several documents have is there twice, once as the least document's and once as the greatest's, and what is told is what the
+    search finds for the latter: if it found no match, these windows would be the greatest document's own, and nobody would lose them.
+    """
 
     def find(table: pa.Table) -> pa.Table:
         raw = table.column("units").to_pylist()
-        flat = np.frombuffer(b"".join(raw), p.unit)
-        sizes = sizes_of(raw) // np.dtype(p.unit).itemsize
-        least = p.search(flat, sizes, table.column("owner").to_numpy(), p.length)
-        base = offsets(sizes - p.length + 1)
+        low, high = table.column("owner").to_numpy(), table.column("other").to_numpy()
+        twice = np.flatnonzero(high > low)
+        both = raw + [raw[i] for i in twice.tolist()]
+        sizes = sizes_of(both) // np.dtype(p.unit).itemsize
+        found = p.search(np.frombuffer(b"".join(both), p.unit), sizes, np.concatenate((low, high[twice])), p.length)
+        n = sizes - p.length + 1
+        speaks = np.arange(len(raw))
+        speaks[twice] = len(raw) + np.arange(len(twice))
+        base = offsets(n[: len(raw)])
+        least = found[np.arange(base[-1]) + np.repeat(offsets(n)[speaks] - base[:-1], n[: len(raw)])]
         new = np.append(True, least[1:] != least[:-1])
         new[base[:-1]] = True
         cut = np.flatnonzero(new)
@@ -249,12 +293,12 @@ def least_owners(distinct: DataFrame, p: Passages, shards: int) -> DataFrame:
         low = pa.array(np.minimum.reduceat(least, base[:-1]))
         return pa.Table.from_arrays([table.column("key"), table.column("id"), at, owner, low], schema=MARKED)
 
-    dealt = distinct.select(F.pmod(F.xxhash64("key", "part"), F.lit(shards)).alias("shard"), "key", "id", "owner", "units")
+    dealt = distinct.select(F.pmod(F.xxhash64("key", "part"), F.lit(shards)).alias("shard"), "key", "id", "owner", "other", "units")
     return dealt.groupBy("shard").applyInArrow(find, MARKS)
 
 
 def window_rows(distinct: DataFrame, p: Passages) -> DataFrame:
-    """The windows of contexts, each as a context: key, id (of the window), owner, units, part, of the context `of` at i."""
+    """The windows of contexts, each as a context: key, id (of the window), owner, other, units, of the context `of` at i."""
     width = np.dtype(p.unit).itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,28 +311,28 @@ def window_rows(distinct: DataFrame, p: Passages) -> DataFrame:
                 i = at - offsets(sizes)[which]
                 symbols = mix(np.frombuffer(units, p.unit).astype(np.uint64) + np.uint64(1))
                 each = batch.slice(part.start, part.stop - part.start)
-                key, of, owner = (each.column(c).to_numpy(zero_copy_only=False)[which] for c in ("key", "id", "owner"))
+                key, of, owner, other = (each.column(c).to_numpy(zero_copy_only=False)[which] for c in ("key", "id", "owner", "other"))
                 cuts = [units[x : x + p.length * width] for x in (at * width).tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(window_hash(symbols, p.length)[at].view(np.int64)), pa.array(owner), pa.array(cuts, pa.binary()), pa.array(of), pa.array(i.astype(np.int32))],
-                    ["key", "id", "owner", "units", "of", "i"],
+                    [pa.array(key), pa.array(window_hash(symbols, p.length)[at].view(np.int64)), pa.array(owner), pa.array(other), pa.array(cuts, pa.binary()), pa.array(of), pa.array(i.astype(np.int32))],
+                    ["key", "id", "owner", "other", "units", "of", "i"],
                 )
 
-    return distinct.select("key", "id", "owner", "units").mapInArrow(cut, "key long, id long, owner long, units binary, of long, i int")
+    return distinct.select("key", "id", "owner", "other", "units").mapInArrow(cut, "key long, id long, owner long, other long, units binary, of long, i int")
 
 
 def marks_of(scratch: Scratch, distinct: DataFrame, p: Passages) -> DataFrame:
     """`least_owners` of all distinct contexts, with keys that don't fit a shard dealt window by window."""
     groups = distinct.groupBy("key").agg(F.sum(F.octet_length("units")).alias("b"))
     large = scratch.keep(groups.filter(F.col("b") > p.shard_bytes).select("key"), "large")
-    total = distinct.agg(F.sum(F.octet_length("units"))).first()[0] or 0
+    total = distinct.agg(F.sum(F.octet_length("units") * F.when(F.col("other") > F.col("owner"), 2).otherwise(1))).first()[0] or 0
     shards = int(total // p.part_bytes + 1)
     small = distinct.join(large, "key", "left_anti").withColumn("part", F.lit(0).cast("long"))
     marks = scratch.keep(least_owners(small, p, shards), "marks")
     if large.isEmpty():
         return marks
     rows = scratch.keep(window_rows(distinct.join(large, "key", "left_semi"), p), "windows")
-    windows = rows.groupBy("key", "id").agg(F.min("owner").alias("owner"), F.first("units").alias("units"))
+    windows = rows.groupBy("key", "id").agg(F.min("owner").alias("owner"), F.max("other").alias("other"), F.first("units").alias("units"))
     found = least_owners(windows.withColumn("part", F.col("id")), p, shards).select("key", "id", F.element_at("owner", 1).alias("own"))
     line = F.array_sort(F.collect_list(F.struct("i", "own")))
     found = rows.select("key", "id", "of", "i").join(found, ["key", "id"]).groupBy("key", "of").agg(line.alias("line"))
@@ -327,16 +371,18 @@ def without_repeats(docs: DataFrame, p: Passages, finish: Callable, schema: str,
     known = thin.filter("doc_id is not null and text is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices, buckets = int(total // SLICE_BYTES + 1), int(total // BUCKET_BYTES) | 1
-    keys = scratch.keep(key_blocks(known, p, slices, buckets), "keys")
+    keys = scratch.keep(key_blocks(known, p, min(slices, p.fan_out), buckets), "keys")
+    if slices > p.fan_out:
+        keys = scratch.keep(finer(keys, slices), "finer")
     shared = scratch.keep(keys.filter("kind = 1").unionByName(shared_blocks(keys, buckets)).select("place", "key"), "shared")
-    scratch.drop("keys")
+    scratch.drop("keys", "finer")
     cut = scratch.keep(contexts(texts_of(known), shared, p, buckets), "contexts")
     scratch.drop("shared")
     speaks = cut.filter("units is not null")
-    distinct = scratch.keep(speaks.groupBy("key", "id").agg(F.min("doc_id").alias("owner"), F.first("units").alias("units")), "distinct")
+    distinct = scratch.keep(speaks.groupBy("key", "id").agg(F.min("doc_id").alias("owner"), F.max("top").alias("other"), F.first("units").alias("units")), "distinct")
     marks = marks_of(scratch, distinct, p)
     scratch.drop("distinct", "large", "windows")
-    lost = cut.drop("units").join(marks, ["key", "id"]).filter("low < doc_id")
+    lost = cut.drop("units", "top").join(marks, ["key", "id"]).filter("low < doc_id")
     lost = scratch.keep(lost.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "at", "owner")).alias("lost")), "lost")
     scratch.drop("contexts", "marks", "large-marks")
 

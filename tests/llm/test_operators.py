@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from specloom.llm import fingerprints, fmindex, html, minhash, mixing, packing, quality, secrets, sharding, suffixes
+from specloom.llm import fingerprints, fmindex, html, minhash, mixing, packing, passages, quality, secrets, sharding, suffixes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -223,7 +223,20 @@ def test_nothing_goes_without_the_search(docs, dedup, how):
     def nothing(units, sizes, owners, length):
         return np.full((sizes - length + 1).sum(), np.iinfo(np.int64).max)
 
-    assert dedup(docs, dataclasses.replace(how, search=nothing)).filter("n_removed > 0").count() == 0
+    def own(units, sizes, owners, length):
+        """Every window is its own text's alone."""
+        return np.repeat(owners, sizes - length + 1)
+
+    for stub in (nothing, own):
+        for shard_bytes in (1 << 20, 1):
+            assert dedup(docs, dataclasses.replace(how, search=stub, shard_bytes=shard_bytes)).filter("n_removed > 0").count() == 0
+
+
+@pytest.mark.parametrize("dedup, how", [(fmindex.dedup_words, fmindex.WORDS), (suffixes.dedup_bytes, suffixes.BYTES)])
+def test_keys_go_by_wide_slices_first(docs, dedup, how, monkeypatch):
+    monkeypatch.setattr(passages, "SLICE_BYTES", 1 << 14)
+    a, b = (sorted(map(tuple, dedup(docs, dataclasses.replace(how, fan_out=n)).collect()), key=str) for n in (1024, 3))
+    assert a == b
 
 
 @pytest.mark.parametrize("search, length, unit", [(suffixes.search, 50, np.uint8), (fmindex.search, 13, np.uint64)])
