@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specloom.functions.scratch import Scratch
 
 KEYS = ["dataset_id", "spectrum_id", "x", "y", "z"]
+#: Rows of sums that the driver adds up itself.
+ROWS_TO_DRIVER = 64
 
 
 def features(matrix: DataFrame) -> list[str]:
@@ -48,7 +51,7 @@ def distances(rows: np.ndarray, centres: np.ndarray, metric: str) -> np.ndarray:
 
 
 def kmeans(matrix: DataFrame, k: int, metric: str = "euclid", spatial_weight: float = 0.0, rounds: int = 100, seed: int = 0, start: np.ndarray | None = None) -> DataFrame:
-    """Label 1 to k of each pixel. Only k sums a partition come to the driver in a round.
+    """Label 1 to k of each pixel. In a round a task adds up all its rows to k sums; 64 rows of such sums come to the driver at most.
 
     Features go to [0, 1] first; positions scaled to [0, 1] and by 2 * spatial_weight join them. Starts are the k rows of
     least seeded hash (Q13), or the rows given. The first of equal distances wins; an empty cluster keeps its centre.
@@ -67,26 +70,42 @@ def kmeans(matrix: DataFrame, k: int, metric: str = "euclid", spatial_weight: fl
         start = np.array([r["v"] for r in first])
     centres = np.asarray(start, float)
 
+    width = len(centres[0]) if len(centres) else 0
+    added = "n array<long>, s array<double>"
+
+    def packed(n: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"n": [n], "s": [s.ravel()]})
+
     def sums(centres: np.ndarray):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                block = np.stack(frame["v"].to_list())
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, s = np.zeros(len(centres), np.int64), np.zeros(centres.shape)
+            for batch in batches:
+                block = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
                 near = distances(block, centres, metric).argmin(axis=1)
-                for c in np.unique(near):
-                    yield pd.DataFrame({"c": [int(c)], "n": [int((near == c).sum())], "s": [block[near == c].sum(axis=0)]})
+                n += np.bincount(near, minlength=len(n))
+                s += np.eye(len(n))[near].T @ block
+            yield pa.RecordBatch.from_pandas(packed(n, s), preserve_index=False)
 
         return run
 
-    for _ in range(rounds):
-        n = len(centres[0]) if len(centres) else 0
-        parts = rows.select("v").mapInPandas(sums(centres), "c int, n long, s array<double>")
-        total = parts.groupBy("c").agg(F.sum("n").alias("n"), *[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(n)]).collect()
-        new = centres.copy()
-        for r in total:
-            new[r["c"]] = np.array([r[f"s{i}"] for i in range(n)]) / r["n"]
+    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s = np.zeros(len(centres), np.int64), np.zeros(centres.size)
+        for frame in frames:
+            n, s = n + np.sum(frame["n"].to_list(), axis=0), s + np.sum(frame["s"].to_list(), axis=0)
+        yield packed(n, s)
+
+    held = rows.select("v").persist()  # lost blocks are read again from the written table
+    for _ in range(rounds if width else 0):
+        parts = held.mapInArrow(sums(centres), added)
+        if held.rdd.getNumPartitions() > ROWS_TO_DRIVER:
+            parts = parts.repartition(ROWS_TO_DRIVER).mapInPandas(again, added)
+        found = parts.collect()
+        n, s = (np.sum([r[i] for r in found], axis=0) for i in (0, 1))
+        new = np.where(n[:, None] > 0, s.reshape(centres.shape) / np.maximum(n, 1)[:, None], centres)
         if np.allclose(new, centres, rtol=0, atol=1e-12):
             break
         centres = new
+    held.unpersist()
 
     def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from specloom.functions import kernels
-from specloom.functions.scratch import Scratch, ranged
+from specloom.functions.scratch import Scratch, block_offsets, ranged
 
 PEAKS = "dataset_id string, spectrum_id long, x int, y int, z int, mz double, intensity double"
 
@@ -58,20 +58,63 @@ def relaxed(x: np.ndarray, sources: np.ndarray, tol: float) -> bool:
     return not (np.abs(x - mean) / mean > tol).any()
 
 
+def farthest(x: np.ndarray, limit: Callable[[float], float], inside: Callable[[float, float], bool]) -> Callable[[int, int], bool]:
+    """Test of ranges of sorted peaks by the distance of their ends from the mean, which running sums give; where that
+    is so near the limit that rounding may count, the mean is taken of the range itself."""
+    sums = np.concatenate(([0.0], np.cumsum(x)))
+
+    def test(a: int, b: int) -> bool:
+        mean = (sums[b] - sums[a]) / (b - a)
+        far = max(mean - x[a], x[b - 1] - mean)
+        if abs(far - limit(mean)) <= 1e-9 * (sums[-1] + 1) / (b - a):
+            mean = x[a:b].mean()
+            far = max(mean - x[a], x[b - 1] - mean)
+        return bool(inside(far, mean))
+
+    return test
+
+
+def distinct_from(sources: np.ndarray) -> np.ndarray:
+    """For each peak the first from which on to it all sources differ."""
+    seen: dict[int, int] = {}
+    out, low = np.empty(len(sources), np.int64), 0
+    for i, s in enumerate(sources.tolist()):
+        low = max(low, seen.get(s, -1) + 1)
+        seen[s] = i
+        out[i] = low
+    return out
+
+
+def prepare_relaxed(x: np.ndarray, sources: np.ndarray, tol: float) -> Callable[[int, int], bool]:
+    return farthest(x, lambda mean: mean * tol, lambda far, mean: far / mean <= tol)
+
+
+def prepare_strict(x: np.ndarray, sources: np.ndarray, tol: float) -> Callable[[int, int], bool]:
+    low, near = distinct_from(sources), prepare_relaxed(x, sources, tol)
+    return lambda a, b: low[b - 1] <= a and near(a, b)
+
+
+strict.prepare, relaxed.prepare = prepare_strict, prepare_relaxed
+
+
 def split(x: np.ndarray, sources: np.ndarray, tol: float, stands: Callable, whole: bool) -> list[tuple[int, int]]:
     """Ranges of the sorted peaks that stand: a range that doesn't is cut at its widest gap, the first of equal ones.
 
-    All cuts come from one tree of gaps, built in a single pass. whole: the full range may stand itself.
+    All cuts come from one tree of gaps, built in a single pass; a rule with `prepare` tests a range in constant time, so many equal gaps
+    cost no more than others. whole: the full range may stand itself.
     """
     n = len(x)
-    if n < 2 or (whole and stands(x, sources, tol)):
+    if n < 2:
         return [(0, n)] if n else []
+    test = stands.prepare(x, sources, tol) if hasattr(stands, "prepare") else lambda a, b: stands(x[a:b], sources[a:b], tol)
+    if whole and test(0, n):
+        return [(0, n)]
     tree = gap_tree(np.diff(x))
     out, todo = [], [(0, n, tree[0])]
     first = True
     while todo:
         a, b, gap = todo.pop()
-        if not first and (b - a < 2 or stands(x[a:b], sources[a:b], tol)):
+        if not first and (b - a < 2 or test(a, b)):
             out.append((a, b))
             continue
         first = False
@@ -94,15 +137,21 @@ def gap_tree(gaps: np.ndarray) -> tuple[int, list[int], list[int]]:
     return stack[0], left, right
 
 
-def sure_cuts(x: np.ndarray, width: float) -> np.ndarray:
-    """For each gap of the sorted values, whether the range that it is the widest gap of, the first of equal ones, is wider than `width`."""
-    gaps, n = np.diff(x).tolist(), len(x)
-    first, last, stack = [0] * (n - 1), [n - 1] * (n - 1), []
-    for i, g in enumerate(gaps):
+def reach(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last value of the range that each gap is the widest of, the first of equal ones."""
+    n = len(gaps)
+    first, last, stack = [0] * n, [n] * n, []
+    for i, g in enumerate(gaps.tolist()):
         while stack and gaps[stack[-1]] < g:
             last[stack.pop()] = i
         first[i] = stack[-1] + 1 if stack else 0
         stack.append(i)
+    return np.array(first, np.int64), np.array(last, np.int64)
+
+
+def sure_cuts(x: np.ndarray, width: float) -> np.ndarray:
+    """For each gap of the sorted values, whether the range that it is the widest gap of, the first of equal ones, is wider than `width`."""
+    first, last = reach(np.diff(x))
     return x[last] - x[first] > width
 
 
@@ -135,19 +184,66 @@ def chunk_starts(peaks: DataFrame, width: float, scratch: Scratch) -> DataFrame:
     return marked.withColumn("_run", run).join(F.broadcast(ends), "_pid").select("mz", F.coalesce("_run", "_before").alias("chunk"))
 
 
+#: Peaks of a tile at least, and how many times as many as the sources it has at least.
+TILE, HALO = 1 << 16, 8
+
+
+def bin_row(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> tuple:
+    return (x.mean(), x.sum(), x.min(), x.max(), len(x), y.sum(), y.min(), max(0.0, y.max()), s.tolist())
+
+
+def strict_bins(good: DataFrame, tol: float, n: int, many: int, scratch: Scratch, tile: int = TILE) -> DataFrame:
+    """Strict bins of `n` peaks of `many` sources by tiles of their order.
+
+    A range with a source twice, as any of more peaks than there are sources, can't stand, nor can its like that holds it; nor one that is
+    wider than 2 tol of its last mz. So a gap is cut for certain if the range that it is the widest gap of is such a range, which shows
+    within `many` peaks of it, and what lies between two of these cuts has `many` peaks at most. A tile has twice that of its neighbours'
+    peaks and splits what begins in it, so its size doesn't depend on how dense the axis is.
+    """
+    edge = 2 * (many + 1)
+    tile = max(tile, HALO // 2 * edge, n // 100_000)
+    blocks = ranged(scratch, good, "order", "mz", "source", "y")
+    before = block_offsets(blocks, ("_rows", F.lit(1)))
+    at = F.row_number().over(Window.partitionBy("_pid").orderBy("mz", "source", "y"))
+    placed = blocks.withColumn("_at", at).join(before, "_pid").select("mz", "y", "source", (F.col("_rows") + F.col("_at") - 1).alias("i"))
+    reaches = [F.floor((F.greatest(F.col("i") + d, F.lit(0))) / tile).cast("long") for d in (-edge, 0, edge)]
+    tiles = placed.withColumn("own", reaches[1]).withColumn("tile", F.explode(F.array_distinct(F.array(*reaches))))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i")
+        x, y, s, i = (frame[c].to_numpy() for c in ("mz", "y", "source", "i"))
+        first, last = reach(np.diff(x))
+        low = distinct_from(s)
+        # a little wider than any group, so that rounding can't matter
+        sure = (low[last] > first) | (x[last] - x[first] > 2 * tol * x[last] * (1 + 1e-6))
+        starts = np.flatnonzero(np.concatenate(([True], sure)))
+        ends = np.append(starts[1:], len(x))
+        mine = (frame["own"] == frame["tile"]).to_numpy()[starts]
+        rows = []
+        for a, b in zip(starts[mine].tolist(), ends[mine].tolist(), strict=True):
+            alone = i[a] == 0 and i[b - 1] == n - 1
+            rows += [bin_row(x[a + u : a + v], y[a + u : a + v], s[a + u : a + v]) for u, v in split(x[a:b], s[a:b], tol, strict, not alone)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in BINS.split(", ")])
+
+    return tiles.groupBy("tile").applyInPandas(run, BINS)
+
+
 def group_bins(peaks: DataFrame, tol: float, stands: Callable = strict, source: str = "source", gap: float | None = None) -> DataFrame:
     """Bins of peaks (mz, y, source) over all spectra: accumulators and source list, exact for any partitioning.
 
     A group that stands is at most 2 tol max(mz) wide, so all wider ranges are cut first, however dense the
     axis: into chunks of at most that width, and each chunk is split by itself. The full range is cut once
     even if it would stand, which matters only if there is one chunk. Peaks need mz above 0. Ties go by
-    source and intensity. The peaks of all spectra within that width are one chunk; it is the unit of memory.
+    source and intensity. Strict bins are cut once more (`strict_bins`), so that no stretch of peaks, however dense, is one task's; for other
+    rules the peaks of all spectra within that width are one chunk, the unit of memory.
     """
     scratch = Scratch(peaks.sparkSession, "bins")
     good = scratch.keep(peaks.filter("mz > 0").select("mz", "y", F.col(source).cast("long").alias("source")), "peaks")
-    top = good.agg(F.max("mz")).first()[0]
+    top, n, many = good.agg(F.max("mz"), F.count(F.lit(1)), F.count_distinct("source")).first()
     if top is None:
         return peaks.sparkSession.createDataFrame([], BINS)
+    if stands is strict and HALO * (many + 1) <= max(TILE, n // HALO):
+        return strict_bins(good, tol, n, many, scratch)
     gap = 2 * tol * top if gap is None else gap
     # a little wider than any group, so that rounding can't matter
     starts = scratch.keep(chunk_starts(good, gap * (1 + 1e-6), scratch), "chunks")
@@ -156,11 +252,7 @@ def group_bins(peaks: DataFrame, tol: float, stands: Callable = strict, source:
     chunks = good.join(starts, "mz").select("chunk", "mz", "y", "source")
 
     def bins(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> list[tuple]:
-        rows = []
-        for a, b in split(x, s, tol, stands, not alone):
-            u, v = x[a:b], y[a:b]
-            rows.append((u.mean(), u.sum(), u.min(), u.max(), b - a, v.sum(), v.min(), max(0.0, v.max()), s[a:b].tolist()))
-        return rows
+        return [bin_row(x[a:b], y[a:b], s[a:b]) for a, b in split(x, s, tol, stands, not alone)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in BINS.split(", ")]
@@ -191,12 +283,17 @@ BINS = "x_mean double, x_sum double, x_min double, x_max double, n long, y_sum d
 
 
 def tolerance_bins(peaks: DataFrame, tol: float, absolute: bool = False) -> DataFrame:
-    """Bins whose peaks are all nearer than tol to their mean (Q2: what the name promises, not one bin for all)."""
+    """Bins whose peaks are all nearer than tol to their mean (Q2: what the name promises, not one bin for all).
+
+    What is as far as tol but for rounding, a billionth, is not nearer, so that decimal values on the limit fall to one side.
+    """
+    limit = (lambda mean: tol * (1 - 1e-9)) if absolute else (lambda mean: mean * tol * (1 - 1e-9))
 
     def near(x: np.ndarray, sources: np.ndarray, tol: float) -> bool:
         mean = x.mean()
-        return bool((np.abs(x - mean) < (tol if absolute else mean * tol)).all())
+        return bool((np.abs(x - mean) < limit(mean)).all())
 
+    near.prepare = lambda x, sources, tol: farthest(x, limit, lambda far, mean: far < limit(mean))
     return group_bins(peaks, tol, near, gap=2 * tol if absolute else None)
 
 

@@ -47,28 +47,48 @@ def all_peaks(spark, sf_dir):
     return centroids(spark, sf_dir).select("mz", F.col("intensity").alias("y"), F.col("spectrum_id").alias("source"))
 
 
-@query()
+def bins_sql(source: str, stands: str, more: str = "") -> str:
+    """Bins of the table bp (mz, source, y), by cutting lists at their widest gap until each stands; the first cut is always made."""
+    return f"""WITH RECURSIVE {source},
+q AS (SELECT list(mz ORDER BY mz, source, y) AS m, list(source ORDER BY mz, source, y) AS s, list(y ORDER BY mz, source, y) AS y FROM bp),
+r AS (SELECT m, s, y, len(m) < 2 AS done FROM q
+  UNION ALL SELECT m, s, y, len(m) < 2 OR ({stands}) AS done FROM (
+    SELECT unnest([m[:c], m[c + 1:]]) AS m, unnest([s[:c], s[c + 1:]]) AS s, unnest([y[:c], y[c + 1:]]) AS y FROM (
+      SELECT *, list_position(g, list_max(g)) AS c FROM (SELECT *, list_transform(list_zip(m[2:], m[:-2]), lambda p: p[1] - p[2]) AS g FROM r WHERE NOT done))))
+SELECT round(list_avg(m), 6) AS x_mean, round(list_sum(m), 6) AS x_sum, round(m[1], 6) AS x_min, round(m[-1], 6) AS x_max, len(m) AS n,
+  round(list_sum(y), 6) AS y_sum, round(list_min(y), 6) AS y_min, round(greatest(0, list_max(y)), 6) AS y_max{more} FROM r WHERE done"""
+
+
+FAR = "greatest(list_avg(m) - m[1], m[-1] - list_avg(m))"
+DISTINCT = "len(list_distinct(s)) = len(s)"
+BY_USER = f"{CENTROIDS}, bp AS (SELECT mz, spectrum_id AS source, intensity AS y FROM peaks)"
+
+
+@query(bins_sql(BY_USER, f"{DISTINCT} AND {FAR} / list_avg(m) <= 1e-4", f', s AS sources, {DISTINCT} AS "distinct"'))
 def group_bins_strict(spark, sf_dir):
     """Peaks of all users in strict bins, source lists and all."""
     return rounded(peaks.distinct_sources(peaks.group_bins(all_peaks(spark, sf_dir), 1e-4)))
 
 
-@query()
+@query(bins_sql(BY_USER, f"{FAR} / list_avg(m) <= 5e-5"))
 def group_bins_relaxed(spark, sf_dir):
     return rounded(peaks.group_bins(all_peaks(spark, sf_dir), 5e-5, peaks.relaxed).drop("sources"))
 
 
-@query()
+@query(bins_sql(BY_USER, f"{FAR} < 0.02 * (1 - 1e-9)"))
 def tolerance_bins(spark, sf_dir):
     return rounded(peaks.tolerance_bins(all_peaks(spark, sf_dir), 0.02, absolute=True).drop("sources"))
 
 
-@query()
+PICKED = f"{CUBE}, {MAD}, top AS (SELECT *, max(intensity) {WINDOW} AS top FROM pts), bp AS (SELECT mz::DOUBLE AS mz, spectrum_id AS source, intensity AS y FROM top JOIN mad USING (spectrum_id) WHERE intensity = top AND intensity > 1.5 * noise)"
+
+
+@query(bins_sql(PICKED, f"{DISTINCT} AND {FAR} / list_avg(m) <= 2e-4") + " AND len(m) > 0.05 * (SELECT count(*) FROM embeddings)")
 def align_pixel_peaks(spark, sf_dir):
     return rounded(peaks.align_pixel_peaks(cube(spark, sf_dir), 1.5, 3, 2e-4, 5.0).drop("sources"))
 
 
-@query()
+@query(bins_sql("bp AS (SELECT p_retailprice AS mz, p_partkey AS source, p_size::DOUBLE AS y FROM part)", f"{DISTINCT} AND {FAR} / list_avg(m) <= 5e-4"))
 def bin_list(spark, sf_dir):
     return rounded(peaks.bin_list(targets(spark, sf_dir), 5e-4).drop("sources"))
 

@@ -47,6 +47,48 @@ def test_group_bins_does_not_depend_on_partitions(spark):
     assert peaks.group_bins(df.limit(1), 2e-4).count() == 1
 
 
+@pytest.mark.parametrize("shape", ["dense", "equal gaps", "one place", "sparse", "alone"])
+def test_strict_bins_in_small_tiles(spark, shape):
+    """However the peaks lie, tiles give what one split of all of them gives."""
+    rng = np.random.default_rng(3)
+    x = {"dense": 100 + rng.random(1500) / 50, "equal gaps": 100 + np.arange(1500) / 4096, "one place": np.full(1500, 100.0), "sparse": rng.uniform(100, 400, 1500), "alone": np.full(5, 100.0)}[shape]
+    s = rng.integers(0, 12, len(x)) if shape != "alone" else np.arange(5)
+    rows = [(float(m), float(i % 5), int(k)) for i, (m, k) in enumerate(zip(x, s))]
+    df = spark.createDataFrame(rows, "mz double, y double, source long").repartition(3)
+    got = peaks.strict_bins(df, 1e-3, len(x), len(set(s.tolist())), Scratch(spark, "test"), tile=50)
+    o = np.lexsort(([r[1] for r in rows], s, x))
+    want = [(x[o][a:b].mean(), b - a, s[o][a:b].tolist()) for a, b in naive_split(x[o], s[o], 1e-3)]
+    assert sorted((round(r["x_mean"], 9), r["n"], r["sources"]) for r in got.collect()) == sorted((round(m, 9), n, k) for m, n, k in want)
+
+
+def naive_split(x, s, tol):
+    out, todo, first = [], [(0, len(x))], True
+    while todo:
+        a, b = todo.pop()
+        if not first and (b - a < 2 or peaks.strict(x[a:b], s[a:b], tol)):
+            out.append((a, b))
+            continue
+        first = False
+        cut = a + 1 + int(np.diff(x[a:b]).argmax())
+        todo += [(a, cut), (cut, b)]
+    return out
+
+
+def test_equal_gaps_take_linear_time():
+    n = 200_000
+    x, s = 100 + np.arange(n) / 2**20, np.arange(n) % 3
+    for rule in (peaks.strict, peaks.relaxed):
+        assert sum(b - a for a, b in peaks.split(x, s, 1e-4, rule, False)) == n
+
+
+@pytest.mark.parametrize("tol", [0.002, 0.1])
+def test_group_bins_of_two_sources(spark, tol):
+    rows = list(zip([100.0, 200.0, 300.0, 400.0, 500.0, 100.2, 200.2, 300.2, 395.0], [1.0, 2.0, 3.0, 4.0, 5.0, 1.0, 2.0, 3.0, 4.0], [0] * 5 + [1] * 4))
+    got = peaks.group_bins(spark.createDataFrame(rows, "mz double, y double, source long"), tol).collect()
+    want = {0.002: [(100.1, [0, 1]), (200.1, [0, 1]), (300.1, [0, 1]), (395.0, [1]), (400.0, [0]), (500.0, [0])], 0.1: [(100.1, [0, 1]), (200.1, [0, 1]), (300.1, [0, 1]), (397.5, [1, 0]), (500.0, [0])]}
+    assert sorted((round(r["x_mean"], 6), r["sources"]) for r in got) == want[tol]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
