@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,11 +78,59 @@ def range_join(pts: DataFrame, intervals: DataFrame, centre: str = "x", tol: flo
     return pts.withColumn("_bucket", F.floor(F.col("mz") / width)).join(cut, ["_bucket", *(keys or [])]).filter(F.col("mz").between(F.col("_low"), F.col("_high"))).drop("_bucket", "_low", "_high")
 
 
+#: Intervals that a task may hold: two numbers and an id each.
+LISTED = 100_000
+
+
 def feature_matrix(spectra: DataFrame, intervals: DataFrame, tol: float, ppm: bool = False, pooling: str = "mean") -> DataFrame:
-    """Long form: one value for each spectrum and interval whose window holds samples, all intervals in one pass."""
-    hits = range_join(points(spectra), intervals.select("interval_id", "x_mean"), "x_mean", tol, ppm)
-    by = {"mean": F.avg, "sum": F.sum, "maximum": F.max, "median": F.median}[pooling]
-    return hits.groupBy("dataset_id", "spectrum_id", "x", "y", "z", "interval_id").agg(by("intensity").alias("value"))
+    """Long form: one value for each spectrum and interval whose window holds samples, all intervals in one pass.
+
+    A list of up to `LISTED` intervals goes to the tasks, which look its bounds up in the axis of each spectrum (once, while the axis stays the
+    same): no sample is moved. A longer list meets the samples by buckets.
+    """
+    wanted = intervals.select("interval_id", "x_mean").filter("x_mean is not null")
+    half = arrays.tolerance(F.col("x_mean"), tol, ppm)
+    bounds = wanted.select("interval_id", (F.col("x_mean") - half).alias("low"), (F.col("x_mean") + half).alias("high")).limit(LISTED + 1).toPandas()
+    if len(bounds) > LISTED:
+        hits = range_join(points(spectra), wanted, "x_mean", tol, ppm)
+        by = {"mean": F.avg, "sum": F.sum, "maximum": F.max, "median": F.median}[pooling]
+        return hits.groupBy("dataset_id", "spectrum_id", "x", "y", "z", "interval_id").agg(by("intensity").alias("value"))
+    ids, low, high = (bounds[c].to_numpy() for c in ("interval_id", "low", "high"))
+    keys = ["dataset_id", "spectrum_id", "x", "y", "z"]
+    kind = wanted.schema["interval_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        axis, a, b, full = None, None, None, None
+        for batch in batches:
+            mzs, ints = (batch.column(c) for c in ("mzs", "ints"))
+            row, which, values = [], [], []
+            for i in range(batch.num_rows):
+                x, y = (c[i].values.to_numpy(zero_copy_only=False) if c[i].is_valid else np.zeros(0) for c in (mzs, ints))
+                if axis is None or not np.array_equal(axis, x):
+                    axis, line = x, np.argsort(x, kind="stable")
+                    ordered = x[line]
+                    a, b = np.searchsorted(ordered, low, "left"), np.searchsorted(ordered, high, "right")
+                    full = np.flatnonzero(b > a)
+                    a, b = a[full], b[full]
+                if not len(full):
+                    continue
+                row.append(np.full(len(full), i))
+                which.append(full)
+                values.append(pooled(y[line], a, b, pooling))
+            if row:
+                rows = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in keys), pa.array(ids[np.concatenate(which)]), pa.array(np.concatenate(values))], names=[*keys, "interval_id", "value"])
+
+    return spectra.select(*keys, "mzs", "ints").mapInArrow(run, f"{', '.join(f'{k} {spectra.schema[k].dataType.simpleString()}' for k in keys)}, interval_id {kind}, value double")
+
+
+def pooled(y: np.ndarray, a: np.ndarray, b: np.ndarray, pooling: str) -> np.ndarray:
+    """Mean, sum, maximum or median of y[a:b] for arrays of bounds, a below b."""
+    if pooling == "median":
+        return np.array([np.median(y[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+    cuts = np.stack((a, b), axis=1).ravel()
+    out = {"mean": np.add, "sum": np.add, "maximum": np.maximum}[pooling].reduceat(np.append(y.astype(float), 0.0), cuts)[::2]
+    return out / (b - a) if pooling == "mean" else out
 
 
 def wide(matrix: DataFrame, ids: list[int]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from specloom.functions.scratch import Scratch, ranged
 from specloom.operators.images import bucketed
 
 
@@ -76,17 +77,34 @@ def step_peak(lists: DataFrame, centre: float, tol: float, forward: bool = True)
     return lists.agg(F.coalesce(far, near).alias("x_mean"))
 
 
-def step_peaks(lists: DataFrame, centres: DataFrame, tol: float) -> DataFrame:
-    """The same for many centres: (centre_id, x_mean), by one sort of peaks and centres together.
+def step_peaks(lists: DataFrame, centres: DataFrame, tol: float, forward: bool = True, fallback: bool = True) -> DataFrame:
+    """The same for many centres: (list_key, centre_id, x_mean), each in the peaks of its own list.
 
-    The union is cut at the centres' and peaks' own range partitions by Spark's sort; the nearest peak ahead is the last one seen from the
-    far end, kept for each partition of `list_key`.
+    The least peak above centre + tol; with fallback, where there is none, the least above centre. Backwards all is mirrored. Null
+    without any, and for a null centre. Rows that repeat a centre_id of a list have the same centre.
+
+    Peaks and questions are cut into blocks along (list_key, value). Each block looks ahead within itself, and beyond its end takes the
+    first peak of the later blocks of its list, of which there is one row a block and list. So a list of any length is spread over tasks.
     """
-    peaks = lists.select("list_key", F.col("x_mean").alias("v"), F.col("x_mean").alias("peak"), F.lit(None).cast("long").alias("centre_id"))
-    asks = centres.select("list_key", (F.col("centre") + tol).alias("v"), F.lit(None).cast("double").alias("peak"), "centre_id")
-    ahead = Window.partitionBy("list_key").orderBy(F.desc("v"), F.col("centre_id").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = peaks.unionByName(asks).withColumn("x_mean", F.last("peak", ignorenulls=True).over(ahead))
-    return found.filter("centre_id is not null").select("list_key", "centre_id", "x_mean")
+    scratch, sign = Scratch(lists.sparkSession, "asof"), 1 if forward else -1
+    none = F.lit(None)
+    peaks = lists.filter("x_mean is not null").select("list_key", (F.col("x_mean") * sign).alias("v"), (F.col("x_mean") * sign).alias("peak"), none.cast("long").alias("centre_id"), none.cast("int").alias("ask"))
+    kinds = [F.struct((F.col("centre") * sign + tol).alias("v"), F.lit(1).alias("ask"))] + [F.struct((F.col("centre") * sign).alias("v"), F.lit(2).alias("ask"))] * fallback
+    asks = centres.select("list_key", "centre_id", F.explode(F.array(*kinds)).alias("q")).select("list_key", F.col("q.v").alias("v"), none.cast("double").alias("peak"), "centre_id", F.col("q.ask").alias("ask"))
+    # a peak at the very value stands before the question, nulls first: it is not above it
+    blocks = ranged(scratch, peaks.unionByName(asks), "blocks", "list_key", "v", "ask")
+    ahead = Window.partitionBy("_pid", "list_key").orderBy(F.desc("v"), F.desc("ask")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("list_key").orderBy(F.desc("_pid")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = blocks.groupBy("_pid", "list_key").agg(F.min("peak").alias("first")).withColumn("beyond", F.min("first").over(later))
+    firsts = firsts.select(F.col("_pid").alias("_p"), F.col("list_key").alias("_k"), "beyond")
+    seen = blocks.withColumn("near", F.last("peak", ignorenulls=True).over(ahead)).filter("ask is not null")
+    seen = seen.join(firsts, (F.col("_pid") == F.col("_p")) & F.col("list_key").eqNullSafe(F.col("_k")), "left")
+    answer = F.when(F.col("v").isNotNull(), F.coalesce("near", "beyond"))
+    found = seen.select("list_key", "centre_id", "ask", answer.alias("x"))
+    if not fallback:
+        return found.select("list_key", "centre_id", (F.col("x") * sign).alias("x_mean"))
+    both = found.groupBy("list_key", "centre_id").agg(F.max(F.when(F.col("ask") == 1, F.col("x"))).alias("far"), F.max(F.when(F.col("ask") == 2, F.col("x"))).alias("near"))
+    return both.select("list_key", "centre_id", (F.coalesce("far", "near") * sign).alias("x_mean"))
 
 
 def step_position(ranges: DataFrame, centre: float, tol: float, forward: bool = True) -> DataFrame:

@@ -182,9 +182,26 @@ def neighbour_peaks(spark, sf_dir):
 SELECT centre_id, k AS list_key, min(x) AS x_mean FROM c LEFT JOIN p USING (k) WHERE x > v + 0.5 OR x IS NULL GROUP BY ALL
 UNION ALL SELECT centre_id, k, NULL FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = c.k AND x > v + 0.5)""")
 def next_peaks(spark, sf_dir):
+    return joins.step_peaks(*lists_and_centres(spark, sf_dir), 0.5, fallback=False)
+
+
+def lists_and_centres(spark, sf_dir):
     lists = read(spark, sf_dir, "part").select((F.col("p_size") % 25).cast("long").alias("list_key"), F.col("p_retailprice").alias("x_mean"))
-    centres = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("centre_id"), (F.col("o_custkey") % 25).alias("list_key"), (850 + F.col("o_totalprice") / 2000).alias("centre"))
-    return joins.step_peaks(lists, centres, 0.5)
+    return lists, read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("centre_id"), (F.col("o_custkey") % 25).alias("list_key"), (850 + F.col("o_totalprice") / 2000).alias("centre"))
+
+
+STEPS = """WITH c AS (SELECT o_orderkey AS centre_id, o_custkey % 25 AS k, 850 + o_totalprice / 2000 AS v FROM orders), p AS (SELECT p_size % 25 AS k, p_retailprice AS x FROM part)
+SELECT centre_id, k AS list_key, coalesce({far}, {near}) AS x_mean FROM c LEFT JOIN p USING (k) GROUP BY centre_id, k"""
+
+
+@query(STEPS.format(far="min(x) FILTER (WHERE x > v + 8.5)", near="min(x) FILTER (WHERE x > v)"))
+def next_peaks_or_nearer(spark, sf_dir):
+    return joins.step_peaks(*lists_and_centres(spark, sf_dir), 8.5)
+
+
+@query(STEPS.format(far="max(x) FILTER (WHERE x < v - 8.5)", near="max(x) FILTER (WHERE x < v)"))
+def previous_peaks_or_nearer(spark, sf_dir):
+    return joins.step_peaks(*lists_and_centres(spark, sf_dir), 8.5, forward=False)
 
 
 RANGES = "rg AS (SELECT min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY l_suppkey)"

@@ -89,6 +89,38 @@ def test_group_bins_of_two_sources(spark, tol):
     assert sorted((round(r["x_mean"], 6), r["sources"]) for r in got) == want[tol]
 
 
+@pytest.mark.parametrize("forward", [True, False])
+@pytest.mark.parametrize("fallback", [True, False])
+def test_step_peaks_of_long_lists(spark, forward, fallback):
+    rng = np.random.default_rng(8)
+    lists = [(None if k == 3 else int(k), float(v)) for k, v in zip(rng.choice([0, 0, 0, 0, 1, 2, 3], 900), rng.integers(0, 300, 900))] + [(7, None)]
+    centres = [(None if k == 3 else int(k), i, float(v)) for i, (k, v) in enumerate(zip(rng.choice([0, 0, 0, 1, 2, 3, 4], 400), rng.integers(-20, 320, 400)))] + [(0, 990, None), (7, 991, 5.0)]
+    peaks_of = {k: [v for q, v in lists if q == k and v is not None] for k in {k for k, _ in lists} | {4, 7}}
+
+    def step(k, c):
+        if c is None:
+            return None
+        sign = 1 if forward else -1
+        far = [v for v in peaks_of[k] if sign * (v - c) > 6]
+        near = [v for v in peaks_of[k] if sign * (v - c) > 0] if fallback else []
+        return min(far or near, key=lambda v: sign * v, default=None)
+
+    got = joins.step_peaks(spark.createDataFrame(lists, "list_key long, x_mean double").repartition(4), spark.createDataFrame(centres, "list_key long, centre_id long, centre double"), 6.0, forward, fallback)
+    assert sorted((r["centre_id"], r["list_key"], r["x_mean"]) for r in got.collect()) == sorted((i, k, step(k, c)) for k, i, c in centres)
+
+
+@pytest.mark.parametrize("pooling", ["mean", "sum", "maximum", "median"])
+def test_feature_matrix_of_short_and_long_lists(spark, pooling, monkeypatch):
+    rng = np.random.default_rng(2)
+    spectra = [("d", i, i, 0, 0, (m := np.round(rng.uniform(100, 200, n := int(rng.integers(0, 60))), 2).tolist()), rng.random(n).tolist()) for i in range(30)]
+    df = spark.createDataFrame(spectra, "dataset_id string, spectrum_id long, x int, y int, z int, mzs array<double>, ints array<double>")
+    wanted = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.uniform(90, 210, 40))] + [(99, None)], "interval_id long, x_mean double")
+    rows = lambda: sorted((r["spectrum_id"], r["interval_id"], round(r["value"], 9)) for r in images.feature_matrix(df, wanted, 1.5, pooling=pooling).collect())
+    short = rows()
+    monkeypatch.setattr(images, "LISTED", 3)
+    assert short == rows() and len(short) > 100
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
