@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from specloom.functions import arrays
+from specloom.functions.selection import medians, same
 
 PIXEL = ["dataset_id", "x", "y", "z"]
 
@@ -138,19 +139,50 @@ def wide(matrix: DataFrame, ids: list[int]) -> DataFrame:
     return matrix.groupBy("dataset_id", "spectrum_id", "x", "y", "z").pivot("interval_id", ids).agg(F.first("value")).na.fill(0.0)
 
 
-# Overviews. Sums of one partition are added up before anything is shuffled.
+# Overviews. A task adds up all its spectra before anything is shuffled.
 
+#: Numbers that a task's sums may hold before it hands them on.
+HELD = 1 << 22
 
-def partial_sums(spectra: DataFrame) -> DataFrame:
-    """(dataset_id, pos, mz, sum, max, n): one row a position of each dataset and partition batch."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for (ds, n), part in frame.groupby([frame["dataset_id"], frame["ints"].map(len)]):
-                block = np.stack(part["ints"].to_list()).astype(float) if n else np.zeros((len(part), 0))
-                yield pd.DataFrame({"dataset_id": ds, "pos": np.arange(n), "mz": part["mzs"].iloc[0], "sum": block.sum(axis=0), "max": block.max(axis=0), "n": len(part)})
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a list column one after another, and how many each row has; a null list has none."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float), sizes
 
-    return spectra.select("dataset_id", "mzs", "ints").mapInPandas(run, "dataset_id string, pos int, mz double, sum double, max double, n long")
+
+def partial_sums(spectra: DataFrame, keys: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
+    """(keys, pos, mz, sum, max, n): one row a position of what each task has of each group of spectra of one length."""
+    names = [*keys, "pos", "mz", "sum", "max", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for group, (mz, total, top, n) in held.items():
+                many = len(total)
+                columns = [pa.array([v] * many, t) for v, t in zip(group[:-1], types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(many, dtype=np.int32)), *map(pa.array, (mz, total, top)), pa.array(np.full(many, n))], names=names)
+            held.clear()
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            (x, _), (y, sizes) = flat(batch.column("mzs")), flat(batch.column("ints"))
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            groups: dict[tuple, list[int]] = {}
+            for i, group in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), sizes.tolist(), strict=True)):
+                groups.setdefault(group, []).append(i)
+            for group, rows in groups.items():
+                n = group[-1]
+                block = y[at[rows][:, None] + np.arange(n)]
+                mz, total, top, count = held.get(group) or (x[at[rows[0]] : at[rows[0]] + n].copy(), np.zeros(n), np.full(n, -np.inf), 0)
+                held[group] = (mz, total + block.sum(axis=0), np.maximum(top, block.max(axis=0)), count + len(rows))
+            if sum(len(h[1]) for h in held.values()) * 3 > HELD:
+                yield from send()
+        yield from send()
+
+    kinds = ", ".join(f"{k} {spectra.schema[k].dataType.simpleString()}" for k in keys)
+    return spectra.select(*keys, "mzs", "ints").mapInArrow(run, f"{kinds}, pos int, mz double, sum double, max double, n long")
 
 
 def overview_shared_axis(spectra: DataFrame) -> DataFrame:
@@ -166,13 +198,43 @@ def overview_centroid_axis(spectra: DataFrame, norm: str = "tic") -> DataFrame:
 
 
 def overview_binned(spectra: DataFrame, bins: int = 15000) -> DataFrame:
-    """Bins between the least first and the greatest last mz: mean mz, sum, sum over hits, maximum of each that is hit."""
+    """Bins between the least first and the greatest last mz: mean mz, sum, sum over hits, maximum of each that is hit.
+
+    A task adds up all its samples by bin, whatever the spectrum; only sums of bins that are hit are shuffled.
+    """
     ends = spectra.filter(F.size("mzs") > 0).groupBy("dataset_id").agg(F.min(F.get("mzs", F.lit(0))).alias("_lo"), F.max(F.element_at("mzs", -1)).alias("_hi"))
-    pts = points(spectra.select("dataset_id", "mzs", "ints")).join(F.broadcast(ends), "dataset_id")  # one row a dataset
-    size = (F.col("_hi") - F.col("_lo")) / bins
-    at = F.when(size > 0, F.least(F.lit(bins - 1), F.floor((F.col("mz") - F.col("_lo")) / size))).otherwise(0)
-    y = F.when(F.col("intensity") < 10e-256, 0.0).otherwise(F.col("intensity"))
-    out = pts.withColumn("bin", at.cast("long")).groupBy("dataset_id", "bin").agg(F.avg("mz").alias("mz"), F.sum(y).alias("sum"), F.greatest(F.max(y), F.lit(0.0)).alias("max"), F.count(F.lit(1)).alias("hits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for dataset, (x, y, top, n) in held.items():
+                hit = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([dataset] * len(hit), pa.string()), pa.array(hit), *(pa.array(v[hit]) for v in (x, y, top)), pa.array(n[hit])], names=["dataset_id", "bin", "x", "sum", "max", "n"])
+            held.clear()
+
+        for batch in batches:
+            (x, sizes), (y, _) = flat(batch.column("mzs")), flat(batch.column("ints"))
+            lo, hi = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_lo", "_hi"))
+            size = np.repeat((hi - lo) / bins, sizes)
+            at = np.minimum(bins - 1, np.floor(np.divide(x - np.repeat(lo, sizes), size, out=np.zeros(len(x)), where=size > 0))).astype(np.int64)
+            y = np.where(y < 10e-256, 0.0, y)
+            names = batch.column("dataset_id").to_pylist()
+            place = {d: i for i, d in enumerate(dict.fromkeys(names))}
+            which = np.repeat(np.array([place[d] for d in names], np.int64), sizes)
+            for dataset, i in place.items():
+                mine = which == i if len(place) > 1 else slice(None)
+                k, u, v = at[mine], x[mine], y[mine]
+                sums = held.setdefault(dataset, (np.zeros(bins), np.zeros(bins), np.zeros(bins), np.zeros(bins, np.int64)))
+                for into, w in ((sums[0], u), (sums[1], v), (sums[3], None)):
+                    into += np.bincount(k, w, bins).astype(into.dtype)
+                np.maximum.at(sums[2], k, v)
+            if len(held) * bins * 4 > HELD:
+                yield from send()
+        yield from send()
+
+    parts = spectra.select("dataset_id", "mzs", "ints").join(ends, "dataset_id").mapInArrow(run, "dataset_id string, bin long, x double, sum double, max double, n long")
+    out = parts.groupBy("dataset_id", "bin").agg((F.sum("x") / F.sum("n")).alias("mz"), F.sum("sum").alias("sum"), F.max("max").alias("max"), F.sum("n").alias("hits"))
     return out.withColumn("mean", F.col("sum") / F.col("hits"))
 
 
@@ -186,10 +248,11 @@ def overview_stack(overviews: DataFrame, bins: int = 15000) -> DataFrame:
 
 
 def region_spectra(spectra: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean, sum and maximum spectrum of each label above 0."""
-    inside = spectra.join(labels.filter("label != 0").select(*PIXEL, "label"), PIXEL)
-    out = points(inside).groupBy("dataset_id", "label", "pos").agg(F.min("mz").alias("mz"), F.sum("intensity").alias("sum"), F.avg("intensity").alias("mean"), F.greatest(F.max("intensity"), F.lit(0.0)).alias("max"))
-    return out
+    """Mean, sum and maximum spectrum of each label above 0, added up in the tasks."""
+    inside = spectra.select(*PIXEL, "mzs", "ints").join(labels.filter("label != 0").select(*PIXEL, "label"), PIXEL)
+    out = partial_sums(inside, ("dataset_id", "label")).groupBy("dataset_id", "label", "pos")
+    out = out.agg(F.min("mz").alias("mz"), F.sum("sum").alias("sum"), F.sum("n").alias("_n"), F.greatest(F.max("max"), F.lit(0.0)).alias("max"))
+    return out.select("dataset_id", "label", "pos", "mz", "sum", (F.col("sum") / F.col("_n")).alias("mean"), "max")
 
 
 def merge_accumulators(intervals: DataFrame, keys: list[str]) -> DataFrame:
@@ -197,10 +260,14 @@ def merge_accumulators(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return intervals.groupBy(*keys).agg(*[how[k](f"{a}_{k}").alias(f"{a}_{k}") for a in "xy" for k in how])
 
 
-def masked_stats(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, population deviation, median, minimum and maximum where label > 0."""
+def masked_stats(pixels: DataFrame, keys: list[str], middle: bool = True) -> DataFrame:
+    """Mean, population deviation, median (if asked for), minimum and maximum where label > 0; null where nothing is inside."""
     v = F.when(F.col("label") > 0, F.col("value"))
-    return pixels.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    stats = pixels.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    if not middle:
+        return stats
+    half = medians(pixels.filter("label > 0"), keys, "value")
+    return stats.join(half, same(stats, half, keys), "left").select(*[stats[k] for k in keys], "mean", "std", "median", "min", "max")
 
 
 def histogram(pixels: DataFrame, bins: int) -> DataFrame:

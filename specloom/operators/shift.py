@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.operators.images import overview_shared_axis, points
+from specloom.operators.images import overview_shared_axis, partial_sums
 
 
 def shift_map(spectra: DataFrame, centre: float, tol: float, least: float = 0.3) -> DataFrame:
@@ -16,7 +16,9 @@ def shift_map(spectra: DataFrame, centre: float, tol: float, least: float = 0.3)
     inside = (F.col("mz") >= centre - tol) & (F.col("mz") < centre + tol)
     top = lambda y: F.max_by(F.struct("pos", "mz", F.col(y).alias("y")), F.struct(y, -F.col("pos")))
     mean = overview_shared_axis(spectra).filter(inside).groupBy("dataset_id").agg(top("mean").alias("_m"))
-    own = points(spectra.select("dataset_id", "spectrum_id", "x", "y", "z", "mzs", "ints")).filter(inside).groupBy("dataset_id", "spectrum_id", "x", "y", "z").agg(top("intensity").alias("_o"))
+    each = F.transform("ints", lambda y, i: F.struct(y.cast("double").alias("y"), (-i).alias("_back"), i.alias("pos"), F.get("mzs", i).alias("mz")))
+    held = F.filter(each, lambda p: (p["mz"] >= centre - tol) & (p["mz"] < centre + tol))
+    own = spectra.select("dataset_id", "spectrum_id", "x", "y", "z", F.array_max(held).alias("_o")).filter("_o is not null")
     high = F.col("_o.y") > F.col("_m.y") * least
     return own.join(mean, "dataset_id").select(
         "dataset_id", "spectrum_id", "x", "y", "z",
@@ -31,7 +33,7 @@ def overview_shifted(spectra: DataFrame, shift: DataFrame) -> DataFrame:
     ends = shift.groupBy("dataset_id").agg(F.abs(F.least(F.min("shift"), F.lit(0))).alias("_down"), F.greatest(F.max("shift"), F.lit(0)).alias("_up"))
     axes = spectra.groupBy("dataset_id").agg(F.first("mzs").alias("_axis"), F.count(F.lit(1)).alias("_n"))
     moved = spectra.join(shift.select("dataset_id", "spectrum_id", "shift"), ["dataset_id", "spectrum_id"]).select("dataset_id", "shift", "mzs", "ints")
-    sums = points(moved).groupBy("dataset_id", (F.col("pos") - F.col("shift")).alias("at")).agg(F.sum("intensity").alias("sum"), F.greatest(F.max("intensity"), F.lit(0.0)).alias("max"))
+    sums = partial_sums(moved, ("dataset_id", "shift")).groupBy("dataset_id", (F.col("pos") - F.col("shift")).alias("at")).agg(F.sum("sum").alias("sum"), F.greatest(F.max("max"), F.lit(0.0)).alias("max"))
     out = sums.join(axes, "dataset_id").join(ends, "dataset_id")
     n, axis, at = F.size("_axis"), F.col("_axis"), F.col("at")
     low, high = F.get(axis, F.lit(0)), F.element_at(axis, -1)

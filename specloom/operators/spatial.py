@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from specloom.functions.scratch import Scratch
+from specloom.functions.selection import medians
 from specloom.operators.graph import components
 from specloom.operators.images import PIXEL, masked_stats
 
@@ -20,10 +22,10 @@ def image_norm(pixels: DataFrame, kind: str, keys: tuple[str, ...] = ("dataset_i
     zscore, pareto, vast, minmax (0 / 0 is NaN), range, robust (median and MAD with the usual 1.4826, Q6).
     """
     keys = list(keys)
-    stats = masked_stats(pixels, keys)
+    stats = masked_stats(pixels, keys, middle=kind == "robust")
     if kind == "robust":
-        distance = pixels.join(stats.select(*keys, F.col("median").alias("_m")), keys).filter("label > 0")
-        stats = stats.join(distance.groupBy(*keys).agg((F.median(F.abs(F.col("value") - F.col("_m"))) * 1.4826).alias("mad")), keys)
+        distance = pixels.filter("label > 0").join(stats.select(*keys, F.col("median").alias("_m")), keys).withColumn("_d", F.abs(F.col("value") - F.col("_m")))
+        stats = stats.join(medians(distance, keys, "_d", "_mad").select(*keys, (F.col("_mad") * 1.4826).alias("mad")), keys, "left")
     out = pixels.join(stats, keys)
     v, mean, std, lo, hi = (F.col(c) for c in ("value", "mean", "std", "min", "max"))
     nan = F.lit(float("nan"))
@@ -39,39 +41,57 @@ def image_norm(pixels: DataFrame, kind: str, keys: tuple[str, ...] = ("dataset_i
     return out.select(*[c for c in pixels.columns if c != "value"], F.when(F.col("label") > 0, by).otherwise(v).alias("value"))
 
 
-def offsets(radius: int, axes: str) -> Column:
-    """Array of (x, y, z) steps of a box of that radius along the given axes."""
-    span = range(-radius, radius + 1)
-    steps = [(x, y, z) for x in (span if "x" in axes else [0]) for y in (span if "y" in axes else [0]) for z in (span if "z" in axes else [0])]
-    return F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for c, v in zip("xyz", s, strict=True)]) for s in steps])
-
+#: Pixels of a tile along x and y, and along z.
+TILE, DEPTH = 256, 16
 
-def gathered(pixels: DataFrame, keys: list[str], axes: str, radius: int) -> DataFrame:
-    """(keys, x, y, z, d*, value): what each pixel sees around it; beyond the edges of the image, the edge again.
 
-    Images are full rectangles. A pixel is sent to the neighbours that see it; at the edges it also stands in
-    for what is outside.
+def by_tiles(df: DataFrame, keys: list[str], column: str, radius: int, axes: str, run: Callable, kind: str, tile: int = TILE) -> DataFrame:
+    """(keys, x, y, z, column) of what `run` makes of tiles of each image: run(values, there) with arrays [z, y, x] of the tile and a
+    rim of `radius` along the axes, cut at the image's edges, and of where they are in the image gives the tile's own values, masked where
+    there are none. A pixel goes to its tile and to those whose rim it lies in, so rows grow by the rims alone.
     """
-    ends = pixels.groupBy(*keys).agg(*[F.max(c).alias(f"_n{c}") for c in "xyz"])
-    df = pixels.select(*keys, "x", "y", "z", "value").join(ends, keys)
-    df = df.withColumn("_o", F.explode(offsets(radius, axes)))
-    # the pixel at (x, y) is what (tx, ty) sees at offset d if clamp(t + d) = (x, y): t = x - d, or any t whose t + d is beyond the edge
+    ends = df.groupBy(*keys).agg(*[F.max(c).alias(f"_n{c}") for c in "xyz"])
+    out = df.select(*keys, "x", "y", "z", F.col(column).alias("_v")).join(ends, keys)
+    size, rim = {"x": tile, "y": tile, "z": DEPTH}, {c: radius if c in axes else 0 for c in "xyz"}
     for c in "xyz":
-        if c not in axes:
-            continue
-        d, n, v = F.col(f"_o.d{c}"), F.col(f"_n{c}"), F.col(c)
-        plain = F.when((v - d >= 0) & (v - d <= n), F.array(v - d)).otherwise(F.array().cast("array<int>"))
-        low = F.when((v == 0) & (d < 0), F.filter(F.sequence(F.lit(0), F.lit(radius - 1)), lambda t: (t + d < 0) & (t <= n))).otherwise(F.array().cast("array<int>"))
-        high = F.when((v == n) & (d > 0), F.filter(F.transform(F.sequence(F.lit(0), F.lit(radius - 1)), lambda t: n - t), lambda t: (t + d > n) & (t >= 0))).otherwise(F.array().cast("array<int>"))
-        df = df.withColumn(f"_t{c}", F.explode(F.concat(plain, low, high)))
-    target = [F.col(f"_t{c}").alias(c) if c in axes else F.col(c) for c in "xyz"]
-    return df.select(*keys, *target, F.col("_o.dx").alias("dx"), F.col("_o.dy").alias("dy"), F.col("_o.dz").alias("dz"), "value")
-
-
-def smooth_median(pixels: DataFrame, keys: tuple[str, ...] = ("dataset_id", "feature_id"), axes: str = "xy") -> DataFrame:
-    """Median of the pixel and its neighbours at distance 1 along the axes, edge values repeated."""
-    keys = list(keys)
-    return gathered(pixels, keys, axes, 1).groupBy(*keys, "x", "y", "z").agg(F.median("value").alias("value"))
+        low, high = F.greatest(F.col(c) - rim[c], F.lit(0)), F.least(F.col(c) + rim[c], F.col(f"_n{c}"))
+        out = out.withColumn(f"_t{c}", F.explode(F.sequence(F.floor(low / size[c]), F.floor(high / size[c]))))
+
+    def each(frame: pd.DataFrame) -> pd.DataFrame:
+        first, at, own, shape = frame.iloc[0], [], [], []
+        for c in "zyx":
+            n, a = int(first[f"_n{c}"]), int(first[f"_t{c}"]) * size[c]
+            b = min(n, a + size[c] - 1)
+            low, high = max(0, a - rim[c]), min(n, b + rim[c])
+            at.append(frame[c].to_numpy() - low)
+            own.append((low, a, b, high))
+            shape.append(high - low + 1)
+        values, there = np.zeros(shape), np.zeros(shape, bool)
+        values[tuple(at)], there[tuple(at)] = frame["_v"].to_numpy(), True
+        got = np.ma.asarray(run(values, there, own))
+        kept = np.nonzero(~np.ma.getmaskarray(got))
+        places = {c: kept[i] + own[i][1] for i, c in enumerate("zyx")}
+        return pd.DataFrame({**{k: first[k] for k in keys}, **{c: places[c].astype(np.int32) for c in "xyz"}, column: got.data[kept]})
+
+    names = {k: df.schema[k].dataType.simpleString() for k in keys}
+    schema = ", ".join([*(f"{k} {t}" for k, t in names.items()), "x int, y int, z int", f"{column} {kind}"])
+    return out.groupBy(*keys, "_tx", "_ty", "_tz").applyInPandas(each, schema)
+
+
+def padded(values: np.ndarray, own: list[tuple[int, int, int, int]], rim: list[int]) -> np.ndarray:
+    """The tile with its whole rim: beyond the image's edges, the edge again."""
+    return np.pad(values, [(r - (a - low), r - (high - b)) for (low, a, b, high), r in zip(own, rim, strict=True)], mode="edge")
+
+
+def smooth_median(pixels: DataFrame, keys: tuple[str, ...] = ("dataset_id", "feature_id"), axes: str = "xy", tile: int = TILE) -> DataFrame:
+    """Median of the pixel and its neighbours at distance 1 along the axes, edge values repeated. Images are full rectangles."""
+    rim = [int(c in axes) for c in "zyx"]
+
+    def run(values: np.ndarray, there: np.ndarray, own: list) -> np.ndarray:
+        windows = np.lib.stride_tricks.sliding_window_view(padded(values, own, rim), [2 * r + 1 for r in rim])
+        return np.median(windows, axis=(-3, -2, -1))
+
+    return by_tiles(pixels, list(keys), "value", 1, axes, run, "double", tile)
 
 
 #: Discrete Gaussian weights exp(-t) I_k(t) of variance t = 0.66 ** 2 up to the radius that leaves an error under 0.01, scaled to sum 1.
@@ -90,14 +110,21 @@ def bessel_weights(variance: float = 0.66**2, error: float = 0.01) -> list[float
     return [w / whole for w in weights]
 
 
-def smooth_gauss(pixels: DataFrame, keys: tuple[str, ...] = ("dataset_id", "feature_id"), axes: str = "xy", weights: list[float] | None = None) -> DataFrame:
-    """Separable discrete Gaussian, one weighted sum an axis."""
-    keys, weights = list(keys), weights or bessel_weights()
-    table = F.array(*map(F.lit, weights))
-    for c in axes:
-        seen = gathered(pixels, keys, c, len(weights) - 1)
-        pixels = seen.groupBy(*keys, "x", "y", "z").agg(F.sum(F.col("value") * F.get(table, F.abs(F.col(f"d{c}")))).alias("value"))
-    return pixels
+def smooth_gauss(pixels: DataFrame, keys: tuple[str, ...] = ("dataset_id", "feature_id"), axes: str = "xy", weights: list[float] | None = None, tile: int = TILE) -> DataFrame:
+    """Separable discrete Gaussian, one weighted sum an axis, edge values repeated. Images are full rectangles."""
+    weights = weights or bessel_weights()
+    radius = len(weights) - 1
+    rim = [radius * (c in axes) for c in "zyx"]
+
+    def run(values: np.ndarray, there: np.ndarray, own: list) -> np.ndarray:
+        out = padded(values, own, rim)
+        for axis, r in enumerate(rim):
+            n = out.shape[axis] - 2 * r
+            if r:
+                out = sum(weights[abs(d)] * np.take(out, np.arange(r + d, r + d + n), axis) for d in range(-r, r + 1))
+        return out
+
+    return by_tiles(pixels, list(keys), "value", radius, axes, run, "double", tile)
 
 
 def windowed(value: Column, low: Column, high: Column) -> Column:
@@ -131,21 +158,40 @@ def extents(mask: DataFrame) -> DataFrame:
     return mask.groupBy("dataset_id").agg(*[F.max(c).alias(f"_n{c}") for c in "xyz"])
 
 
-def mask_dilate(mask: DataFrame, radius: int, flat: bool = True) -> DataFrame:
-    """Foreground pixels (label != 0) of the dilated mask; mask holds every pixel of the image."""
-    steps = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", s, strict=True)]) for s in ball(radius, flat)])
-    on = mask.filter("label != 0").select(*PIXEL, F.explode(steps).alias("_s"))
-    grown = on.select("dataset_id", *[(F.col(c) + F.col(f"_s.{c}")).alias(c) for c in "xyz"]).distinct()
-    return grown.join(extents(mask), "dataset_id").filter(" and ".join(f"{c} between 0 and _n{c}" for c in "xyz")).select(PIXEL)
+def spread(on: np.ndarray, own: list, radius: int, flat: bool) -> np.ndarray:
+    """Of a tile with its rim, the own pixels with an `on` pixel in their ball; beyond the image none is."""
+    rim = [0 if flat else radius, radius, radius]
+    wide = np.pad(on, [(r - (a - low), r - (high - b)) for (low, a, b, high), r in zip(own, rim, strict=True)])
+    size = [n - 2 * r for n, r in zip(wide.shape, rim, strict=True)]
+    out = np.zeros(size, bool)
+    for step in ball(radius, flat):
+        start = [r + d for r, d in zip(rim, step[::-1], strict=True)]
+        out |= wide[tuple(slice(a, a + n) for a, n in zip(start, size, strict=True))]
+    return out
 
 
-def mask_erode(mask: DataFrame, radius: int, flat: bool = True) -> DataFrame:
-    """Foreground pixels whose whole ball is foreground; outside of the image counts as foreground."""
-    steps = ball(radius, flat)
-    array = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", s, strict=True)]) for s in steps])
-    off = mask.filter("label = 0").select(*PIXEL, F.explode(array).alias("_s"))
-    hit = off.select("dataset_id", *[(F.col(c) + F.col(f"_s.{c}")).alias(c) for c in "xyz"]).distinct()
-    return mask.filter("label != 0").select(PIXEL).join(hit, PIXEL, "left_anti")
+def core(values: np.ndarray, own: list) -> np.ndarray:
+    return values[tuple(slice(a - low, b - low + 1) for low, a, b, _ in own)]
+
+
+def mask_dilate(mask: DataFrame, radius: int, flat: bool = True, tile: int = TILE) -> DataFrame:
+    """Foreground pixels (label != 0) of the dilated mask, by tiles; mask holds every pixel of the image."""
+
+    def run(values: np.ndarray, there: np.ndarray, own: list) -> np.ndarray:
+        grown = spread(values != 0, own, radius, flat)
+        return np.ma.array(grown, mask=~grown)
+
+    return by_tiles(mask, ["dataset_id"], "label", radius, "xy" if flat else "xyz", run, "boolean", tile).select(PIXEL)
+
+
+def mask_erode(mask: DataFrame, radius: int, flat: bool = True, tile: int = TILE) -> DataFrame:
+    """Foreground pixels whose whole ball is foreground, by tiles; outside of the image counts as foreground."""
+
+    def run(values: np.ndarray, there: np.ndarray, own: list) -> np.ndarray:
+        stays = core(there & (values != 0), own) & ~spread(there & (values == 0), own, radius, flat)
+        return np.ma.array(stays, mask=~stays)
+
+    return by_tiles(mask, ["dataset_id"], "label", radius, "xy" if flat else "xyz", run, "boolean", tile).select(PIXEL)
 
 
 def as_mask(foreground: DataFrame, mask: DataFrame) -> DataFrame:
@@ -163,23 +209,27 @@ def label_tiles(mask: DataFrame, full: bool, tile: int) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["z", "y", "x"], kind="stable").reset_index(drop=True)
-        at = {p: i for i, p in enumerate(zip(frame["x"], frame["y"], frame["z"], strict=True))}
-        root = list(range(len(frame)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for (x, y, z), i in at.items():
-            for dx, dy, dz in near:
-                j = at.get((x + dx, y + dy, z + dz))
-                if j is not None:
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-        ids = frame["pixel"].to_numpy()
-        frame["node"] = [ids[find(i)] for i in range(len(frame))]
+        x, y, z, ids = (frame[c].to_numpy(np.int64) for c in ("x", "y", "z", "pixel"))
+        row = (z << 21 | y) << 21  # rows of pixels, and runs of neighbours in them
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (x[1:] != x[:-1] + 1)))
+        length = np.diff(np.append(first, len(x)))
+        low, high = row[first] + x[first], row[first] + x[first] + length - 1
+        root, links = np.arange(len(first)), []
+        for dy, dz in sorted({(dy, dz) for _, dy, dz in near if (dy, dz) != (0, 0)}):
+            reach = max(abs(dx) for dx, v, w in near if (v, w) == (dy, dz))
+            to = (dz << 42) + (dy << 21)
+            a, b = np.searchsorted(high, low + to - reach), np.searchsorted(low, high + to + reach, side="right")
+            n = np.maximum(b - a, 0)
+            mine = np.repeat(np.arange(len(first)), n)
+            links.append((mine, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)))
+        u, v = (np.concatenate([pair[i] for pair in links]) for i in (0, 1))
+        while (root[u] != root[v]).any():  # the lower root of each link, then roots of roots
+            low_root = np.minimum(root[u], root[v])
+            for end in (u, v):
+                np.minimum.at(root, root[end], low_root)
+            while (root[root] != root).any():
+                root = root[root]
+        frame["node"] = ids[first[np.repeat(root, length)]]
         return frame.drop(columns=["_tx", "_ty"])
 
     on = mask.filter("label != 0").select(*PIXEL, pixel_number().alias("pixel"), F.floor(F.col("x") / tile).alias("_tx"), F.floor(F.col("y") / tile).alias("_ty"))

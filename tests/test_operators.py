@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specloom.functions.scratch import Scratch
+from specloom.functions.selection import medians
 from specloom.operators import geometry, images, joins, multivariate, peaks, spatial
 from specloom.operators.graph import components
 
@@ -121,6 +122,73 @@ def test_feature_matrix_of_short_and_long_lists(spark, pooling, monkeypatch):
     assert short == rows() and len(short) > 100
 
 
+def test_medians_of_groups_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if g == 2 else int(g), None if v == 7 else float(v)) for g, v in zip(rng.choice([0, 0, 0, 0, 0, 1, 2, 3], 3000), rng.integers(0, 40, 3000))] + [(9, None), (8, 1.5), (7, 1.0), (7, 2.0)]
+    got = {r["g"]: r["median"] for r in medians(spark.createDataFrame(rows, "g long, v double").repartition(5), ["g"], "v").collect()}
+    assert got == {g: float(np.median([v for k, v in rows if k == g and v is not None])) for g in {r[0] for r in rows} - {9}}
+
+
+def brute(values, rim, f):
+    wide = np.pad(values, [(r, r) for r in rim], mode="edge")
+    return f(np.lib.stride_tricks.sliding_window_view(wide, [2 * r + 1 for r in rim]))
+
+
+@pytest.mark.parametrize("axes", ["xy", "xyz", "x"])
+def test_neighbourhoods_in_small_tiles(spark, axes):
+    values = np.random.default_rng(4).random((3, 7, 11))
+    z, y, x = (a.ravel().tolist() for a in np.indices(values.shape))
+    df = spark.createDataFrame([("d", 1, *p, float(v)) for p, v in zip(zip(x, y, z), values.ravel())], "dataset_id string, feature_id long, x int, y int, z int, value double").repartition(3)
+
+    def same(out, want):
+        got = {(r["z"], r["y"], r["x"]): r["value"] for r in out.collect()}
+        assert len(got) == values.size and np.allclose([got[k] for k in np.ndindex(*values.shape)], want.ravel())
+
+    rim = [int(c in axes) for c in "zyx"]
+    same(spatial.smooth_median(df, axes=axes, tile=3), brute(values, rim, lambda w: np.median(w, axis=(-3, -2, -1))))
+    weights = [0.5, 0.2, 0.05]
+    want = values
+    for i, c in enumerate("zyx"):
+        if c in axes:
+            r = [2 * (j == i) for j in range(3)]
+            line = np.array([weights[abs(d)] for d in range(-2, 3)]).reshape([5 if j == i else 1 for j in range(3)])
+            want = brute(want, r, lambda w, line=line: (w * line).sum(axis=(-3, -2, -1)))
+    same(spatial.smooth_gauss(df, axes=axes, weights=weights, tile=4), want)
+
+
+@pytest.mark.parametrize(("radius", "flat"), [(1, True), (2, True), (2, False)])
+def test_masks_in_small_tiles(spark, radius, flat):
+    on = np.random.default_rng(7).random((4, 9, 8)) < 0.25
+    z, y, x = (a.ravel().tolist() for a in np.indices(on.shape))
+    mask = spark.createDataFrame([("d", *p, int(v)) for p, v in zip(zip(x, y, z), on.ravel())], "dataset_id string, x int, y int, z int, label int").repartition(3)
+    steps, size = spatial.ball(radius, flat), on.shape
+    inside = lambda p: all(0 <= v < n for v, n in zip(p, size))
+    near = lambda p: [q for dx, dy, dz in steps if inside(q := (p[0] + dz, p[1] + dy, p[2] + dx))]
+    pixels = lambda df: {(r["z"], r["y"], r["x"]) for r in df.collect()}
+    assert pixels(spatial.mask_dilate(mask, radius, flat, tile=3)) == {p for p in np.ndindex(*size) if any(on[q] for q in near(p))}
+    assert pixels(spatial.mask_erode(mask, radius, flat, tile=3)) == {p for p in np.ndindex(*size) if all(on[q] for q in near(p))}
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_components_of_many_small_tiles(spark, full):
+    on = np.random.default_rng(9).random((2, 14, 13)) < (0.45 if not full else 0.2)
+    z, y, x = (a.ravel().tolist() for a in np.indices(on.shape))
+    mask = spark.createDataFrame([("d", *p, int(v)) for p, v in zip(zip(x, y, z), on.ravel())], "dataset_id string, x int, y int, z int, label int").repartition(3)
+    group, steps = {}, [d for d in np.ndindex(3, 3, 3) if (sum(abs(v - 1) for v in d) == 1 or full) and d != (1, 1, 1)]
+    for p in map(tuple, np.argwhere(on)):
+        todo = [p] if p not in group else []
+        while todo:
+            q = todo.pop()
+            if q in group or not all(0 <= v < n for v, n in zip(q, on.shape)) or not on[q]:
+                continue
+            group[q] = p
+            todo += [tuple(int(v + d - 1) for v, d in zip(q, s)) for s in steps]
+    sizes = {g: list(group.values()).count(g) for g in group.values()}
+    label = {g: i + 1 for i, g in enumerate(sorted(sizes, key=lambda g: (-sizes[g], g)))}
+    got = {(r["z"], r["y"], r["x"]): (r["label"], r["size"]) for r in spatial.connected_components(mask, full, tile=4).collect()}
+    assert got == {tuple(int(v) for v in p): (label[g], sizes[g]) for p, g in group.items()}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
