@@ -43,31 +43,29 @@ def annotate_features(intervals: DataFrame, records: DataFrame, within: float =
     """Descriptions for intervals from records (record_id, mz, name), for lists that repeat an x mean.
 
     Records in order take the nearest free interval of empty description that is closer than `within`, x means read with four
-    decimals. Records and intervals that may meet are cut into chunks at gaps too wide for any match; the
-    order matters within a chunk only, so chunks run apart.
+    decimals; of equally near ones the first by x mean and id. Records meet intervals by buckets of `within`.
+
+    As every interval prefers the earlier record, the outcome is that of proposals: in a round each record asks the nearest interval that has
+    not turned it down, and an interval keeps the first of those that ask. Only records that are turned down go on; rounds end
+    when none is.
     """
+    scratch = Scratch(intervals.sparkSession, "annotate")
     twice = intervals.groupBy("list_id").agg((F.count(F.lit(1)) > F.count_distinct("x_mean")).alias("_again")).filter("_again").select("list_id")
-    free = intervals.join(twice, "list_id", "left_semi").filter("coalesce(description, '') = ''")  # one row a list
-    left = free.select("list_id", F.round("x_mean", 4).alias("v"), F.col("interval_id").alias("id"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("name"))
-    lists = free.select("list_id").distinct()
-    right = records.join(F.broadcast(lists), F.lit(True)).select("list_id", F.col("mz").alias("v"), F.col("record_id").alias("id"), F.lit(1).alias("side"), "name")  # every list meets every record once
-    line = Window.partitionBy("list_id").orderBy("v", "side", "id")
-    both = left.unionByName(right).withColumn("_new", (F.col("v") - F.lag("v").over(line) >= within).cast("int"))
-    chunked = both.withColumn("chunk", F.sum(F.coalesce("_new", F.lit(1))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        mine = frame[frame["side"] == 0].sort_values(["v", "id"])
-        values, ids, used = mine["v"].to_numpy(), mine["id"].to_numpy(), np.zeros(len(mine), bool)
-        out = []
-        for _, r in frame[frame["side"] == 1].sort_values("id").iterrows():
-            d = np.where(used, np.inf, np.abs(values - r["v"])) if len(values) else np.array([np.inf])
-            if d.min() < within:
-                i = int(d.argmin())
-                used[i] = True
-                out.append((frame["list_id"].iloc[0], int(ids[i]), r["name"]))
-        return pd.DataFrame(out, columns=["list_id", "interval_id", "name"])
-
-    return chunked.groupBy("list_id", "chunk").applyInPandas(pick, "list_id string, interval_id long, name string")
+    free = intervals.join(twice, "list_id", "left_semi").filter("coalesce(description, '') = ''")
+    free = free.select("list_id", "interval_id", F.round("x_mean", 4).alias("v")).withColumn("_b", F.floor(F.col("v") / within))
+    asks = records.select("record_id", "name", "mz").withColumn("_b", F.explode(F.sequence(F.floor((F.col("mz") - within) / within), F.floor((F.col("mz") + within) / within))))
+    near = free.join(asks, "_b").withColumn("d", F.abs(F.col("v") - F.col("mz"))).filter(F.col("d") < within)
+    line = F.array_sort(F.collect_list(F.struct("d", "v", "interval_id")))  # as many as lie within reach of one record
+    wishes = scratch.keep(near.groupBy("list_id", "record_id", "name").agg(line.alias("line")), "wishes")
+    asking, turn = wishes.select("list_id", "record_id", "name", "line", F.lit(0).alias("k")), 0
+    while True:
+        asked = asking.filter(F.col("k") < F.size("line")).withColumn("interval_id", F.get("line", F.col("k"))["interval_id"])
+        best = asked.groupBy("list_id", "interval_id").agg(F.min("record_id").alias("_first"))
+        asked = scratch.keep(asked.join(best, ["list_id", "interval_id"]).withColumn("lost", F.col("record_id") != F.col("_first")), f"round{turn}")
+        if not asked.filter("lost").limit(1).count():
+            return asked.select("list_id", "interval_id", "name")
+        asking = asked.select("list_id", "record_id", "name", "line", (F.col("k") + F.col("lost").cast("int")).alias("k"))
+        turn += 1
 
 
 def step_peak(lists: DataFrame, centre: float, tol: float, forward: bool = True) -> DataFrame:

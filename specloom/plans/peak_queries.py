@@ -163,7 +163,11 @@ def matched_peaks(spark, sf_dir):
     return rounded(joins.match_peaks(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), 0.0005))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT p_partkey AS interval_id, round(p_retailprice, 4) AS v FROM part WHERE p_partkey % 3 <> 0 AND (SELECT count(*) > count(DISTINCT p_retailprice) FROM part)),
+w AS (SELECT p_partkey AS record_id, p_brand AS name, interval_id, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(v - (p_retailprice + 0.004)), v, interval_id) AS k FROM part JOIN f ON abs(v - (p_retailprice + 0.004)) < 0.01),
+a(t, record_id, k) AS (SELECT 0, record_id, 1 FROM w WHERE k = 1
+  UNION ALL SELECT t + 1, record_id, k + lost FROM (SELECT *, max(lost) OVER () AS go FROM (SELECT t, record_id, k, (record_id > min(record_id) OVER (PARTITION BY interval_id))::INT AS lost FROM a JOIN w USING (record_id, k))) WHERE go = 1)
+SELECT 'parts' AS list_id, interval_id, name FROM a JOIN w USING (record_id, k) WHERE t = (SELECT max(t) FROM a)""")
 def annotated_features(spark, sf_dir):
     df = targets(spark, sf_dir)
     free = df.withColumn("description", F.when(F.col("interval_id") % 3 == 0, F.col("description")).otherwise(""))

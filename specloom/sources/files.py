@@ -92,13 +92,36 @@ def read_sef(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sef(intervals: DataFrame, path: str) -> None:
-    """One JSON peak list: a file of one list, as the format has it; bounds are 0 where nothing was counted."""
+    """One JSON peak list, in a folder of its own; bounds are 0 where nothing was counted.
+
+    Tasks write the intervals in order as lines of text, and the file system joins the pieces: the driver copies bytes between streams.
+    """
     bound = lambda c: F.when(F.col("x_count") > 0, F.col(c)).otherwise(0.0)
     one = F.struct(bound("x_min").alias("lower"), bound("x_max").alias("upper"), F.coalesce("description", F.lit("")).alias("name"), F.coalesce("color", F.lit("")).alias("color"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col("interval_id").alias("k"), one.alias("v"))))
-    whole = intervals.agg(F.transform(rows, lambda r: r["v"]).alias("v"))
-    out = whole.select(F.to_json(F.struct(F.struct(F.lit("2").alias("version"), F.size("v").alias("count"), F.col("v").alias("intervals")).alias("peaklist"))).alias("value"))
-    out.coalesce(1).write.mode("overwrite").text(path)
+    spark, pieces = intervals.sparkSession, f"{path}/_pieces"
+    lines = intervals.select("interval_id", F.concat(F.lit(","), F.to_json(one)).alias("value"))
+    lines.orderBy("interval_id", "value").select("value").write.mode("overwrite").text(pieces)
+    n = spark.read.text(pieces).count()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, to = (jvm.org.apache.hadoop.fs.Path(p) for p in (pieces, f"{path}/peaklist.sef"))
+    system = folder.getFileSystem(conf)
+    out = system.create(to, True)
+    try:
+        out.write(bytearray(f'{{"peaklist":{{"version":"2","count":{n},"intervals":['.encode()))
+        first = True
+        for file in sorted((f.getPath() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getName()):
+            piece = system.open(file)
+            try:
+                if first:  # the comma before the first interval
+                    piece.seek(1)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(piece, out, 1 << 20, False)
+                first = False
+            finally:
+                piece.close()
+        out.write(bytearray(b"]}}"))
+    finally:
+        out.close()
+    system.delete(folder, True)
 
 
 def centroid_table(intervals: DataFrame) -> DataFrame:

@@ -189,6 +189,22 @@ def test_components_of_many_small_tiles(spark, full):
     assert got == {tuple(int(v) for v in p): (label[g], sizes[g]) for p, g in group.items()}
 
 
+def test_annotations_in_order_of_records(spark):
+    rng = np.random.default_rng(12)
+    lists = [(f"l{i % 2}", i, float(v), rng.choice(["", None, "named"])) for i, v in enumerate(np.round(rng.uniform(100, 100.3, 120), 3))] + [("l0", 500, 100.1, ""), ("l0", 501, 100.1, None), ("l1", 502, 100.2, ""), ("l1", 503, 100.2, ""), ("once", 600, 100.15, "")]
+    records = [(i, float(v), f"r{i}") for i, v in enumerate(np.round(rng.uniform(100, 100.3, 90), 3))] + [(900, None, "none")]
+    want = []
+    for name in ("l0", "l1"):
+        free = sorted((round(v, 4), i) for n, i, v, d in lists if n == name and not d)
+        for _, mz, text in sorted(r for r in records if r[1] is not None):
+            near = min(free, key=lambda f: (abs(f[0] - mz), f), default=None)
+            if near and abs(near[0] - mz) < 0.01:
+                want.append((name, near[1], text))
+                free.remove(near)
+    got = joins.annotate_features(spark.createDataFrame(lists, "list_id string, interval_id long, x_mean double, description string"), spark.createDataFrame(records, "record_id long, mz double, name string").repartition(4))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 60
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
