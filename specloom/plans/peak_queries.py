@@ -110,7 +110,9 @@ def isotope_lists(spark, sf_dir):
     return centroids(spark, sf_dir).select(F.col("spectrum_id").cast("string").alias("list_id"), F.col("event_id").alias("interval_id"), F.col("mz").alias("x_mean"), F.col("intensity").alias("y_max"))
 
 
-@query()
+@query(f"""WITH {CENTROIDS}, p AS (SELECT spectrum_id AS l, event_id AS id, mz AS x, row_number() OVER w AS i, count(*) OVER (PARTITION BY spectrum_id) AS n FROM peaks WINDOW w AS (PARTITION BY spectrum_id ORDER BY mz, event_id)),
+f AS (SELECT a.l, a.i, a.id, s, any_value(a.x) AS x, arg_min(struct_pack(id := b.id, x := b.x), (abs(b.x - (a.x + s * 1.00235)), b.i)) AS b FROM p a JOIN p b ON b.l = a.l AND b.i > a.i, (VALUES (1), (2)) t(s) WHERE a.i <= a.n - 3 GROUP BY a.l, a.i, a.id, s)
+SELECT l::VARCHAR AS list_id, list_prepend(id, list(b.id ORDER BY s)) AS interval_ids FROM f WHERE abs(b.x - (x + s * 1.00235)) < x * 1e-3 GROUP BY l, i, id HAVING count(*) = 2""")
 def isotope_clusters(spark, sf_dir):
     return peaks.isotope_clusters(isotope_lists(spark, sf_dir), 3, tol=1e-3)
 
@@ -133,7 +135,13 @@ def pattern_correlation(spark, sf_dir):
     return cube(spark, sf_dir).select("spectrum_id", r(arrays.correlation(F.transform("ints", lambda a: a / 100), square), 5).alias("r"))
 
 
-@query()
+@query(f"""WITH {CUBE}, m AS (SELECT pos, mz::DOUBLE AS x, avg(intensity) AS y FROM pts GROUP BY 1, 2), s AS (SELECT list_sort(list(y)) AS s FROM m), n AS (SELECT 1.4826 * list_sort(list_transform(s, lambda v: abs(v - s[33])))[33] AS noise FROM s),
+w AS (SELECT *, max(y) OVER (ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS top FROM m), p AS (SELECT pos, x, y FROM w, n WHERE y = top AND y > 0.5 * noise),
+c AS (SELECT p.*, (SELECT max(m.pos) FROM m WHERE m.pos < p.pos AND m.y <= p.y / 2) AS a, (SELECT min(m.pos) FROM m WHERE m.pos > p.pos AND m.y <= p.y / 2) AS b FROM p),
+h AS (SELECT c.x, c.y, c.x - (la.x + (lb.x - la.x) * (c.y / 2 - la.y) / (lb.y - la.y)) AS l, ra.x + (rb.x - ra.x) * (c.y / 2 - ra.y) / (rb.y - ra.y) - c.x AS r
+  FROM c LEFT JOIN m la ON la.pos = a LEFT JOIN m lb ON lb.pos = a + 1 LEFT JOIN m ra ON ra.pos = b LEFT JOIN m rb ON rb.pos = b - 1),
+k AS (SELECT x, y, coalesce(l, r) AS l, coalesce(r, l) AS r FROM h)
+SELECT 'cube' AS dataset_id, x AS mz, round(y, 6) AS y, round(coalesce(CASE WHEN l > 2 * r THEN 2 * r WHEN r > 2 * l THEN 2 * l ELSE l + r END, 0), 6) AS fwhm FROM k""")
 def fwhm(spark, sf_dir):
     return rounded(peaks.fwhm(images.overview_shared_axis(cube(spark, sf_dir)), 4, 0.5))
 

@@ -63,10 +63,14 @@ def transforms(spark, sf_dir):
     return df.select("spectrum_id", F.posexplode(F.arrays_zip(*cols)).alias("pos", "p")).select("spectrum_id", F.col("pos").cast("long").alias("pos"), *[r(f"p.{c}").alias(c) for c in cols])
 
 
+def kernel_terms(weights):
+    h = len(weights) // 2
+    return " + ".join(f"{w!r} * ints[least(greatest(i + {j - h}, 1), len(ints))]" for j, w in enumerate(map(float, weights)))
+
+
 def kernel_sql(weights, value="intensity"):
     """Convolution with edge values repeated, as SQL over positions 1 to n of a list."""
-    h = len(weights) // 2
-    terms = " + ".join(f"{w!r} * ints[least(greatest(i + {j - h}, 1), len(ints))]" for j, w in enumerate(map(float, weights)))
+    terms = kernel_terms(weights)
     return f"SELECT spectrum_id, i - 1 AS pos, round({terms}, 6) + 0.0 AS intensity FROM (SELECT spectrum_id, ints, unnest(range(1, len(ints) + 1)) AS i FROM cube)"
 
 
@@ -119,7 +123,12 @@ def baseline_median(spark, sf_dir):
     return exploded(cube(spark, sf_dir), signal.baseline(F.col("ints"), "median", 2))
 
 
-@query()
+WIDE = "OVER (PARTITION BY spectrum_id ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)"
+
+
+@query(f"""WITH {CUBE}, {TIC}, n AS (SELECT spectrum_id, list(intensity / f ORDER BY pos) AS ints FROM pts JOIN tic USING (spectrum_id) GROUP BY spectrum_id),
+v AS (SELECT spectrum_id, i - 1 AS pos, {kernel_terms(kernels.polynomial_kernel(4, 2))} AS v FROM (SELECT *, unnest(range(1, len(ints) + 1)) AS i FROM n)),
+e AS (SELECT *, min(v) {WIDE} AS e FROM v), o AS (SELECT *, max(e) {WIDE} AS o FROM e) SELECT spectrum_id, pos, round(sqrt(greatest(0, v - o)), 6) + 0.0 AS intensity FROM o""")
 def processed(spark, sf_dir):
     """The whole chain: factor, smoothing, baseline, transform."""
     df = signal.process(cube(spark, sf_dir), "tic", ("savgol", 4), ("tophat", 10), "sqrt")
@@ -250,7 +259,10 @@ def equidistant_bins(spark, sf_dir):
     return rounded(images.equidistant_bins(df.select("mz", "intensity"), 200))
 
 
-@query()
+@query(f"""WITH {CENTROIDS}, e AS (SELECT min(mz) AS lo, max(mz) - min(mz) AS span FROM peaks),
+b AS (SELECT avg(mz) AS mz, avg(intensity) AS mean FROM peaks, e GROUP BY least(1499, floor((mz - lo) / (span / 1500)))), s AS (SELECT max(mz) - min(mz) AS span FROM b),
+v AS (SELECT CAST(level AS INTEGER) AS level, avg(mz) AS x, max(mean) AS y FROM b, s, range(7) t(level) GROUP BY level, floor(mz / (span / (1500 >> CAST(level AS INTEGER))))),
+d AS (SELECT level FROM v GROUP BY level ORDER BY abs(count(*) / (max(x) - min(x)) - 300.0 / 490.0), level LIMIT 1) SELECT level, round(x, 6) AS x_mean, round(y, 6) AS y_max FROM v JOIN d USING (level)""")
 def level_of_detail(spark, sf_dir):
     df = images.overview_binned(centroid_spectra(spark, sf_dir), 1500)
     return rounded(images.level_of_detail(df, 1500, 300.0, 490.0))
