@@ -357,6 +357,49 @@ def kmeans_correlation(spark, sf_dir):
     return multivariate.kmeans(matrix(spark, sf_dir), 3, "pearson").select("spectrum_id", "label")
 
 
+def kmeans_sql(k: int, distance: str, spatial: bool = False, rounds: int = 100) -> str:
+    """Rounds of nearest centres and means from the k spectra of least id on, until no centre moves."""
+    n = 64 + 3 * spatial
+    scaled = ", ".join(f"(ints[{i}] - min(ints[{i}]) OVER ()) / (max(ints[{i}]) OVER () - min(ints[{i}]) OVER ())" for i in range(1, 65))
+    places = ", x / max(x) OVER ()::DOUBLE, y / max(y) OVER ()::DOUBLE, 0.0" if spatial else ""
+    near = f"list_transform(c, lambda q: {distance}) AS d"
+    return f"""WITH RECURSIVE {CUBE}, v AS (SELECT spectrum_id, [{scaled}{places}] AS v FROM cube),
+r AS (SELECT 0 AS t, (SELECT list(v ORDER BY spectrum_id) FROM v WHERE spectrum_id < {k}) AS c, true AS go
+  UNION ALL SELECT t + 1, m, list_max(list_transform(range(1, {k + 1}), lambda j: list_distance(m[j], c[j]))) > 1e-12 FROM (
+    SELECT t, c, list_transform(range(1, {k + 1}), lambda j: coalesce(list_filter(g, lambda e: e.j = j)[1].m, c[j])) AS m FROM (
+      SELECT t, c, list(struct_pack(j := j, m := m)) AS g FROM (
+        SELECT t, c, list_position(d, list_min(d)) AS j, [{", ".join(f"avg(v[{i}])" for i in range(1, n + 1))}] AS m FROM (SELECT t, c, v, {near} FROM r, v WHERE go AND t < {rounds}) GROUP BY t, c, j) GROUP BY t, c)))
+SELECT spectrum_id, CAST(list_position(d, list_min(d)) AS INTEGER) AS label FROM (SELECT spectrum_id, {near} FROM v, (SELECT c FROM r ORDER BY t DESC LIMIT 1))"""
+
+
+COSINE = "1 - list_cosine_similarity(q, v)"
+CENTRED = "1 - list_cosine_similarity(list_transform(q, lambda a: a - list_avg(q)), list_transform(v, lambda a: a - list_avg(v)))"
+
+
+def first_rows(df, k, spatial=False):
+    """The k spectra of least id, as `kmeans` sees them."""
+    rows = multivariate.minmax_columns(df).join(df.agg(F.max("x").alias("_x"), F.max("y").alias("_y")), F.lit(True)).orderBy("spectrum_id").limit(k).collect()
+    return [[r[f"f{i}"] for i in range(64)] + ([r["x"] / r["_x"], r["y"] / r["_y"], 0.0] if spatial else []) for r in rows]
+
+
+@query(kmeans_sql(4, "list_distance(q, v)"))
+def kmeans_euclid_from_rows(spark, sf_dir):
+    df = matrix(spark, sf_dir)
+    return multivariate.kmeans(df, 4, start=first_rows(df, 4)).select("spectrum_id", "label")
+
+
+@query(kmeans_sql(4, COSINE, spatial=True))
+def kmeans_cosine_from_rows(spark, sf_dir):
+    df = matrix(spark, sf_dir)
+    return multivariate.kmeans(df, 4, "cosine", 0.5, start=first_rows(df, 4, spatial=True)).select("spectrum_id", "label")
+
+
+@query(kmeans_sql(3, CENTRED))
+def kmeans_pearson_from_rows(spark, sf_dir):
+    df = matrix(spark, sf_dir)
+    return multivariate.kmeans(df, 3, "pearson", start=first_rows(df, 3)).select("spectrum_id", "label")
+
+
 @query()
 def pca_scores(spark, sf_dir):
     return rounded(multivariate.pca(matrix(spark, sf_dir), 3)[0].drop("dataset_id", "x", "y", "z"))
