@@ -124,22 +124,44 @@ def landmark_error(points: DataFrame, per_layer: int) -> DataFrame:
     return means.agg(F.avg("_m").alias("mean"), F.stddev_pop("_m").alias("std"))
 
 
-def stack(parts: list[DataFrame], axis: str) -> DataFrame:
-    """Datasets side by side along x, y or z, each after the extent of those before."""
-    out, shift = None, 0
+def stack(parts: list[DataFrame], axis: str, pixel_sizes: list[tuple[float, float, float]] | None = None) -> DataFrame:
+    """Datasets side by side along x, y or z, each after the extent of those before.
+
+    Where they hold spectra, all of these must have one axis; given pixel sizes must agree to 1e-4.
+    """
+    for size in pixel_sizes or []:
+        if any(abs(a - b) > 1e-4 for a, b in zip(size, pixel_sizes[0], strict=True)):
+            raise ValueError(f"pixel sizes differ: {pixel_sizes}")
+    out, shift, axes = None, 0, set()
     for part in parts:
-        extent = part.agg(F.max(axis)).first()[0]
+        hashes = [f(F.xxhash64("mzs")) for f in (F.min, F.max)] if "mzs" in part.columns else []
+        extent, *found = part.agg(F.max(axis), *hashes).first()
+        axes |= {h for h in found if h is not None}
+        if len(axes) > 1:
+            raise ValueError("the datasets' spectra differ in their axes")
         part = part.withColumn(axis, (F.col(axis) + shift).cast(part.schema[axis].dataType))
         out = part if out is None else out.unionByName(part)
         shift += 0 if extent is None else extent + 1
     return out
 
 
+def merge_peak_lists(lists: list[DataFrame]) -> DataFrame:
+    """The intervals of stacked datasets as one list by x mean; of equal x means the first list's, of least interval_id, stays."""
+    out = None
+    for i, one in enumerate(lists):
+        one = one.select(F.struct(*one.columns).alias("_row"), "x_mean", F.struct(F.lit(i).alias("i"), "interval_id").alias("_at"))
+        out = one if out is None else out.union(one)
+    return out.groupBy("x_mean").agg(F.min_by("_row", "_at").alias("_row")).select("_row.*").orderBy("x_mean")
+
+
 def stack_slices(parts: list[DataFrame]) -> DataFrame:
-    """One z a dataset. Slices must have the same extent in x and y."""
-    sizes = {tuple(p.agg(F.max("x"), F.max("y")).first()) for p in parts}
-    if len(sizes) > 1:
+    """One z a dataset. Slices must have the same extent in x and y, and one format where they name it."""
+    named = all("format" in p.columns for p in parts)
+    found = [tuple(p.agg(F.max("x"), F.max("y"), *[f("format") for f in (F.min, F.max) if named]).first()) for p in parts]
+    if len(sizes := {f[:2] for f in found}) > 1:
         raise ValueError(f"slices differ in size: {sorted(sizes)}")
+    if len(formats := {v for f in found for v in f[2:]}) > 1:
+        raise ValueError(f"slices differ in format: {sorted(map(str, formats))}")
     out = None
     for z, part in enumerate(parts):
         part = part.withColumn("z", F.lit(z))

@@ -313,12 +313,17 @@ def distinct_sources(bins: DataFrame) -> DataFrame:
     return bins.withColumn("distinct", F.size(F.array_distinct("sources")) == F.size("sources"))
 
 
-def combine_lists(lists: list[DataFrame]) -> DataFrame:
-    """Lists appended, their number as source_id, by x mean."""
+def combine_lists(lists: list[DataFrame], pixels: list[int | None] | None = None) -> DataFrame:
+    """Lists appended, their number as source_id, by x mean.
+
+    pixels: how many pixels each list's image has, null where that isn't known; their sum is pixel_count of the combined list.
+    """
     out = None
     for i, one in enumerate(lists):
         one = one.withColumn("source_id", F.lit(i))
         out = one if out is None else out.unionByName(one)
+    if pixels is not None:
+        out = out.withColumn("pixel_count", F.lit(sum(n or 0 for n in pixels)).cast("long"))
     return out.orderBy("x_mean", "source_id", "interval_id")
 
 
@@ -423,13 +428,20 @@ def fwhm(overviews: DataFrame, hws: int = 50, snr: float = 3.0) -> DataFrame:
     return overviews.select("dataset_id", "mz", F.col("mean").alias("y")).groupBy("dataset_id").applyInPandas(run, "dataset_id string, mz double, y double, fwhm double")
 
 
-def pick_peaks_overview(overviews: DataFrame, snr: float, hws: int) -> DataFrame:
-    """Peaks of each overview spectrum: one row a list, so a list is the unit."""
+def pick_peaks_overview(overviews: DataFrame, snr: float, hws: int, isotopes: dict | None = None) -> DataFrame:
+    """Peaks of each overview spectrum: one row a list, so a list is the unit.
+
+    isotopes: arguments of `monoisotopic`; then only the first peaks of isotope patterns among the peaks stay.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("mz")
         x, y = frame["mz"].to_numpy(), frame["y"].to_numpy(float)
         at = kernels.local_maxima(y, hws, snr * kernels.mad(y))
-        return pd.DataFrame({"dataset_id": frame["dataset_id"].iloc[0], "mz": x[at], "y": y[at]})
+        return pd.DataFrame({"dataset_id": frame["dataset_id"].iloc[0], "mz": x[at], "y": y[at], "i": at})
 
-    return overviews.select("dataset_id", "mz", F.col("mean").alias("y")).groupBy("dataset_id").applyInPandas(run, "dataset_id string, mz double, y double")
+    found = overviews.select("dataset_id", "mz", F.col("mean").alias("y")).groupBy("dataset_id").applyInPandas(run, "dataset_id string, mz double, y double, i long")
+    if isotopes is None:
+        return found.drop("i")
+    lists = found.select(F.col("dataset_id").alias("list_id"), F.col("i").alias("interval_id"), F.col("mz").alias("x_mean"), F.col("y").alias("y_max"))
+    return monoisotopic(lists, **isotopes).select(F.col("list_id").alias("dataset_id"), F.col("x_mean").alias("mz"), F.col("y_max").alias("y"))

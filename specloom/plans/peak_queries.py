@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from specloom.functions import arrays
 from specloom.functions.scratch import Scratch
-from specloom.operators import images, joins, peaks
+from specloom.operators import geometry, images, joins, peaks
 from specloom.plans.fixtures import CENTROIDS, CUBE, centroid_spectra, centroids, cube, lineitem_peaks, read, targets
 from specloom.plans.registry import query, r, rounded
 from specloom.sources import files, imzml
@@ -100,6 +100,21 @@ def combined_lists(spark, sf_dir):
     return peaks.combine_lists([df.filter("y_max < 20"), df.filter("y_max >= 15")]).select("interval_id", "x_mean", "source_id")
 
 
+@query("""WITH a AS (SELECT p_partkey AS interval_id, p_retailprice AS x_mean, 0 AS source_id FROM part WHERE p_size < 20 UNION ALL SELECT p_partkey, p_retailprice, 1 FROM part WHERE p_size >= 15)
+SELECT interval_id, x_mean, CAST(source_id AS INTEGER) AS source_id, (SELECT count(*) FROM embeddings) + (SELECT count(DISTINCT user_id) FROM events) AS pixel_count FROM a""")
+def combined_lists_with_pixels(spark, sf_dir):
+    df = targets(spark, sf_dir)
+    counts = [cube(spark, sf_dir).count(), centroid_spectra(spark, sf_dir).count()]
+    return peaks.combine_lists([df.filter("y_max < 20"), df.filter("y_max >= 15")], counts).select("interval_id", "x_mean", "source_id", "pixel_count")
+
+
+@query("""WITH a AS (SELECT p_partkey AS interval_id, p_retailprice AS x_mean, p_name, 0 AS l FROM part WHERE p_size < 20 UNION ALL SELECT p_partkey, p_retailprice, p_name, 1 FROM part WHERE p_size >= 15)
+SELECT x_mean, arg_min(interval_id, (l, interval_id)) AS interval_id, arg_min(p_name, (l, interval_id)) AS description FROM a GROUP BY x_mean""")
+def merged_peak_lists(spark, sf_dir):
+    df = targets(spark, sf_dir)
+    return geometry.merge_peak_lists([df.filter("y_max < 20"), df.filter("y_max >= 15")]).select("x_mean", "interval_id", "description")
+
+
 @query("SELECT l_orderkey AS spectrum_id, l_linenumber, l_extendedprice / 10 AS mz, l_quantity AS intensity FROM lineitem")
 def sorted_points(spark, sf_dir):
     return peaks.argsort(lineitem_peaks(spark, sf_dir).drop("z"), "mz", "spectrum_id", "l_linenumber", "intensity")
@@ -233,6 +248,20 @@ def sidecar_norms(spark, sf_dir):
     return files.attach_sidecar(df, side, "norm", "norm_infile").select("spectrum_id", "norm_infile")
 
 
+@query("SELECT vec_id AS spectrum_id, CASE WHEN vec_id % 3 = 0 THEN label END AS mask, CASE WHEN vec_id % 4 = 0 THEN vec_id % 5 - 2 ELSE 9 END AS shift FROM embeddings")
+def sidecar_mask_and_shift(spark, sf_dir):
+    """A mask that only some pixels have, and shifts that override those at hand."""
+    df = cube(spark, sf_dir).withColumn("shift", F.lit(9).cast("long"))
+    of = lambda n, c, into: df.filter(F.col("spectrum_id") % n == 0).select(*images.PIXEL, c.alias(into)).unionByName(corner(df, into))
+    out = files.attach_sidecar(df, of(3, F.col("label"), "side"), "side", "mask")
+    return files.attach_sidecar(out, of(4, F.col("spectrum_id") % 5 - 2, "side"), "side", "shift").select("spectrum_id", "mask", "shift")
+
+
+def corner(df, name):
+    """A pixel without a value beyond the last, so that the image covers the data."""
+    return df.groupBy("dataset_id").agg(*[(F.max(c) + 1).alias(c) for c in "xyz"]).withColumn(name, F.lit(None).cast("int"))
+
+
 # Files: written to the shared folder from the driver's tables and read back.
 
 
@@ -296,3 +325,19 @@ def imzml_round_trip(spark, sf_dir):
         "mode", "x", "y", F.size("mzs").cast("long").alias("n"), F.array_min("mzs").alias("low"), F.array_max("mzs").alias("high"),
         arrays.total(F.col("ints")).alias("total"), F.array_max(pairs)["m"].alias("top"), "norm_infile",
     ))
+
+
+@query("""WITH i AS (SELECT l_suppkey AS list_id, l_partkey AS interval_id, min(l_extendedprice) AS a, max(l_extendedprice) AS b, avg(l_extendedprice) AS m, min(l_quantity) AS "min", max(l_quantity) AS "max", avg(l_quantity) AS mean FROM lineitem GROUP BY 1, 2)
+SELECT round(CASE WHEN row_number() OVER w = 1 THEN b + 0.005 WHEN row_number() OVER w = count(*) OVER (PARTITION BY list_id) THEN a - 0.005 ELSE m END, 6) AS center, "max", "min", round(mean, 6) AS mean FROM i WINDOW w AS (PARTITION BY list_id ORDER BY interval_id)""")
+def centroid_file_round_trip(spark, sf_dir):
+    path = Scratch(spark, "centroid-table").base
+    stats = [f(c).alias(f"{a}_{n}") for a, c in (("x", "l_extendedprice"), ("y", "l_quantity")) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
+    files.write_centroids(read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("list_id"), F.col("l_partkey").alias("interval_id")).agg(*stats), path)
+    return rounded(files.read_table(spark, path))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, round(o_custkey, 6)::DOUBLE AS o_custkey, round(o_orderkey, 6)::DOUBLE AS o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders")
+def plain_file_round_trip(spark, sf_dir):
+    path = Scratch(spark, "plain-table").base
+    files.write_table(read(spark, sf_dir, "orders").drop("o_orderdate"), path)
+    return rounded(files.read_table(spark, path))

@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from specloom.sources.imzml import SPECTRA, TERMS, read_imzml, write_imzml  # noqa: F401  the pair of files has a module of its own
 
@@ -125,14 +124,18 @@ def write_sef(intervals: DataFrame, path: str) -> None:
 
 
 def centroid_table(intervals: DataFrame) -> DataFrame:
-    """center, max, min, mean of each interval in order; the first row's center lies 0.005 after its largest x, the last row's 0.005 before its smallest."""
-    line = Window.partitionBy("list_id").orderBy("interval_id")
-    i, n = F.row_number().over(line), F.count(F.lit(1)).over(Window.partitionBy("list_id"))
-    centre = F.when(i == 1, F.col("x_max") + 0.005).when(i == n, F.col("x_min") - 0.005).otherwise(F.col("x_mean"))
-    return intervals.select("list_id", "interval_id", centre.alias("center"), F.col("y_max").alias("max"), F.col("y_min").alias("min"), F.col("y_mean").alias("mean"))
+    """center, max, min, mean of each interval in order; the first row's center lies 0.005 after its largest x, the last row's 0.005 before its smallest.
+
+    The first and the last of a list are those of least and greatest interval_id, which partial aggregates tell.
+    """
+    ends = intervals.groupBy("list_id").agg(F.min("interval_id").alias("_first"), F.max("interval_id").alias("_last"))
+    i = F.col("interval_id")
+    centre = F.when(i == F.col("_first"), F.col("x_max") + 0.005).when(i == F.col("_last"), F.col("x_min") - 0.005).otherwise(F.col("x_mean"))
+    return intervals.join(ends, "list_id").select("list_id", "interval_id", centre.alias("center"), F.col("y_max").alias("max"), F.col("y_min").alias("min"), F.col("y_mean").alias("mean"))
 
 
 def write_centroids(intervals: DataFrame, path: str) -> None:
+    """Files of center, max, min and mean, in the order of lists and intervals."""
     centroid_table(intervals).orderBy("list_id", "interval_id").select("center", "max", "min", "mean").write.mode("overwrite").csv(path, header=True)
 
 
@@ -147,14 +150,29 @@ def write_table(df: DataFrame, path: str) -> None:
     plain_table(df).write.mode("overwrite").csv(path, header=True)
 
 
+#: Keys of a feature in a header, and which of them are numbers.
+FEATURE_KEYS = ("feature_id", "feature_mz_low", "feature_mz_high", "feature_ccs_low", "feature_ccs_high", "feature_name")
+
+
 def nrrd_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Key-value lines up to the first blank line, of files with a feature key; the m/z centre is the middle of low and high."""
+    """file, keys (key-value lines up to the first blank line), a column for each feature key, and mz, the middle of low and high.
+
+    Only files with one of the six feature keys count; of a key that is repeated the last value does. A file whose id or bounds are no
+    numbers is left out.
+    """
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n\r?\n", 2)[0].alias("head"))
     lines = F.filter(F.split("head", r"\r?\n"), lambda x: x.contains(":="))
-    pairs = text.select("file", F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":=", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^.*?:=", "")).alias("v")))).alias("keys"))
-    feature = F.exists(F.map_keys("keys"), lambda k: k.startswith("feature_"))
-    centre = (F.try_element_at("keys", F.lit("feature_mz_low")).try_cast("double") + F.try_element_at("keys", F.lit("feature_mz_high")).try_cast("double")) / 2
-    return pairs.filter(feature).select("file", "keys", centre.alias("mz"))
+    trim = lambda c: F.regexp_replace(c, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    pair = F.transform(lines, lambda x: F.struct(trim(F.substring_index(x, ":=", 1)).alias("k"), trim(F.regexp_replace(x, r"^.*?:=", "")).alias("v")))
+    text = text.withColumn("_p", F.filter(pair, lambda p: p["k"] != "")).withColumn("_k", F.transform("_p", lambda p: p["k"]))
+    last = F.filter("_p", lambda p, i: F.array_position(F.slice(F.col("_k"), i + 2, F.lit(1 << 30)), p["k"]) == 0)
+    pairs = text.select("file", F.map_from_entries(last).alias("keys"))
+    value = {k: F.try_element_at("keys", F.lit(k)) for k in FEATURE_KEYS}
+    numbers = {k: v.try_cast("long" if k == "feature_id" else "double") for k, v in value.items() if k != "feature_name"}
+    sound = [F.array_contains(F.map_keys("keys"), k) & numbers[k].isNull() for k in numbers]
+    out = pairs.filter(F.arrays_overlap(F.map_keys("keys"), F.array(*map(F.lit, FEATURE_KEYS)))).filter(~F.array_contains(F.array(*sound), True))
+    centre = (numbers["feature_mz_low"] + numbers["feature_mz_high"]) / 2
+    return out.select("file", "keys", centre.alias("mz"), *[numbers.get(k, value[k]).alias(k.removeprefix("feature_")) for k in FEATURE_KEYS])
 
 
 def attach_sidecar(spectra: DataFrame, sidecar: DataFrame, column: str, into: str) -> DataFrame:

@@ -205,6 +205,41 @@ def test_annotations_in_order_of_records(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 60
 
 
+def test_stack_checks_axes_and_pixel_sizes(spark):
+    one = spark.createDataFrame([(0, 0, 0, [1.0, 2.0]), (1, 0, 0, [1.0, 2.0])], "x int, y int, z int, mzs array<double>")
+    two = spark.createDataFrame([(0, 0, 0, [1.0, 2.5])], "x int, y int, z int, mzs array<double>")
+    assert [r["x"] for r in geometry.stack([one, one], "x", [(0.1, 0.1, 0.0), (0.10005, 0.1, 0.0)]).orderBy("x").collect()] == [0, 1, 2, 3]
+    with pytest.raises(ValueError, match="axes"):
+        geometry.stack([one, two], "x")
+    with pytest.raises(ValueError, match="pixel sizes"):
+        geometry.stack([one, one], "y", [(0.1, 0.1, 0.0), (0.1, 0.2, 0.0)])
+
+
+def test_slices_have_one_format(spark):
+    part = lambda f: spark.createDataFrame([(0, 0, f)], "x int, y int, format string")
+    assert geometry.stack_slices([part("ContinuousProfile")] * 2).count() == 2
+    with pytest.raises(ValueError, match="format"):
+        geometry.stack_slices([part("ContinuousProfile"), part("ProcessedProfile")])
+
+
+def test_merged_lists_drop_equal_means(spark):
+    lists = [spark.createDataFrame(rows, "interval_id long, x_mean double") for rows in ([(1, 5.0), (2, 3.0)], [(3, 5.0), (4, 4.0)], [])]
+    assert [tuple(r) for r in geometry.merge_peak_lists(lists).collect()] == [(2, 3.0), (4, 4.0), (1, 5.0)]
+
+
+def test_overview_peaks_with_isotopes(spark):
+    axis = np.arange(100.0, 120.0, 0.05)
+    y = np.zeros(len(axis))
+    for centre, height in ((105.0, 100.0), (106.0, 10.0), (112.0, 50.0)):
+        y += height * np.exp(-(((axis - centre) / 0.06) ** 2))
+    df = spark.createDataFrame([("d", float(m), float(v)) for m, v in zip(axis, y)], "dataset_id string, mz double, mean double")
+    every = [round(r["mz"], 2) for r in peaks.pick_peaks_overview(df, 3.0, 3).orderBy("mz").collect()]
+    assert every[:3] == [105.0, 106.0, 112.0]
+    extra = spark.createDataFrame([("d", float(130 + i), 0.0) for i in range(8)], "dataset_id string, mz double, mean double")
+    first = peaks.pick_peaks_overview(df.union(extra), 3.0, 3, isotopes={"sizes": (2,), "min_cor": 0.5, "tol": 1e-3, "distance": 1.0})
+    assert [round(r["mz"], 2) for r in first.collect()] == [105.0]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
