@@ -8,8 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from specloom.llm.common import Scratch, n_words
+from specloom.llm.common import Scratch, block_offsets, n_words, ranged
+
+#: Copies of a row that are written out at a time.
+COPIES = 4096
 
 
 class Bins:
@@ -51,6 +55,15 @@ class Bins:
         return b
 
 
+def each_copy(counted: DataFrame) -> DataFrame:
+    """A row for each of `copies`, numbered; thousands of them are dealt to the tasks before they are written out."""
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))))
+    many = blocks.filter(F.col("copies") > COPIES).repartition("doc_id", "cluster", "_block")
+    end = F.least(F.col("copies"), (F.col("_block") + 1) * COPIES) - 1
+    out = blocks.filter(F.col("copies") <= COPIES).unionByName(many)
+    return out.withColumn("copy", F.explode(F.sequence(F.col("_block") * COPIES, end))).drop("_block", "copies")
+
+
 def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 8, group_bins: int = 256, cluster: Column | None = None, size: Column | None = None) -> DataFrame:
     """Pieces of all documents in bins of `capacity` words.
 
@@ -59,31 +72,36 @@ def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 8, group_bins:
     (equal texts, unless `cluster` says otherwise), nor more than `per_source` of one source. Pieces
     are dealt by hash to groups of about `group_bins` bins, largest first within each; a group is
     bounded by that number whatever a source or a cluster holds, as copies are dealt apart, rows that are
-    equal in every column too.
+    equal in every column too: these are counted, and their numbers are hashed with them, so the deal does not depend on how the rows lie.
 
-    Null and empty texts are pieces of no words and go to any bin that allows them. A null source counts as one source.
-    Repeated rows are packed each. An empty table gives no rows. Only doc_id, text and source are read.
+    Null and empty texts are pieces of no words and go to any bin that allows them. Null is a source of its own, apart from the empty one.
+    Texts of any length are counted whole. Repeated rows are packed each. An empty table gives no rows. Only doc_id, text and source are read.
 
-    Returns doc_id, piece, start (word), n_words, group, bin, room (words left in the bin).
+    Returns doc_id, piece, start (word), n_words, group, bin, room (words left in the bin). Whole bins are numbered through, in group -1.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     thin = docs.select(
         "doc_id",
-        F.coalesce("source", F.lit("")).alias("source"),
+        F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))).alias("source"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster") if cluster is None else cluster.cast("long").alias("cluster"),
         (n_words("text") if size is None else size.cast("long")).alias("size"),
     )
-    thin = scratch.keep(thin, "sizes")
-    words, rows = thin.agg(F.sum(F.col("size") % capacity), F.count(F.lit(1))).first()
+    thin = scratch.keep(thin.groupBy(*thin.columns).agg(F.count(F.lit(1)).alias("copies")), "sizes")
+    words, rows = thin.agg(F.sum(F.col("size") % capacity * F.col("copies")), F.sum("copies")).first()
     # a group has as many words as its bins, but never more than 64 pieces a bin
-    groups = int(max(1, (words or 0) // (group_bins * capacity), rows // (group_bins * 64)))
-    whole = thin.select("doc_id", F.explode(F.expr(f"if(size >= {capacity}, sequence(0L, size div {capacity} - 1), array())")).alias("piece"))
-    whole = whole.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_words"), F.lit(-1).alias("group"), F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("room"))
-    rest = thin.filter((F.col("size") % capacity > 0) | (F.col("size") == 0)).withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", "size", "source", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    groups = int(max(1, (words or 0) // (group_bins * capacity), (rows or 0) // (group_bins * 64)))
+    each = each_copy(thin)
+    long = ranged(scratch, each.filter(F.col("size") >= capacity).withColumn("bins", F.expr(f"size div {capacity}")), "long", "doc_id", "cluster", "size", "source")
+    before = block_offsets(long, ("_before", F.col("bins")))
+    line = Window.partitionBy("_pid").orderBy("doc_id", "cluster", "size", "source", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    whole = long.join(before, "_pid").withColumn("_first", F.col("_before") + F.coalesce(F.sum("bins").over(line), F.lit(0)))
+    whole = whole.select("doc_id", "_first", F.explode(F.expr("sequence(0L, bins - 1)")).alias("piece"))
+    whole = whole.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_words"), F.lit(-1).alias("group"), (F.col("_first") + F.col("piece")).alias("bin"), F.lit(0).cast("long").alias("room"))
+    rest = each.filter((F.col("size") % capacity > 0) | (F.col("size") == 0)).withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", "size", "source", "copy"), F.lit(groups)).cast("int"))
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(n=frame["size"] % capacity).sort_values(["n", "doc_id", "cluster"], ascending=[False, True, True], kind="stable")
+        frame = frame.assign(n=frame["size"] % capacity).sort_values(["n", "doc_id", "cluster", "size", "source"], ascending=[False, True, True, True, True], kind="stable")
         bins = Bins(capacity, per_source)
         clusters, sources = pd.factorize(frame["cluster"])[0].tolist(), pd.factorize(frame["source"])[0].tolist()
         at = np.array([bins.put(n, c, s) for n, c, s in zip(frame["n"].tolist(), clusters, sources, strict=True)], np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from specloom.llm import fingerprints, fmindex, html, minhash, mixing, packing, quality, secrets, sharding, spelling, suffixes, trie, warc
 
 
@@ -30,7 +32,10 @@ def op7_quality_rules(spark, sf_dir):
 
 
 def op8_best_fit_packing(spark, sf_dir):
-    return packing.pack(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    near = minhash.near_duplicates(docs).select("doc_id", "component_id")
+    cluster = F.coalesce(F.col("component_id"), F.xxhash64(F.coalesce("text", F.lit(""))))  # a row without doc_id is in no component
+    return packing.pack(docs.join(near, "doc_id", "left"), cluster=cluster)
 
 
 def op9_main_text(spark, sf_dir):

@@ -380,6 +380,47 @@ def test_compression_bands():
     assert quality.verdict(prose[:8192] + b"la " * 5461, bands, pack)[1] > bands.share
 
 
+@pytest.mark.parametrize("copies", [4096, 2])
+def test_packing_against_a_plain_search(spark, docs, rows, monkeypatch, copies):
+    """Within each group, every piece is where the plain rule puts it: the fullest bin that has room, another cluster and a free place for the source."""
+    monkeypatch.setattr(packing, "COPIES", copies)
+    rows = rows + [(10_000 + i, "same words " * (i % 9), None, ["s1", None, ""][i % 3], 1, *rows[0][5:]) for i in range(300)] + [(7, "four times the same", None, "s9", 1, *rows[0][5:])] * 4
+    df = spark.createDataFrame(rows, docs.schema).repartition(6)
+    out = collected(packing.pack(df, capacity=128, per_source=3, group_bins=8))
+    cluster_of, source_of = {r[0]: r[1] or "" for r in rows}, {r[0]: r[3] for r in rows}
+    single = {i for i, n in Counter(r[0] for r in rows).items() if n == 1}
+    bins, groups = {}, {}
+    for r in out:
+        if r["group"] >= 0:
+            groups.setdefault(r["group"], []).append(r)
+            bins.setdefault((r["group"], r["bin"]), []).append(r)
+    assert len(groups) > 1
+    for members in bins.values():
+        of = [m["doc_id"] for m in members if m["doc_id"] in single]
+        assert len({cluster_of[i] for i in of}) == len(of)
+        assert max(Counter(repr(source_of[i]) for i in of).values(), default=0) <= 3
+    judged = [g for g in groups.values() if all(m["doc_id"] in single for m in g)]
+    assert judged
+    for members in judged:
+        plain = []  # room, clusters, sources
+        by_hash = lambda m: (-m["n_words"], m["doc_id"])
+        for m in sorted(members, key=by_hash):
+            c, s = cluster_of[m["doc_id"]], repr(source_of[m["doc_id"]])
+            fits = [(b[0], i) for i, b in enumerate(plain) if b[0] >= max(m["n_words"], 1) and c not in b[1] and b[2][s] < 3]
+            if not fits:
+                plain.append([128, set(), Counter()])
+            i = min(fits)[1] if fits else len(plain) - 1
+            plain[i][0] -= m["n_words"]
+            plain[i][1].add(c)
+            plain[i][2][s] += 1
+            assert m["bin"] == i
+    whole = sorted(r["bin"] for r in out if r["group"] < 0)
+    assert whole == list(range(len(whole))) and whole
+    again = collected(packing.pack(df.repartition(2), capacity=128, per_source=3, group_bins=8))
+    key = lambda r: sorted(r.items(), key=str)
+    assert sorted(map(key, out), key=str) == sorted(map(key, again), key=str)
+
+
 def test_packing(docs, rows):
     out = collected(packing.pack(docs, capacity=256, per_source=4, group_bins=4))
     total = sum(len(words(r[1])) for r in rows)
