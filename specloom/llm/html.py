@@ -48,6 +48,7 @@ SIZE = 4096  # hashed features
 @dataclass
 class Block:
     path: frozenset[str]  # tags and name parts of all ancestors
+    role: str  # what the innermost ancestor is that tells
     tag: str
     text: str
     linked: int  # characters inside links
@@ -73,7 +74,7 @@ def blocks(page: str) -> list[Block]:
     first text or tag that can't stand in it, a drawing or formula at the first tag that breaks out.
     Takes time in proportion to the page, however deep or broken it is.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], str]] = []
     above: Counter[str] = Counter()  # tags and names on the stack
     hidden: list[int] = []  # places of hidden elements on the stack
     out: list[Block] = []
@@ -81,11 +82,11 @@ def blocks(page: str) -> list[Block]:
     linked = 0
 
     def push(tag: str, names: tuple[str, ...]) -> None:
-        stack.append((tag, names))
+        stack.append((tag, names, role_of(tag, names) or (stack[-1][2] if stack else "")))
         above.update((tag, *names))
 
     def pop() -> None:
-        tag, names = stack.pop()
+        tag, names, _ = stack.pop()
         for x in (tag, *names):
             if above[x] == 1:
                 del above[x]
@@ -107,8 +108,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                tag = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-                out.append(Block(frozenset(above), tag, text, min(linked, len(text))))
+                tag = next((t for t, _, _ in reversed(stack) if t not in INLINE), "")
+                out.append(Block(frozenset(above), stack[-1][2] if stack else "", tag, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -143,7 +144,7 @@ def blocks(page: str) -> list[Block]:
                 if tag == "body" and stack[hidden[0]][0] == "head":
                     cut(hidden[0])
                 elif (within == "head" and tag not in IN_HEAD) or (
-                    within in ("svg", "math") and tag in BREAKS_OUT and not any(t in HOLDS_MARKUP for t, _ in stack[hidden[-1] :])
+                    within in ("svg", "math") and tag in BREAKS_OUT and not any(t in HOLDS_MARKUP for t, _, _ in stack[hidden[-1] :])
                 ):
                     cut(hidden[-1])
                 if hidden:
@@ -192,6 +193,8 @@ def features(b: Block, count: int = 9, drop: frozenset[str] = frozenset()) -> li
     for x in {*b.path, f"in-{b.tag}"}:
         if x not in drop:
             out.append("a" + x)
+    if f"r{b.role}" not in drop:
+        out += [f"r{b.role}", f"r{b.role}-{b.tag}"]
     return out
 
 
@@ -228,8 +231,11 @@ class Crf:
         return [bool(x) for x in reversed(out)]
 
 
-def fit(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 12, rate: float = 0.5, decay: float = 1e-3) -> Crf:
-    """Gradient ascent on the likelihood of the labels, page by page, by forward and backward sums (AdaGrad)."""
+def fit(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 16, rate: float = 0.5, decay: float = 1e-3, pair_decay: float = 0.1) -> Crf:
+    """Gradient ascent on the likelihood of the labels, page by page, by forward and backward sums (AdaGrad).
+
+    Weights of pairs decay faster, lest long stretches of one label outweigh what a block in between says of itself.
+    """
     weight, pair = np.zeros(SIZE), np.zeros((2, 2))
     seen_w, seen_p = np.full(SIZE, 1e-2), np.full((2, 2), 1e-2)
     order = random.Random(3)
@@ -256,6 +262,7 @@ def fit(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 12, rate:
             for x, y, p in zip(xs, ys, prob[:, 1], strict=True):
                 gw[x] += y - p
             gw -= decay * weight
+            gp -= pair_decay * pair
             seen_w += gw * gw
             seen_p += gp * gp
             weight += rate * gw / np.sqrt(seen_w)
@@ -268,8 +275,8 @@ MAIN = "content main article post entry story body text page-content post-body a
 OTHER = {
     "menu": "nav menu navbar navigation breadcrumb topbar toolbar tabs links".split(),
     "header": "header masthead banner branding site-header page-header logo".split(),
-    "footer": "footer site-footer copyright bottom colophon legal imprint".split(),
-    "side": "sidebar aside related widget recommended popular trending more also-read rail".split(),
+    "footer": "footer site-footer copyright bottom colophon legal imprint contentinfo".split(),
+    "side": "sidebar aside related widget recommended popular trending more also-read rail complementary".split(),
     "notice": "cookie consent notice gdpr privacy alert newsletter subscribe popup modal paywall".split(),
     "advert": "ad ads advert advertisement promo sponsored sponsor banner-ad".split(),
     "form": "form search login signup contact".split(),
@@ -278,6 +285,19 @@ OTHER = {
 }
 
 
+#: What elements are by their tag, and by the parts of their names: those of other parts of a page before those of main text.
+TAG_ROLES = {"article": "main", "main": "main", "nav": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form"}
+MAIN_PARTS = frozenset(p for name in MAIN for p in name.split("-"))
+NAME_ROLES = {f".{p}": kind for kind, names in OTHER.items() for name in names for p in name.split("-") if p not in MAIN_PARTS and p not in ("site", "box", "also", "read", "more", "links", "top", "bottom", "tags", "meta")}
+NAME_ROLES |= {f".{p}": "main" for p in MAIN_PARTS - {"page"}}
+
+
+def role_of(tag: str, names: tuple[str, ...]) -> str:
+    """What part of a page an element is, if its names or tag tell; names of main text are the weakest hint."""
+    found = {NAME_ROLES[x] for x in names if x in NAME_ROLES}
+    return min(found - {"main"}, default="") or TAG_ROLES.get(tag, "") or min(found, default="")
+
+
 def labelled_page(rng: random.Random, sentences: list[str]) -> list[tuple[Block, int]]:
     """A page of known labels: main text under one of many wrappings, other parts around and within it."""
 
@@ -290,20 +310,20 @@ def labelled_page(rng: random.Random, sentences: list[str]) -> list[tuple[Block,
     def other(kind: str) -> str:
         name = rng.choice(OTHER[kind])
         own = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form"}.get(kind, "section")
-        tag = rng.choice([own, "div", "div", "section" if kind == "comments" else "div"])
+        tag = rng.choice([own, own, "div", "section" if kind == "comments" else "div"])
         names = "" if tag == own != "section" and rng.random() < 0.5 else f' {rng.choice(["class", "id"])}="{name}"'
         if kind == "menu":
             inner = "<ul>" + "".join(f'<li><a href="#">{words(rng.randint(1, 2))}</a></li>' for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 6, 7, 8, 9]))) + "</ul>"
             if rng.random() < 0.3:
                 inner = " ".join(f'<a href="#">{words(rng.randint(1, 2))}</a>' for _ in range(rng.choice([1, 1, 2, 3, 5, 8])))
         elif kind == "footer":
-            inner = f"&copy; {words(2)} {rng.randint(1999, 2030)} &middot; {prose(1)}"
+            inner = f"&copy; {words(2)} {rng.randint(1999, 2030)} {rng.choice(["&middot; " + prose(1), words(2), ""])}" if rng.random() < 0.5 else f"<p>{rng.choice([words(rng.randint(2, 6)) + '.', prose(1)])}</p>"
         elif kind == "form":
             inner = f"<label>{words(2)}</label><input name=q><button>{words(1)}</button><p>{words(4)}</p>"
         elif kind == "comments":
             inner = f"<h3>{words(2)}</h3>" + "".join(f'<div class="{name}"><b>{words(1)}</b><p>{prose(rng.randint(1, 3))}</p></div>' for _ in range(rng.randint(1, 5)))
         elif kind == "side":
-            inner = f"<h3>{words(2)}</h3>" + "".join(f'<p><a href="#">{words(rng.randint(3, 9))}</a></p>' if rng.random() < 0.6 else f"<p>{prose(1)}</p>" for _ in range(rng.randint(1, 5)))
+            inner = f"<h3>{words(2)}</h3>" * (rng.random() < 0.7) + "".join(f'<p><a href="#">{words(rng.randint(3, 9))}</a></p>' if rng.random() < 0.6 else f"<p>{prose(1)}</p>" for _ in range(rng.randint(1, 5)))
         else:
             inner = f"<p>{prose(rng.randint(1, 2))}</p>" if rng.random() < 0.5 else prose(1)
         return f"<{tag}{names}>{inner}</{tag}>"
@@ -321,8 +341,8 @@ def labelled_page(rng: random.Random, sentences: list[str]) -> list[tuple[Block,
         if kind < 0.15:
             inner = f"<b>{inner}"
         shape.append((f"<{tag}>{inner}</{tag}>", 1))
-        if rng.random() < 0.06:
-            shape.append((other(rng.choice(["advert", "share", "side", "notice"])), 0))
+        if rng.random() < 0.2:
+            shape.append((other(rng.choice(["advert", "share", "side", "notice", "form", "comments", "advert"])), 0))
     if rng.random() < 0.35:  # a note, figure or licence that belongs to the text
         note = " ".join(w.upper() if rng.random() < 0.3 else w.title() for w in words(rng.randint(2, 6)).split())
         shape.insert(rng.choice([len(shape), len(shape), rng.randint(0, len(shape))]), (f"<p>{note} {rng.choice(['', f'{rng.uniform(0, 99):.1f}', str(rng.randint(1, 2030))])}.</p>", 1))
@@ -334,7 +354,7 @@ def labelled_page(rng: random.Random, sentences: list[str]) -> list[tuple[Block,
     before = [(other(k), 0) for k in ("header", "menu", "notice", "advert", "side") if rng.random() < most]
     after = [(other(k), 0) for k in ("share", "comments", "side", "advert", "form", "notice", "footer") if rng.random() < most]
     rng.shuffle(before)
-    inside = [x for x in after if rng.random() < 0.2]
+    inside = [x for x in after if rng.random() < 0.4]
     after = [x for x in after if x not in inside]
     out = []
     for part, label in before:
@@ -358,7 +378,7 @@ def train(sample: list[str], pages: int = 400, seed: int = 9) -> Crf:
     labelled = [labelled_page(rng, sentences) for _ in range(pages)]
     data = []
     for page in labelled:
-        hidden = frozenset({x for b, _ in page for x in (*b.path, f"in-{b.tag}")}) if rng.random() < 0.2 else frozenset()
+        hidden = frozenset({x for b, _ in page for x in (*b.path, f"in-{b.tag}", f"r{b.role}")}) if rng.random() < 0.2 else frozenset()
         data.append(([hashed(features(b, len(page), hidden)) for b, _ in page], [y for _, y in page]))
     return fit(data)
 
