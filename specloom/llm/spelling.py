@@ -66,7 +66,8 @@ def shared(a: str, b: str) -> int:
 
 
 def number_nodes(scratch: Scratch, words: DataFrame, name: str, backwards: bool) -> DataFrame:
-    """word, n, at (its place in the order, a number that grows with it) and nodes: the number of each prefix, from the empty one to the word.
+    """word, n, at (its place in the order, a number that grows with it), nodes: the number of each prefix, from the empty one to the word,
+    and fresh: whether each code point differs from the one before.
 
     Words are cut into blocks along their order. A prefix within one block has the block's number and a count; one that reaches
     over an edge between blocks is named by the first such edge and its length. So a task needs, besides its block, only how much the words at
@@ -104,9 +105,10 @@ def number_nodes(scratch: Scratch, words: DataFrame, name: str, backwards: bool)
             out.append(np.array(nodes, np.int64))
             before = word
         at = (np.int64(k) << 40) + np.arange(len(block), dtype=np.int64)
-        return pd.DataFrame({"word": block["word"], "n": block["n"], "at": at, "nodes": out})
+        fresh_at = [np.array([True, *(a != b for a, b in zip(w, w[1:], strict=False))], bool) for w in block["_key"].tolist()]
+        return pd.DataFrame({"word": block["word"], "n": block["n"], "at": at, "nodes": out, "fresh": fresh_at})
 
-    return blocks.groupBy("_pid").applyInPandas(number, "word string, n long, at long, nodes array<long>")
+    return blocks.groupBy("_pid").applyInPandas(number, "word string, n long, at long, nodes array<long>, fresh array<boolean>")
 
 
 def neighbours(scratch: Scratch, words: DataFrame) -> DataFrame:
@@ -116,12 +118,11 @@ def neighbours(scratch: Scratch, words: DataFrame) -> DataFrame:
     """
     ahead = number_nodes(scratch, words, "ahead", False)
     back = number_nodes(scratch, words, "back", True).select("word", F.reverse("nodes").alias("ends"))
-    both = scratch.keep(ahead.join(back, "word").select("word", "n", "at", "nodes", "ends"), "nodes")
+    both = scratch.keep(ahead.join(back, "word").select("word", "n", "at", "nodes", "fresh", "ends"), "nodes")
     # of equal code points side by side, skipping any gives the same string: the first stands for all where lengths differ
-    letter = lambda i: F.substring("word", i + 1, 1)
     size = F.size("nodes")
     skips = F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.struct(
-        F.get("nodes", i).alias("p"), F.get("ends", i + 1).alias("s"), ((i == 0) | (letter(i) != letter(i - 1))).cast("int").alias("kind")))
+        F.get("nodes", i).alias("p"), F.get("ends", i + 1).alias("s"), F.get("fresh", i).cast("int").alias("kind")))
     whole = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct(F.get("nodes", i).alias("p"), F.get("ends", i).alias("s"), F.lit(2).alias("kind")))
     pairs = both.filter(size > 1).select("n", "at", F.inline(F.concat(skips, whole)))
     met = pairs.groupBy("p", "s").agg(F.collect_list(F.struct("n", (-F.col("at")).alias("m"), "kind")).alias("met")).filter(F.size("met") > 1)
