@@ -118,7 +118,7 @@ def kmeans(matrix: DataFrame, k: int, metric: str = "euclid", spatial_weight: fl
 def pca(matrix: DataFrame, n: int, centre: str = "row") -> tuple[DataFrame, np.ndarray]:
     """Scores (first n left singular vectors) and loadings (V times singular values) of the matrix less each pixel's mean over its features.
 
-    centre="column" takes off the features' means instead. The features' products are summed up in tasks to one
+    centre="column" takes off the features' means instead. The features' products are summed up, a row a task and eight rows to the driver, to one
     d by d matrix (Q14: zero background rows add nothing), which is taken apart on the driver. Signs: the
     largest loading of each component is positive. Row centring leaves d - 1 components at most.
     """
@@ -133,17 +133,22 @@ def pca(matrix: DataFrame, n: int, centre: str = "row") -> tuple[DataFrame, np.n
         mean = sum((F.col(c) for c in names), F.lit(0.0)) / d
         moved = matrix.withColumn("_m", mean).select(*KEYS, F.array(*[F.col(c) - F.col("_m") for c in names]).alias("v"))
 
-    def gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
-        for frame in frames:
-            block = np.stack(frame["v"].to_list())
+        for batch in batches:
+            block = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             total += block.T @ block
-        yield pd.DataFrame({"i": np.repeat(np.arange(d), d), "j": np.tile(np.arange(d), d), "g": total.ravel()})
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["g"])
+
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(d * d)
+        for frame in frames:
+            total += np.sum(frame["g"].to_list(), axis=0)
+        yield pd.DataFrame({"g": [total]})
 
-    cells = moved.select("v").mapInPandas(gram, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect()
-    total = np.zeros((d, d))
-    for r in cells:
-        total[r["i"], r["j"]] = r["g"]
+    # a row a task, then a few rows of sums
+    parts = moved.select("v").mapInArrow(gram, "g array<double>").repartition(8).mapInPandas(added, "g array<double>")
+    total = np.sum([r["g"] for r in parts.collect()], axis=0).reshape(d, d)
     values, vectors = np.linalg.eigh((total + total.T) / 2)
     top = np.argsort(values)[::-1][: min(n, d - (centre == "row"))]
     s, v = np.sqrt(np.maximum(values[top], 0)), vectors[:, top]

@@ -64,6 +64,20 @@ def test_half_width_of_a_triangle():
     assert K.half_width(x, np.full(21, 3.0), 5) == 0
 
 
+@pytest.mark.parametrize(
+    ("y", "found"),
+    [
+        ([0, 2, 2, 0, 0], [2]),  # the newest of equal ones
+        ([0, 2, 2, 2, 0], [3]),
+        ([5, 5, 5, 5, 5, 5], [5]),
+        ([9, 1, 4, 4, 1, 0, 0], [0, 2]),  # the maximum has left the window: the first in it
+        ([1, 1], []),
+    ],
+)
+def test_local_maxima_of_equal_values(y, found):
+    assert K.local_maxima(np.array(y, float), 1, 0.0).tolist() == found
+
+
 def sorted_bins(tol):
     mz, src = np.array([100, 200, 300, 400, 500, 100.2, 200.2, 300.2, 395]), np.array([0] * 5 + [1] * 4)
     o = np.argsort(mz, kind="stable")
