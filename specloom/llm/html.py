@@ -48,10 +48,10 @@ SIZE = 4096  # hashed features
 @dataclass
 class Block:
     path: frozenset[str]  # tags and name parts of all ancestors
-    role: str  # what the innermost ancestor is that tells
     tag: str
     text: str
     linked: int  # characters inside links
+    role: str = ""  # what the innermost ancestor is that tells
 
 
 def tokens(page: str) -> Iterator[re.Match | dict]:
@@ -109,7 +109,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
                 tag = next((t for t, _, _ in reversed(stack) if t not in INLINE), "")
-                out.append(Block(frozenset(above), stack[-1][2] if stack else "", tag, text, min(linked, len(text))))
+                out.append(Block(frozenset(above), tag, text, min(linked, len(text)), stack[-1][2] if stack else ""))
             parts.clear()
         linked = 0
 
