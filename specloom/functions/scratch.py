@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: Spark's setting to delete the shuffle files of an execution at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Files a core that a table of few bytes is written in at most.
+FILES_A_CORE = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,16 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive the loss of any executor.
 
-    `keep` writes and reads back; the write's own shuffle files go as soon as it is done. `drop` deletes a table that no
-    later step reads.
+    `keep` writes and reads back; the write's own shuffle files go as soon as it is done. With `few`, for tables of some numbers
+    a row, the last stage has FILES_A_CORE tasks a core at most, so that a loop of many small tables does not write a file for each
+    shuffle partition: on a local folder each new file costs the executor a process, a copy of its own while it starts. `drop`
+    deletes a table that no later step reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/specloom/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
         path = f"{self.base}/{name}"
+        if few:
+            df = df.coalesce(FILES_A_CORE * self.spark.sparkContext.defaultParallelism)
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:

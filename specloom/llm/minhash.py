@@ -197,7 +197,7 @@ def judged(docs: DataFrame, how: MinMax) -> DataFrame:
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a != _b").select("bucket")
     open_ = scratch.keep(buckets.join(shared, "bucket"), "open")
-    roots = scratch.keep(open_.select("node").distinct().withColumn("root", F.col("node")), "roots-0")
+    roots = scratch.keep(open_.select("node").distinct().withColumn("root", F.col("node")), "roots-0", few=True)
     wanted = nodes.join(roots, "node", "left_semi").select(F.col("rep").alias("_rep"))
     # a set of which no document has an id is found by its text alone; such sets are few
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
@@ -206,7 +206,7 @@ def judged(docs: DataFrame, how: MinMax) -> DataFrame:
         # nodes that are left, with their components of now
         now = open_.join(roots, "node")
         split = now.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("bucket")
-        now = scratch.keep(now.join(split, "bucket"), f"now-{turn}")
+        now = scratch.keep(now.join(split, "bucket"), f"now-{turn}", few=True)
         if now.isEmpty():
             break
         if turn < PIVOT_ROUNDS:
@@ -216,13 +216,13 @@ def judged(docs: DataFrame, how: MinMax) -> DataFrame:
             tried = now.join(heads, "bucket").filter((F.col("root") != F.col("_root")) & (100 * F.least("n", "_n") >= how.percent * F.greatest("n", "_n"))).select("pivot", "node").distinct()
         else:
             tried = rare_prefix_pairs(now.select("node", "n", "root").distinct(), sets, how.percent)
-        links = scratch.keep(confirmed(tried, sets, how.percent), f"links-{turn}")
+        links = scratch.keep(confirmed(tried, sets, how.percent), f"links-{turn}", few=True)
         named = roots.select(F.col("node").alias("pivot"), F.col("root").alias("_a"))
         edges = links.join(named, "pivot").join(roots.withColumnRenamed("root", "_b"), "node").select("_a", "_b")
         moved = components(edges, "_a", "_b", "minhash-graph").select(F.col("node").alias("root"), F.col("root").alias("_new"))
-        roots = scratch.keep(roots.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root")), f"roots-{turn + 1}")
+        roots = scratch.keep(roots.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root")), f"roots-{turn + 1}", few=True)
         if turn < PIVOT_ROUNDS:  # a pivot has met its whole bucket
-            open_ = scratch.keep(now.select("bucket", "node", "n").join(heads.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), f"open-{turn}")
+            open_ = scratch.keep(now.select("bucket", "node", "n").join(heads.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), f"open-{turn}", few=True)
     named = nodes.select("node", "rep").join(roots, "node")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
     linked = roots.join(lowest, "root").select("node", "component")

@@ -8,6 +8,7 @@ import string
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -138,6 +139,33 @@ def test_near_copies_in_one_large_group(spark):
     assert got == expected
 
 
+def test_small_tables_of_the_rounds_have_few_files(spark):
+    """A file each shuffle partition made executors start a process for each, which counted as a second heap."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:-1], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in held}
+    written = Counter()
+    shared = Path(spark.conf.get("spark.checkpoint.dir"), "specloom")
+    old = set(shared.glob("minhash*"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = minhash.near_duplicates(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for f in (f for d in set(shared.glob("minhash*")) - old for f in d.glob("*/part-*")):
+        written[f.parent.parent.name, f.parent.name] += 1
+    small = {k: n for k, n in written.items() if k[1] not in ("signed", "nodes", "open", "sets")}
+    assert len(small) > 5 and max(small.values()) <= 4 * spark.sparkContext.defaultParallelism < 64
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, i - i % 2) for i in range(300)}
+
+
 def test_rare_prefix_pairs_lose_nothing(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(f"w{rng.randrange(6)}" for _ in range(rng.randrange(5, 14)))) for i in range(150)]
