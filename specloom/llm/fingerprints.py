@@ -30,15 +30,19 @@ def terms(text: Column) -> tuple[Column, Column, Column]:
 
 
 def sample(k: int) -> Column:
-    """Least-candidate value of sample k for term `_x` of log weight `_w`."""
+    """Least-candidate value of sample k for term `_x` of log weight `_w`; see `signatures`.
+
+    r, gamma-distributed, is the sum of two exponential variates, e1 = -ln u1 and e2 = -ln u2, of which b is the share of e2: so
+    r and b are independent, and b uniform. With t = floor(ln S / r + b) = floor((ln S + e2) / r), the value c exp(-r (t - b + 1)) is
+    c u1 exp(-r t). A term that comes once has t = 0, as b < 1, and takes the one logarithm of c.
+    """
     h, g = F.xxhash64("_x", F.lit(k)), F.xxhash64("_x", F.lit(-1 - k))
-    part = lambda x, at, bits: F.shiftrightunsigned(x, at).bitwiseAND((1 << bits) - 1).cast("double") + 0.5
-    # minus the logarithm of the product of two uniforms is a gamma variate of shape 2
-    r = 64 * math.log(2) - F.ln(part(h, 0, 32) * part(h, 32, 32))
-    ln_c = F.ln(44 * math.log(2) - F.ln(part(g, 0, 22) * part(g, 22, 22)))
-    b = part(g, 44, 20) * 2.0**-20
-    # r but twice, as an expression is computed as often as it is written
-    return ln_c - r * (F.floor(F.col("_w") / r + b).cast("double") - b + 1)
+    part = lambda x, at: F.shiftrightunsigned(x, at).bitwiseAND((1 << 32) - 1).cast("double") + 0.5
+    # minus the logarithm of the product of two uniforms is a gamma variate of shape 2; a part is 2**32 times a uniform
+    gamma = lambda x: 64 * math.log(2) - F.ln(part(x, 0) * part(x, 32))
+    r, e2 = gamma(h), 32 * math.log(2) - F.ln(part(h, 32))
+    shrunk = F.exp(-r * F.floor((F.col("_w") + e2) / r).cast("double"))
+    return gamma(g) * part(h, 0) * F.when(F.col("_w") == 0, 1.0).otherwise(shrunk)
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -46,7 +50,7 @@ def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMP
 
     Terms are words, their weights how often they come. For term x of weight S and sample k with r and c
     gamma-distributed and b uniform, all fixed by (x, k): t = floor(ln S / r + b), and the sample is the
-    pair (x, t) of least ln c - r (t - b) - r. That least value stands for the pair, as it is a function of
+    pair (x, t) of least c exp(-r (t - b) - r). That least value stands for the pair, as it is a function of
     both and of k; of it, 32 bits are kept. Two texts agree in a sample with a chance of their generalised Jaccard likeness.
 
     Terms are counted within the row and their minima combined before the one shuffle, of one row a text.

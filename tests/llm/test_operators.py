@@ -2,6 +2,7 @@
 
 import dataclasses
 import hashlib
+import math
 import random
 import re
 import string
@@ -373,6 +374,27 @@ def test_fingerprints(plain):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_draws_are_consistent_weighted_samples(spark):
+    """Values are c exp(-r (t - b + 1)) with independent r, b, c; a word that comes once takes one logarithm, where it took four."""
+    from pyspark.sql import functions as F
+
+    rows = [(x, n) for x in range(1500) for n in (1, 2, 3, 40)]
+    table = spark.createDataFrame(rows, "_x long, _n int").withColumn("_w", F.ln(F.col("_n").cast("double")))
+    draws, shares = {}, []
+    for q in table.select("_x", "_n", "_w", fingerprints.sample(3).alias("v"), F.xxhash64("_x", F.lit(3)).alias("h"), F.xxhash64("_x", F.lit(-4)).alias("g")).collect():
+        u1, u2, u3, u4 = ((((y & 2**64 - 1) >> at & 2**32 - 1) + 0.5) / 2**32 for y in (q["h"], q["g"]) for at in (0, 32))
+        r, c = -math.log(u1) - math.log(u2), -math.log(u3) - math.log(u4)
+        b = -math.log(u2) / r
+        t = math.floor(q["_w"] / r + b)
+        assert q["v"] / 2**32 == pytest.approx(c * math.exp(-r * (t - b + 1)), rel=1e-5)
+        draws[q["_x"], q["_n"]] = q["v"]
+        shares.append(b)
+    assert abs(sum(shares) / len(shares) - 0.5) < 0.03
+    # one term of weights 2 and 3 keeps its sample with a chance of 2/3
+    assert abs(sum(draws[x, 2] == draws[x, 3] for x in range(1500)) / 1500 - 2 / 3) < 0.04
+    assert str(fingerprints.sample(3)).split("CASE WHEN")[0].count("ln(") == 1
+
+
 def test_fingerprints_of_awkward_rows(docs, rows):
     out = collected(fingerprints.fingerprints(docs))
     assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows)
