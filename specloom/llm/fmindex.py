@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from specloom.llm.passages import Passages, without_repeats
-from specloom.llm.symbols import joined, offsets, word_spans, words_of
+from specloom.llm.symbols import offsets, words_of
+
+
+#: Masks of the lowest 0 ... 63 bits.
+LOW_BITS = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class Bits:
@@ -24,32 +28,40 @@ class Bits:
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Ones among the first i bits."""
-        word, rest = i >> 6, (i & 63).astype(np.uint64)
-        low = (np.uint64(1) << rest) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & low)
+        word = i >> 6
+        low = self.words.take(word)
+        low &= LOW_BITS.take(i & 63)
+        ones = self.before.take(word)
+        ones += np.bitwise_count(low)
+        return ones
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Length and canonical code of each symbol: frequent symbols have short codes."""
-    heap = [(int(c), i) for i, c in enumerate(counts)]
-    heapq.heapify(heap)
-    parent = np.zeros(2 * len(counts), np.int64)
-    fresh = len(counts)
-    while len(heap) > 1:
-        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[x] = parent[y] = fresh
-        heapq.heappush(heap, (a + b, fresh))
-        fresh += 1
+    """Length and canonical code of each symbol: frequent symbols have short codes.
+
+    What weighs no more than the two lightest together is paired before any new node, so all of it is at once. The least weight
+    doubles in two rounds at most, which makes rounds as many as the logarithm of the text.
+    """
+    node = np.argsort(counts, kind="stable")
+    weight, fresh, rounds = counts[node], len(counts), []
+    while len(node) > 1:
+        k = int(np.searchsorted(weight, weight[0] + weight[1], side="right")) // 2 * 2
+        new = np.arange(fresh, fresh + k // 2)
+        rounds.append((node[:k], np.repeat(new, 2)))
+        weight, node = np.concatenate((weight[k:], weight[0:k:2] + weight[1:k:2])), np.concatenate((node[k:], new))
+        order = np.argsort(weight, kind="stable")
+        weight, node, fresh = weight[order], node[order], fresh + k // 2
     depth = np.zeros(fresh, np.int64)
-    for i in range(fresh - 2, -1, -1):
-        depth[i] = depth[parent[i]] + 1
+    for children, parents in reversed(rounds):
+        depth[children] = depth[parents] + 1
     lengths = np.maximum(depth[: len(counts)], 1)
-    code, codes, before = 0, np.zeros(len(counts), np.int64), 0
-    for i in np.argsort(lengths, kind="stable").tolist():
-        code <<= int(lengths[i]) - before
-        before = int(lengths[i])
-        codes[i] = code
-        code += 1
+    # the first code of a length follows the last one of the length before
+    each, first = np.bincount(lengths), np.zeros(int(lengths.max()) + 1, np.int64)
+    for n in range(1, len(first)):
+        first[n] = (first[n - 1] + each[n - 1]) << 1
+    order = np.argsort(lengths, kind="stable")
+    codes = np.empty(len(counts), np.int64)
+    codes[order] = first[lengths[order]] + np.arange(len(counts)) - offsets(each)[lengths[order]]
     return lengths, codes
 
 
@@ -66,25 +78,32 @@ class WaveletTree:
             keep = self.lengths[text] > level
             text = text[keep]
             prefix = codes[text] >> (self.lengths[text] - level)
-            order = np.argsort(prefix, kind="stable")
+            order = np.argsort(prefix * len(prefix) + np.arange(len(prefix)))
             text, prefix = text[order], prefix[order]
             bits = Bits(((codes[text] >> (self.lengths[text] - 1 - level)) & 1).astype(np.uint8))
-            # of each symbol that goes deeper: where its node starts, the ones before that, and its own bit
+            # of each symbol that goes deeper: where its node starts, the ones before that, and -1 if its own bit is zero, else 0
             deep = np.maximum(self.lengths - level, 0)
             start = np.searchsorted(prefix, codes >> deep).astype(np.int64)
-            own = ((codes >> np.maximum(deep - 1, 0)) & 1).astype(bool)
-            self.levels.append((bits, start, bits.ones(start), own))
-
-    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """How often each symbol comes among the first i."""
-        i = i.copy()
-        live = np.arange(len(i))
-        for level, (bits, start, before, own) in enumerate(self.levels):
-            live = live[self.lengths[symbol[live]] > level]
-            s = symbol[live]
-            ones = bits.ones(start[s] + i[live]) - before[s]
-            i[live] = np.where(own[s], ones, i[live] - ones)
-        return i
+            zeros = ((codes >> np.maximum(deep - 1, 0)) & 1) - 1
+            self.levels.append((bits, start, bits.ones(start), zeros))
+
+    def rank(self, symbol: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each row of `ends`, how often each symbol comes among the first so many."""
+        order = np.argsort(-self.lengths[symbol])  # those of long codes first, so that a level takes the front
+        symbol, places = symbol[order], ends[:, order]
+        deeper = np.cumsum(np.bincount(self.lengths[symbol], minlength=len(self.levels) + 1)[::-1])[::-1]
+        for level, (bits, start, before, zeros) in enumerate(self.levels):
+            s = symbol[: deeper[level + 1]]
+            i = places[:, : len(s)]
+            ones = bits.ones(start.take(s) + i)
+            ones -= before.take(s)
+            # where the own bit is one, the ones, else what is left of i without them: x ^ -1 is -x - 1
+            zero = zeros.take(s)
+            i &= zero
+            i += (ones ^ zero) - zero
+        out = np.empty_like(places)
+        out[:, order] = places
+        return out
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -126,8 +145,9 @@ class FmIndex:
         out, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
         for step in range(length):
             symbol = text[ends[live] - step]
-            both = self.tree.rank(np.concatenate((symbol, symbol)), np.concatenate((low[live], high[live])))
-            a, b = self.below[symbol] + both[: len(live)], self.below[symbol] + both[len(live) :]
+            a, b = self.below[symbol], self.below[symbol + 1]
+            if step:  # all suffixes that begin with the symbol, at first
+                a, b = a + self.tree.rank(symbol, np.stack((low[live], high[live])))
             again = b - a > 1  # what comes once is the text itself
             live, a, b = live[again], a[again], b[again]
             low[live], high[live] = a, b
@@ -136,39 +156,38 @@ class FmIndex:
 
 
 def search(units: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int) -> np.ndarray:
-    """The least owner of each window of the texts of a shard, which stand one after another in `units`: each text is streamed
-    against the index, and intervals of matches of `length` are reported with the least owner; other windows are their own text's alone."""
+    """The least owner of each window of the texts of a shard, which stand one after another in `units`: each distinct text is streamed
+    against the index of all, and intervals of matches of `length` are reported with the least owner; other windows are their own text's alone."""
     flat = np.unique(units, return_inverse=True)[1] + 1
     text = np.zeros(len(units) + len(sizes), np.int64)
     text[np.arange(len(units)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
     index = FmIndex(text, np.repeat(owners, sizes + 1), length)
+    # texts that are equal symbol by symbol are found alike, so the first of them is streamed
+    cuts, seen = offsets(sizes).tolist(), {}
+    same = np.array([seen.setdefault(units[a:b].tobytes(), i) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))], np.int64)
+    asked = np.flatnonzero(same == np.arange(len(sizes)))
     n = sizes - length + 1
-    which = np.repeat(np.arange(len(sizes)), n)
-    ends = np.arange(n.sum()) - np.repeat(offsets(n)[:-1], n) + offsets(sizes + 1)[:-1][which] + length - 1
+    place = offsets(n[asked])
+    ends = np.arange(place[-1]) + np.repeat(offsets(sizes + 1)[asked] + length - 1 - place[:-1], n[asked])
     matched, low, high = index.matching_statistics(text, ends, length)
-    out = owners[which]
-    full = np.flatnonzero(matched >= length)
-    if len(full):
-        out[full] = index.first_owner(low[full], high[full])
-    return out
+    found, least = matched >= length, np.zeros(len(ends), np.int64)
+    if found.any():
+        least[found] = index.first_owner(low[found], high[found])
+    at = np.arange(n.sum()) + np.repeat(place[np.searchsorted(asked, same)] - offsets(n)[:-1], n)
+    return np.where(found[at], least[at], np.repeat(owners, n))
 
 
 WORDS = Passages(length=13, gram=5, symbols=words_of, units=lambda symbols, raw: symbols, unit=np.uint64, search=search, part_bytes=1 << 17)
 
 
 def kept_words(raw: list[bytes], symbols: np.ndarray, counts: np.ndarray, mask: np.ndarray) -> pd.DataFrame:
-    buffer, docs = joined(raw)
-    starts, ends, _ = word_spans(buffer, docs)
     at = offsets(counts)
     out = []
     for i, text in enumerate(raw):
-        gone = mask[at[i] : at[i + 1]]
+        gone, kept = mask[at[i] : at[i + 1]], text.split()
         if gone.any():
-            base, keep = docs[i], np.flatnonzero(~gone) + at[i]
-            kept = b" ".join([text[a:b] for a, b in zip((starts[keep] - base).tolist(), (ends[keep] - base).tolist(), strict=True)])
-        else:
-            kept = b" ".join(text.split())
-        out.append((int(counts[i]), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+            kept = compress(kept, (~gone).tolist())
+        out.append((int(counts[i]), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
     return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
 
 

@@ -2,6 +2,7 @@
 
 import dataclasses
 import hashlib
+import heapq
 import math
 import random
 import re
@@ -9,6 +10,7 @@ import string
 import time
 import zlib
 from collections import Counter
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -268,6 +270,37 @@ def test_keys_go_by_wide_slices_first(docs, dedup, how, monkeypatch):
     assert a == b
 
 
+def test_huffman_codes_are_shortest_and_take_few_rounds():
+    """As short in all as by merging one pair after another, prefix-free, and in less than half of the time of that."""
+    rng = np.random.default_rng(4)
+    for counts in (np.array([7]), np.array([1, 1]), np.array([1, 1, 2, 3, 5, 8, 13, 21]), rng.integers(1, 9, 1001), rng.zipf(1.3, 100000).clip(max=10**9)):
+        began = time.perf_counter()
+        lengths, codes = fmindex.huffman(counts)
+        took = time.perf_counter() - began
+        began = time.perf_counter()
+        heap, total = counts.tolist(), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            two = heapq.heappop(heap) + heapq.heappop(heap)
+            total += two
+            heapq.heappush(heap, two)
+        plain = time.perf_counter() - began
+        assert (lengths * counts).sum() == (total if len(counts) > 1 else counts[0])
+        assert len(counts) < 2 or sum(Fraction(n, 2**k) for k, n in Counter(lengths.tolist()).items()) == 1
+        order = np.lexsort((codes, lengths))
+        wide = codes[order] << (lengths.max() - lengths[order])
+        assert (np.diff(wide) >= 1 << (lengths.max() - lengths[order][:-1])).all()
+    assert took < plain / 2
+
+
+def test_equal_texts_are_streamed_once(monkeypatch):
+    streamed, plain = [], fmindex.FmIndex.matching_statistics
+    monkeypatch.setattr(fmindex.FmIndex, "matching_statistics", lambda index, text, ends, length: streamed.append(len(ends)) or plain(index, text, ends, length))
+    texts = [np.arange(1, 16), np.arange(30, 44), np.arange(1, 16), np.arange(1, 17)]
+    got = fmindex.search(np.concatenate(texts).astype(np.uint64), np.array([15, 14, 15, 16]), np.array([7, -5, 3, 4]), 13)
+    assert got.tolist() == [3, 3, 3, -5, -5, 3, 3, 3, 3, 3, 3, 4] and streamed == [3 + 2 + 4]
+
+
 @pytest.mark.parametrize("search, length, unit", [(suffixes.search, 50, np.uint8), (fmindex.search, 13, np.uint64)])
 @pytest.mark.parametrize("alphabet", [1, 2, 4, 200])
 def test_least_owners(search, length, unit, alphabet):
