@@ -30,21 +30,23 @@ class MinMax:
     rows: int = 4
 
 
-def sets_of(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of all documents, sorted within each, and their number for each."""
-    symbols, counts = words_of([(t or "").encode().lower() for t in texts])
-    at, doc = starts_of_windows(counts, k)
-    hashes = window_hash(symbols, k)[at]
-    short = np.flatnonzero((counts > 0) & (counts < k))
+def sets_of(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of all documents, sorted within each, their number for each, and the words of each."""
+    symbols, words = words_of([(t or "").encode().lower() for t in texts])
+    at, _ = starts_of_windows(words, k)
+    hashes, n = window_hash(symbols, k)[at], np.maximum(words - k + 1, 0)
+    short = np.flatnonzero((words > 0) & (words < k))
     if len(short):  # the whole sequence is their one shingle
-        first = offsets(counts)[:-1]
-        whole = np.array([hash_of(symbols[first[d] : first[d] + counts[d]]) for d in short], np.uint64)
-        hashes, doc = np.concatenate((hashes, whole)), np.concatenate((doc, short))
-    order = np.lexsort((hashes, doc))
-    hashes, doc = hashes[order], doc[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    return hashes[new], np.bincount(doc[new], minlength=len(counts))
+        first = offsets(words)[:-1]
+        hashes = np.insert(hashes, offsets(n)[short], [hash_of(symbols[first[d] : first[d] + words[d]]) for d in short])
+        n[short] = 1
+    cuts = offsets(n)
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        hashes[x:y].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[cuts[:-1][n > 0]] = True
+    return hashes[new], np.bincount(np.repeat(np.arange(len(n)), n)[new], minlength=len(n)), words
 
 
 def hash_of(symbols: np.ndarray) -> np.uint64:
@@ -57,15 +59,21 @@ def constants(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray, how: MinMax) -> np.ndarray:
-    """Minimum and maximum of each permutation, for documents that have shingles: (documents, 2 * hashes)."""
+    """Minimum and maximum of each permutation, for documents that have shingles: (documents, 2 * hashes).
+
+    Permutations are of the upper 32 bits of a shingle's hash: two shingles that agree in these count as one here, which can only
+    add a band that two sets share.
+    """
     first = offsets(counts)[:-1]
-    out = np.empty((len(counts), 2 * how.hashes), np.uint64)
-    for p, (a, b) in enumerate(zip(*constants(how.hashes), strict=True)):
-        v = (hashes ^ b) * a
-        v ^= v >> U(31)
-        out[:, 2 * p] = np.minimum.reduceat(v, first)
-        out[:, 2 * p + 1] = np.maximum.reduceat(v, first)
-    return out
+    upper = (hashes >> U(32)).astype(np.uint32)
+    out, v = np.empty((2 * how.hashes, len(counts)), np.uint32), np.empty_like(upper)
+    odd, flips = constants(how.hashes)
+    for p, (a, b) in enumerate(zip(odd.astype(np.uint32), (flips >> U(31)).astype(np.uint32), strict=True)):
+        np.bitwise_xor(upper, b, out=v)
+        np.multiply(v, a, out=v)
+        np.minimum.reduceat(v, first, out=out[2 * p])
+        np.maximum.reduceat(v, first, out=out[2 * p + 1])
+    return out.T
 
 
 def bands(signature: np.ndarray, rows: int) -> np.ndarray:
@@ -82,15 +90,15 @@ def set_ids(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(hashes + U(11)), offsets(counts)[:-1]) + counts.astype(np.uint64))
 
 
-def signed(docs: DataFrame, how: MinMax) -> DataFrame:
-    """doc_id, h (hash of the text), n_shingles, node (number of the set, null if empty) and its bands; no shuffle."""
+def signed(docs: DataFrame, how: MinMax, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, h (hash of the text), n_words, n_shingles, node (number of the set, null if empty), its bands, and the columns `also` as strings; no shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in batches(frame):
-                hashes, counts = sets_of(part["text"].tolist(), how.words)
+                hashes, counts, words = sets_of(part["text"].tolist(), how.words)
                 full = counts > 0
-                out = pd.DataFrame({"doc_id": part["doc_id"].array, "h": part["h"].array, "n_shingles": counts.astype(np.int64)})
+                out = pd.DataFrame({"doc_id": part["doc_id"].array, "h": part["h"].array, "n_words": words.astype(np.int64), "n_shingles": counts.astype(np.int64)})
                 node, band = np.zeros(len(part), object), np.zeros(len(part), object)
                 node[:], band[:] = None, None
                 if full.any():
@@ -98,9 +106,13 @@ def signed(docs: DataFrame, how: MinMax) -> DataFrame:
                     for i, row in zip(np.flatnonzero(full), bands(signatures(hashes, counts[full], how), how.rows).view(np.int64), strict=True):
                         band[i] = row
                 out["node"], out["bands"] = pd.array(node, "Int64"), band
+                for i, _ in enumerate(also):
+                    out[f"_also_{i}"] = part[f"_also_{i}"].array
                 yield out
 
-    return docs.select("doc_id", "text", text_hash().alias("h")).mapInPandas(run, "doc_id long, h long, n_shingles long, node long, bands array<long>")
+    handed = [F.col(c).cast("string").alias(f"_also_{i}") for i, c in enumerate(also)]
+    schema = "doc_id long, h long, n_words long, n_shingles long, node long, bands array<long>" + "".join(f", _also_{i} string" for i, _ in enumerate(also))
+    return docs.select("doc_id", "text", text_hash().alias("h"), *handed).mapInPandas(run, schema)
 
 
 def text_hash() -> Column:
@@ -114,7 +126,7 @@ def full_sets(docs: DataFrame, how: MinMax) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in batches(frame):
-                hashes, counts = sets_of(part["text"].tolist(), how.words)
+                hashes, counts, _ = sets_of(part["text"].tolist(), how.words)
                 if full := counts[counts > 0].tolist():
                     cuts = offsets(np.array(full))
                     yield pd.DataFrame({"node": set_ids(hashes, np.array(full)).view(np.int64), "shingles": [hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
@@ -156,7 +168,7 @@ def rare_prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     rows = sets.join(nodes.select("node"), "node", "left_semi").mapInPandas(spread, "node long, shingle long")
     common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_df"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("_df", "shingle"))
-    prefix = rows.join(common, "shingle").withColumn("_r", rank).join(nodes, "node").filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    prefix = rows.join(common.hint("shuffle_hash"), "shingle").withColumn("_r", rank).join(nodes, "node").filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     prefix = prefix.filter("_df > 1").select("shingle", "node", "n", "root", "_r")
     # a shingle of one root alone makes no pair
     mixed = prefix.groupBy("shingle").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("shingle")
@@ -174,11 +186,11 @@ PIVOT_ROUNDS = 3
 
 def near_duplicates(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # noqa: B008
     """One row a document: n_shingles, component_id and kept; see `judged`."""
-    return judged(docs, how).drop("h", "root")
+    return judged(docs, how).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def judged(docs: DataFrame, how: MinMax) -> DataFrame:
-    """One row a document: doc_id, h (hash of the text), n_shingles, component_id, kept, and root, a number of its component.
+def judged(docs: DataFrame, how: MinMax = MinMax(), also: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """One row a document: doc_id, h (hash of the text), n_words, n_shingles, component_id, kept, root, a number of its component, and the columns `also` as strings.
 
     Equal sets are one node from the start. Nodes that share a band are a bucket. In each of a few rounds, every
     bucket that holds more than one component so far tests one node, the pivot, against its nodes of other components, on
@@ -188,19 +200,20 @@ def judged(docs: DataFrame, how: MinMax) -> DataFrame:
 
     Null and empty texts have no shingles, are linked with nothing and kept. A document without doc_id
     can be linked but names no component; alone, its component_id is null and it is kept. Rows with one doc_id and several texts
-    are judged each. Columns besides doc_id and text are not read. An empty table gives no rows.
+    are judged each. Columns besides doc_id, text and `also` are not read. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
-    sign = scratch.keep(signed(docs, how), "signed")
+    sign = scratch.keep(signed(docs, how, also), "signed")
     nodes = sign.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = scratch.keep(nodes, "nodes")
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a != _b").select("bucket")
-    open_ = scratch.keep(buckets.join(shared, "bucket"), "open")
+    # a node has a bucket once; one row a shared bucket, so hashing those spares the sort of all others
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_nodes")).filter("_nodes > 1").select("bucket")
+    open_ = scratch.keep(buckets.join(shared.hint("shuffle_hash"), "bucket"), "open")
     roots = scratch.keep(open_.select("node").distinct().withColumn("root", F.col("node")), "roots-0", few=True)
     wanted = nodes.join(roots, "node", "left_semi").select(F.col("rep").alias("_rep"))
     # a set of which no document has an id is found by its text alone; such sets are few
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     sets = scratch.keep(full_sets(texts, how).join(roots, "node", "left_semi").dropDuplicates(["node"]), "sets")
     for turn in range(PIVOT_ROUNDS + 1):
         # nodes that are left, with their components of now
@@ -227,9 +240,10 @@ def judged(docs: DataFrame, how: MinMax) -> DataFrame:
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
     linked = roots.join(lowest, "root").select("node", "component")
     ids = nodes.select("node", "rep").join(linked, "node", "left").join(roots, "node", "left").select("node", F.coalesce("component", "rep").alias("component"), F.coalesce("root", "node").alias("root"))
-    out = sign.select("doc_id", "h", "n_shingles", "node").join(ids, "node", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    handed = [F.col(f"_also_{i}").alias(c) for i, c in enumerate(also)]
+    out = sign.drop("bands").join(ids, "node", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select("doc_id", "h", "n_shingles", "component_id", kept.alias("kept"), "root")
+    return out.select("doc_id", "h", "n_words", "n_shingles", "component_id", kept.alias("kept"), "root", *handed)
 
 
 def deduplicated(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # noqa: B008

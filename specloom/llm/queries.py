@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from specloom.llm import common, fingerprints, fmindex, html, minhash, mixing, packing, quality, secrets, sharding, spelling, suffixes, trie, warc
+from specloom.llm import fingerprints, fmindex, html, minhash, mixing, packing, quality, secrets, sharding, spelling, suffixes, trie, warc
 
 
 def read(spark, sf_dir, table):
@@ -32,11 +32,9 @@ def op7_quality_rules(spark, sf_dir):
 
 
 def op8_best_fit_packing(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    near = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    thin = docs.select("doc_id", "source", common.n_words("text").alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    cluster = F.coalesce("component_id", "text_hash")  # a row without doc_id is in no component
-    return packing.pack(thin.join(near, "doc_id", "left"), cluster=cluster, size=F.col("size"))
+    near = minhash.judged(read(spark, sf_dir, "documents"), also=("source",))
+    cluster = F.coalesce("component_id", "root", "h")  # a component of rows without doc_id has its number alone, a row in none its text's hash
+    return packing.pack(near, cluster=cluster, size=F.col("n_words"))
 
 
 def op9_main_text(spark, sf_dir):

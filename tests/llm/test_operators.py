@@ -17,7 +17,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from specloom.llm import fingerprints, fmindex, html, minhash, mixing, packing, passages, quality, secrets, sharding, suffixes
+from specloom.llm import fingerprints, fmindex, html, minhash, mixing, packing, passages, quality, queries, secrets, sharding, suffixes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -126,6 +126,29 @@ def test_near_duplicates(docs, rows):
     assert all(k[3] == (k[0] == k[2]) for k in got if k[0] is not None)
 
 
+def test_sets_and_words_come_from_one_pass(spark, docs, rows):
+    got = Counter((r["doc_id"], r["n_words"], r["n_shingles"], r["source"]) for r in collected(minhash.judged(docs, also=("source",))))
+    sets, _ = jaccard_components(rows)
+    assert got == Counter((r[0], len(words(r[1])), len(s), r[3]) for r, s in zip(rows, sets))
+    hashes, counts, _ = minhash.sets_of([r[1] for r in rows], 5)
+    assert counts.tolist() == [len(s) for s in sets]
+    for part in np.split(hashes, np.cumsum(counts)[:-1]):
+        assert (part[1:] > part[:-1]).all()
+
+
+@pytest.mark.parametrize("share", [0.3, 0.75, 0.9])
+def test_values_of_permutations_are_alike_as_the_sets(share):
+    """Four bytes a value, and as many values in common as the sets' likeness says, so a band loses no more links than stated."""
+    rng, how = np.random.default_rng(4), minhash.MinMax()
+    same, off = [], int(300 * (1 - share) / (1 + share))
+    for _ in range(40):
+        every = rng.integers(0, 2**64, 300 + off, dtype=np.uint64)
+        found = minhash.signatures(np.concatenate((every[:300], every[off:])), np.array([300, 300]), how)
+        assert found.dtype == np.uint32 and found.shape == (2, 128)
+        same.append((found[0] == found[1]).mean())
+    assert np.mean(same) == pytest.approx((300 - off) / (300 + off), abs=0.03)
+
+
 def test_near_copies_in_one_large_group(spark):
     """Many copies with random edits: links beyond the pivots are found too."""
     rng = random.Random(3)
@@ -522,6 +545,18 @@ def test_packing(docs, rows):
         assert {m["room"] for m in members} == {256 - sum(m["n_words"] for m in members)}
 
 
+def test_near_copies_share_no_bin(spark, tmp_path):
+    """Without doc_id too, and where a doc_id has several texts: each row has the cluster of its own text."""
+    rng = random.Random(12)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(50 + 10 * i)] for i in range(4)]
+    first, second, third, fourth = [" ".join(t) for t in texts]
+    ids = [(1, first), (None, first + " more"), (None, second), (None, second + " more"), (20, third), (30, third + " more"), (30, fourth), (10, fourth + " more")]
+    spark.createDataFrame([(i, t, f"s{k}") for k, (i, t) in enumerate(ids)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["n_words"]: (r["group"], r["bin"]) for r in collected(queries.op8_best_fit_packing(spark, str(tmp_path)))}
+    assert sorted(out) == [50, 51, 60, 61, 70, 71, 80, 81]
+    assert all(out[n] != out[n + 1] for n in (50, 60, 70, 80))
+
+
 def test_best_fit_takes_the_tightest_bin_that_allows():
     bins = packing.Bins(10, 2)
     assert [bins.put(n, c, s) for n, c, s in [(7, 0, 0), (6, 1, 0), (3, 2, 1), (4, 1, 1), (4, 3, 1)]] == [0, 1, 0, 2, 1]
