@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from specloom.llm.common import Scratch
+from specloom.llm.common import Scratch, whole_numbers, without_null
 from specloom.llm.symbols import U, batches, mix, offsets, starts_of_windows, window_hash, words_of
 from specloom.operators.graph import components
 
@@ -98,7 +98,8 @@ def signed(docs: DataFrame, how: MinMax, also: tuple[str, ...] = ()) -> DataFram
             for part in batches(frame):
                 hashes, counts, words = sets_of(part["text"].tolist(), how.words)
                 full = counts > 0
-                out = pd.DataFrame({"doc_id": part["doc_id"].array, "h": part["h"].array, "n_words": words.astype(np.int64), "n_shingles": counts.astype(np.int64)})
+                ids = whole_numbers(part["doc_id"], part["_none"])
+                out = pd.DataFrame({"doc_id": ids, "h": part["h"].array, "n_words": words.astype(np.int64), "n_shingles": counts.astype(np.int64)})
                 node, band = np.zeros(len(part), object), np.zeros(len(part), object)
                 node[:], band[:] = None, None
                 if full.any():
@@ -112,7 +113,7 @@ def signed(docs: DataFrame, how: MinMax, also: tuple[str, ...] = ()) -> DataFram
 
     handed = [F.col(c).cast("string").alias(f"_also_{i}") for i, c in enumerate(also)]
     schema = "doc_id long, h long, n_words long, n_shingles long, node long, bands array<long>" + "".join(f", _also_{i} string" for i, _ in enumerate(also))
-    return docs.select("doc_id", "text", text_hash().alias("h"), *handed).mapInPandas(run, schema)
+    return docs.select(*without_null("doc_id"), "text", text_hash().alias("h"), *handed).mapInPandas(run, schema)
 
 
 def text_hash() -> Column:

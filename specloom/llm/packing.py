@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from specloom.llm.common import Scratch, block_offsets, n_words, ranged
+from specloom.llm.common import Scratch, block_offsets, n_words, ranged, whole_numbers, without_null
 
 #: Copies of a row that are written out at a time.
 COPIES = 4096
@@ -101,15 +101,15 @@ def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 8, group_bins:
     rest = each.filter((F.col("size") % capacity > 0) | (F.col("size") == 0)).withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", "size", "source", "copy"), F.lit(groups)).cast("int"))
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(n=frame["size"] % capacity).sort_values(["n", "doc_id", "cluster", "size", "source"], ascending=[False, True, True, True, True], kind="stable")
+        frame = frame.assign(n=frame["size"] % capacity).sort_values(["n", "_none", "doc_id", "cluster", "size", "source"], ascending=[False, True, True, True, True, True], kind="stable")
         bins = Bins(capacity, per_source)
         clusters, sources = pd.factorize(frame["cluster"])[0].tolist(), pd.factorize(frame["source"])[0].tolist()
         at = np.array([bins.put(n, c, s) for n, c, s in zip(frame["n"].tolist(), clusters, sources, strict=True)], np.int64)
         room = np.full(len(bins.clusters), capacity, np.int64)
         np.subtract.at(room, at, frame["n"].to_numpy())
         return pd.DataFrame(
-            {"doc_id": frame["doc_id"], "piece": frame["size"] // capacity, "start": frame["size"] - frame["n"], "n_words": frame["n"], "group": frame["group"], "bin": at, "room": room[at]}
+            {"doc_id": pd.Series(whole_numbers(frame["doc_id"], frame["_none"]), frame.index), "piece": frame["size"] // capacity, "start": frame["size"] - frame["n"], "n_words": frame["n"], "group": frame["group"], "bin": at, "room": room[at]}
         )
 
-    packed = rest.groupBy("group").applyInPandas(fill, "doc_id long, piece long, start long, n_words long, group int, bin long, room long")
+    packed = rest.select(*without_null("doc_id"), "source", "cluster", "size", "copy", "group").groupBy("group").applyInPandas(fill, "doc_id long, piece long, start long, n_words long, group int, bin long, room long")
     return whole.unionByName(packed)

@@ -557,6 +557,13 @@ def test_near_copies_share_no_bin(spark, tmp_path):
     assert all(out[n] != out[n + 1] for n in (50, 60, 70, 80))
 
 
+def test_large_ids_beside_null_stay_whole(spark, tmp_path):
+    ids = [2**53 + 1, 2**62 + 3, None]
+    spark.createDataFrame([(i, f"{k} of these", "s") for k, i in enumerate(ids)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (queries.op2_near_duplicates, queries.op8_best_fit_packing):
+        assert Counter(r["doc_id"] for r in collected(query(spark, str(tmp_path)))) == Counter(ids)
+
+
 def test_best_fit_takes_the_tightest_bin_that_allows():
     bins = packing.Bins(10, 2)
     assert [bins.put(n, c, s) for n, c, s in [(7, 0, 0), (6, 1, 0), (3, 2, 1), (4, 1, 1), (4, 3, 1)]] == [0, 1, 0, 2, 1]
