@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from specloom.llm.passages import Passages, without_repeats
-from specloom.llm.symbols import offsets, words_of
+from specloom.llm.symbols import offsets, window_hash, words_of
 
 
 #: Masks of the lowest 0 ... 63 bits.
@@ -177,7 +177,7 @@ def search(units: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int
     return np.where(found[at], least[at], np.repeat(owners, n))
 
 
-WORDS = Passages(length=13, gram=5, symbols=words_of, units=lambda symbols, raw: symbols, unit=np.uint64, search=search, part_bytes=1 << 17)
+WORDS = Passages(length=13, gram=5, symbols=words_of, grams=window_hash, numbers=np.asarray, unit=np.uint64, search=search, part_bytes=1 << 17)
 
 
 def kept_words(raw: list[bytes], symbols: np.ndarray, counts: np.ndarray, mask: np.ndarray) -> pd.DataFrame:

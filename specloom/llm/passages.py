@@ -6,9 +6,10 @@ theirs: a run is a row of neighbouring windows of one key, and its context the s
 
 1. Keys that occur in one document alone can't be shared and go; this loses no window. Keys travel in blocks, one row for
    thousands of them, and a batch sends a key that two of its documents have once, however frequent it is.
-2. The contexts of the runs that stay are cut out of the texts. Equal contexts become one, owned by the least doc_id.
-3. All distinct contexts are dealt to shards of bounded size by key. Each shard finds, by the operator's own method, the
-   least owner of every window. Contexts of a key that is larger than a shard are dealt window by window.
+2. The contexts of the runs that stay are cut out of the texts.
+3. They are dealt to shards of bounded size by key. There equal contexts become one, owned by the least doc_id, and each shard finds,
+   by the operator's own method, the least owner of every window. Where the contexts of one key don't fit a shard, equal ones become
+   one before they are dealt, and if that is not enough they are dealt window by window.
 4. A document loses the windows whose least owner comes before it. Nothing is removed that the method has not found.
 
 Contexts are told apart by two 64-bit hashes, of the context and of its key run. Texts move twice; shuffle files go as
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,16 @@ from specloom.llm.symbols import CHUNK_BYTES, INV, MUL, mix, offsets, powers, sl
 
 @dataclass(frozen=True)
 class Passages:
-    """length, gram: of windows and of the runs whose hashes make keys. symbols: texts to 64-bit symbols and their
-    counts. units: symbols and texts to the array whose slices are contexts. search: the units of contexts, joined, their sizes and
+    """length, gram: of windows and of the runs whose hashes make keys. symbols: texts to their symbols, of which slices are contexts, and
+    the counts. grams: hashes of the runs from each symbol on. numbers: symbols to 64-bit numbers. unit: type of a symbol. search: the units of contexts, joined, their sizes and
     owners to the least owner of each window. part_bytes: of contexts in a shard on average, which is as much as fits a processor's
     cache. shard_bytes: of contexts of one key that a shard may take. fan_out: slices of the keys' range to which a task sends at once."""
 
     length: int
     gram: int
     symbols: Callable
-    units: Callable
+    grams: Callable
+    numbers: Callable
     unit: type
     search: Callable
     shard_bytes: int = 1 << 20
@@ -51,27 +54,49 @@ class Passages:
 
 #: Windows of a run at most; a longer one, as of one symbol over and over, is cut.
 LONGEST_RUN = 64
+#: Symbols whose runs are made at once, as many as keep to a processor's cache.
+RUN_SYMBOLS = 1 << 16
+#: Bytes of a context besides its symbols; and in how many rounds contexts are dealt, of which each has its shuffle files on disk alone.
+ROW_BYTES, ROUNDS = 40, 2
 #: Keys that a task gathers before it sends them, bytes of text for a block of keys, and for the documents that meet their keys.
 GATHERED, SLICE_BYTES, BUCKET_BYTES = 1 << 21, 1 << 24, 1 << 22
 
 
 def runs_of(symbols: np.ndarray, counts: np.ndarray, p: Passages) -> tuple[np.ndarray, ...]:
     """Document, start, number of windows and key of every run."""
-    at, doc = starts_of_windows(counts, p.length)
-    if not len(at):
+    at = offsets(counts)
+    found = []
+    for x in parts(counts, RUN_SYMBOLS):
+        doc, *rest = runs_at_once(symbols[at[x.start] : at[x.stop]], counts[x], p)
+        found.append((doc + x.start, *rest))
+    if not found:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
-    key = sliding_min(window_hash(symbols, p.gram), p.length - p.gram + 1)[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(at)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def runs_at_once(symbols: np.ndarray, counts: np.ndarray, p: Passages) -> tuple[np.ndarray, ...]:
+    first, windows = offsets(counts)[:-1], counts - p.length + 1
+    some = windows > 0
+    if not some.any():
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.uint64)
+    key = sliding_min(p.grams(symbols, p.gram), p.length - p.gram + 1)[: len(symbols) - p.length + 1]
+    # a run ends where the key changes, and with the windows of its document
+    new = np.ones(len(key) + 1, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:-1])
+    new[first[some]] = True
+    new[(first + windows)[some]] = True
+    cuts = np.flatnonzero(new)
+    start, n = cuts[:-1], np.diff(cuts)
+    doc = np.searchsorted(first, start, side="right") - 1
+    within = start - first[doc] < windows[doc]
+    doc, start, n = doc[within], start[within], n[within]
     if n.max() > LONGEST_RUN:
-        new |= (np.arange(len(at)) - np.repeat(first, n)) % LONGEST_RUN == 0
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(at)))
-    doc = doc[first]
-    return doc, at[first] - offsets(counts)[doc], n, mix(key[first])  # least hashes are small numbers: mixed, they spread evenly
+        pieces = -(-n // LONGEST_RUN)
+        done = LONGEST_RUN * (np.arange(pieces.sum()) - np.repeat(offsets(pieces)[:-1], pieces))
+        doc, start, n = np.repeat(doc, pieces), np.repeat(start, pieces) + done, np.minimum(LONGEST_RUN, np.repeat(n, pieces) - done)
+    return doc, start - first[doc], n, mix(key[start])  # least hashes are small numbers: mixed, they spread evenly
 
 
 def parts(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[slice]:
@@ -236,14 +261,14 @@ def contexts(texts: DataFrame, blocks: DataFrame, p: Passages, buckets: int) ->
             doc, start, n, key = doc[pick], start[pick], n[pick], key[pick]
             a = offsets(counts)[doc] + start
             size = n + p.length - 1
-            ident = prefix_hash(symbols, a, size)
+            ident = prefix_hash(p.numbers(symbols), a, size)
             order = np.lexsort((ident, key))  # stable, and documents ascend
             speaks = np.zeros(len(doc), bool)
             speaks[order] = np.append(True, (key[order][1:] != key[order][:-1]) | (ident[order][1:] != ident[order][:-1]))
             mine, top = ids[part][doc], np.zeros(len(doc), np.int64)
             first = np.flatnonzero(speaks[order])
             top[order[first]] = mine[order[np.append(first[1:], len(doc)) - 1]]
-            width, units = np.dtype(p.unit).itemsize, p.units(symbols, raw).tobytes()
+            width, units = np.dtype(p.unit).itemsize, symbols.tobytes()
             cuts = [units[x:y] if s else None for x, y, s in zip((a * width).tolist(), ((a + size) * width).tolist(), speaks.tolist(), strict=True)]
             columns = [mine, hs[part][doc], start.astype(np.int32), n.astype(np.int32), key.view(np.int64), ident.view(np.int64), top]
             out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(cuts, pa.binary())], schema=CONTEXTS))
@@ -262,41 +287,78 @@ def prefix_hash(symbols: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndar
 
 MARKS = "key long, id long, at array<int>, owner array<long>, low long"
 MARKED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("at", pa.list_(pa.int32())), ("owner", pa.list_(pa.int64())), ("low", pa.int64())])
+SPANS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("span", pa.int64())])
 
 
-def least_owners(distinct: DataFrame, p: Passages, shards: int) -> DataFrame:
-    """For each distinct context the least owner of its windows: from window at[i] on it is owner[i]; low is the least of all.
+def searched(raw: list[bytes], low: np.ndarray, high: np.ndarray, p: Passages) -> tuple[np.ndarray, ...]:
+    """Pieces of the distinct contexts of a shard whose windows have one least owner: context, first window, end, owner.
 
     A context that several documents have is there twice, once as the least document's and once as the greatest's, and what is told is what the
     search finds for the latter: if it found no match, these windows would be the greatest document's own, and nobody would lose them.
     """
+    twice = np.flatnonzero(high > low)
+    both = raw + [raw[i] for i in twice.tolist()]
+    sizes = sizes_of(both) // np.dtype(p.unit).itemsize
+    found = p.search(np.frombuffer(b"".join(both), p.unit), sizes, np.concatenate((low, high[twice])), p.length)
+    n = sizes - p.length + 1
+    speaks = np.arange(len(raw))
+    speaks[twice] = len(raw) + np.arange(len(twice))
+    base = offsets(n[: len(raw)])
+    least = found[np.arange(base[-1]) + np.repeat(offsets(n)[speaks] - base[:-1], n[: len(raw)])]
+    new = np.append(True, least[1:] != least[:-1])
+    new[base[:-1]] = True
+    cut = np.flatnonzero(new)
+    which = np.searchsorted(base, cut, side="right") - 1
+    return which, cut - base[which], np.append(cut[1:], base[-1]) - base[which], least[cut]
+
+
+def least_owners(distinct: DataFrame, p: Passages, shards: int) -> DataFrame:
+    """For each distinct context the least owner of its windows: from window at[i] on it is owner[i]; low is the least of all."""
 
     def find(table: pa.Table) -> pa.Table:
-        raw = table.column("units").to_pylist()
-        low, high = table.column("owner").to_numpy(), table.column("other").to_numpy()
-        twice = np.flatnonzero(high > low)
-        both = raw + [raw[i] for i in twice.tolist()]
-        sizes = sizes_of(both) // np.dtype(p.unit).itemsize
-        found = p.search(np.frombuffer(b"".join(both), p.unit), sizes, np.concatenate((low, high[twice])), p.length)
-        n = sizes - p.length + 1
-        speaks = np.arange(len(raw))
-        speaks[twice] = len(raw) + np.arange(len(twice))
-        base = offsets(n[: len(raw)])
-        least = found[np.arange(base[-1]) + np.repeat(offsets(n)[speaks] - base[:-1], n[: len(raw)])]
-        new = np.append(True, least[1:] != least[:-1])
-        new[base[:-1]] = True
-        cut = np.flatnonzero(new)
-        which = np.searchsorted(base, cut, side="right") - 1
-        ends = pa.array(np.searchsorted(cut, base).astype(np.int32))
-        at = pa.ListArray.from_arrays(ends, pa.array((cut - base[which]).astype(np.int32)))
-        owner = pa.ListArray.from_arrays(ends, pa.array(least[cut]))
-        low = pa.array(np.minimum.reduceat(least, base[:-1]))
-        return pa.Table.from_arrays([table.column("key"), table.column("id"), at, owner, low], schema=MARKED)
+        which, at, _, owner = searched(table.column("units").to_pylist(), table.column("owner").to_numpy(), table.column("other").to_numpy(), p)
+        cuts = np.searchsorted(which, np.arange(len(table) + 1))
+        ends = pa.array(cuts.astype(np.int32))
+        columns = [pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(owner))]
+        return pa.Table.from_arrays([table.column("key"), table.column("id"), *columns, pa.array(np.minimum.reduceat(owner, cuts[:-1]))], schema=MARKED)
 
     dealt = distinct.select(F.pmod(F.xxhash64("key", "part"), F.lit(shards)).alias("shard"), "key", "id", "owner", "other", "units")
     return dealt.groupBy("shard").applyInArrow(find, MARKS)
 
 
+def packed_span(start: Column, end: Column) -> Column:
+    """One number for a span: its first window's place, and where it ends, below 2**31 both."""
+    return F.shiftleft(start.cast("long"), 32).bitwiseOR(end.cast("long"))
+
+
+def lost_spans(rows: DataFrame, p: Passages) -> DataFrame:
+    """doc_id, h and span of the windows that contexts, dealt by `shard`, lose to smaller documents. All copies of a context are in one shard."""
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        key, ident, doc, start = (table.column(c).to_numpy() for c in ("key", "id", "doc_id", "start"))
+        units = table.column("units").combine_chunks()
+        order = np.lexsort((doc, ident, key))
+        new = np.append(True, (key[order][1:] != key[order][:-1]) | (ident[order][1:] != ident[order][:-1]))
+        first = np.flatnonzero(new)
+        group = np.empty(len(doc), np.int64)
+        group[order] = np.cumsum(new) - 1
+        speaker = np.maximum.reduceat(np.where(units.is_valid().to_numpy(zero_copy_only=False), np.arange(len(doc)), -1)[order], first)
+        low, high = doc[order[first]], doc[order[np.append(first[1:], len(doc)) - 1]]
+        which, at, end, owner = searched(units.take(pa.array(speaker)).to_pylist(), low, high, p)
+        # each row gets the pieces of its context
+        cuts = np.searchsorted(which, np.arange(len(first) + 1))
+        n = np.diff(cuts)[group]
+        row = np.repeat(np.arange(len(doc)), n)
+        piece = np.arange(len(row)) - np.repeat(offsets(n)[:-1] - cuts[group], n)
+        loses = owner[piece] < doc[row]
+        row, piece = row[loses], piece[loses]
+        spans = (start[row] + at[piece]) << 32 | (start[row] + end[piece])
+        return pa.Table.from_arrays([pa.array(doc[row]), table.column("h").take(pa.array(row)), pa.array(spans)], schema=SPANS)
+
+    return rows.select("shard", "doc_id", "h", "start", "key", "id", "units").groupBy("shard").applyInArrow(find, "doc_id long, h long, span long")
+
+
 def window_rows(distinct: DataFrame, p: Passages) -> DataFrame:
     """The windows of contexts, each as a context: key, id (of the window), owner, other, units, of the context `of` at i."""
     width = np.dtype(p.unit).itemsize
@@ -340,24 +402,43 @@ def marks_of(scratch: Scratch, distinct: DataFrame, p: Passages) -> DataFrame:
     return marks.unionByName(scratch.keep(found, "large-marks"))
 
 
-def lost_symbols(lost: pa.Array, doc: np.ndarray, base: np.ndarray, total: int, length: int) -> np.ndarray:
-    """Mask of the symbols under windows whose least owner comes before their document."""
-    steps = np.zeros(total + 1, np.int64)
-    runs = lost.flatten()
-    if len(runs):
-        of = np.repeat(np.arange(len(doc)), lost.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        start, n = (runs.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "n"))
-        each = runs.field("at").value_lengths().to_numpy(zero_copy_only=False)
-        at = runs.field("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        owner = runs.field("owner").flatten().to_numpy(zero_copy_only=False)
-        run = np.repeat(np.arange(len(runs)), each)
-        end = np.append(at[1:], 0)
-        last = np.cumsum(each) - 1
-        end[last] = n
-        gone = owner < doc[of[run]]
-        a = (base[of[run]] + start[run] + at)[gone]
-        b = (base[of[run]] + start[run] + end)[gone] + length - 1
-        steps += np.bincount(a, minlength=total + 1) - np.bincount(b, minlength=total + 1)
+def losses(scratch: Scratch, cut: DataFrame, p: Passages) -> DataFrame:
+    """doc_id, h and span of all windows that go. Contexts whose key's rows fit a shard go there as they are; of the others, equal ones become one first."""
+    weight = (F.col("n") + F.lit(p.length - 1)).cast("long") * F.lit(np.dtype(p.unit).itemsize)
+    shards = int((cut.agg(F.sum(weight)).first()[0] or 0) // p.part_bytes + 1)
+    rows = cut.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    held = F.sum(weight + F.lit(ROW_BYTES))
+    crowded = scratch.keep(rows.groupBy("shard").agg(held.alias("b")).filter(F.col("b") > p.shard_bytes).select("shard"), "crowded")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        n = min(ROUNDS, shards)
+        return reduce(DataFrame.unionByName, [scratch.keep(lost_spans(rows.filter(F.col("shard") % n == r), p), f"spans-{r}") for r in range(n)])
+
+    if crowded.isEmpty():
+        return dealt(rows)
+    # only where a shard is crowded, one of its keys can be
+    keys = rows.join(crowded, "shard", "left_semi").groupBy("key").agg(held.alias("b"))
+    hot = scratch.keep(keys.filter(F.col("b") > p.shard_bytes).select("key"), "hot")
+    if hot.isEmpty():
+        return dealt(rows)
+    some = cut.join(hot, "key", "left_semi")
+    merged = some.filter("units is not null").groupBy("key", "id").agg(F.min("doc_id").alias("owner"), F.max("top").alias("other"), F.first("units").alias("units"))
+    marks = marks_of(scratch, scratch.keep(merged, "distinct"), p)
+    scratch.drop("distinct", "large", "windows")
+    pieces = some.drop("units", "top").join(marks, ["key", "id"]).filter("low < doc_id")
+    pieces = pieces.select("doc_id", "h", "start", "n", "at", F.posexplode("owner").alias("i", "own")).filter("own < doc_id")
+    end = F.coalesce(F.get("at", F.col("i") + 1), F.col("n"))
+    spans = pieces.select("doc_id", "h", packed_span(F.col("start") + F.get("at", F.col("i")), F.col("start") + end).alias("span"))
+    return dealt(rows.join(hot, "key", "left_anti")).unionByName(spans)
+
+
+def lost_symbols(lost: pa.Array, base: np.ndarray, total: int, length: int) -> np.ndarray:
+    """Mask of the symbols under the spans of windows that each document loses."""
+    spans = lost.flatten().to_numpy(zero_copy_only=False)
+    if not len(spans):
+        return np.zeros(total, bool)
+    first = np.repeat(base[: len(lost)], lost.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    steps = np.bincount(first + (spans >> 32), minlength=total + 1) - np.bincount(first + (spans & 0xFFFFFFFF) + length - 1, minlength=total + 1)
     return np.cumsum(steps[:-1]) > 0
 
 
@@ -378,23 +459,18 @@ def without_repeats(docs: DataFrame, p: Passages, finish: Callable, schema: str,
     scratch.drop("keys", "finer")
     cut = scratch.keep(contexts(texts_of(known), shared, p, buckets), "contexts")
     scratch.drop("shared")
-    speaks = cut.filter("units is not null")
-    distinct = scratch.keep(speaks.groupBy("key", "id").agg(F.min("doc_id").alias("owner"), F.max("top").alias("other"), F.first("units").alias("units")), "distinct")
-    marks = marks_of(scratch, distinct, p)
-    scratch.drop("distinct", "large", "windows")
-    lost = cut.drop("units", "top").join(marks, ["key", "id"]).filter("low < doc_id")
-    lost = scratch.keep(lost.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "at", "owner")).alias("lost")), "lost")
-    scratch.drop("contexts", "marks", "large-marks")
+    lost = losses(scratch, cut, p).groupBy("doc_id", "h").agg(F.collect_list("span").alias("lost"))
+    lost = scratch.keep(lost, "lost")
+    scratch.drop("contexts", "crowded", "hot", "marks", "large-marks", *[f"spans-{r}" for r in range(ROUNDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, lost = batch.column("text"), batch.column("lost")
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             for part in parts(lengths(text)):
                 n = part.stop - part.start
                 raw = text.slice(part.start, n).to_pylist()
                 symbols, counts = p.symbols(raw)
-                mask = lost_symbols(lost.slice(part.start, n), ids[part], offsets(counts), len(symbols), p.length)
+                mask = lost_symbols(lost.slice(part.start, n), offsets(counts), len(symbols), p.length)
                 out = finish(raw, symbols, counts, mask)
                 columns = [batch.column("doc_id").slice(part.start, n), *[pa.array(out[c]) for c in out.columns]]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *out.columns])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from specloom.llm.passages import Passages, without_repeats
-from specloom.llm.symbols import BYTE, offsets
+from specloom.llm.symbols import BYTE, byte_grams, eights, offsets
 
 
 def packed(high: np.ndarray, low: np.ndarray, size: int) -> np.ndarray:
@@ -47,34 +47,49 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     n = len(text)
     if n < 4:
         return np.array(sorted((i for i in range(n) if wanted is None or wanted[i]), key=lambda i: text[i:].tolist()), np.int64)
-    t = np.concatenate((text.astype(np.int64), [0, 0, 0, 0]))
+    t = np.zeros(n + 5, np.int64)
+    t[:n] = text
     size = int(t.max()) + 1
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate((one, two))
-    pair = packed(t[sample], t[sample + 1], size)
-    if size**3 * len(sample) > 2**60:  # names of pairs are shorter
+    # positions of one kind are slices: kind 1, where a triple of zeros may end them, before kind 2
+    ones, twos = len(range(1, n + (n % 3 == 1), 3)), len(range(2, n, 3))
+
+    def symbols(deep: int) -> np.ndarray:
+        return np.concatenate((t[1 + deep :: 3][:ones], t[2 + deep :: 3][:twos]))
+
+    pair = packed(symbols(0), symbols(1), size)
+    if size**3 * len(pair) > 2**60:  # names of pairs are shorter
         order, steps = named(pair)
         pair = np.empty_like(pair)
         pair[order] = steps
-    order, steps = named(packed(pair, t[sample + 2], size))
-    if depth > 3:
-        if steps[-1] < len(sample):
-            names = np.empty(len(sample), np.int64)
-            names[order] = steps
-            order = suffix_array(names, -(-depth // 3))
-    rank = np.zeros(n + 4, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
-    covered = sample[order]
-    covered = covered[covered < n]
+    order, steps = named(packed(pair, symbols(2), size))
+    need = None
+    if wanted is not None:  # ranks are asked for at the wanted positions, and one or two behind
+        near = np.zeros(n + 5, bool)
+        near[:n] = wanted
+        near[1 : n + 1] |= wanted
+        near[2 : n + 2] |= wanted
+        need = np.concatenate((near[1::3][:ones], near[2::3][:twos]))
+    if depth > 3 and steps[-1] < len(order):
+        names = np.empty(len(order), np.int64)
+        names[order] = steps
+        order = suffix_array(names, -(-depth // 3), need)
+    elif need is not None:
+        order = order[need[order]]
+    two = order >= ones
+    covered = 3 * order + np.where(two, 2 - 3 * ones, 1)
+    rank = np.zeros(n + 5, np.int64)
+    rank[covered] = np.arange(1, len(order) + 1)
+    keep = covered < n
     rest = np.arange(0, n, 3)
     if wanted is not None:  # the others have served as ranks
-        covered, rest = covered[wanted[covered]], rest[wanted[rest]]
-    m = len(sample) + 2
+        keep[keep] = wanted[covered[keep]]
+        rest = rest[wanted[::3]]
+    covered, two = covered[keep], two[keep]
+    m = len(order) + 2
     rest = rest[order_of(packed(t[rest], rank[rest + 1], m))]
     # merge: how many covered suffixes of each kind lie before each of the rest
     before = np.zeros(len(rest), np.int64)
-    for kind, deep in ((1, 1), (2, 2)):
-        of = covered[covered % 3 == kind]
+    for deep, of in ((1, covered[~two]), (2, covered[two])):
         joint = np.concatenate((of, rest))
         head = t[joint] if deep == 1 else packed(t[joint], t[joint + 1], size)
         key = packed(head, rank[joint + deep], m)
@@ -96,32 +111,29 @@ def search(units: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int
     In the order of suffixes, equal windows are neighbours: adjacent prefixes are compared, eight bytes at a time.
     """
     n = sizes - length + 1
-    text = np.ones(len(units) + len(sizes), np.int64)
-    text[np.arange(len(units)) + np.repeat(np.arange(len(sizes)), sizes)] = units.astype(np.int64) + 2
-    base = offsets(sizes + 1)[:-1]
-    which = np.repeat(np.arange(len(sizes)), n)
-    starts = np.arange(n.sum()) - np.repeat(offsets(n)[:-1], n)
-    number = np.full(len(text), -1, np.int64)
-    number[starts + base[which]] = np.arange(len(starts))
-    order = number[suffix_array(text, length + 2, number >= 0)]
-    begins = (starts + offsets(sizes)[:-1][which])[order]  # of windows in `units`
-    eight = np.ndarray((max(0, len(units) - 7),), "<u8", np.ascontiguousarray(units), 0, (1,))  # eight bytes from each place on
-    live = np.arange(len(begins) - 1)
+    base, first = offsets(sizes)[:-1], offsets(n)
+    begins = np.arange(first[-1]) + np.repeat(base - first[:-1], n)  # of windows in `units`
+    wanted = np.zeros(len(units), bool)
+    wanted[begins] = True
+    # a window ends with its text at the latest, so what comes after a text decides nothing
+    at = suffix_array(units.astype(np.int64) + 1, length + 2, wanted)
+    eight = eights(units)
+    new = np.zeros(len(at), bool)
+    new[:1] = True
     for i in [*range(0, length - 7, 8), length - 8]:
-        live = live[eight[begins[live] + i] == eight[begins[live + 1] + i]]
-    new = np.ones(len(order), bool)
-    new[live + 1] = False
-    least = np.minimum.reduceat(owners[which][order], np.flatnonzero(new))
-    out = np.empty(len(starts), np.int64)
-    out[order] = least[np.cumsum(new) - 1]
-    return out
+        there = eight[at + i]
+        new[1:] |= there[1:] != there[:-1]
+    least = np.minimum.reduceat(np.repeat(owners, sizes)[at], np.flatnonzero(new))
+    found = np.empty(len(units), np.int64)
+    found[at] = least[np.cumsum(new) - 1]
+    return found[begins]
 
 
 def bytes_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return BYTE[np.frombuffer(b"".join(raw), np.uint8)], np.fromiter(map(len, raw), np.int64, len(raw))
+    return np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
 
 
-BYTES = Passages(length=50, gram=20, symbols=bytes_of, units=lambda symbols, raw: np.frombuffer(b"".join(raw), np.uint8), unit=np.uint8, search=search)
+BYTES = Passages(length=50, gram=20, symbols=bytes_of, grams=byte_grams, numbers=BYTE.take, unit=np.uint8, search=search)
 
 
 def kept_bytes(raw: list[bytes], symbols: np.ndarray, counts: np.ndarray, mask: np.ndarray) -> pd.DataFrame:

@@ -113,14 +113,34 @@ def window_hash(symbols: np.ndarray, k: int) -> np.ndarray:
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
-    """Least of the w values from each position on; the last w-1 positions mean nothing."""
-    cur, length = values, 1
+    """Least of the w values from each position on; the last w-1 positions have none."""
+    length = 1
     while length < w:
         step = min(length, w - length)
-        nxt = cur.copy()
-        np.minimum(cur[: len(cur) - step], cur[step:], out=nxt[: len(cur) - step])
-        cur, length = nxt, length + step
-    return cur
+        values = np.minimum(values[: max(0, len(values) - step)], values[step:])
+        length += step
+    return values
+
+
+def byte_grams(units: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes from each place on, 8 at least, from eight bytes at a time; the last k-1 places have none."""
+    n = len(units) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    eight = eights(units)
+    out = eight[:n] * BYTE[0]
+    for j, i in enumerate([*range(8, k - 7, 8), *[k - 8] * (k % 8 > 0)], 1):
+        out += eight[i : i + n] * BYTE[j]
+    out ^= out >> U(32)
+    out *= MUL
+    out ^= out >> U(32)
+    out *= MUL
+    return out
+
+
+def eights(units: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; the last seven places have none."""
+    return np.ascontiguousarray(np.ndarray((max(0, len(units) - 7),), "<u8", np.ascontiguousarray(units), 0, (1,)))
 
 
 def starts_of_windows(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -293,6 +293,30 @@ def test_keys_go_by_wide_slices_first(docs, dedup, how, monkeypatch):
     assert a == b
 
 
+@pytest.mark.parametrize("dedup, how, limit", [(fmindex.dedup_words, fmindex.WORDS, 600), (suffixes.dedup_bytes, suffixes.BYTES, 300)])
+def test_contexts_go_to_their_shard_at_once(docs, dedup, how, limit, monkeypatch):
+    """Equal ones become one before that only where a key's don't fit a shard; with a limit between, some keys' do and others' don't."""
+    kept, plain = [], passages.Scratch.keep
+    monkeypatch.setattr(passages.Scratch, "keep", lambda scratch, df, name, few=False: kept.append((name, out := plain(scratch, df, name, few))) or out)
+    monkeypatch.setattr(passages.Scratch, "drop", lambda *a: None)
+    expected = sorted(map(tuple, dedup(docs).collect()), key=str)
+    assert not {"distinct", "marks"} & {name for name, _ in kept}
+    kept.clear()
+    assert sorted(map(tuple, dedup(docs, dataclasses.replace(how, shard_bytes=limit)).collect()), key=str) == expected
+    rows = {name: df.count() for name, df in kept}
+    assert rows["hot"] and rows["marks"] and rows["spans-0"]
+
+
+def test_suffix_order_ranks_only_what_windows_ask_for(monkeypatch):
+    """No recursion orders more suffixes than there are windows."""
+    asked, plain = [], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda text, depth, wanted=None: asked.append(len(text) if wanted is None else int(wanted.sum())) or plain(text, depth, wanted))
+    units = np.tile(np.random.default_rng(5).integers(97, 123, 66 * 200), 2).astype(np.uint8)
+    owners = np.arange(400) % 200
+    assert (suffixes.search(units, np.full(400, 66), owners, 50) == np.repeat(owners, 17)).all()
+    assert len(asked) > 2 and max(asked) == 400 * 17
+
+
 def test_huffman_codes_are_shortest_and_take_few_rounds():
     """As short in all as by merging one pair after another, prefix-free, and in less than half of the time of that."""
     rng = np.random.default_rng(4)
