@@ -13,8 +13,10 @@ from pyspark.sql.window import Window
 
 #: Spark's setting to delete the shuffle files of an execution at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Files a core that a table of few bytes is written in at most.
+#: Files a core that a table of rows with texts or sets, and a result, is written in at most; tables of some numbers a row take one.
 FILES_A_CORE = 4
+#: Hadoop's setting to end a write with an empty file `_SUCCESS`, which nobody looks for in a table that is read at once.
+MARK = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,24 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive the loss of any executor.
 
-    `keep` writes and reads back; the write's own shuffle files go as soon as it is done. With `few`, for tables of some numbers
-    a row, the last stage has FILES_A_CORE tasks a core at most, so that a loop of many small tables does not write a file for each
-    shuffle partition: on a local folder each new file costs the executor a process, a copy of its own while it starts. `drop`
-    deletes a table that no later step reads.
+    `keep` writes and reads back; the write's own shuffle files go as soon as it is done. With `few`, the last stage has so many tasks
+    a core at most (see `in_few_files`), and with 0 as many as it has partitions. `drop` deletes a table that no later step reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/specloom/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, few: int = 0) -> DataFrame:
         path = f"{self.base}/{name}"
         if few:
-            df = df.coalesce(FILES_A_CORE * self.spark.sparkContext.defaultParallelism)
+            df = in_few_files(df, few)
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").option(MARK, "false").parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(CLEANUP)
@@ -63,6 +63,16 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_few_files(df: DataFrame, a_core: int = FILES_A_CORE) -> DataFrame:
+    """df in `a_core` partitions a core at most, without a shuffle, so that a write does not make a file for each shuffle partition.
+
+    On a local folder Hadoop starts processes for each new file, to set its mode; while one starts, it shares the executor's memory and
+    counts as a second heap. The partitions that a task takes are done one after the other; a hash join by shuffle in that stage would
+    hold the tables of all of them.
+    """
+    return df.coalesce(a_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def ranged(scratch: Scratch, df: DataFrame, name: str, *order) -> DataFrame:
     """df cut into blocks along `order` and kept, with the number of its block in `_pid`.
 

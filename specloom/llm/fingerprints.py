@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from specloom.functions.scratch import FILES_A_CORE, in_few_files
 from specloom.llm.common import Scratch
 
 SAMPLES = 64
@@ -119,23 +120,24 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         *key, F.col("n_nul").cast("int").alias("n_nul"), "n_ord", "n_h", F.length("text").cast("long").alias("n_chars"), *[F.conv(F.substring("_d", 16 * i + 1, 16), 16, -10).cast("long").alias(f"_d{i}") for i in range(4)],
         F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("_v"),
     ).select(*key, *facts, F.col("_v.which").alias("which"), F.col("_v.body").alias("body"))
-    sigs = scratch.keep(signatures(both, [*key, "which"], "body", samples, tuple(facts)), "sigs")
+    sigs = scratch.keep(signatures(both, [*key, "which"], "body", samples, tuple(facts)), "sigs", few=FILES_A_CORE)
     plain = sigs.filter("which = 0").select(*key, *facts, "sig").withColumn("n_nul", F.col("n_nul") == 1)
     out = plain.join(sigs.filter("which = 1").select(*key, F.col("sig").alias("sig_e")), key)
     out = out.join(plain.select(*[F.col(c).alias(f"n_{c}") for c in key], F.col("sig").alias("sig_n")), [f"n_{c}" for c in key])
     copies = base.groupBy(*key).count()
     out = out.join(copies, key).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
     digest = F.lower(F.concat(*[F.lpad(F.hex(f"_d{i}"), 16, "0") for i in range(4)]))
-    return out.select(
+    out = out.select(
         F.when(~F.col("nul"), F.col("ord")).alias("doc_id"), "n_chars", digest.alias("edited_sha256"), hexed("sig").alias("fingerprint"), hexed("sig_e").alias("edited_fingerprint"),
         likeness("sig", "sig_e").alias("near_edited"), likeness("sig", "sig_n").alias("near_next"),
     )
+    return in_few_files(out)
 
 
 def next_block(scratch: Scratch, blocks: DataFrame) -> DataFrame:
     """(nul, block, n_nul, n_block): the block that comes after each, the first after the last."""
     order = [F.asc("nul"), F.desc("block")]
-    cut = scratch.keep(blocks.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "blocks")
+    cut = scratch.keep(blocks.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "blocks", few=1)
     w = Window.partitionBy("_pid").orderBy(*order)
     inner = cut.withColumns({"n_nul": F.lead("nul").over(w), "n_block": F.lead("block").over(w)})
     over = Window.orderBy("_pid")

@@ -481,6 +481,30 @@ def test_fingerprints_of_awkward_rows(docs, rows):
     assert Counter((r["doc_id"], r["n_chars"]) for r in out) == Counter((r[0], len(r[1] or "")) for r in rows)
 
 
+def test_fingerprints_are_written_in_few_files(spark, tmp_path):
+    """A file each shuffle partition made executors start processes for each, which counted as a second heap."""
+    docs = spark.createDataFrame([(i, f"some words and number {i % 700}") for i in range(2000)], "doc_id long, text string")
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in held}
+    shared = Path(spark.conf.get("spark.checkpoint.dir"), "specloom")
+    old = set(shared.glob("cws*"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        fingerprints.fingerprints(docs).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tables = [tmp_path / "out", *(t for d in set(shared.glob("cws*")) - old for t in d.iterdir())]
+    written = {t.name: len([*t.glob("part-*")]) for t in tables}
+    assert set(written) == {"out", "sigs", "blocks"}
+    assert 0 < max(written.values()) <= 4 * spark.sparkContext.defaultParallelism < 64
+    assert not any((t / "_SUCCESS").exists() for t in tables[1:])
+    got = {r["doc_id"]: r["edited_sha256"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    text = lambda i: f"some words and number {i % 700}"
+    assert got == {i: sha(text(i)[: len(text(i)) - len(text(i)) // 2] + text((i - 1) % 2000)[: len(text(i)) // 2]) for i in range(2000)}
+
+
 def test_quality(docs, rows):
     expected = Counter()
     for r in rows:
