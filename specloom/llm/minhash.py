@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from specloom.functions.scratch import FILES_A_CORE, in_few_files
 from specloom.llm.common import Scratch, whole_numbers, without_null
 from specloom.llm.symbols import U, batches, mix, offsets, starts_of_windows, window_hash, words_of
 from specloom.operators.graph import components
@@ -206,21 +207,21 @@ def judged(docs: DataFrame, how: MinMax = MinMax(), also: tuple[str, ...] = ())
     scratch = Scratch(docs.sparkSession, "minhash")
     sign = scratch.keep(signed(docs, how, also), "signed")
     nodes = sign.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = scratch.keep(nodes, "nodes")
+    nodes = scratch.keep(nodes, "nodes", few=FILES_A_CORE)
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     # a node has a bucket once; one row a shared bucket, so hashing those spares the sort of all others
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_nodes")).filter("_nodes > 1").select("bucket")
     open_ = scratch.keep(buckets.join(shared.hint("shuffle_hash"), "bucket"), "open")
-    roots = scratch.keep(open_.select("node").distinct().withColumn("root", F.col("node")), "roots-0", few=True)
+    roots = scratch.keep(open_.select("node").distinct().withColumn("root", F.col("node")), "roots-0", few=1)
     wanted = nodes.join(roots, "node", "left_semi").select(F.col("rep").alias("_rep"))
     # a set of which no document has an id is found by its text alone; such sets are few
     texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    sets = scratch.keep(full_sets(texts, how).join(roots, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = scratch.keep(full_sets(texts, how).join(roots, "node", "left_semi").dropDuplicates(["node"]), "sets", few=FILES_A_CORE)
     for turn in range(PIVOT_ROUNDS + 1):
         # nodes that are left, with their components of now
         now = open_.join(roots, "node")
         split = now.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("bucket")
-        now = scratch.keep(now.join(split, "bucket"), f"now-{turn}", few=True)
+        now = scratch.keep(now.join(split, "bucket"), f"now-{turn}", few=1)
         if now.isEmpty():
             break
         if turn < PIVOT_ROUNDS:
@@ -230,13 +231,13 @@ def judged(docs: DataFrame, how: MinMax = MinMax(), also: tuple[str, ...] = ())
             tried = now.join(heads, "bucket").filter((F.col("root") != F.col("_root")) & (100 * F.least("n", "_n") >= how.percent * F.greatest("n", "_n"))).select("pivot", "node").distinct()
         else:
             tried = rare_prefix_pairs(now.select("node", "n", "root").distinct(), sets, how.percent)
-        links = scratch.keep(confirmed(tried, sets, how.percent), f"links-{turn}", few=True)
+        links = scratch.keep(confirmed(tried, sets, how.percent), f"links-{turn}", few=FILES_A_CORE)
         named = roots.select(F.col("node").alias("pivot"), F.col("root").alias("_a"))
         edges = links.join(named, "pivot").join(roots.withColumnRenamed("root", "_b"), "node").select("_a", "_b")
         moved = components(edges, "_a", "_b", "minhash-graph").select(F.col("node").alias("root"), F.col("root").alias("_new"))
-        roots = scratch.keep(roots.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root")), f"roots-{turn + 1}", few=True)
+        roots = scratch.keep(roots.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root")), f"roots-{turn + 1}", few=1)
         if turn < PIVOT_ROUNDS:  # a pivot has met its whole bucket
-            open_ = scratch.keep(now.select("bucket", "node", "n").join(heads.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), f"open-{turn}", few=True)
+            open_ = scratch.keep(now.select("bucket", "node", "n").join(heads.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), f"open-{turn}", few=1)
     named = nodes.select("node", "rep").join(roots, "node")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
     linked = roots.join(lowest, "root").select("node", "component")
@@ -260,4 +261,4 @@ def deduplicated(docs: DataFrame, how: MinMax = MinMax()) -> DataFrame:  # noqa:
     stay = first.unionByName(rows.filter("root is null").select("_n", "_d", "_h", F.lit(False).alias("_one")).distinct())
     boxed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n"), text_hash().alias("_h"))
     place = F.row_number().over(Window.partitionBy("_n", "_d", "_h").orderBy(F.xxhash64("_row")))
-    return boxed.join(stay, ["_n", "_d", "_h"]).withColumn("_at", place).filter("not _one or _at = 1").select("_row.*")
+    return in_few_files(boxed.join(stay, ["_n", "_d", "_h"]).withColumn("_at", place).filter("not _one or _at = 1").select("_row.*"))

@@ -88,9 +88,9 @@ def taken_of(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int
         "doc_id", F.col("source").isNull().alias("_null"), F.coalesce(F.col("source"), F.lit("")).alias("_source"), n_words("text").alias("size"), seeded.alias("_at"), *row_key()
     )
     thin = scratch.keep(thin.withColumn("_shard", (F.conv(F.substring("_at", 1, 4), 16, 10).cast("int") % shards)), "sizes")
-    cells = scratch.keep(thin.groupBy("_null", "_source", "_shard").agg(F.sum("size").alias("_words")), "cells")
+    cells = scratch.keep(thin.groupBy("_null", "_source", "_shard").agg(F.sum("size").alias("_words")), "cells", few=1)
     total = cells.agg(F.sum("_words")).first()[0] or 0
-    sources = scratch.keep(targets(cells.groupBy("_null", "_source").agg(F.sum("_words").alias("source_size")), total, weights), "sources")
+    sources = scratch.keep(targets(cells.groupBy("_null", "_source").agg(F.sum("_words").alias("source_size")), total, weights), "sources", few=1)
     least = sources.filter("target > 0").agg(F.min("target")).first()[0] or 0
     block = max(1, min(block_words, total // 65536, int(least // FINE)))
     quota = sainte_lague(sources, [], "target", F.lit((2 * total + block) // (2 * block)), "_blocks", "_rank")
@@ -98,7 +98,7 @@ def taken_of(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int
     # no more seats than words of room: so no shard gets more of them than it has room
     own = Window.partitionBy("_null", "_source")
     quota = quota.withColumn("_part", F.least(F.col("_quota") * block, F.col("_words") * REPEATS)).withColumn("_room", F.col("_words") * REPEATS - F.col("_part"))
-    quota = scratch.keep(quota.withColumn("_cut", F.least(F.sum(F.col("_quota") * block - F.col("_part")).over(own), F.sum("_room").over(own))), "quotas")
+    quota = scratch.keep(quota.withColumn("_cut", F.least(F.sum(F.col("_quota") * block - F.col("_part")).over(own), F.sum("_room").over(own))), "quotas", few=1)
     quota = sainte_lague(quota, ["_null", "_source"], "_room", F.col("_cut"), "_more", "_shard")
     quota = quota.select("_null", "_source", "_shard", "_words", "source_size", "target", (F.col("_part") + F.col("_more")).alias("_take"))
 

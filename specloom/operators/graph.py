@@ -17,8 +17,8 @@ def components(edges: DataFrame, a: str, b: str, name: str = "graph") -> DataFra
     """
     scratch = Scratch(edges.sparkSession, name)
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v")
-    both = scratch.keep(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", few=True)
-    labels = scratch.keep(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("root")), "0", few=True)
+    both = scratch.keep(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", few=1)
+    labels = scratch.keep(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("root")), "0", few=1)
     turn = 0
     while True:
         turn += 1
@@ -26,7 +26,7 @@ def components(edges: DataFrame, a: str, b: str, name: str = "graph") -> DataFra
         lower = labels.join(seen, "u").select("u", "root", F.least("root", "near").alias("low"))
         jump = labels.select(F.col("u").alias("low"), F.col("root").alias("far"))
         moved = lower.join(jump, "low", "left").select("u", F.coalesce(F.least("low", "far"), "low").alias("root"), (F.coalesce(F.least("low", "far"), "low") != F.col("root")).alias("moved"))
-        moved = scratch.keep(moved, str(turn), few=True)
+        moved = scratch.keep(moved, str(turn), few=1)
         if not moved.filter("moved").limit(1).count():
             return moved.select(F.col("u").alias("node"), "root")
         labels = moved.drop("moved")

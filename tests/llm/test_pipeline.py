@@ -1,5 +1,7 @@
 """The pipeline's stages, each on what the one before kept."""
 
+from pathlib import Path
+
 import corpus_pipeline
 from specloom.llm import minhash, quality
 
@@ -26,3 +28,29 @@ def test_stages(spark, docs, tmp_path):
 def test_run_reads_documents(spark, plain, tmp_path):
     plain.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_near_dedup_and_mix_write_few_files(spark, tmp_path):
+    """A file each shuffle partition made executors start processes for each, which counted as a second heap."""
+    text = lambda i: " ".join(f"w{(i // 2) * 100 + k}" for k in range(59)) + (" same" if i % 2 else " other")
+    docs = spark.createDataFrame([(i, text(i), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in held}
+    shared = Path(spark.conf.get("spark.checkpoint.dir"), "specloom")
+    old = set(shared.iterdir()) if shared.exists() else set()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        corpus_pipeline.near_duplicates(spark, docs, "").write.parquet(f"{tmp_path}/out")
+        corpus_pipeline.mix_sources(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    cores = spark.sparkContext.defaultParallelism
+    tables = [tmp_path / "out", *(t for d in set(shared.iterdir()) - old for t in d.iterdir())]
+    written = {f"{t.parent.name.split('-')[0]}/{t.name}": len([*t.glob("part-*")]) for t in tables}
+    most = {k.split("/")[1]: n for k, n in written.items() if k.split("/")[1] not in ("signed", "open", "sizes")}
+    assert {"out", "nodes", "sets", "links-0", "roots-1", "edges", "cells", "sources", "quotas"} <= set(most)
+    assert max(most.values()) <= 4 * cores < 64
+    assert max(n for k, n in most.items() if k not in ("out", "nodes", "sets") and not k.startswith("links")) <= cores
+    assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(0, 300, 2))
