@@ -63,6 +63,22 @@ def baseline(block: np.ndarray, kind: str, hws: int) -> np.ndarray:
     return np.maximum(0, block - under)
 
 
+def norm_factors(axes: np.ndarray | None, block: np.ndarray, kind: str) -> np.ndarray:
+    """Factor of each spectrum of a block by tic (which needs the axes), sum, mean, max, rms or none."""
+    n = block.shape[1]
+    if kind == "tic":
+        return ((block[:, 1:] + block[:, :-1]) * np.diff(axes, axis=1) / 2).sum(axis=1) if n else np.ones(len(block))
+    if kind in ("mean", "max", "rms") and not n:
+        return np.full(len(block), np.nan)
+    by = {"sum": lambda b: b.sum(axis=1), "mean": lambda b: b.mean(axis=1), "max": lambda b: b.max(axis=1), "rms": lambda b: np.sqrt((b * b).mean(axis=1))}
+    return by[kind](block) if kind in by else np.ones(len(block))
+
+
+def transformed(block: np.ndarray, kind: str) -> np.ndarray:
+    """log2 and log10 of a + 1, sqrt of a, or none."""
+    return {"log2": lambda a: np.log2(a + 1), "log10": lambda a: np.log10(a + 1), "sqrt": np.sqrt, "none": lambda a: a}[kind](block)
+
+
 def derivative(block: np.ndarray, order: int = 1, hws: int = 5, degree: int = 4) -> np.ndarray:
     """Savitzky-Golay derivative at unit steps; spectra of fewer than 2 hws + 1 samples stay as they are."""
     return convolve(block, polynomial_kernel(hws, degree, order)) if block.shape[1] > 2 * hws else block

@@ -83,13 +83,31 @@ def scatter_correct(mzs: Column, ints: Column, degree: int = 2) -> Column:
 def process(spectra: DataFrame, norm: str = "none", smoothing: tuple[str, int] = ("none", 0), base: tuple[str, int] = ("none", 0), transform: str = "none", external: Column | None = None) -> DataFrame:
     """Divide by the factor, smooth, take off the baseline, transform, always in this order.
 
-    Both kernels run in one Arrow pass; without any, nothing leaves the JVM. The factor is not guarded (Q17).
+    With a kernel, all of it is one Arrow pass; without any, nothing leaves the JVM. The factor is not guarded (Q17). Arrays and factor are
+    computed once a spectrum: as plain expressions Spark puts them into the lambdas, where the time grows with the cube of the samples.
     """
-    factor = arrays.norm_factor(F.col("mzs"), F.col("ints"), norm, F.col("norm_infile"), external)
-    out = spectra if norm == "none" else spectra.withColumn("_f", factor).withColumn("ints", F.transform("ints", lambda a: a / F.col("_f"))).drop("_f")
-    if smoothing[0] != "none" or base[0] != "none":
-        out = out.withColumn("ints", on_arrays(lambda b: kernels.baseline(kernels.smooth(b, *smoothing), *base))(F.col("ints")))
-    return out.withColumn("ints", arrays.transform_intensity(F.col("ints"), transform))
+    if smoothing[0] == "none" and base[0] == "none":
+        factor = lambda s: arrays.norm_factor(s["mzs"], s["ints"], norm, F.col("norm_infile"), external)
+        divided = lambda s: arrays.once(factor(s), lambda f: F.transform(s["ints"], lambda a: a / f))
+        out = spectra if norm == "none" else spectra.withColumn("ints", arrays.once(F.struct("mzs", "ints"), divided))
+        return out.withColumn("ints", arrays.transform_intensity(F.col("ints"), transform))
+    given = norm in ("internal", "external")  # a factor beside the spectrum
+    side = {"internal": F.col("norm_infile"), "external": external}.get(norm, F.lit(1.0))
+
+    @F.pandas_udf("array<double>")
+    def run(axes: pd.Series, values: pd.Series, sides: pd.Series) -> pd.Series:
+        out = np.empty(len(values), object)
+        sides = sides.fillna(1.0).to_numpy(float)
+        for at, block in by_length(values):
+            factors = sides[at] if given else kernels.norm_factors(np.stack(axes.iloc[at].to_list()) if norm == "tic" else None, block, norm)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                block = block / factors[:, None]
+            done = kernels.baseline(kernels.smooth(block, *smoothing), *base)
+            for i, row in zip(at, kernels.transformed(done, transform), strict=True):
+                out[i] = row
+        return pd.Series(out)
+
+    return spectra.withColumn("ints", run("mzs", "ints", side.cast("double")))
 
 
 def mir_process(spectra: DataFrame, to_transmittance: bool = True, l2: bool = True, order: int = 0) -> DataFrame:
