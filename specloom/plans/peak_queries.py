@@ -305,9 +305,9 @@ def nrrd_headers(spark, sf_dir):
     path = Scratch(spark, "nrrd").base
     k, x = F.col("p_partkey"), F.col("p_retailprice")
     keys = F.when(k % 4 != 0, F.concat(F.lit("feature_mz_low:="), x - 1, F.lit("\nfeature_mz_high:="), x + 1)).otherwise("other:=1")
-    # one file a part: the table is cut by its key, each header is a file
+    # one file a part: each header is a file
     text = F.concat(F.lit("NRRD0005\npart:="), k.cast("string"), F.lit("\n"), keys, F.lit("\n\nraw"))
-    read(spark, sf_dir, "part").select(k.alias("key"), text.alias("value")).write.partitionBy("key").text(path)
+    files.write_headers(read(spark, sf_dir, "part").select(text.alias("value")), path)
     out = files.nrrd_headers(spark, f"{path}/*")
     return out.select(F.try_element_at("keys", F.lit("part")).cast("long").alias("part"), r("mz").alias("mz"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from specloom.functions import kernels
 from specloom.operators import signal
+from specloom.sources import files
 
 
 @pytest.fixture
@@ -31,3 +32,25 @@ def test_long_spectra_are_processed_in_linear_time(spark, in_time, norm, smoothi
         y = np.abs(np.sin(np.arange(m) * i + np.arange(m))) + 1
         factor = {"tic": np.trapezoid(y, dx=0.5), "sum": y.sum(), "mean": y.mean(), "max": y.max(), "rms": np.sqrt((y * y).mean()), "internal": i + 2.0, "external": i * 2.0 if i > 2 else 1.0}[norm]
         assert np.allclose(got[i], np.sqrt(kernels.smooth(y[None] / factor, *smoothing)[0]), rtol=1e-12)
+
+
+def test_many_headers_take_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FOLDER_FILES", 50)
+    n = 1000
+    text = F.concat(F.lit("NRRD0005\n long:="), F.repeat(F.lit("x"), (F.col("id") % 3 * 9000).cast("int")), F.lit(" \r\nfeature_id:="), F.col("id"), F.lit("\r\n\r\nfeature_id:=1\n\n"), F.repeat(F.lit("\u00ff"), 99))
+    assert files.write_headers(spark.range(n).select(text.alias("value")), f"{tmp_path}/out") >= n // 50
+    folders = sorted((tmp_path / "out").iterdir())
+    (tmp_path / "out/_left").mkdir()
+    (tmp_path / "out/_left/0.nrrd").write_text("feature_id:=9\n")
+    (folders[0] / ".0.nrrd").write_text("feature_id:=9\n")
+    for path in (f"{tmp_path}/out", f"{tmp_path}/out/*", f"file://{tmp_path}/o?t/*/*.nrrd"):
+        rows = files.nrrd_headers(spark, path)
+        assert rows.rdd.getNumPartitions() <= 16
+        got = rows.select("file", "id", F.length(F.col("keys")["long"]).alias("n")).collect()
+        assert sorted((r["id"], r["n"]) for r in got) == [(i, i % 3 * 9000) for i in range(n)]
+        assert len({r["file"] for r in got}) == n and all(r["file"].startswith(f"file://{tmp_path}/out/") for r in got)
+    one = next(folders[0].glob("*.nrrd"))
+    assert files.nrrd_headers(spark, str(one)).count() == 1
+    assert files.nrrd_headers(spark, f"{folders[0]}/{{{one.name},none}}").select("id").count() == 1  # a pattern of Hadoop's
+    with pytest.raises(FileNotFoundError):
+        files.nrrd_headers(spark, f"{tmp_path}/absent")
