@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specloom.functions import kernels
-from specloom.operators import signal
+from specloom.operators import images, signal
 from specloom.sources import files
 
 
@@ -54,3 +54,27 @@ def test_many_headers_take_few_tasks(spark, tmp_path, monkeypatch):
     assert files.nrrd_headers(spark, f"{folders[0]}/{{{one.name},none}}").select("id").count() == 1  # a pattern of Hadoop's
     with pytest.raises(FileNotFoundError):
         files.nrrd_headers(spark, f"{tmp_path}/absent")
+
+
+@pytest.mark.parametrize("pooling", ["mean", "median"])
+def test_feature_matrix_hands_on_bounded_batches(spark, monkeypatch, pooling):
+    n, m = 120, 9000
+    ids = F.col("id")
+    df = spark.range(n).select(F.lit("d").alias("dataset_id"), ids.alias("spectrum_id"), ids.cast("int").alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"), F.expr("transform(sequence(0, 15), i -> cast(i + id div 100 as double))").alias("mzs"), F.expr("transform(sequence(0, 15), i -> sin(i * id))").alias("ints"))
+    wanted = spark.range(m).select(ids.alias("interval_id"), (ids % 19 * 0.5 - 2).alias("x_mean"))
+    kept, original = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *rest: kept.append((self, f)) or original(self, f, *rest))
+    out = images.feature_matrix(df, wanted, 1.2, pooling=pooling)
+    spectra, run = kept[0]
+    assert max(b.nbytes for b in run(iter(spectra.toArrow().combine_chunks().to_batches()))) < 2e6
+    pool = {"mean": np.mean, "median": np.median}[pooling]
+    got = {(r["spectrum_id"], r["centre"]): (r["n"], r["low"], r["high"]) for r in out.groupBy("spectrum_id", (F.col("interval_id") % 19 * 0.5 - 2).alias("centre")).agg(F.count_distinct("interval_id").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()}
+    want = {}
+    for i in range(n):
+        x, y = np.arange(16.0) + i // 100, np.sin(np.arange(16) * i)
+        for k in range(19):
+            inside = (x >= k * 0.5 - 2 - 1.2) & (x <= k * 0.5 - 2 + 1.2)
+            if inside.any():
+                want[i, k * 0.5 - 2] = (len(range(k, m, 19)), float(pool(y[inside])))
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == got[k][2] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
