@@ -184,30 +184,59 @@ def chunk_starts(peaks: DataFrame, width: float, scratch: Scratch) -> DataFrame:
     return marked.withColumn("_run", run).join(F.broadcast(ends), "_pid").select("mz", F.coalesce("_run", "_before").alias("chunk"))
 
 
-#: Peaks of a tile at least, and how many times as many as the sources it has at least.
-TILE, HALO = 1 << 16, 8
+#: Peaks of a tile at least; how many times as many as the sources it has at least where only they limit what it sees of its neighbours; the
+#: largest relative width of a bin for which the width limits that too; other tiles that a tile reaches on the average at most.
+TILE, HALO, NARROW, REACH = 1 << 16, 8, 0.1, 4
 
 
 def bin_row(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> tuple:
     return (x.mean(), x.sum(), x.min(), x.max(), len(x), y.sum(), y.min(), max(0.0, y.max()), s.tolist())
 
 
+def neighbours(low: np.ndarray, high: np.ndarray, tile: int, edge: int, width: float | None) -> tuple[np.ndarray, ...]:
+    """For each tile of `tile` peaks from mz low to mz high: the first and the last tile that see peaks of it, and the least and the greatest mz that it sees.
+
+    It sees `edge` peaks on, and, with a relative width, within the mz that bins which begin in it, and the ranges that tell their ends, can
+    reach: a bin takes one width and such a range another before it is too wide, where the gap between may be as wide as both; the rest is room.
+    """
+    t = np.arange(len(low))
+    if width is None:
+        least, most = np.full(len(low), -np.inf), np.full(len(low), np.inf)
+    else:
+        wide = width * high / (1 - width) ** 3
+        least, most = np.minimum.accumulate((low - 4 * wide)[::-1])[::-1], np.maximum.accumulate(high + 5 * wide)
+    first = np.maximum(np.searchsorted(most, low, "left"), -(-((t - 1) * tile + 1 - edge) // tile))
+    last = np.minimum(np.searchsorted(least, high, "right") - 1, ((t + 1) * tile - 1 + edge) // tile)
+    return np.clip(first, 0, t), np.clip(last, t, len(low) - 1), least, most
+
+
 def strict_bins(good: DataFrame, tol: float, n: int, many: int, scratch: Scratch, tile: int = TILE) -> DataFrame:
     """Strict bins of `n` peaks of `many` sources by tiles of their order.
 
     A range with a source twice, as any of more peaks than there are sources, can't stand, nor can its like that holds it; nor one that is
     wider than 2 tol of its last mz. So a gap is cut for certain if the range that it is the widest gap of is such a range, which shows
-    within `many` peaks of it, and what lies between two of these cuts has `many` peaks at most. A tile has twice that of its neighbours'
-    peaks and splits what begins in it, so its size doesn't depend on how dense the axis is.
+    within `many` peaks of it and within some widths of it, and what lies between two of these cuts has `many` peaks and one width at most. A
+    tile has those of its neighbours' peaks that are near in both ways and splits what begins in it, so neither a dense axis nor many
+    sources alone make it large; where a bin may hold more peaks than a tile, tiles grow with that.
     """
-    edge = 2 * (many + 1)
-    tile = max(tile, HALO // 2 * edge, n // 100_000)
+    edge, width = 2 * (many + 1), 2 * tol * (1 + 1e-6)
+    narrow = width <= NARROW
+    tile = max(tile, n // 100_000, 0 if narrow else HALO // 2 * edge)
     blocks = ranged(scratch, good, "order", "mz", "source", "y")
     before = block_offsets(blocks, ("_rows", F.lit(1)))
     at = F.row_number().over(Window.partitionBy("_pid").orderBy("mz", "source", "y"))
     placed = blocks.withColumn("_at", at).join(before, "_pid").select("mz", "y", "source", (F.col("_rows") + F.col("_at") - 1).alias("i"))
-    reaches = [F.floor((F.greatest(F.col("i") + d, F.lit(0))) / tile).cast("long") for d in (-edge, 0, edge)]
-    tiles = placed.withColumn("own", reaches[1]).withColumn("tile", F.explode(F.array_distinct(F.array(*reaches))))
+    own = lambda tile: F.floor(F.col("i") / tile).cast("long")
+    ends = placed.groupBy(own(tile).alias("own")).agg(F.min("mz"), F.max("mz")).orderBy("own").collect()  # a row a tile
+    low, high = (np.array([e[k] for e in ends]) for k in (1, 2))
+    while (near := neighbours(low, high, tile, edge, width if narrow else None))[1].sum() - near[0].sum() > REACH * len(low):
+        low, high, tile = low[::2], np.append(high[1::2], high[-1:] if len(high) % 2 else []), 2 * tile
+    first, last, least, most = (v.tolist() for v in near)
+    reaches = [(t, [(k, max(0, k * tile - edge), (k + 1) * tile - 1 + edge, least[k], most[k]) for k in range(first[t], last[t] + 1)]) for t in range(len(low))]
+    reaches = good.sparkSession.createDataFrame(reaches, "own long, reach array<struct<tile: long, first: long, last: long, low: double, high: double>>")
+    sees = lambda r: F.col("i").between(r["first"], r["last"]) & F.col("mz").between(r["low"], r["high"])
+    tiles = placed.withColumn("own", own(tile)).join(F.broadcast(reaches), "own")  # one row a tile
+    tiles = tiles.select("mz", "y", "source", "i", "own", F.explode(F.transform(F.filter("reach", sees), lambda r: r["tile"])).alias("tile"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i")
@@ -242,7 +271,7 @@ def group_bins(peaks: DataFrame, tol: float, stands: Callable = strict, source:
     top, n, many = good.agg(F.max("mz"), F.count(F.lit(1)), F.count_distinct("source")).first()
     if top is None:
         return peaks.sparkSession.createDataFrame([], BINS)
-    if stands is strict and HALO * (many + 1) <= max(TILE, n // HALO):
+    if stands is strict and (2 * tol * (1 + 1e-6) <= NARROW or HALO * (many + 1) <= max(TILE, n // HALO)):
         return strict_bins(good, tol, n, many, scratch)
     gap = 2 * tol * top if gap is None else gap
     # a little wider than any group, so that rounding can't matter

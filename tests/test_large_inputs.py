@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from specloom.functions import kernels
 from specloom.functions.scratch import Scratch
-from specloom.operators import images, joins, signal
+from specloom.operators import images, joins, peaks, signal
 from specloom.sources import files
+from tests.test_operators import naive_split
 
 
 @pytest.fixture
@@ -130,3 +131,22 @@ def test_matched_peaks_are_those_of_all_pairs(spark, tol):
     df = lambda rows: spark.createDataFrame(rows, "id long, mz double, intensity double").repartition(3)
     got = joins.match_peaks(df(a), df(b), tol).collect()
     assert {r["id_a"]: (r["id_b"], r["mz_b"]) for r in got} == want and len(got) == len(want) > 100
+
+
+@pytest.mark.parametrize("shape", ["sparse", "even", "steps", "dense", "wide bins"])
+@pytest.mark.parametrize("sources", [3000, 40])
+def test_strict_bins_of_many_sources_have_small_tiles(spark, monkeypatch, shape, sources):
+    """A tile doesn't grow with the sources where the width of a bin limits what it needs."""
+    rng, n, tol = np.random.default_rng(8), 3000, {"wide bins": 0.04}.get(shape, 1e-4)
+    x = {"sparse": np.round(rng.uniform(100, 400, n), 2), "even": 100 + 0.005 * np.arange(n), "steps": 100 + np.cumsum(rng.choice([0, 0.001, 0.009, 0.019, 0.021, 0.03, 0.06], n)), "dense": 100 + rng.random(n) / 4, "wide bins": rng.uniform(100, 400, n)}[shape]
+    s = rng.permutation(n) if sources == n else rng.integers(0, sources, n)
+    kept, kind = [], type(spark.range(1).groupBy("id"))
+    original = kind.applyInPandas
+    monkeypatch.setattr(kind, "applyInPandas", lambda self, *rest: kept.append(self._df) or original(self, *rest))
+    df = spark.createDataFrame(list(zip(x.tolist(), [float(k % 5) for k in range(n)], s.tolist())), "mz double, y double, source long").repartition(3)
+    got = peaks.strict_bins(df, tol, n, len(np.unique(s)), Scratch(spark, "test"), tile=50)
+    o = np.lexsort((np.arange(n) % 5, s, x))
+    want = [(round(x[o][a:b].mean(), 9), b - a, s[o][a:b].tolist()) for a, b in naive_split(x[o], s[o], tol)]
+    assert sorted((round(r["x_mean"], 9), r["n"], r["sources"]) for r in got.collect()) == sorted(want)
+    if shape in ("sparse", "even", "steps"):
+        assert max(r["count"] for r in kept[0].groupBy("tile").count().collect()) <= 400
